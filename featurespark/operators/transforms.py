@@ -297,3 +297,24 @@ def dedupe_names(outputs: list[tuple[str, Column]], taken: list[str]) -> list[tu
         seen.add(new)
         result.append((new, c))
     return result
+
+
+def one_hot_columns(df: DataFrame, column: str, max_values: int = 1000, drop_original: bool = False) -> DataFrame:
+    """True one-hot (ours, beside the reference's hash-based 'one-hot'): one 0/1
+    column per distinct non-NULL value; NULL rows are all zeros.
+
+    The distinct values become column names, so their number is checked and an
+    error is raised above ``max_values`` (use hash_encoding there) — no value is
+    ever dropped silently."""
+    x = col_of(column)
+    dtype = df.schema[column].dataType
+    text = as_text(x, dtype)
+    values = [r[0] for r in df.select(text.alias("v")).where(F.col("v").isNotNull()).distinct()
+              .limit(max_values + 1).collect()]
+    if len(values) > max_values:
+        raise ValueError(f"{column} has more than {max_values} distinct values; use hash_encoding")
+    base = S.sanitize_column_name(column)
+    outs = [F.when(text == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(f"{base}_{S.sanitize_column_name(str(v))}")
+            for v in sorted(values)]
+    keep = [col_of(c) for c in df.columns if not (drop_original and c == column)]
+    return df.select(*keep, *outs)
