@@ -480,3 +480,282 @@ def q_chain_auto_target(spark, sf):
                       target_column="is_final", keep_columns=["o_orderkey"])
     return res.df.select("o_orderkey", L("o_orderpriority_length").alias("o_orderpriority_length"),
                          F.col("target").cast("int").alias("target"))
+
+
+# ---------------------------------------------------------------------------
+# P*: profiling
+# ---------------------------------------------------------------------------
+from ..operators import profile as P  # noqa: E402
+
+LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LI_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+          "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _round_cols(df: DataFrame, doubles: list[str]) -> DataFrame:
+    return df.select(*[R(c).alias(c) if c in doubles else F.col(c) for c in df.columns])
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("overview", 'SELECT count(*) AS "rows", CAST(11 AS BIGINT) AS "columns" FROM lineitem')
+def q_overview(spark, sf):
+    return P.overview(read_table(spark, sf, "lineitem"))
+
+
+@register("missing_report", f"""
+WITH {LI_NULLS}, s AS (SELECT count(*) AS n, {', '.join(f'count_if({c} IS NULL) AS m{i}' for i, c in enumerate(LI_ALL))} FROM li)
+""" + _union([f"SELECT '{c}' AS column_name, CAST(m{i} AS BIGINT) AS missing_count, "
+              f"round(CAST(m{i} AS DOUBLE) * 100.0 / n, 2) AS missing_pct FROM s" for i, c in enumerate(LI_ALL)]))
+def q_missing_report(spark, sf):
+    return P.missing_report(lineitem_nulls(spark, sf))
+
+
+_IQR_COLS = ["value", "user_id"]
+
+
+@register("iqr_outliers", "WITH q AS (SELECT count(*) AS n, " + ", ".join(
+    f"quantile_disc(CAST({c} AS DOUBLE), 0.25) AS a{i}, quantile_disc(CAST({c} AS DOUBLE), 0.75) AS b{i}"
+    for i, c in enumerate(_IQR_COLS)) + " FROM events),\nt AS (" + _union([
+        f"SELECT '{c}' AS column_name, a{i} AS q1, b{i} AS q3, a{i} - 1.5 * (b{i} - a{i}) AS lo, "
+        f"b{i} + 1.5 * (b{i} - a{i}) AS hi, n, (SELECT count(*) FROM events WHERE {c} < a{i} - 1.5 * (b{i} - a{i}) "
+        f"OR {c} > b{i} + 1.5 * (b{i} - a{i})) AS cnt FROM q" for i, c in enumerate(_IQR_COLS)]) + """)
+SELECT column_name, round(q1, 6) AS q1, round(q3, 6) AS q3, round(lo, 6) AS lower, round(hi, 6) AS upper,
+  CAST(cnt AS BIGINT) AS outlier_count, round(CAST(cnt AS DOUBLE) * 100.0 / n, 2) AS outlier_percentage,
+  'IQR' AS method
+FROM t WHERE cnt > 0""")
+def q_iqr_outliers(spark, sf):
+    out = P.iqr_outliers(read_table(spark, sf, "events"), _IQR_COLS, quantiles="exact")
+    return _round_cols(out, ["q1", "q3", "lower", "upper"])
+
+
+@register("cardinality", "WITH s AS (SELECT count(*) AS n, " + ", ".join(
+    f"count(DISTINCT {c}) AS d{i}" for i, c in enumerate(LI_ALL)) + " FROM lineitem)\n" + _union([
+        f"SELECT '{c}' AS column_name, CAST(d{i} AS BIGINT) AS n_unique, d{i} <= 10 AS low_cardinality, "
+        f"d{i} > n * 0.5 AS high_cardinality, d{i} = n AS id_like FROM s" for i, c in enumerate(LI_ALL)]))
+def q_cardinality(spark, sf):
+    return P.cardinality(read_table(spark, sf, "lineitem"))
+
+
+_UNI_STATS = ["min", "max", "mean", "median", "std", "variance", "q1", "q3", "iqr", "skewness", "kurtosis"]
+
+
+@register("uni_numeric", f"""
+WITH {LI_NULLS}, f AS (SELECT * FROM li WHERE {' AND '.join(f'{c} IS NOT NULL' for c in LI_NUM)})
+""" + _union([f"""SELECT '{c}' AS column_name, round(min({c}), 6) AS min, round(max({c}), 6) AS max,
+  round(avg({c}), 6) AS mean, round(quantile_disc({c}, 0.5), 6) AS median, round(coalesce(stddev_samp({c}), 0), 6) AS std,
+  round(var_pop({c}), 6) AS variance, round(quantile_disc({c}, 0.25), 6) AS q1, round(quantile_disc({c}, 0.75), 6) AS q3,
+  round(quantile_disc({c}, 0.75) - quantile_disc({c}, 0.25), 6) AS iqr, round(coalesce(skewness({c}), 0), 6) AS skewness,
+  round(coalesce(kurtosis_pop({c}), 0), 6) AS kurtosis FROM f""" for c in LI_NUM]))
+def q_uni_numeric(spark, sf):
+    out = P.univariate_numeric(lineitem_nulls(spark, sf), LI_NUM, quantiles="exact")
+    return _round_cols(out, _UNI_STATS)
+
+
+_CAT_O = ["o_orderstatus", "o_orderpriority"]
+_LONG_O = _union([f"SELECT '{c}' AS column_name, {c} AS value FROM o" for c in _CAT_O])
+
+
+@register("uni_categorical", f"""
+WITH {O_NULLS}, long AS ({_LONG_O}),
+c AS (SELECT column_name, value, count(*) AS cnt FROM long WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rk FROM c),
+u AS (SELECT column_name, count(*) AS unique_count FROM c GROUP BY ALL),
+m AS (SELECT column_name, value AS mode FROM r WHERE rk = 1)
+SELECT r.column_name, CAST(u.unique_count AS BIGINT) AS unique_count, m.mode, CAST(rk AS BIGINT) AS "rank",
+  r.value, CAST(cnt AS BIGINT) AS "count"
+FROM r JOIN u USING (column_name) JOIN m USING (column_name) WHERE rk <= 5""")
+def q_uni_categorical(spark, sf):
+    out = P.univariate_categorical(orders_nulls(spark, sf), _CAT_O)
+    return out.select("column_name", "unique_count", "mode",
+                      F.posexplode("top_values").alias("pos", "tv")).select(
+        "column_name", "unique_count", "mode", (F.col("pos") + 1).cast("bigint").alias("rank"),
+        F.col("tv.value").alias("value"), F.col("tv.count").alias("count"))
+
+
+@register("target_corr", f"""
+WITH {LI_NULLS}, f AS (SELECT * FROM li WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL
+                       AND l_discount IS NOT NULL AND l_tax IS NOT NULL)
+""" + _union([f"SELECT '{c}' AS column_name, round(coalesce(corr({c}, l_extendedprice), 0), 6) AS correlation FROM f"
+              for c in ["l_quantity", "l_discount", "l_tax"]]))
+def q_target_corr(spark, sf):
+    out = P.target_correlation(lineitem_nulls(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return _round_cols(out, ["correlation"])
+
+
+@register("sorted_corr", f"""
+WITH {LI_NULLS}, s AS (""" + _union([
+    f"SELECT '{c}' AS column_name, coalesce(corr({c}, l_extendedprice), 0) AS c0 FROM li"
+    for c in ["l_quantity", "l_discount", "l_tax"]]) + """)
+SELECT column_name, round(c0, 6) AS correlation, CAST(row_number() OVER (ORDER BY c0, column_name) AS BIGINT) AS position
+FROM s""")
+def q_sorted_corr(spark, sf):
+    out = P.sorted_correlations(lineitem_nulls(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return _round_cols(out, ["correlation"])
+
+
+def _chi2_sql(long_sql: str, prefix: str = "", with_position: bool = False) -> str:
+    pos = (", CAST(row_number() OVER (ORDER BY chi2, column_name) AS BIGINT) AS position" if with_position else "")
+    return f"""
+WITH {prefix}long AS ({long_sql}),
+obs AS (SELECT column_name, value, t, count(*) AS n FROM long WHERE value IS NOT NULL AND t IS NOT NULL GROUP BY ALL),
+rm AS (SELECT column_name, value, sum(n) AS rn FROM obs GROUP BY ALL),
+cm AS (SELECT column_name, t, sum(n) AS cn FROM obs GROUP BY ALL),
+tot AS (SELECT column_name, sum(n) AS nn, count(DISTINCT value) AS r, count(DISTINCT t) AS c FROM obs GROUP BY ALL),
+grid AS (SELECT rm.column_name, CAST(rn AS DOUBLE) * cn / nn AS e, CAST(coalesce(obs.n, 0) AS DOUBLE) AS o,
+                (r - 1) * (c - 1) AS dof, least(r, c) - 1 AS k, nn
+         FROM rm JOIN cm USING (column_name) JOIN tot USING (column_name)
+         LEFT JOIN obs ON obs.column_name = rm.column_name AND obs.value = rm.value AND obs.t = cm.t),
+res AS (SELECT column_name,
+  CASE WHEN max(dof) = 0 THEN 0.0 WHEN max(dof) = 1 THEN sum(pow(greatest(abs(o - e) - 0.5, 0), 2) / e)
+       ELSE sum(pow(o - e, 2) / e) END AS chi2,
+  CASE WHEN max(k) > 0 THEN sqrt(sum(pow(o - e, 2) / e) / (max(nn) * max(k))) ELSE 0.0 END AS cv
+  FROM grid GROUP BY column_name)
+SELECT column_name, round(chi2, 6) AS chi2, round(cv, 6) AS cramers_v{pos} FROM res"""
+
+
+_CHI_LONG = _union(["SELECT 'o_orderpriority' AS column_name, o_orderpriority AS value, o_orderstatus AS t FROM o",
+                    "SELECT 'o_clerkish' AS column_name, substr(o_orderpriority, 1, 1) AS value, o_orderstatus AS t FROM o"])
+
+
+def _orders_chi(spark, sf):
+    return orders_nulls(spark, sf).withColumn("o_clerkish", F.substring("o_orderpriority", 1, 1))
+
+
+@register("chi2_scores", _chi2_sql(_CHI_LONG, O_NULLS + ", "))
+def q_chi2_scores(spark, sf):
+    out = P.chi2_scores(_orders_chi(spark, sf), "o_orderstatus", ["o_orderpriority", "o_clerkish"])
+    return _round_cols(out, ["chi2", "cramers_v"])
+
+
+@register("chi2_ranking", _chi2_sql(_CHI_LONG, O_NULLS + ", ", with_position=True))
+def q_chi2_ranking(spark, sf):
+    out = P.chi2_ranking(_orders_chi(spark, sf), "o_orderstatus", ["o_orderpriority", "o_clerkish"])
+    return _round_cols(out, ["chi2", "cramers_v"])
+
+
+@register("chi2_yates", _chi2_sql(
+    "SELECT 'urgent' AS column_name, CAST(o_orderpriority = '1-URGENT' AS VARCHAR) AS value, "
+    "CAST(o_orderstatus = 'F' AS VARCHAR) AS t FROM orders"))
+def q_chi2_yates(spark, sf):
+    o = (read_table(spark, sf, "orders").withColumn("urgent", F.col("o_orderpriority") == "1-URGENT")
+         .withColumn("is_f", F.col("o_orderstatus") == "F"))
+    return _round_cols(P.chi2_scores(o, "is_f", ["urgent"]), ["chi2", "cramers_v"])
+
+
+_CUST = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+_CUST_DOUBLE = {"c_acctbal"}
+
+
+def _canon_text(c: str) -> str:
+    if c not in _CUST_DOUBLE:
+        return f"CAST({c} AS VARCHAR)"
+    return (f"CASE WHEN {c} = floor({c}) AND abs({c}) < 1e15 "
+            f"THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END")
+
+
+@register("column_metadata", _union([f"""SELECT '{c}' AS column_name,
+  (SELECT CASE lower(typeof({c})) WHEN 'varchar' THEN 'string' WHEN 'integer' THEN 'int' ELSE lower(typeof({c})) END
+   FROM customer LIMIT 1) AS dtype,
+  (SELECT CAST(count(DISTINCT {c}) AS BIGINT) FROM customer) AS distinct_count,
+  (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {_canon_text(c)} AS v FROM customer
+     WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS sample_values""" for c in _CUST]))
+def q_column_metadata(spark, sf):
+    md = P.column_metadata(read_table(spark, sf, "customer"))
+    return md.select("column_name", "dtype", "distinct_count", F.array_join("sample_values", "|").alias("sample_values"))
+
+
+_HIST = [("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"), ("events", "value")]
+
+
+@register("histogram", _union([f"""SELECT '{c}' AS column_name, b AS bin, mn + (b - 1) * (mx - mn) / 30 AS lower,
+  mn + b * (mx - mn) / 30 AS upper, cnt AS "count" FROM (
+  SELECT CAST(least(floor(({c} - mn) / (mx - mn) * 30) + 1, 30) AS BIGINT) AS b, any_value(mn) AS mn,
+         any_value(mx) AS mx, count(*) AS cnt
+  FROM {t}, (SELECT min({c}) AS mn, max({c}) AS mx FROM {t}) GROUP BY 1)""" for t, c in _HIST]))
+def q_histogram(spark, sf):
+    parts = []
+    for t, c in _HIST:
+        parts.append(P.histogram(read_table(spark, sf, t), [c]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _round_cols(out, ["lower", "upper"])
+
+
+@register("top10", f"""
+WITH long AS ({_union(["SELECT 'p_brand' AS column_name, nullif(trim(p_brand), '') AS value FROM part",
+                        "SELECT 'p_type' AS column_name, nullif(trim(p_type), '') AS value FROM part"])}),
+c AS (SELECT column_name, value, count(*) AS cnt FROM long WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rk FROM c)
+SELECT column_name, CAST(rk AS BIGINT) AS "rank", value, CAST(cnt AS BIGINT) AS "count" FROM r WHERE rk <= 10""")
+def q_top10(spark, sf):
+    return P.top_values(read_table(spark, sf, "part"), ["p_brand", "p_type"], k=10, clean=True)
+
+
+@register("cat_mean", """
+WITH long AS (SELECT 'c_mktsegment' AS column_name, c_mktsegment AS value, c_acctbal AS y FROM customer
+              UNION ALL SELECT 'c_nation' AS column_name, CAST(c_nationkey AS VARCHAR), c_acctbal FROM customer)
+SELECT column_name, value, round(avg(y), 6) AS mean_target, CAST(count(*) AS BIGINT) AS "count",
+  round(stddev_samp(y), 6) AS std_target FROM long GROUP BY ALL""")
+def q_cat_mean(spark, sf):
+    c = read_table(spark, sf, "customer").withColumn("c_nation", F.col("c_nationkey").cast("string"))
+    out = P.category_target_mean(c, "c_acctbal", ["c_mktsegment", "c_nation"])
+    return _round_cols(out, ["mean_target", "std_target"])
+
+
+@register("box_stats", """
+WITH long AS (SELECT 'o_totalprice' AS column_name, o_orderstatus AS class, o_totalprice AS v FROM orders
+              UNION ALL SELECT 'o_custkey', o_orderstatus, CAST(o_custkey AS DOUBLE) FROM orders),
+q AS (SELECT column_name, class, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS med,
+             quantile_cont(v, 0.75) AS q3 FROM long GROUP BY ALL)
+SELECT column_name, class, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+  round(min(CASE WHEN v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN v END), 6) AS lower_whisker,
+  round(max(CASE WHEN v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN v END), 6) AS upper_whisker,
+  CAST(count_if(NOT (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS BIGINT) AS outlier_count,
+  CAST(count(*) AS BIGINT) AS "count"
+FROM long JOIN q USING (column_name, class) GROUP BY column_name, class, q1, med, q3""")
+def q_box_stats(spark, sf):
+    out = P.box_stats(read_table(spark, sf, "orders"), "o_orderstatus", ["o_totalprice", "o_custkey"], quantiles="exact")
+    return _round_cols(out, ["q1", "median", "q3", "lower_whisker", "upper_whisker"])
+
+
+_DOC_STR = ["text", "lang", "source"]
+
+
+@register("feature_types", _union(
+    ["SELECT 'doc_id' AS column_name, 'numerical' AS feature_type",
+     "SELECT 'n_chars', 'numerical'"] +
+    [f"SELECT '{c}', CASE WHEN avg(length({c})) >= 50 THEN 'text' WHEN count(DISTINCT {c}) > 0.5 * count(*) "
+     f"THEN 'high_cardinality' ELSE 'categorical' END FROM documents" for c in _DOC_STR]))
+def q_feature_types(spark, sf):
+    return P.feature_types(read_table(spark, sf, "documents"))
+
+
+@register("density")
+def q_density(spark, sf):
+    """P13 (no SQL oracle: kernel sum over histogram bins)."""
+    return P.density(read_table(spark, sf, "events"), ["value"])
+
+
+@register("target_suggestion")
+def q_target_suggestion(spark, sf):
+    """P10 (ours: deterministic score instead of an LLM call)."""
+    return P.suggest_target(read_table(spark, sf, "labels"))
+
+
+@register("profile_sections")
+def q_profile_sections(spark, sf):
+    """Which report sections a full profile produces, with per-section row
+    counts computed lazily by Spark (one union of counts)."""
+    rep = P.profile(read_table(spark, sf, "orders"), target="o_orderstatus")
+    parts = [d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(k).alias("section"), "n_rows")
+             for k, d in rep.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
