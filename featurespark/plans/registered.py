@@ -759,3 +759,133 @@ def q_profile_sections(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------------------
+# B*: imbalance, balancing, bias
+# ---------------------------------------------------------------------------
+from ..operators import balance as B  # noqa: E402
+from ..operators.smoter import smoter  # noqa: E402
+
+
+@register("class_dist", """
+SELECT CAST(quality AS VARCHAR) AS class, count(*) AS "count", round(count(*) / sum(count(*)) OVER (), 6) AS share
+FROM labels GROUP BY 1""")
+def q_class_dist(spark, sf):
+    return _round_cols(B.class_distribution(read_table(spark, sf, "labels"), "quality"), ["share"])
+
+
+@register("imbalance", """
+WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1), t AS (SELECT sum(n) AS tot FROM c)
+SELECT count(*) AS n_classes, max(n) AS max_count, min(n) AS min_count, round(max(n) / min(n), 2) AS imbalance_ratio,
+  CAST(count_if(n / tot < 0.15) AS BIGINT) AS rare_classes FROM c, t""")
+def q_imbalance(spark, sf):
+    dist = B.class_distribution(read_table(spark, sf, "labels"), "toxic")
+    return B.imbalance_summary(dist, rare_threshold=0.15)
+
+
+@register("qcut_bins", """
+WITH e AS (SELECT quantile_cont(o_totalprice, [0, 0.25, 0.5, 0.75, 1]) AS q FROM orders),
+b AS (SELECT 1 + CAST(o_totalprice > q[2] AS INT) + CAST(o_totalprice > q[3] AS INT) + CAST(o_totalprice > q[4] AS INT)
+        AS bin, q FROM orders, e)
+SELECT CAST(bin AS BIGINT) AS bin, round(q[bin], 6) AS lower, round(q[bin + 1], 6) AS upper,
+  CAST(count(*) AS BIGINT) AS "count" FROM b GROUP BY bin, q""")
+def q_qcut_bins(spark, sf):
+    return _round_cols(B.qcut_distribution(read_table(spark, sf, "orders"), "o_totalprice"), ["lower", "upper"])
+
+
+@register("prepare_rows", f"""
+WITH {O_NULLS}, s AS (SELECT quantile_cont(o_totalprice, 0.5) AS m FROM o)
+SELECT o_orderkey, round(coalesce(o_totalprice, m), 6) AS o_totalprice,
+  coalesce(o_orderpriority, 'missing') AS o_orderpriority, o_orderstatus FROM o, s""")
+def q_prepare_rows(spark, sf):
+    p = B.prepare_rows(orders_nulls(spark, sf), "o_orderstatus")
+    return p.select("o_orderkey", R("o_totalprice").alias("o_totalprice"), "o_orderpriority", "o_orderstatus")
+
+
+@register("oversample_counts", """
+WITH c AS (SELECT CAST(quality AS VARCHAR) AS class, count(*) AS n FROM labels GROUP BY 1)
+SELECT class, (SELECT max(n) FROM c) AS "count" FROM c""")
+def q_oversample_counts(spark, sf):
+    out = B.random_oversample(read_table(spark, sf, "labels"), "quality", seed=42)
+    return out.groupBy(F.col("quality").cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("oversample_rows")
+def q_oversample_rows(spark, sf):
+    """B6 rows (drawn copies come from xxhash64 draws, so only row counts are
+    checked here; tests check that every copy is an original of its class)."""
+    return B.random_oversample(read_table(spark, sf, "labels"), "quality", seed=42)
+
+
+@register("balance_status", """
+WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1)
+SELECT 'quality' AS target_column, 'categorical' AS target_type, count(*) AS n_classes,
+  round(max(n) / max(n), 2) AS imbalance_ratio, 'Balanced' AS balance_status FROM c""")
+def q_balance_status(spark, sf):
+    out = B.random_oversample(read_table(spark, sf, "labels"), "quality", seed=42)
+    return B.balance_report(out, "quality")
+
+
+@register("imbalance_record", """
+WITH c AS (SELECT CAST(toxic AS VARCHAR) AS class, count(*) AS n FROM labels GROUP BY 1),
+a AS (SELECT arg_max(class, n) AS majority_class, max(n) AS majority_count, arg_min(class, n) AS minority_class,
+             min(n) AS minority_count FROM c)
+SELECT 'toxic' AS target_column, 'categorical' AS target_type, majority_class, majority_count, minority_class,
+  minority_count, round(majority_count / greatest(minority_count, 1), 2) AS imbalance_ratio,
+  round(majority_count / greatest(minority_count, 1), 2) > 1.2 AS is_imbalanced,
+  CASE WHEN round(majority_count / greatest(minority_count, 1), 2) <= 1.2 THEN 'none'
+       WHEN round(majority_count / greatest(minority_count, 1), 2) <= 3 THEN 'mild'
+       WHEN round(majority_count / greatest(minority_count, 1), 2) <= 10 THEN 'moderate' ELSE 'severe' END AS severity,
+  'random_oversampling' AS recommended_method FROM a""")
+def q_imbalance_record(spark, sf):
+    return B.imbalance_analysis(read_table(spark, sf, "labels"), "toxic")
+
+
+def _cust_country(spark, sf):
+    c = read_table(spark, sf, "customer")
+    n = read_table(spark, sf, "nation")          # fixed 25-row dimension: bounded broadcast
+    return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+            .select("c_custkey", F.col("n_name").alias("country"), (F.col("c_acctbal") > 0).alias("positive")))
+
+
+_BIAS_SQL = """WITH d AS (SELECT n_name AS country, CAST(c_acctbal > 0 AS DOUBLE) AS y
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+g AS (SELECT 'country' AS feature, country AS "group", count(*) AS n, avg(y) AS outcome FROM d GROUP BY 1, 2)"""
+
+
+@register("bias_groups", _BIAS_SQL + """
+SELECT feature, "group", n, round(n / sum(n) OVER (PARTITION BY feature), 6) AS share, round(outcome, 6) AS outcome
+FROM g""")
+def q_bias_groups(spark, sf):
+    out = B.group_outcomes(_cust_country(spark, sf), "positive", ["country"])
+    return _round_cols(out, ["share", "outcome"])
+
+
+@register("bias_report", _BIAS_SQL + """,
+s AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) AS share, outcome, "group" FROM g),
+p AS (SELECT feature, min(outcome) AS omin, max(outcome) AS omax, min(share) AS smin, max(share) AS smax FROM s
+      GROUP BY 1),
+r AS (SELECT feature, 'outcome' AS bias_type, CASE WHEN omax > 0 AND omin / omax < 0.8 THEN 'high'
+        WHEN omax > 0 AND omin / omax < 0.9 THEN 'medium' ELSE 'low' END AS risk FROM p
+      UNION ALL
+      SELECT feature, 'representation', CASE WHEN smax / smin > 10 THEN 'high' WHEN smax / smin > 3 THEN 'medium'
+        ELSE 'low' END FROM p),
+f AS (SELECT * FROM r WHERE risk <> 'low')
+SELECT * FROM f UNION ALL SELECT NULL, 'none', 'low' WHERE (SELECT count(*) FROM f) = 0""")
+def q_bias_report(spark, sf):
+    out = B.bias_report(B.group_outcomes(_cust_country(spark, sf), "positive", ["country"]))
+    return out.select("feature", "bias_type", "risk")
+
+
+@register("smoter_gate", """
+SELECT count(DISTINCT value) >= 10 AND abs(skewness(value)) >= 0.5 AS apply FROM events""")
+def q_smoter_gate(spark, sf):
+    return B.smoter_gate_frame(read_table(spark, sf, "events"), "value").select("apply")
+
+
+@register("smoter_rows")
+def q_smoter_rows(spark, sf):
+    """B9 (no SQL oracle: synthetic rows). Original rows plus interpolated rare-bump rows."""
+    out, _ = smoter(read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), "value")
+    return out
