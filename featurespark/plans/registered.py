@@ -889,3 +889,93 @@ def q_smoter_rows(spark, sf):
     """B9 (no SQL oracle: synthetic rows). Original rows plus interpolated rare-bump rows."""
     out, _ = smoter(read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), "value")
     return out
+
+
+# ---------------------------------------------------------------------------
+# L*: leakage; F*: recommendations and column report
+# ---------------------------------------------------------------------------
+from ..operators import leakage as LK  # noqa: E402
+from ..operators import recommend as RC  # noqa: E402
+
+_LK_NUM = ["l_quantity", "l_discount", "l_tax", "l_leak"]
+_LK_CAT = ["l_returnflag", "l_linestatus"]
+
+
+def _leak_input(spark, sf):
+    return read_table(spark, sf, "lineitem").withColumn("l_leak", F.col("l_extendedprice") * 2 + 1) \
+        .select("l_extendedprice", *_LK_NUM, *_LK_CAT)
+
+
+_LEAK_CTE = """WITH d AS (SELECT l_extendedprice, l_quantity, l_discount, l_tax, l_extendedprice * 2 + 1 AS l_leak,
+                  l_returnflag, l_linestatus FROM lineitem),
+e AS (SELECT quantile_cont(l_extendedprice, [0, 0.25, 0.5, 0.75, 1]) AS q FROM d),
+b AS (SELECT d.*, CAST(1 + CAST(l_extendedprice > q[2] AS INT) + CAST(l_extendedprice > q[3] AS INT)
+                 + CAST(l_extendedprice > q[4] AS INT) AS VARCHAR) AS t FROM d, e),
+nums AS (""" + _union([f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS v FROM d" for c in _LK_NUM]) + """),
+long AS (""" + _union([f"SELECT '{c}' AS column_name, {c} AS value, t FROM b" for c in _LK_CAT]) + """),
+obs AS (SELECT column_name, value, t, count(*) AS n FROM long GROUP BY ALL),
+rm AS (SELECT column_name, value, sum(n) AS rn, max(n) AS mx FROM obs GROUP BY ALL),
+cm AS (SELECT column_name, t, sum(n) AS cn FROM obs GROUP BY ALL),
+tot AS (SELECT column_name, sum(n) AS nn, count(DISTINCT value) AS r, count(DISTINCT t) AS c FROM obs GROUP BY ALL),
+grid AS (SELECT rm.column_name, CAST(rn AS DOUBLE) * cn / nn AS ex, CAST(coalesce(obs.n, 0) AS DOUBLE) AS o,
+                least(r, c) - 1 AS k, nn
+         FROM rm JOIN cm USING (column_name) JOIN tot USING (column_name)
+         LEFT JOIN obs ON obs.column_name = rm.column_name AND obs.value = rm.value AND obs.t = cm.t),
+cv AS (SELECT column_name, CASE WHEN max(k) > 0 THEN sqrt(sum(pow(o - ex, 2) / ex) / (max(nn) * max(k))) ELSE 0 END
+       AS v FROM grid GROUP BY 1),
+pur AS (SELECT column_name, sum(mx) / sum(rn) AS p, sum(rn) / count(*) AS rpv FROM rm GROUP BY 1),
+flags AS (
+  SELECT feature, CASE WHEN v >= 0.98 THEN 'high' WHEN v >= 0.8 THEN 'medium' WHEN v >= 0.5 THEN 'low' END AS risk,
+         'abs_corr' AS metric, v AS value FROM nums
+  UNION ALL
+  SELECT pur.column_name, CASE WHEN p >= 0.98 AND rpv >= 5 THEN 'high' WHEN cv.v >= 0.6 THEN 'medium' END,
+         CASE WHEN p >= 0.98 AND rpv >= 5 THEN 'purity' ELSE 'cramers_v' END,
+         CASE WHEN p >= 0.98 AND rpv >= 5 THEN p ELSE cv.v END
+  FROM pur JOIN cv USING (column_name)),
+best AS (SELECT feature, arg_max(risk, (CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) * 10 + value)
+           AS risk, arg_max(metric, (CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) * 10 + value)
+           AS metric, arg_max(value, (CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) * 10 + value)
+           AS value FROM flags WHERE risk IS NOT NULL GROUP BY 1)"""
+
+
+@register("leakage_report", _LEAK_CTE + "\nSELECT feature, risk, metric, round(value, 6) AS value FROM best")
+def q_leakage_report(spark, sf):
+    rep = LK.leakage_report(_leak_input(spark, sf), "l_extendedprice")
+    return _round_cols(rep.select("feature", "risk", "metric", "value"), ["value"])
+
+
+@register("leakage_summary", _LEAK_CTE + """
+SELECT CAST(count_if(risk = 'high') AS INTEGER) AS high_risk, CAST(count_if(risk = 'medium') AS INTEGER) AS medium_risk,
+  CAST(count_if(risk = 'low') AS INTEGER) AS low_risk FROM best""")
+def q_leakage_summary(spark, sf):
+    rep = LK.leakage_report(_leak_input(spark, sf), "l_extendedprice")
+    return LK.leakage_summary(rep).select("high_risk", "medium_risk", "low_risk")
+
+
+@register("leakage_temporal", """
+SELECT 't_feature' AS feature, 'high' AS risk, 'future_share' AS metric,
+  round(avg(CAST(CASE WHEN event_type = 'purchase' THEN ts + INTERVAL 1 HOUR ELSE ts - INTERVAL 1 HOUR END > ts
+            AS DOUBLE)), 6) AS value
+FROM events""")
+def q_leakage_temporal(spark, sf):
+    ev = read_table(spark, sf, "events").withColumn(
+        "t_feature", F.when(F.col("event_type") == "purchase", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+        .otherwise(F.col("ts") - F.expr("INTERVAL 1 HOUR")))
+    rep = LK.leakage_report(ev, "value", features=["t_feature"], event_time="ts", time_columns=["t_feature"])
+    return _round_cols(rep.select("feature", "risk", "metric", "value"), ["value"])
+
+
+@register("recommendations")
+def q_recommendations(spark, sf):
+    """F1 (rules of ours over the profile; no SQL oracle)."""
+    return RC.recommendations(orders_nulls(spark, sf), target="o_orderstatus")
+
+
+@register("column_report")
+def q_column_report(spark, sf):
+    """per-column eda / fe / leakage / transform details."""
+    o = orders_nulls(spark, sf)
+    rec = RC.recommendations(o, target="o_orderstatus")
+    chain = build_chain(o, CHAIN_TARGET_SPECS, target_column="o_orderstatus", order_key="o_orderkey")
+    lk = LK.leakage_report(o, "o_totalprice", features=["o_custkey", "o_orderpriority", "o_orderstatus"])
+    return RC.column_report(o, rec, lk, chain.lineage)
