@@ -979,3 +979,136 @@ def q_column_report(spark, sf):
     chain = build_chain(o, CHAIN_TARGET_SPECS, target_column="o_orderstatus", order_key="o_orderkey")
     lk = LK.leakage_report(o, "o_totalprice", features=["o_custkey", "o_orderpriority", "o_orderstatus"])
     return RC.column_report(o, rec, lk, chain.lineage)
+
+
+# ---------------------------------------------------------------------------
+# R*: run history (derived from events: user = table, event type = phase);
+# S*: scans and sinks
+# ---------------------------------------------------------------------------
+from ..sources import history as H  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+_PHASES_EV = ["click", "error", "purchase", "signup", "view"]
+
+
+def _status_log(spark, sf):
+    e = read_table(spark, sf, "events")
+    return e.select(F.concat(F.lit("table_"), F.col("user_id").cast("string")).alias("table_name"),
+                    F.col("event_type").alias("phase"),
+                    F.when(F.col("value") > 50, "completed").otherwise("in_progress").alias("status"),
+                    "ts", "event_id", "value")
+
+
+@register("workspace_merge", """
+WITH ex AS (SELECT DISTINCT 'table_' || user_id AS table_name FROM events WHERE event_type = 'click'),
+inc AS (SELECT DISTINCT trim(x) AS table_name FROM (
+          SELECT unnest(string_split('table_' || user_id || ', table_' || (user_id + 1) || ', ', ',')) AS x
+          FROM events WHERE event_type = 'view') WHERE trim(x) <> '')
+SELECT table_name, CASE WHEN table_name IN (SELECT table_name FROM ex) THEN 'duplicate' ELSE 'added' END AS status
+FROM inc""")
+def q_workspace_merge(spark, sf):
+    e = read_table(spark, sf, "events")
+    existing = e.where(F.col("event_type") == "click").select(
+        F.concat(F.lit("table_"), F.col("user_id").cast("string")).alias("table_name"))
+    lists = e.where(F.col("event_type") == "view").select(
+        F.concat(F.lit("table_"), F.col("user_id").cast("string"), F.lit(", table_"),
+                 (F.col("user_id") + 1).cast("string"), F.lit(", ")).alias("table_list"))
+    return H.add_workspaces(existing, lists)
+
+
+_STATE_SQL = """WITH s AS (SELECT 'table_' || user_id AS table_name, event_type AS phase,
+  CASE WHEN value > 50 THEN 'completed' ELSE 'in_progress' END AS status, ts FROM events),
+l AS (SELECT table_name, phase, arg_max(status, ts) AS st, max(ts) AS mts FROM s GROUP BY ALL),
+w AS (SELECT table_name, """ + ", ".join(f"max(CASE WHEN phase = '{p}' THEN st END) AS {p}" for p in _PHASES_EV) + \
+    """, max(mts) AS last_updated FROM l GROUP BY table_name)"""
+
+
+@register("phase_state", _STATE_SQL + "\nSELECT * FROM w")
+def q_phase_state(spark, sf):
+    return H.phase_state(_status_log(spark, sf), "table_name", "phase", "status", "ts", _PHASES_EV, "event_id")
+
+
+@register("workspace_list", _STATE_SQL + """,
+a AS (SELECT table_name, last_updated, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_updated)) // 1000000
+        AS s FROM w)
+SELECT table_name, last_updated, CASE
+  WHEN s < 60 THEN s || ' seconds ago'
+  WHEN s < 3600 THEN (s // 60) || ' minute' || CASE WHEN s // 60 <> 1 THEN 's' ELSE '' END || ' ago'
+  WHEN s < 86400 THEN (s // 3600) || ' hour' || CASE WHEN s // 3600 <> 1 THEN 's' ELSE '' END || ' ago'
+  WHEN s < 604800 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 <> 1 THEN 's' ELSE '' END || ' ago'
+  ELSE strftime(last_updated, '%Y-%m-%d') END AS age
+FROM a""")
+def q_workspace_list(spark, sf):
+    st = H.phase_state(_status_log(spark, sf), "table_name", "phase", "status", "ts", _PHASES_EV, "event_id")
+    import datetime as _dt
+    return H.list_workspaces(st, _dt.datetime(2024, 1, 31))
+
+
+@register("latest_analysis", _STATE_SQL + """,
+v AS (SELECT 'table_' || user_id AS table_name, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value,
+             max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT v.table_name, v.event_id, v.value, v.ts FROM v JOIN w ON v.table_name = w.table_name WHERE w.signup = 'completed'""")
+def q_latest_analysis(spark, sf):
+    log = _status_log(spark, sf)
+    st = H.phase_state(log, "table_name", "phase", "status", "ts", _PHASES_EV, "event_id")
+    views = log.where(F.col("phase") == "view").select("table_name", "event_id", "value", "ts")
+    return H.latest_completed(views, st, "table_name", "ts", "signup").select("table_name", "event_id", "value", "ts")
+
+
+@register("latest_run", """
+WITH r AS (SELECT user_id, max(date_trunc('day', ts)) AS run FROM events GROUP BY 1)
+SELECT e.event_id, e.user_id, CAST(date_trunc('day', e.ts) AS TIMESTAMP) AS run
+FROM events e JOIN r ON e.user_id = r.user_id AND date_trunc('day', e.ts) = r.run""")
+def q_latest_run(spark, sf):
+    e = read_table(spark, sf, "events").withColumn("run", F.date_trunc("day", F.col("ts")).cast("timestamp_ntz"))
+    return H.latest_run_rows(e, ["user_id"], "run", "ts").select("event_id", "user_id", "run")
+
+
+@register("preview", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority
+FROM orders ORDER BY o_orderkey LIMIT 3""")
+def q_preview(spark, sf):
+    from ..operators.profile import preview
+    return preview(read_table(spark, sf, "orders"), 3, ["o_orderkey"])
+
+
+@register("keyed_lookup", """
+SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1""")
+def q_keyed_lookup(spark, sf):
+    return IO.keyed_lookup(read_table(spark, sf, "orders"), "o_orderpriority", "1-URGENT",
+                           order_by=["o_orderdate", "o_orderkey"])
+
+
+@register("outside_bounds", "SELECT * FROM events WHERE value < 1 OR value > 400")
+def q_outside_bounds(spark, sf):
+    return IO.outside_bounds(read_table(spark, sf, "events"), "value", 1, 400)
+
+
+@register("sample_scan")
+def q_sample_scan(spark, sf):
+    """S2 (hash-based reproducible sample; xxhash64 has no DuckDB twin)."""
+    return IO.sample_scan(read_table(spark, sf, "lineitem"), 0.1, key=["l_orderkey", "l_linenumber"])
+
+
+@register("multi_transform", f"""
+WITH {LI_NULLS}
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  round(ln(l_extendedprice + 1), 6) AS l_extendedprice_log,
+  CAST(CASE WHEN l_quantity IS NULL THEN 1 ELSE 0 END AS BIGINT) AS l_quantity_is_missing,
+  round(coalesce(l_quantity, avg(l_quantity) OVER ()), 6) AS l_quantity_imputed,
+  lower(l_returnflag) AS l_returnflag_lower
+FROM li""")
+def q_multi_transform(spark, sf):
+    """Several independent transforms in one projection over one scan."""
+    res = apply_transforms(lineitem_nulls(spark, sf), [
+        {"column_name": "l_extendedprice", "fe_method": "log_transformation"},
+        {"column_name": "l_quantity", "fe_method": "missing_indicator"},
+        {"column_name": "l_quantity", "fe_method": "impute_mean"},
+        {"column_name": "l_returnflag", "fe_method": "lowercase"},
+        {"column_name": "l_returnflag", "fe_method": "no_such_method"}])
+    d = res.df
+    assert res.skipped and res.skipped[0]["method"] == "no_such_method"
+    return d.select(L("l_orderkey").alias("l_orderkey"), L("l_linenumber").alias("l_linenumber"),
+                    R("l_extendedprice_log").alias("l_extendedprice_log"),
+                    L("l_quantity_is_missing").alias("l_quantity_is_missing"),
+                    R("l_quantity_imputed").alias("l_quantity_imputed"), F.col("l_returnflag_lower"))
