@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import col_of
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 4096
+MIN_ROWS_PER_TASK = 1000
 SAMPLE_PER_BUCKET = 40
 
 
@@ -121,8 +122,15 @@ def choose_cuts(df: DataFrame, keys: list[SortKey], n_rows: int, n_buckets: int,
     return cuts
 
 
-def n_buckets_for(n_rows: int, rows_per_bucket: int) -> int:
-    return max(1, min(MAX_BUCKETS, math.ceil(n_rows / max(rows_per_bucket, 1))))
+def n_buckets_for(n_rows: int, rows_per_bucket: int, parallelism: int = 1) -> int:
+    """Enough buckets to bound each one by ``rows_per_bucket``, at least one per
+    core for mid-size inputs, and never fewer than two (a single constant
+    bucket would be folded into an un-partitioned window)."""
+    if n_rows < 2:
+        return 1
+    by_size = math.ceil(n_rows / max(rows_per_bucket, 1))
+    by_cores = min(parallelism, math.ceil(n_rows / MIN_ROWS_PER_TASK))
+    return max(2, min(MAX_BUCKETS, max(by_size, by_cores)))
 
 
 def global_row_number(df: DataFrame, keys: list[SortKey], n_rows: int | None = None,
@@ -130,10 +138,12 @@ def global_row_number(df: DataFrame, keys: list[SortKey], n_rows: int | None = N
     """Add ``out`` = 1-based position of each row in the global order of ``keys``."""
     if n_rows is None:
         n_rows = df.count()
-    nb = n_buckets_for(n_rows, rows_per_bucket)
+    nb = n_buckets_for(n_rows, rows_per_bucket, df.sparkSession.sparkContext.defaultParallelism)
     cuts = choose_cuts(df, keys, n_rows, nb)
     b = "__bucket"
-    with_b = df.withColumn(b, bucket_expr(keys, cuts) if cuts else F.lit(0))
+    if not cuts:            # fewer than two distinct sampled keys: cut at the smallest key
+        cuts = choose_cuts(df, keys, n_rows, nb, seed=11) or [tuple([None] * len(keys))]
+    with_b = df.withColumn(b, bucket_expr(keys, cuts))
     counts = {r[0]: r[1] for r in with_b.groupBy(b).count().collect()}   # <= B rows
     offsets, acc = [], 0
     for i in range(len(cuts) + 1):

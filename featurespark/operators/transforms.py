@@ -243,12 +243,65 @@ def output_name(spec: S.Spec) -> str:
     return f"{spec.out_base}_{S.SUFFIX[spec.method]}"
 
 
-def apply_transforms(df: DataFrame, raw_specs: list[dict], include_original: bool = True,
-                     quantiles: str | None = None, order_key: str | None = None,
-                     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                     rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> TransformResult:
-    """Apply each spec independently to the raw columns (template semantics).
-
+@dataclass
+class FittedTransforms:
+    """Statistics and lookup tables fitted on one DataFrame; ``transform`` applies
+    them to any DataFrame with the same input columns (batch or streaming)."""
+    specs: list
+    skipped: list
+    stats: Stats
+    lookups: dict                      # spec index → Lookup (tables derived from the fit input)
+    order_key: str | None
+    max_broadcast_rows: int
+    rows_per_bucket: int
+    source: DataFrame | None = None    # the fitted input (its row count is known)
+
+    def materialize(self) -> "FittedTransforms":
+        """Checkpoint each lookup table into the shared checkpoint folder so later
+        applications (e.g. every micro-batch of a stream) reuse it."""
+        from ..session import cut_lineage
+        for lk in self.lookups.values():
+            lk.table = cut_lineage(lk.table)
+        return self
+
+    def transform(self, df: DataFrame, include_original: bool = True) -> TransformResult:
+        out = df
+        outputs: list[tuple[str, Column]] = []
+        for i, spec in enumerate(self.specs):
+            x = col_of(spec.column)
+            dtype = df.schema[spec.column].dataType
+            if spec.method in MULTI:
+                outputs.extend(multi_output(spec, df))
+                continue
+            name = output_name(spec)
+            if spec.method in LOOKUP_METHODS:
+                tmp = f"__lookup_{i}"
+                lk = self.lookups[i]
+                key = (F.coalesce(as_text(x, dtype), F.lit("")) if spec.method == "label_encoding"
+                       else as_text(x, dtype) if spec.method == "frequency_encoding" else x)
+                out = join_lookup(out, Lookup(key, lk.table, lk.ndv, lk.null_safe), tmp, self.max_broadcast_rows)
+                outputs.append((name, F.col(tmp)))
+            elif spec.method == "binning":
+                if df.isStreaming:
+                    raise ValueError("NTILE needs the whole table; it cannot run on a stream")
+                tmp = f"__rank_{i}"
+                key = spec.params.get("order_key", self.order_key)
+                n_rows = self.stats[("rows", None)] if df is self.source else None
+                out = rank.global_ntile(out, spec.column, int(spec.params["num_bins"]), key,
+                                        n_rows, tmp, self.rows_per_bucket)
+                outputs.append((name, F.col(tmp)))
+            else:
+                outputs.append((name, scalar_expr(spec, x, dtype, self.stats)))
+        outputs = dedupe_names(outputs, df.columns if include_original else [])
+        base = [col_of(c) for c in df.columns] if include_original else []
+        result = out.select(*base, *[c.alias(n) for n, c in outputs])
+        return TransformResult(result, self.specs, self.skipped, [n for n, _ in outputs])
+
+
+def fit_transforms(df: DataFrame, raw_specs: list[dict], quantiles: str | None = None,
+                   order_key: str | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                   rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> FittedTransforms:
+    """One aggregate for every statistic of every spec, plus lazy lookup tables.
     Invalid specs are skipped with a reason (never fatal unless all are)."""
     valid, skipped = S.validate_specs(raw_specs, df.columns)
     if not valid:
@@ -257,32 +310,21 @@ def apply_transforms(df: DataFrame, raw_specs: list[dict], include_original: boo
     for spec in valid:
         register_needs(spec, plan)
     stats = plan.fit(df)
-    out = df
-    outputs: list[tuple[str, Column]] = []
+    lookups = {}
     for i, spec in enumerate(valid):
-        x = col_of(spec.column)
-        dtype = df.schema[spec.column].dataType
-        if spec.method in MULTI:
-            outputs.extend(multi_output(spec, df))
-            continue
-        name = output_name(spec)
         if spec.method in LOOKUP_METHODS:
-            tmp = f"__lookup_{i}"
-            lk = build_lookup(spec, df, x, dtype, stats.get(("ndv", spec.column)), rows_per_bucket)
-            out = join_lookup(out, lk, tmp, max_broadcast_rows)
-            outputs.append((name, F.col(tmp)))
-        elif spec.method == "binning":
-            tmp = f"__rank_{i}"
-            key = spec.params.get("order_key", order_key)
-            out = rank.global_ntile(out, spec.column, int(spec.params["num_bins"]), key,
-                                    stats[("rows", None)], tmp, rows_per_bucket)
-            outputs.append((name, F.col(tmp)))
-        else:
-            outputs.append((name, scalar_expr(spec, x, dtype, stats)))
-    outputs = dedupe_names(outputs, df.columns if include_original else [])
-    base = [col_of(c) for c in df.columns] if include_original else []
-    result = out.select(*base, *[c.alias(n) for n, c in outputs])
-    return TransformResult(result, valid, skipped, [n for n, _ in outputs])
+            lookups[i] = build_lookup(spec, df, col_of(spec.column), df.schema[spec.column].dataType,
+                                      stats.get(("ndv", spec.column)), rows_per_bucket)
+    return FittedTransforms(valid, skipped, stats, lookups, order_key, max_broadcast_rows, rows_per_bucket, df)
+
+
+def apply_transforms(df: DataFrame, raw_specs: list[dict], include_original: bool = True,
+                     quantiles: str | None = None, order_key: str | None = None,
+                     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                     rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> TransformResult:
+    """Apply each spec independently to the raw columns (template semantics)."""
+    fitted = fit_transforms(df, raw_specs, quantiles, order_key, max_broadcast_rows, rows_per_bucket)
+    return fitted.transform(df, include_original)
 
 
 def dedupe_names(outputs: list[tuple[str, Column]], taken: list[str]) -> list[tuple[str, Column]]:
