@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_text, btrim_ws, col_of, is_numeric, is_temporal
-from ..stats import default_quantile_method
+from ..stats import StatsPlan, default_quantile_method
 from . import contingency
 
 TOPK_SALT = 64
@@ -104,19 +104,6 @@ def missing_report(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # P3 IQR outliers
 # ---------------------------------------------------------------------------
-def _quartile_aggs(cols: list[str], method: str, accuracy: int = 1_000_000) -> list[Column]:
-    out = []
-    for i, c in enumerate(cols):
-        x = col_of(c).cast("double")
-        if method == "approx":
-            q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), accuracy)
-            out += [q[0].alias(f"q1_{i}"), q[1].alias(f"q3_{i}")]
-        else:
-            out += [F.expr(f"percentile_disc(0.25) WITHIN GROUP (ORDER BY CAST(`{c}` AS DOUBLE))").alias(f"q1_{i}"),
-                    F.expr(f"percentile_disc(0.75) WITHIN GROUP (ORDER BY CAST(`{c}` AS DOUBLE))").alias(f"q3_{i}")]
-    return out
-
-
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, quantiles: str | None = None,
                  keep_zero: bool = False) -> DataFrame:
     """(column_name, q1, q3, lower, upper, outlier_count, outlier_percentage, method).
@@ -126,12 +113,15 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, quantiles: str
     Percentage is of ALL rows; columns without outliers are dropped unless
     ``keep_zero``."""
     cols = columns or numeric_columns(df)
-    method = quantiles or default_quantile_method(df.sparkSession)
-    qrow = df.agg(F.count(F.lit(1)).alias("n"), *_quartile_aggs(cols, method)).collect()[0]
-    n = qrow["n"]
+    plan = StatsPlan(quantile_method=quantiles)
+    plan.need("rows", None)
+    for c in cols:
+        plan.need_qdisc(c, 0.25), plan.need_qdisc(c, 0.75)
+    st = plan.fit(df)
+    n = st[("rows", None)]
     bounds = []
-    for i, c in enumerate(cols):
-        q1, q3 = qrow[f"q1_{i}"], qrow[f"q3_{i}"]
+    for c in cols:
+        q1, q3 = st[("qd", c, 0.25)], st[("qd", c, 0.75)]
         if q1 is None or q3 is None:
             continue
         iqr = q3 - q1
@@ -181,42 +171,37 @@ def univariate_numeric(df: DataFrame, columns: list[str] | None = None, null_pol
     skewness (adjusted, = pandas), kurtosis (excess, population); NULL → 0.0.
 
     ``listwise`` (reference behaviour): rows with a NULL in any of the columns
-    are dropped for every column; ``per_column`` uses each column's non-NULLs."""
+    are dropped for every column; ``per_column`` uses each column's non-NULLs.
+    Quartiles are actual elements (percentile_disc), like approximate
+    quantiles return; one StatsPlan pass (plus rank selection for
+    high-cardinality columns)."""
     cols = columns or numeric_columns(df)
-    method = quantiles or default_quantile_method(df.sparkSession)
     base = df
     if null_policy == "listwise" and cols:
         cond = None
         for c in cols:
             cond = col_of(c).isNotNull() if cond is None else cond & col_of(c).isNotNull()
         base = df.where(cond)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = col_of(c).cast("double")
-        aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.avg(x).alias(f"mean{i}"),
-                 F.stddev_samp(x).alias(f"std{i}"), F.var_pop(x).alias(f"var{i}"),
-                 F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}"), F.count(x).alias(f"n{i}")]
-        if method == "approx":
-            q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1_000_000)
-            aggs += [q[0].alias(f"q1{i}"), q[1].alias(f"med{i}"), q[2].alias(f"q3{i}")]
-        else:
-            for p, name in ((0.25, "q1"), (0.5, "med"), (0.75, "q3")):
-                aggs.append(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST(`{c}` AS DOUBLE))")
-                            .alias(f"{name}{i}"))
-    one = base.agg(*aggs)
-    z = lambda e: F.coalesce(e.cast("double"), F.lit(0.0))
-    structs = []
-    for i, c in enumerate(cols):
-        n = F.col(f"n{i}").cast("double")
-        adj = F.when(n > 2, F.col(f"sk{i}") * F.sqrt(n * (n - 1)) / (n - 2))
-        structs.append(F.struct(
-            F.lit(c).alias("column_name"), z(F.col(f"min{i}")).alias("min"), z(F.col(f"max{i}")).alias("max"),
-            z(F.col(f"mean{i}")).alias("mean"), z(F.col(f"med{i}")).alias("median"),
-            z(F.col(f"std{i}")).alias("std"), z(F.col(f"var{i}")).alias("variance"),
-            z(F.col(f"q1{i}")).alias("q1"), z(F.col(f"q3{i}")).alias("q3"),
-            (z(F.col(f"q3{i}")) - z(F.col(f"q1{i}"))).alias("iqr"),
-            z(adj).alias("skewness"), z(F.col(f"ku{i}")).alias("kurtosis")))
-    return one.select(F.inline(F.array(*structs)))
+    plan = StatsPlan(quantile_method=quantiles)
+    for c in cols:
+        for k in ("min", "max", "avg", "stddev", "var_pop", "skew", "kurt", "count"):
+            plan.need(k, c)
+        for p in (0.25, 0.5, 0.75):
+            plan.need_qdisc(c, p)
+    st = plan.fit(base)
+
+    def z(v):
+        return 0.0 if v is None or (isinstance(v, float) and math.isnan(v)) else float(v)
+    rows = []
+    for c in cols:
+        n, sk = st[("count", c)], st[("skew", c)]
+        adj = sk * math.sqrt(n * (n - 1)) / (n - 2) if (sk is not None and n and n > 2) else None
+        q1, med, q3 = (st[("qd", c, p)] for p in (0.25, 0.5, 0.75))
+        rows.append((c, z(st[("min", c)]), z(st[("max", c)]), z(st[("avg", c)]), z(med), z(st[("stddev", c)]),
+                     z(st[("var_pop", c)]), z(q1), z(q3), z(q3) - z(q1), z(adj), z(st[("kurt", c)])))
+    return df.sparkSession.createDataFrame(rows, "column_name string, min double, max double, mean double, "
+                                                 "median double, std double, variance double, q1 double, q3 double, "
+                                                 "iqr double, skewness double, kurtosis double")
 
 
 # ---------------------------------------------------------------------------

@@ -527,7 +527,7 @@ SELECT column_name, round(q1, 6) AS q1, round(q3, 6) AS q3, round(lo, 6) AS lowe
   'IQR' AS method
 FROM t WHERE cnt > 0""")
 def q_iqr_outliers(spark, sf):
-    out = P.iqr_outliers(read_table(spark, sf, "events"), _IQR_COLS, quantiles="exact")
+    out = P.iqr_outliers(read_table(spark, sf, "events"), _IQR_COLS)
     return _round_cols(out, ["q1", "q3", "lower", "upper"])
 
 
@@ -550,7 +550,7 @@ WITH {LI_NULLS}, f AS (SELECT * FROM li WHERE {' AND '.join(f'{c} IS NOT NULL' f
   round(quantile_disc({c}, 0.75) - quantile_disc({c}, 0.25), 6) AS iqr, round(coalesce(skewness({c}), 0), 6) AS skewness,
   round(coalesce(kurtosis_pop({c}), 0), 6) AS kurtosis FROM f""" for c in LI_NUM]))
 def q_uni_numeric(spark, sf):
-    out = P.univariate_numeric(lineitem_nulls(spark, sf), LI_NUM, quantiles="exact")
+    out = P.univariate_numeric(lineitem_nulls(spark, sf), LI_NUM)
     return _round_cols(out, _UNI_STATS)
 
 

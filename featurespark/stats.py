@@ -3,13 +3,15 @@ them in ONE aggregate over the input (partial + final aggregation, no
 single-partition window over data rows), and hand the one-row result back as
 literals.
 
-Quantiles:
-  * ``exact``  – ``percentile`` (interpolated, = percentile_cont) or
-    ``percentile_disc``. All probabilities of one column share one call.
-  * ``approx`` – ``percentile_approx`` with a configurable accuracy; the
-    mode for near-unique columns at very large scale, where the exact
-    aggregate's value→count map would grow with the data.
-The default comes from the session conf ``featurespark.quantiles``.
+Quantiles (session conf ``featurespark.quantiles``, default ``auto``):
+  * ``exact``       – ``percentile`` (interpolated, = percentile_cont) /
+    ``percentile_disc`` inside the one aggregate.  Its value→count map is
+    merged in one task, so it suits columns with few distinct values.
+  * ``distributed`` – exact rank selection (operators.quantiles): bounded
+    memory per task whatever the cardinality.
+  * ``auto``        – the aggregate also estimates each quantile column's
+    distinct count; ≤ AUTO_MAX_MAP_VALUES → ``exact``, else ``distributed``.
+  * ``approx``      – ``percentile_approx`` with a configurable accuracy.
 
 Mode is computed separately as a distributed ``groupBy(x).count()`` followed by
 a constant-state ``min_by`` so no value map is held in one task.
@@ -26,8 +28,13 @@ from pyspark.sql import functions as F
 from .functions.columns import col_of
 
 
+# Above this estimated number of distinct values a column's exact quantiles use
+# rank selection instead of Spark's single-task value map.
+AUTO_MAX_MAP_VALUES = 100_000
+
+
 def default_quantile_method(spark) -> str:
-    return spark.conf.get("featurespark.quantiles", "exact")
+    return spark.conf.get("featurespark.quantiles", "auto")
 
 
 @dataclass
@@ -91,75 +98,81 @@ class StatsPlan:
         return not (self._simple or self._quant or self._quant_disc or self._modes or self._rows)
 
     # -- execution ----------------------------------------------------------
-    def aggregates(self, method: str) -> list[tuple[tuple, Column, list | None]]:
-        out = []
-        for key, expr in self._simple.items():
-            out.append((key, expr, None))
-        if self._rows:
-            out.append((("rows", None), F.count(F.lit(1)), None))
-        for col, ps in self._quant.items():
-            ps = sorted(ps)
-            x = col_of(col).cast("double")
-            arr = F.array(*[F.lit(p) for p in ps])
-            if method == "approx":
-                expr = F.percentile_approx(x, arr, self.accuracy)
-            else:
-                expr = F.percentile(x, arr)
-            out.append((("qarr", col), expr, [("q", col, p) for p in ps]))
-        for col, ps in self._quant_disc.items():
-            ps = sorted(ps)
-            x = col_of(col).cast("double")
-            if method == "approx":
-                expr = F.percentile_approx(x, F.array(*[F.lit(p) for p in ps]), self.accuracy)
-            else:
-                parts = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `__qd`)") for p in ps]
-                expr = None
-                out.append((("qdisc", col), parts, [("qd", col, p) for p in ps]))
-                continue
-            out.append((("qdarr", col), expr, [("qd", col, p) for p in ps]))
-        return out
-
     def fit(self, df: DataFrame) -> Stats:
         method = self.quantile_method or default_quantile_method(df.sparkSession)
         stats = Stats()
-        aggs = self.aggregates(method)
+        qcols = sorted(set(self._quant) | set(self._quant_disc))
+        # quantiles inside the single aggregate only for 'exact' / 'approx';
+        # 'auto' and 'distributed' first learn counts (and cardinality)
+        inline_q = method in ("exact", "approx")
         select_exprs, layout = [], []
-        # percentile_disc needs its input under a fixed alias; give each such
-        # column its own projected copy.
-        disc_cols = [k[1] for k, _, _ in aggs if k[0] == "qdisc"]
-        base = df
-        disc_alias = {}
-        for i, c in enumerate(disc_cols):
-            alias = f"__qd{i}"
-            disc_alias[c] = alias
-            base = base.withColumn(alias, col_of(c).cast("double"))
-        for i, (key, expr, sub) in enumerate(aggs):
-            if key[0] == "qdisc":
-                alias = disc_alias[key[1]]
-                for j, p in enumerate(sorted(self._quant_disc[key[1]])):
-                    name = f"s{i}_{j}"
-                    select_exprs.append(
-                        F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{alias}`)").alias(name))
-                    layout.append((name, ("qd", key[1], p), None))
-                continue
-            name = f"s{i}"
-            select_exprs.append(expr.alias(name))
-            layout.append((name, key, sub))
-        if select_exprs:
-            row = base.agg(*select_exprs).collect()[0]
-            for name, key, sub in layout:
-                val = row[name]
-                if sub is None:
-                    stats.values[key] = val
-                else:
-                    vals = list(val) if val is not None else [None] * len(sub)
-                    for k, v in zip(sub, vals):
-                        stats.values[k] = v
+        for i, (key, expr) in enumerate(self._simple.items()):
+            select_exprs.append(expr.alias(f"s{i}"))
+            layout.append((f"s{i}", key, None))
+        if self._rows:
+            select_exprs.append(F.count(F.lit(1)).alias("rows"))
+            layout.append(("rows", ("rows", None), None))
+        for j, col in enumerate(qcols):
+            x = col_of(col).cast("double")
+            if inline_q:
+                for kind, ps in (("q", sorted(self._quant.get(col, ()))), ("qd", sorted(self._quant_disc.get(col, ())))):
+                    if not ps:
+                        continue
+                    name = f"{kind}{j}"
+                    if method == "approx":
+                        expr = F.percentile_approx(x, F.array(*[F.lit(p) for p in ps]), self.accuracy)
+                        select_exprs.append(expr.alias(name))
+                        layout.append((name, None, [(kind, col, p) for p in ps]))
+                    elif kind == "q":
+                        select_exprs.append(F.percentile(x, F.array(*[F.lit(p) for p in ps])).alias(name))
+                        layout.append((name, None, [(kind, col, p) for p in ps]))
+                    else:
+                        for k, p in enumerate(ps):
+                            nm = f"{name}_{k}"
+                            select_exprs.append(F.expr(
+                                f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST({_quoted(col)} AS DOUBLE))").alias(nm))
+                            layout.append((nm, ("qd", col, p), None))
+            else:
+                select_exprs.append(F.count(F.when(~F.isnan(x), 1)).alias(f"qn{j}"))
+                select_exprs.append(F.approx_count_distinct(x, 0.05).alias(f"qv{j}"))
+        row = df.agg(*select_exprs).collect()[0] if select_exprs else None
+        for name, key, sub in layout:
+            val = row[name]
+            if sub is None:
+                stats.values[key] = val
+            else:
+                vals = list(val) if val is not None else [None] * len(sub)
+                for k, v in zip(sub, vals):
+                    stats.values[k] = v
+        if qcols and not inline_q:
+            counts = {c: row[f"qn{j}"] for j, c in enumerate(qcols)}
+            ndv = {c: row[f"qv{j}"] for j, c in enumerate(qcols)}
+            small = [c for c in qcols if method == "auto" and (ndv[c] or 0) <= AUTO_MAX_MAP_VALUES]
+            large = [c for c in qcols if c not in small]
+            if small:
+                sub = StatsPlan("exact")
+                for c in small:
+                    for p in self._quant.get(c, ()):
+                        sub.need_q(c, p)
+                    for p in self._quant_disc.get(c, ()):
+                        sub.need_qdisc(c, p)
+                stats.values.update(sub.fit(df).values)
+            if large:
+                from .operators.quantiles import exact_quantiles
+                reqs = [("cont", c, p) for c in large for p in self._quant.get(c, ())]
+                reqs += [("disc", c, p) for c in large for p in self._quant_disc.get(c, ())]
+                got = exact_quantiles(df, reqs, {c: counts[c] for c in large})
+                for (kind, c, p), v in got.items():
+                    stats.values[("q" if kind == "cont" else "qd", c, p)] = v
         for col in sorted(self._modes):
             stats.values[("mode", col)] = mode_of(df, col)
         return stats
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mode_of(df: DataFrame, col: str):
     """Most frequent non-NULL value, smallest value on ties (None if all NULL).
 

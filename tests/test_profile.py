@@ -73,3 +73,28 @@ def test_profile_composes(customers):
     rep = P.profile(customers, target="category")
     assert {"overview", "missing_values", "chi2", "box_stats", "feature_types"} <= set(rep)
     assert rep["overview"].first()["rows"] == 8
+
+
+def test_distributed_quantiles_match_duckdb(spark):
+    import duckdb
+    from featurespark.operators.quantiles import exact_quantiles
+    from tests.conftest import SF01
+    df = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    reqs = [(k, c, p) for c in ("l_extendedprice", "l_quantity", "l_discount")
+            for k in ("cont", "disc") for p in (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)]
+    got = exact_quantiles(df, reqs, rows_per_bucket=3000)
+    for k, c, p in reqs:
+        fn = "quantile_cont" if k == "cont" else "quantile_disc"
+        ref = duckdb.sql(f"SELECT {fn}({c}, {p}) FROM '{SF01}/lineitem.parquet'").fetchall()[0][0]
+        assert got[(k, c, p)] == pytest.approx(ref, rel=1e-12, abs=1e-9), (k, c, p)
+
+
+def test_univariate_numeric_distributed_equals_exact(spark):
+    from tests.conftest import SF01
+    df = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    a = {r["column_name"]: r for r in P.univariate_numeric(df, ["l_extendedprice", "l_tax"], quantiles="exact").collect()}
+    b = {r["column_name"]: r for r in P.univariate_numeric(df, ["l_extendedprice", "l_tax"],
+                                                           quantiles="distributed").collect()}
+    for c in a:
+        for k in ("median", "q1", "q3", "iqr"):
+            assert a[c][k] == pytest.approx(b[c][k])
