@@ -72,7 +72,7 @@ def exact_quantiles(df: DataFrame, requests: list[tuple[str, str, float]], count
     """{(kind, column, p): value} for kind in {'cont', 'disc'} (NULL/NaN ignored)."""
     cols = sorted({c for _, c, _ in requests})
     if counts is None:
-        row = df.agg(*[F.count(F.when(~F.isnan(col_of(c).cast("double")), 1)).alias(f"n{i}")
+        row = df.agg(*[F.count(F.when(~F.isnan(col_of(c).cast("double")), col_of(c))).alias(f"n{i}")
                        for i, c in enumerate(cols)]).collect()[0]
         counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     par = df.sparkSession.sparkContext.defaultParallelism

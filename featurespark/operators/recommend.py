@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import cardinality, feature_types, iqr_outliers, missing_report, numeric_columns, univariate_numeric
+from .profile import numeric_columns
 
 
 def recommendations(df: DataFrame, target: str | None = None, quantiles: str | None = None,
@@ -23,18 +23,7 @@ def recommendations(df: DataFrame, target: str | None = None, quantiles: str | N
     standardization; categorical → one-hot (≤ one_hot_max values),
     frequency (≤ freq_max) or hash encoding; dates → date parts; id-like or
     constant columns → drop."""
-    spark = df.sparkSession
-    nums = [c for c in numeric_columns(df) if c != target]
-    miss = missing_report(df)
-    card = cardinality(df)
-    types = feature_types(df, card)
-    uni = (univariate_numeric(df, nums, null_policy="per_column", quantiles=quantiles)
-           .select("column_name", "min", "skewness") if nums else
-           spark.createDataFrame([], "column_name string, min double, skewness double"))
-    outl = (iqr_outliers(df, nums, quantiles, keep_zero=True).select("column_name", "outlier_count") if nums else
-            spark.createDataFrame([], "column_name string, outlier_count bigint"))
-    info = (types.join(miss, "column_name").join(card, "column_name")
-            .join(uni, "column_name", "left").join(outl, "column_name", "left"))
+    info = column_summary(df, quantiles)
     if target:
         info = info.where(F.col("column_name") != target)
     c = F.col
@@ -62,13 +51,76 @@ def recommendations(df: DataFrame, target: str | None = None, quantiles: str | N
          F.lit("hash_encoding"), F.format_string("%d categories", c("n_unique"))),
         (t == "datetime", "create", F.lit("extract_date_parts"), F.lit("calendar parts")),
     ]
-    out = None
-    for cond, cat, tech, reason in rules:
-        part = info.where(cond).select("column_name", F.lit(cat).alias("category"),
-                                       (tech if not isinstance(tech, str) else F.lit(tech)).alias("technique"),
-                                       reason.alias("reason"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # every rule is one optional struct; one pass over the per-column table
+    hits = F.array(*[F.when(cond, F.struct(F.lit(cat).alias("category"),
+                                           (tech if not isinstance(tech, str) else F.lit(tech)).alias("technique"),
+                                           reason.alias("reason")))
+                     for cond, cat, tech, reason in rules])
+    return (info.select("column_name", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+            .select("column_name", "h.category", "h.technique", "h.reason"))
+
+
+def column_summary(df: DataFrame, quantiles: str | None = None, text_min_avg_len: int = 50,
+                   high_share: float = 0.5) -> DataFrame:
+    """One row per column: feature_type, missing_count / pct, n_unique, id_like,
+    and for numeric columns min, skewness, q1, q3, outlier_count.
+
+    Two passes in total: the StatsPlan (moments + quartiles) for the numeric
+    columns, then ONE aggregate for NULL counts, exact distinct counts, text
+    lengths and IQR outlier counts with the fitted bounds as literals."""
+    from ..functions.columns import col_of, is_numeric, is_temporal
+    from ..stats import StatsPlan
+    from pyspark.sql import types as T
+    import math
+    spark = df.sparkSession
+    nums = numeric_columns(df)
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    plan = StatsPlan(quantile_method=quantiles)
+    for c in nums:
+        for k in ("min", "skew", "count"):
+            plan.need(k, c)
+        plan.need_qdisc(c, 0.25), plan.need_qdisc(c, 0.75)
+    st = plan.fit(df) if nums else None
+    bounds = {}
+    for c in nums:
+        q1, q3 = st[("qd", c, 0.25)], st[("qd", c, 0.75)]
+        if q1 is not None:
+            bounds[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i, c in enumerate(df.columns):
+        aggs += [F.count_if(col_of(c).isNull()).alias(f"m{i}"), F.count_distinct(col_of(c)).alias(f"d{i}")]
+        if c in strings:
+            aggs.append(F.avg(F.char_length(col_of(c))).alias(f"l{i}"))
+        if c in bounds:
+            lo, hi = bounds[c]
+            x = col_of(c).cast("double")
+            aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"o{i}"))
+    row = df.agg(*aggs).collect()[0]
+    n = row["__n"]
+    rows = []
+    for i, f in enumerate(df.schema.fields):
+        c, dt = f.name, f.dataType
+        nu = row[f"d{i}"]
+        if isinstance(dt, T.BooleanType):
+            kind = "boolean"
+        elif is_numeric(dt):
+            kind = "numerical"
+        elif is_temporal(dt):
+            kind = "datetime"
+        elif c in strings:
+            kind = ("text" if (row[f"l{i}"] or 0) >= text_min_avg_len
+                    else "high_cardinality" if nu > high_share * n else "categorical")
+        else:
+            kind = "other"
+        m = row[f"m{i}"]
+        sk, cnt = (st[("skew", c)], st[("count", c)]) if c in nums else (None, None)
+        adj = sk * math.sqrt(cnt * (cnt - 1)) / (cnt - 2) if (sk is not None and cnt and cnt > 2) else None
+        rows.append((c, kind, int(m), round(100.0 * m / n, 2) if n else 0.0, int(nu), nu == n,
+                     float(st[("min", c)]) if c in nums and st[("min", c)] is not None else None, adj,
+                     int(row[f"o{i}"]) if c in bounds else None))
+    return spark.createDataFrame(rows, "column_name string, feature_type string, missing_count bigint, "
+                                       "missing_pct double, n_unique bigint, id_like boolean, min double, "
+                                       "skewness double, outlier_count bigint")
 
 
 def recommendations_to_specs(rec: DataFrame) -> list[dict]:
@@ -82,12 +134,9 @@ def column_report(df: DataFrame, rec: DataFrame | None = None, leakage: DataFram
     """one row per column with eda / fe / leakage / transform details
     (full outer joins on column_name of small per-column tables)."""
     spark = df.sparkSession
-    miss = missing_report(df)
-    card = cardinality(df).select("column_name", "n_unique")
-    types = feature_types(df, None)
-    eda = (types.join(miss, "column_name").join(card, "column_name")
-           .select("column_name", F.format_string("%s, %.2f%% missing, %d distinct", "feature_type", "missing_pct",
-                                                  "n_unique").alias("eda_details")))
+    eda = column_summary(df).select(
+        "column_name", F.format_string("%s, %.2f%% missing, %d distinct", "feature_type", "missing_pct",
+                                       "n_unique").alias("eda_details"))
     out = eda
     if rec is not None:
         fe = rec.groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_list("technique")), ", ")

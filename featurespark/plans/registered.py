@@ -617,22 +617,22 @@ SELECT column_name, round(chi2, 6) AS chi2, round(cv, 6) AS cramers_v{pos} FROM
 
 
 _CHI_LONG = _union(["SELECT 'o_orderpriority' AS column_name, o_orderpriority AS value, o_orderstatus AS t FROM o",
-                    "SELECT 'o_clerkish' AS column_name, substr(o_orderpriority, 1, 1) AS value, o_orderstatus AS t FROM o"])
+                    "SELECT 'o_year' AS column_name, CAST(year(o_orderdate) AS VARCHAR) AS value, o_orderstatus AS t FROM o"])
 
 
 def _orders_chi(spark, sf):
-    return orders_nulls(spark, sf).withColumn("o_clerkish", F.substring("o_orderpriority", 1, 1))
+    return orders_nulls(spark, sf).withColumn("o_year", F.year("o_orderdate").cast("string"))
 
 
 @register("chi2_scores", _chi2_sql(_CHI_LONG, O_NULLS + ", "))
 def q_chi2_scores(spark, sf):
-    out = P.chi2_scores(_orders_chi(spark, sf), "o_orderstatus", ["o_orderpriority", "o_clerkish"])
+    out = P.chi2_scores(_orders_chi(spark, sf), "o_orderstatus", ["o_orderpriority", "o_year"])
     return _round_cols(out, ["chi2", "cramers_v"])
 
 
 @register("chi2_ranking", _chi2_sql(_CHI_LONG, O_NULLS + ", ", with_position=True))
 def q_chi2_ranking(spark, sf):
-    out = P.chi2_ranking(_orders_chi(spark, sf), "o_orderstatus", ["o_orderpriority", "o_clerkish"])
+    out = P.chi2_ranking(_orders_chi(spark, sf), "o_orderstatus", ["o_orderpriority", "o_year"])
     return _round_cols(out, ["chi2", "cramers_v"])
 
 

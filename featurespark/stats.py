@@ -9,8 +9,8 @@ Quantiles (session conf ``featurespark.quantiles``, default ``auto``):
     merged in one task, so it suits columns with few distinct values.
   * ``distributed`` – exact rank selection (operators.quantiles): bounded
     memory per task whatever the cardinality.
-  * ``auto``        – the aggregate also estimates each quantile column's
-    distinct count; ≤ AUTO_MAX_MAP_VALUES → ``exact``, else ``distributed``.
+  * ``auto``        – ``exact`` when Catalyst's size estimate of the input is
+    ≤ AUTO_INLINE_BYTES, else ``distributed``.
   * ``approx``      – ``percentile_approx`` with a configurable accuracy.
 
 Mode is computed separately as a distributed ``groupBy(x).count()`` followed by
@@ -28,9 +28,18 @@ from pyspark.sql import functions as F
 from .functions.columns import col_of
 
 
-# Above this estimated number of distinct values a column's exact quantiles use
-# rank selection instead of Spark's single-task value map.
-AUTO_MAX_MAP_VALUES = 100_000
+# 'auto': inputs whose optimizer size estimate is at most this many bytes get
+# exact quantiles inside the single aggregate (one pass); larger inputs use
+# rank selection, whose memory per task does not grow with the data.
+AUTO_INLINE_BYTES = 8 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the (optimized) plan — no job is run."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:       # no estimate: assume large
+        return 1 << 62
 
 
 def default_quantile_method(spark) -> str:
@@ -100,10 +109,12 @@ class StatsPlan:
     # -- execution ----------------------------------------------------------
     def fit(self, df: DataFrame) -> Stats:
         method = self.quantile_method or default_quantile_method(df.sparkSession)
+        if method == "auto" and (self._quant or self._quant_disc):
+            method = "exact" if estimated_bytes(df) <= AUTO_INLINE_BYTES else "distributed"
         stats = Stats()
         qcols = sorted(set(self._quant) | set(self._quant_disc))
-        # quantiles inside the single aggregate only for 'exact' / 'approx';
-        # 'auto' and 'distributed' first learn counts (and cardinality)
+        # quantiles inside the single aggregate for 'exact' / 'approx';
+        # 'distributed' first learns the counts, then selects ranks
         inline_q = method in ("exact", "approx")
         select_exprs, layout = [], []
         for i, (key, expr) in enumerate(self._simple.items()):
@@ -133,8 +144,7 @@ class StatsPlan:
                                 f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST({_quoted(col)} AS DOUBLE))").alias(nm))
                             layout.append((nm, ("qd", col, p), None))
             else:
-                select_exprs.append(F.count(F.when(~F.isnan(x), 1)).alias(f"qn{j}"))
-                select_exprs.append(F.approx_count_distinct(x, 0.05).alias(f"qv{j}"))
+                select_exprs.append(F.count(F.when(~F.isnan(x), x)).alias(f"qn{j}"))
         row = df.agg(*select_exprs).collect()[0] if select_exprs else None
         for name, key, sub in layout:
             val = row[name]
@@ -146,17 +156,7 @@ class StatsPlan:
                     stats.values[k] = v
         if qcols and not inline_q:
             counts = {c: row[f"qn{j}"] for j, c in enumerate(qcols)}
-            ndv = {c: row[f"qv{j}"] for j, c in enumerate(qcols)}
-            small = [c for c in qcols if method == "auto" and (ndv[c] or 0) <= AUTO_MAX_MAP_VALUES]
-            large = [c for c in qcols if c not in small]
-            if small:
-                sub = StatsPlan("exact")
-                for c in small:
-                    for p in self._quant.get(c, ()):
-                        sub.need_q(c, p)
-                    for p in self._quant_disc.get(c, ()):
-                        sub.need_qdisc(c, p)
-                stats.values.update(sub.fit(df).values)
+            large = qcols
             if large:
                 from .operators.quantiles import exact_quantiles
                 reqs = [("cont", c, p) for c in large for p in self._quant.get(c, ())]
