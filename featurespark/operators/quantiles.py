@@ -41,18 +41,34 @@ def _bucket(x: Column, cuts: list[float]) -> Column:
     return below * 2 + F.when(is_cut, 1).otherwise(0)
 
 
-def _cuts(df: DataFrame, col: str, n: int, nb: int, seed: int = 13) -> list[float]:
-    if nb <= 1 or n == 0:
-        return []
-    frac = min(1.0, nb * rank.SAMPLE_PER_BUCKET / n)
-    vals = sorted(r[0] for r in df.select(col_of(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-                  .sample(False, frac, seed).collect())
-    cuts = []
-    for i in range(1, nb):
-        v = vals[min(len(vals) - 1, (i * len(vals)) // nb)] if vals else None
-        if v is not None and (not cuts or v > cuts[-1]):
-            cuts.append(v)
-    return cuts
+def _all_cuts(df: DataFrame, cols: list[str], counts: dict[str, int], buckets: dict[str, int],
+              seed: int = 13) -> dict[str, list[float]]:
+    """Sorted distinct cut values per column from ONE sampling job.  Each column
+    keeps its non-NULL values with its own probability (≈ 40 per bucket), so the
+    sample size is bounded by Σ buckets·40 whatever the row count."""
+    frac = {c: min(1.0, buckets[c] * rank.SAMPLE_PER_BUCKET / counts[c]) if counts[c] and buckets[c] > 1 else 0.0
+            for c in cols}
+    active = [c for c in cols if frac[c] > 0]
+    vals = {c: [] for c in cols}
+    if active:
+        arr = F.array(*[F.struct(F.lit(c).alias("c"), col_of(c).cast("double").alias("x"),
+                                 (F.rand(seed + i) < F.lit(frac[c])).alias("keep")) for i, c in enumerate(active)])
+        picked = (df.select(F.inline(arr)).where(F.col("keep") & F.col("x").isNotNull() & ~F.isnan("x"))
+                  .select("c", "x").collect())
+        for r in picked:
+            vals[r["c"]].append(r["x"])
+    out = {}
+    for c in cols:
+        v = sorted(vals[c])
+        cuts = []
+        for i in range(1, buckets[c]):
+            if not v:
+                break
+            x = v[min(len(v) - 1, (i * len(v)) // buckets[c])]
+            if not cuts or x > cuts[-1]:
+                cuts.append(x)
+        out[c] = cuts
+    return out
 
 
 def target_ranks(kind: str, p: float, n: int) -> list[tuple[int, float]]:
@@ -76,7 +92,8 @@ def exact_quantiles(df: DataFrame, requests: list[tuple[str, str, float]], count
                        for i, c in enumerate(cols)]).collect()[0]
         counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     par = df.sparkSession.sparkContext.defaultParallelism
-    cuts = {c: _cuts(df, c, counts[c], rank.n_buckets_for(counts[c], rows_per_bucket, par)) for c in cols}
+    buckets = {c: rank.n_buckets_for(counts[c], rows_per_bucket, par) for c in cols}
+    cuts = _all_cuts(df, cols, counts, buckets)
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("c"), col_of(c).cast("double").alias("x"),
                  _bucket(col_of(c).cast("double"), cuts[c]).alias("b")) for c in cols])))
