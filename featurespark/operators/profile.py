@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_text, btrim_ws, col_of, is_numeric, is_temporal
-from ..stats import StatsPlan, default_quantile_method
+from ..stats import AUTO_INLINE_BYTES, StatsPlan, default_quantile_method, estimated_bytes
+from .quantiles import grouped_quantiles
 from . import contingency
 
 TOPK_SALT = 64
@@ -450,10 +451,21 @@ def box_stats(df: DataFrame, class_col: str, columns: list[str] | None = None, q
     long = (unpivot_values(df, cols, lambda c: col_of(c).cast("double"), [cls.alias("class")])
             .where(F.col("value").isNotNull() & F.col("class").isNotNull()))
     ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    qexpr = F.percentile_approx("value", ps, accuracy) if method == "approx" else F.percentile("value", ps)
-    quart = long.groupBy("column_name", "class").agg(qexpr.alias("q"))
-    quart = quart.select("column_name", "class", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                         F.col("q")[2].alias("q3"))
+    if method == "auto":
+        method = "exact" if estimated_bytes(df) <= AUTO_INLINE_BYTES else "distributed"
+    if method == "distributed":
+        # exact, bounded per task: rank selection per (column, class)
+        keyed = long.select(F.concat_ws("\u0001", "column_name", "class").alias("__k"), "value")
+        got = grouped_quantiles(keyed, "__k", "value", [("cont", 0.25), ("cont", 0.5), ("cont", 0.75)])
+        rows = sorted({k for k, _, _ in got})
+        quart = df.sparkSession.createDataFrame(
+            [tuple(k.split("\u0001", 1)) + (got[(k, "cont", 0.25)], got[(k, "cont", 0.5)], got[(k, "cont", 0.75)])
+             for k in rows], "column_name string, class string, q1 double, median double, q3 double")
+    else:
+        qexpr = F.percentile_approx("value", ps, accuracy) if method == "approx" else F.percentile("value", ps)
+        quart = long.groupBy("column_name", "class").agg(qexpr.alias("q"))
+        quart = quart.select("column_name", "class", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+                             F.col("q")[2].alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= lo) & (F.col("value") <= hi)

@@ -41,36 +41,6 @@ def _bucket(x: Column, cuts: list[float]) -> Column:
     return below * 2 + F.when(is_cut, 1).otherwise(0)
 
 
-def _all_cuts(df: DataFrame, cols: list[str], counts: dict[str, int], buckets: dict[str, int],
-              seed: int = 13) -> dict[str, list[float]]:
-    """Sorted distinct cut values per column from ONE sampling job.  Each column
-    keeps its non-NULL values with its own probability (≈ 40 per bucket), so the
-    sample size is bounded by Σ buckets·40 whatever the row count."""
-    frac = {c: min(1.0, buckets[c] * rank.SAMPLE_PER_BUCKET / counts[c]) if counts[c] and buckets[c] > 1 else 0.0
-            for c in cols}
-    active = [c for c in cols if frac[c] > 0]
-    vals = {c: [] for c in cols}
-    if active:
-        arr = F.array(*[F.struct(F.lit(c).alias("c"), col_of(c).cast("double").alias("x"),
-                                 (F.rand(seed + i) < F.lit(frac[c])).alias("keep")) for i, c in enumerate(active)])
-        picked = (df.select(F.inline(arr)).where(F.col("keep") & F.col("x").isNotNull() & ~F.isnan("x"))
-                  .select("c", "x").collect())
-        for r in picked:
-            vals[r["c"]].append(r["x"])
-    out = {}
-    for c in cols:
-        v = sorted(vals[c])
-        cuts = []
-        for i in range(1, buckets[c]):
-            if not v:
-                break
-            x = v[min(len(v) - 1, (i * len(v)) // buckets[c])]
-            if not cuts or x > cuts[-1]:
-                cuts.append(x)
-        out[c] = cuts
-    return out
-
-
 def target_ranks(kind: str, p: float, n: int) -> list[tuple[int, float]]:
     """[(1-based rank, weight)] whose weighted sum is the quantile."""
     if n == 0:
@@ -83,66 +53,91 @@ def target_ranks(kind: str, p: float, n: int) -> list[tuple[int, float]]:
     return [(r, 1.0)] if f == 0 or r >= n else [(r, 1.0 - f), (r + 1, f)]
 
 
-def exact_quantiles(df: DataFrame, requests: list[tuple[str, str, float]], counts: dict[str, int] | None = None,
-                    rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> dict:
-    """{(kind, column, p): value} for kind in {'cont', 'disc'} (NULL/NaN ignored)."""
-    cols = sorted({c for _, c, _ in requests})
-    if counts is None:
-        row = df.agg(*[F.count(F.when(~F.isnan(col_of(c).cast("double")), col_of(c))).alias(f"n{i}")
-                       for i, c in enumerate(cols)]).collect()[0]
-        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    par = df.sparkSession.sparkContext.defaultParallelism
-    buckets = {c: rank.n_buckets_for(counts[c], rows_per_bucket, par) for c in cols}
-    cuts = _all_cuts(df, cols, counts, buckets)
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("c"), col_of(c).cast("double").alias("x"),
-                 _bucket(col_of(c).cast("double"), cuts[c]).alias("b")) for c in cols])))
-    long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    bc = {(r["c"], r["b"]): r["k"] for r in long.groupBy("c", "b").agg(F.count(F.lit(1)).alias("k")).collect()}
-    # locate every needed rank
-    wanted = {}                                   # (c, rank) -> (bucket, local rank) or value
-    for kind, c, p in requests:
-        for r, _ in target_ranks(kind, p, counts[c]):
-            wanted[(c, r)] = None
-    for c in cols:
-        nb = 2 * len(cuts[c]) + 1
+def grouped_quantiles(long: DataFrame, key: str, value: str, requests: list[tuple[str, float]],
+                      rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET, seed: int = 13) -> dict:
+    """Exact quantiles of ``value`` per ``key`` (a string column with a bounded
+    number of distinct keys, e.g. column names or column × class):
+    {(key, kind, p): value}.  Jobs: counts per key, one sample, counts per
+    (key, bucket), one restricted ordering."""
+    spark = long.sparkSession
+    x = F.col(value).cast("double")
+    base = long.select(F.col(key).alias("k"), x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    counts = {r["k"]: r["n"] for r in base.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keys = sorted(counts)
+    if not keys:
+        return {}
+    par = spark.sparkContext.defaultParallelism
+    buckets = {k: rank.n_buckets_for(counts[k], rows_per_bucket, par) for k in keys}
+    frac = {k: min(1.0, buckets[k] * rank.SAMPLE_PER_BUCKET / counts[k]) if buckets[k] > 1 else 0.0 for k in keys}
+    fmap = F.create_map(*[v for k in keys for v in (F.lit(k), F.lit(frac[k]))])
+    vals = {k: [] for k in keys}
+    for r in base.where(F.rand(seed) < F.element_at(fmap, F.col("k"))).collect():
+        vals[r["k"]].append(r["x"])
+    cuts = {}
+    for k in keys:
+        v = sorted(vals[k])
+        cs = []
+        for i in range(1, buckets[k]):
+            if not v:
+                break
+            c = v[min(len(v) - 1, (i * len(v)) // buckets[k])]
+            if not cs or c > cs[-1]:
+                cs.append(c)
+        cuts[k] = cs
+    bexpr = None
+    for k in keys:
+        e = _bucket(F.col("x"), cuts[k])
+        bexpr = F.when(F.col("k") == k, e) if bexpr is None else bexpr.when(F.col("k") == k, e)
+    bucketed = base.withColumn("b", bexpr)
+    bc = {(r["k"], r["b"]): r["c"] for r in bucketed.groupBy("k", "b").agg(F.count(F.lit(1)).alias("c")).collect()}
+    wanted = {}
+    for k in keys:
+        nb = 2 * len(cuts[k]) + 1
         starts, acc = [], 0
         for b in range(nb):
             starts.append(acc)
-            acc += bc.get((c, b), 0)
-        for (cc, r) in list(wanted):
-            if cc != c:
-                continue
-            b = max(i for i in range(nb) if starts[i] < r)
-            wanted[(c, r)] = ("cut", cuts[c][(b - 1) // 2]) if b % 2 == 1 else ("sort", b, r - starts[b])
-    need = sorted({(c, v[1]) for (c, _), v in wanted.items() if v[0] == "sort"})
-    values = {k: v[1] for k, v in wanted.items() if v[0] == "cut"}
-    if need:
-        cond = None
-        for c, b in need:
-            t = (F.col("c") == c) & (F.col("b") == b)
-            cond = t if cond is None else cond | t
-        sel = long.where(cond)
-        w = Window.partitionBy("c", "b").orderBy("x")
-        picks = {(c, v[1], v[2]) for (c, _), v in wanted.items() if v[0] == "sort"}
+            acc += bc.get((k, b), 0)
+        for kind, p in requests:
+            for r, _ in target_ranks(kind, p, counts[k]):
+                b = max(i for i in range(nb) if starts[i] < r)
+                wanted[(k, r)] = ("cut", cuts[k][(b - 1) // 2]) if b % 2 == 1 else ("sort", b, r - starts[b])
+    values = {kr: v[1] for kr, v in wanted.items() if v[0] == "cut"}
+    picks = {(k, v[1], v[2]) for (k, _), v in wanted.items() if v[0] == "sort"}
+    if picks:
+        need = None
+        for k, b in {(k, b) for k, b, _ in picks}:
+            t = (F.col("k") == k) & (F.col("b") == b)
+            need = t if need is None else need | t
         pc = None
-        for c, b, lr in picks:
-            t = (F.col("c") == c) & (F.col("b") == b) & (F.col("rn") == lr)
+        for k, b, lr in picks:
+            t = (F.col("k") == k) & (F.col("b") == b) & (F.col("rn") == lr)
             pc = t if pc is None else pc | t
-        got = {(r["c"], r["b"], r["rn"]): r["x"] for r in
-               sel.withColumn("rn", F.row_number().over(w)).where(pc).select("c", "b", "rn", "x").collect()}
-        for (c, r), v in wanted.items():
+        w = Window.partitionBy("k", "b").orderBy("x")
+        got = {(r["k"], r["b"], r["rn"]): r["x"] for r in
+               bucketed.where(need).withColumn("rn", F.row_number().over(w)).where(pc).collect()}
+        for (k, r), v in wanted.items():
             if v[0] == "sort":
-                values[(c, r)] = got[(c, v[1], v[2])]
+                values[(k, r)] = got[(k, v[1], v[2])]
     out = {}
-    for kind, c, p in requests:
-        tr = target_ranks(kind, p, counts[c])
-        if not tr:
-            out[(kind, c, p)] = None
-        elif len(tr) == 1:
-            out[(kind, c, p)] = values[(c, tr[0][0])]
-        else:
-            (r1, _), (r2, f) = tr
-            v1, v2 = values[(c, r1)], values[(c, r2)]
-            out[(kind, c, p)] = v1 + f * (v2 - v1)
+    for k in keys:
+        for kind, p in requests:
+            tr = target_ranks(kind, p, counts[k])
+            if len(tr) == 1:
+                out[(k, kind, p)] = values[(k, tr[0][0])]
+            else:
+                (r1, _), (r2, f) = tr
+                v1, v2 = values[(k, r1)], values[(k, r2)]
+                out[(k, kind, p)] = v1 + f * (v2 - v1)
     return out
+
+
+def exact_quantiles(df: DataFrame, requests: list[tuple[str, str, float]], counts: dict[str, int] | None = None,
+                    rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> dict:
+    """{(kind, column, p): value} for kind in {'cont', 'disc'} (NULL/NaN ignored):
+    the columns are unpivoted to (column, value) and handled as groups."""
+    cols = sorted({c for _, c, _ in requests})
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("k"), col_of(c).cast("double").alias("x"))
+                                        for c in cols])))
+    per = sorted({(kind, p) for kind, _, p in requests})
+    got = grouped_quantiles(long, "k", "x", per, rows_per_bucket)
+    return {(kind, c, p): got.get((c, kind, p)) for kind, c, p in requests}

@@ -98,3 +98,16 @@ def test_univariate_numeric_distributed_equals_exact(spark):
     for c in a:
         for k in ("median", "q1", "q3", "iqr"):
             assert a[c][k] == pytest.approx(b[c][k])
+
+
+def test_box_stats_distributed_equals_exact(spark):
+    from tests.conftest import SF01
+    o = spark.read.parquet(f"{SF01}/orders.parquet")
+    a = {(r["column_name"], r["class"]): r for r in
+         P.box_stats(o, "o_orderstatus", ["o_totalprice", "o_custkey"], quantiles="exact").collect()}
+    b = {(r["column_name"], r["class"]): r for r in
+         P.box_stats(o, "o_orderstatus", ["o_totalprice", "o_custkey"], quantiles="distributed").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for f in ("q1", "median", "q3", "lower_whisker", "upper_whisker", "outlier_count", "count"):
+            assert a[k][f] == pytest.approx(b[k][f]), (k, f)
