@@ -217,6 +217,15 @@ def build_lookup(spec: S.Spec, fit_df: DataFrame, key: Column, key_dtype: T.Data
     raise ValueError(m)
 
 
+def build_lookup_key(spec: S.Spec, x: Column, dtype: T.DataType) -> Column:
+    """The join key a lookup of ``spec`` expects for input expression ``x``."""
+    if spec.method == "label_encoding":
+        return F.coalesce(as_text(x, dtype), F.lit(""))
+    if spec.method == "frequency_encoding":
+        return as_text(x, dtype)
+    return x
+
+
 def join_lookup(df: DataFrame, lookup: Lookup, out: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Left join of ``lookup`` onto ``df``; adds column ``out``."""
     k = f"__key{out}"
@@ -277,8 +286,7 @@ class FittedTransforms:
             if spec.method in LOOKUP_METHODS:
                 tmp = f"__lookup_{i}"
                 lk = self.lookups[i]
-                key = (F.coalesce(as_text(x, dtype), F.lit("")) if spec.method == "label_encoding"
-                       else as_text(x, dtype) if spec.method == "frequency_encoding" else x)
+                key = build_lookup_key(spec, x, dtype)
                 out = join_lookup(out, Lookup(key, lk.table, lk.ndv, lk.null_safe), tmp, self.max_broadcast_rows)
                 outputs.append((name, F.col(tmp)))
             elif spec.method == "binning":

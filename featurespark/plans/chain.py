@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .. import specs as S
 from ..functions.columns import as_text, clip, col_of, md5_bucket
 from ..operators import rank
-from ..operators.transforms import (LOOKUP_METHODS, MAX_BROADCAST_ROWS, build_lookup, dedupe_names,
+from ..operators.transforms import (LOOKUP_METHODS, MAX_BROADCAST_ROWS, build_lookup, build_lookup_key, dedupe_names,
                                     iqr_bounds, join_lookup, multi_output, scalar_expr, _lit_double, _f)
 from ..stats import Stats, StatsPlan
 
@@ -96,8 +96,10 @@ STRING_OUT = {"custom_binning", "lowercase", "uppercase", "trim"}
 class _Chain:
     """Running state while nesting one column's steps."""
 
-    def __init__(self, df: DataFrame, column: str, dtype: T.DataType):
+    def __init__(self, df: DataFrame, column: str, dtype: T.DataType, source: DataFrame):
         self.df = df
+        self.source = source          # the chain's input table
+        self.local = True             # expr is row-local on the input (no join / rank so far)
         self.column = column
         self.expr: Column = col_of(column)
         self.dtype = dtype
@@ -130,9 +132,14 @@ def _apply_step(ch: _Chain, spec: S.Spec, stats: Stats, idx: str, order_key, row
             ch.df = rank.global_ntile(ch.df, staged, int(spec.params["num_bins"]), key,
                                       stats[("rows", None)], out, rows_per_bucket)
         else:
-            lk = build_lookup(spec, ch.df, F.col(staged), ch.dtype, stats.get(("ndv", c)), rows_per_bucket)
+            # fit the lookup on the input table when the staged value is row-local,
+            # so its lineage does not re-run other columns' joins
+            fit_df, key = ((ch.source, ch.expr) if ch.local else (ch.df, F.col(staged)))
+            lk = build_lookup(spec, fit_df, key, ch.dtype, stats.get(("ndv", c)), rows_per_bucket)
+            lk.key = build_lookup_key(spec, F.col(staged), ch.dtype)
             ch.df = join_lookup(ch.df, lk, out, max_broadcast_rows)
         ch.expr = F.col(out)
+        ch.local = False
     else:
         ch.expr = scalar_expr(spec, ch.expr, ch.dtype, stats)
     if m in NUMERIC_OUT:
@@ -174,7 +181,7 @@ def build_chain(df: DataFrame, raw_specs: list[dict], target_column: str | None
         is_target = column == target_column
         if is_target and not include_target:
             continue
-        ch = _Chain(running, column, df.schema[column].dataType)
+        ch = _Chain(running, column, df.schema[column].dataType, df)
         for si, spec in enumerate(steps):
             _apply_step(ch, spec, stats, f"{ci}_{si}", order_key, rows_per_bucket, max_broadcast_rows)
         running = ch.df
