@@ -358,3 +358,38 @@ def bias_report(outcomes: DataFrame, di_high: float = 0.8, di_medium: float = 0.
                 .select(F.lit(None).cast("string").alias("feature"), F.lit("none").alias("bias_type"),
                         F.lit("low").alias("risk"), F.lit("no significant bias").alias("evidence")))
     return flagged.unionByName(none_row)
+
+
+# ---------------------------------------------------------------------------
+# the balancing service as one call
+# ---------------------------------------------------------------------------
+def balance_table(df: DataFrame, target: str, target_type: str = "categorical", rare_threshold: float = 0.05,
+                  keep_original: bool = False, seed: int = 42, q: int = 4, preview_rows: int = 100) -> dict:
+    """Pre-balance analysis (B1–B4), balancing (B5 + B6 or B8/B9), post-balance
+    report (B10) and a preview.  Returns named results; the balanced table is
+    the full DataFrame (the reference only returns its first 100 rows)."""
+    from .smoter import smoter
+    if target not in df.columns:
+        raise ValueError(f"Target column '{target}' not found in table")
+    if target_type == "categorical":
+        dist = class_distribution(df, target)
+    else:
+        edges = qcut_edges(df, target, q)
+        dist = with_total(qcut_distribution(df, target, q, edges).withColumnRenamed("bin", "class"), "count", "share")
+    pre = imbalance_summary(dist, rare_threshold)
+    info = {}
+    if keep_original:
+        balanced = df
+    else:
+        prepared = prepare_rows(df, target)
+        if target_type == "categorical":
+            balanced = random_oversample(prepared, target, seed=seed)
+        else:
+            balanced, info = smoter(prepared, target, seed=seed)
+    post = balance_report(balanced, target, target_type, q)
+    missing = [c for c in df.columns if c not in balanced.columns]
+    if missing:
+        raise ValueError(f"Balanced data missing columns: {missing}")
+    from .profile import preview
+    return {"pre_distribution": dist, "pre_summary": pre, "balanced": balanced, "post_summary": post,
+            "preview": preview(balanced, preview_rows), "smoter": info}

@@ -177,3 +177,60 @@ def latest_columns(spark: SparkSession, history_path: str, dataset: str, table:
                                                          (F.col("table_name") == table))
     newest = latest_by_key(eda, ["dataset", "table_name"], "created_at")
     return newest.select(F.posexplode("columns").alias("position", "column_name"))
+
+
+# ---------------------------------------------------------------------------
+# R7 writers: one typed record per run, built on Spark from the report frames
+# ---------------------------------------------------------------------------
+def sections_json(sections: dict[str, DataFrame]) -> DataFrame:
+    """One row with one JSON text per report section (each section is a small
+    per-column DataFrame, folded with to_json(collect_list(struct)) on Spark)."""
+    parts = [d.agg(F.to_json(F.collect_list(F.struct(*[col_of(c) for c in d.columns]))).alias("j"))
+             .select(F.lit(name).alias("section"), "j") for name, d in sections.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("section", "j")))).alias("payload"))
+
+
+def record_profile(history_path: str, dataset: str, table: str, df: DataFrame, report: dict[str, DataFrame],
+                   ts: _dt.datetime | None = None) -> str:
+    """R7 (EDA): analysis_id = dataset_table_utc, columns, counts and the sections."""
+    ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    analysis_id = f"{dataset}_{table}_{ts.strftime('%Y%m%d%H%M%S')}"
+    payload = sections_json({k: v for k, v in report.items() if k not in ("overview", "preview")})
+    row = report["overview"].withColumn("__one", F.lit(1)).join(payload.withColumn("__one", F.lit(1)), "__one")
+    rec = row.select(F.lit(analysis_id).alias("analysis_id"), F.lit(dataset).alias("dataset"),
+                     F.lit(table).alias("table_name"),
+                     F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
+                     F.col("rows").alias("rows_count"), F.col("columns").alias("columns_count"), "payload")
+    return append_run(history_path, "eda", rec, analysis_id, ts)
+
+
+def record_recommendations(history_path: str, dataset: str, table: str, rec: DataFrame,
+                           ts: _dt.datetime | None = None) -> str:
+    """R7 (FE): one row per recommended feature, all sharing the run id."""
+    rows = rec.select(F.lit(dataset).alias("dataset"), F.lit(table).alias("table_name"),
+                      F.col("column_name").alias("feature_name"), "technique", "reason")
+    return append_run(history_path, "fe", rows, ts=ts)
+
+
+def record_leakage(history_path: str, dataset: str, table: str, summary: DataFrame,
+                   ts: _dt.datetime | None = None) -> str:
+    """R7 (leakage): the L4 summary row, risk lists as JSON."""
+    rows = summary.select(F.lit(dataset).alias("dataset"), F.lit(table).alias("table_name"), "high_risk",
+                          "medium_risk", "low_risk",
+                          F.to_json(F.struct("high_risk_features", "medium_risk_features", "low_risk_features"))
+                          .alias("payload"))
+    return append_run(history_path, "leakage", rows, ts=ts)
+
+
+def record_transform(spark: SparkSession, history_path: str, dataset: str, table: str, specs: list[dict],
+                     target_table: str | None = None, status: str = "completed",
+                     ts: _dt.datetime | None = None) -> str:
+    """R7 (transform run): specs, target table (default ``<table>_transformed``), status."""
+    import json
+    target_table = target_table or f"{table}_transformed"
+    rows = spark.createDataFrame([(dataset, target_table, target_table, json.dumps(specs), status)],
+                                 "dataset string, table_name string, target_table string, specs string, status string")
+    return append_run(history_path, "transform", rows, ts=ts)

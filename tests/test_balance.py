@@ -61,3 +61,21 @@ def test_smoter_gate_refuses_symmetric(spark):
     df = spark.range(0, 100).select(F.col("id").cast("double").alias("y"))
     out, info = smoter(df, "y")
     assert not info["gate"]["apply"] and out.count() == 100
+
+
+def test_balance_table_flow(spark):
+    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    res = B.balance_table(labels, "quality")
+    assert res["post_summary"].first()["balance_status"] == "Balanced"
+    assert res["pre_summary"].first()["imbalance_ratio"] > 5
+    assert res["preview"].count() == 100
+    ev = spark.read.parquet(f"{SF01}/events.parquet").select("user_id", "value")
+    res = B.balance_table(ev, "value", target_type="continuous")
+    assert res["balanced"].count() >= ev.count() and res["smoter"]["gate"]["apply"]
+
+
+def test_shuffle_rows_keeps_rows(spark):
+    df = spark.range(0, 500)
+    out = B.shuffle_rows(df, seed=3)
+    assert sorted(r[0] for r in out.collect()) == list(range(500))
+    assert [r[0] for r in out.limit(5).collect()] != [0, 1, 2, 3, 4]

@@ -56,3 +56,26 @@ def test_io_roundtrip(spark):
     assert IO.keyed_lookup(IO.scan(spark, path), "a", 2).count() == 1
     s1 = IO.sample_scan(spark.range(0, 10000), 0.1).count()
     assert 800 < s1 < 1200 and s1 == IO.sample_scan(spark.range(0, 10000), 0.1).count()
+
+
+def test_records_and_apply_and_write(spark, customers):
+    from featurespark.operators import leakage as LK
+    from featurespark.operators import profile as P
+    from featurespark.operators import recommend as RC
+    from featurespark.plans.chain import apply_and_write
+    path = tempfile.mkdtemp(prefix="fs-rec-") + "/history"
+    rep = P.profile(customers, target="category")
+    H.record_profile(path, "ds", "customers", customers, rep, dt.datetime(2024, 5, 1))
+    rec = RC.recommendations(customers, target="category")
+    H.record_recommendations(path, "ds", "customers", rec, dt.datetime(2024, 5, 2))
+    lk = LK.leakage_summary(LK.leakage_report(customers, "income"))
+    H.record_leakage(path, "ds", "customers", lk, dt.datetime(2024, 5, 3))
+    out = tempfile.mkdtemp(prefix="fs-out-") + "/customers_transformed"
+    specs = [{"column_name": "age", "fe_method": "impute_mean"}, {"column_name": "age", "fe_method": "standardization"}]
+    res = apply_and_write(customers, specs, "category", out)
+    assert spark.read.parquet(out).count() == 8 and res.lineage[0]["output_column"] == "age_imputed_scaled"
+    H.record_transform(spark, path, "ds", "customers", specs, ts=dt.datetime(2024, 5, 4))
+    sections = {r["section"] for r in H.consolidated_report(spark, path, "ds", "customers").collect()}
+    assert sections == {"eda", "fe", "leakage", "transform"}
+    cols = [r["column_name"] for r in H.latest_columns(spark, path, "ds", "customers").orderBy("position").collect()]
+    assert cols == customers.columns
