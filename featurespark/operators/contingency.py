@@ -33,16 +33,18 @@ def crosstab_counts(df: DataFrame, features: list[str], target: str) -> DataFram
 
 
 def chi2_scores(df: DataFrame, features: list[str], target: str, correction: bool = True) -> DataFrame:
-    """(column_name, chi2, chi2_uncorrected, dof, n, cramers_v) per feature."""
+    """(column_name, chi2, chi2_uncorrected, dof, n, cramers_v, purity,
+    rows_per_value) per feature — one cross-tab, reused by every branch."""
     features = [c for c in features if c != target]
     cells = crosstab_counts(df, features, target)
-    rows = cells.groupBy("column_name", "value").agg(F.sum("n").alias("rn"))
+    rows = cells.groupBy("column_name", "value").agg(F.sum("n").alias("rn"), F.max("n").alias("rmax"))
     cols = cells.groupBy("column_name", "tvalue").agg(F.sum("n").alias("cn"))
     tot = cells.groupBy("column_name").agg(F.sum("n").alias("tot_n"))
-    shape = (rows.groupBy("column_name").agg(F.count(F.lit(1)).alias("r"))
+    shape = (rows.groupBy("column_name").agg(F.count(F.lit(1)).alias("r"),
+                                             (F.sum("rmax") / F.sum("rn")).alias("purity"))
              .join(cols.groupBy("column_name").agg(F.count(F.lit(1)).alias("c")), "column_name")
              .join(tot, "column_name"))
-    obs = (cells.join(rows, ["column_name", "value"]).join(cols, ["column_name", "tvalue"])
+    obs = (cells.join(rows.drop("rmax"), ["column_name", "value"]).join(cols, ["column_name", "tvalue"])
            .join(shape, "column_name")
            .withColumn("E", F.col("rn") * F.col("cn") / F.col("tot_n")))
     d = F.abs(F.col("n") - F.col("E"))
@@ -53,7 +55,7 @@ def chi2_scores(df: DataFrame, features: list[str], target: str, correction: boo
         F.count(F.lit(1)).alias("n_cells"))
     # zero cells of 2x2 tables (at most 4 cells each): enumerate from marginals
     two = shape.where((F.col("r") == 2) & (F.col("c") == 2)).select("column_name")
-    grid = (rows.join(two, "column_name").join(cols.join(two, "column_name"), "column_name")
+    grid = (rows.drop("rmax").join(two, "column_name").join(cols.join(two, "column_name"), "column_name")
             .join(tot, "column_name")
             .join(cells.select("column_name", "value", "tvalue"), ["column_name", "value", "tvalue"], "left_anti")
             .withColumn("E", F.col("rn") * F.col("cn") / F.col("tot_n")))
@@ -73,7 +75,8 @@ def chi2_scores(df: DataFrame, features: list[str], target: str, correction: boo
         F.when(F.col("dof") == 0, F.lit(0.0)).otherwise(F.col("chi2_raw")).alias("chi2_uncorrected"),
         F.col("dof").cast("bigint").alias("dof"),
         F.col("tot_n").cast("bigint").alias("n"),
-        F.when(k > 0, F.sqrt(F.col("chi2_raw") / (F.col("tot_n") * k))).otherwise(F.lit(0.0)).alias("cramers_v"))
+        F.when(k > 0, F.sqrt(F.col("chi2_raw") / (F.col("tot_n") * k))).otherwise(F.lit(0.0)).alias("cramers_v"),
+        "purity", (F.col("tot_n") / F.col("r")).alias("rows_per_value"))
 
 
 def chi2_with_missing(df: DataFrame, features: list[str], target: str, correction: bool = True) -> DataFrame:

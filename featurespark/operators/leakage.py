@@ -60,9 +60,8 @@ def leakage_report(df: DataFrame, target: str, features: list[str] | None = None
             edges = qcut_edges(df, target, 4)
             base = df.withColumn("__tbin", qcut_bin(col_of(target).cast("double"), edges))
             tcol = "__tbin"
-        pur = contingency.purity(base, other, tcol)
-        chi = contingency.chi2_scores(base, other, tcol, correction=False).select("column_name", "cramers_v")
-        j = pur.join(chi, "column_name", "left")
+        j = contingency.chi2_scores(base, other, tcol, correction=False).select(
+            "column_name", "cramers_v", "purity", "rows_per_value")
         high = (F.col("purity") >= purity_high) & (F.col("rows_per_value") >= min_rows_per_value)
         medium = F.coalesce(F.col("cramers_v"), F.lit(0.0)) >= v_medium
         parts.append(j.select(F.col("column_name").alias("feature"),
