@@ -16,6 +16,18 @@ def col_of(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def ntz_lit(value) -> Column:
+    """TIMESTAMP_NTZ literal from a naive datetime / date / text, independent of
+    the session time zone (a Python datetime literal would first be read as a
+    zoned timestamp)."""
+    import datetime as _dt
+    if isinstance(value, _dt.datetime):
+        value = value.replace(tzinfo=None).isoformat(sep=" ")
+    elif isinstance(value, _dt.date):
+        value = value.isoformat()
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 

@@ -28,6 +28,7 @@ from ..functions.columns import as_text, col_of, is_numeric
 from . import rank
 
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_CLASSES = 100_000          # class counts travel to the driver: checked bound
 
 
 def _class_text(df: DataFrame, target: str) -> Column:
@@ -156,7 +157,10 @@ def random_oversample(df: DataFrame, target: str, seed: int = 42,
     original rows kept; NULL-target rows dropped. Deterministic for a seed."""
     base = df.where(col_of(target).isNotNull())
     cls = _class_text(base, target)
-    counts = {r["c"]: r["n"] for r in base.groupBy(cls.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    per_class = base.groupBy(cls.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    if per_class.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes; balance it as a continuous target")
+    counts = {r["c"]: r["n"] for r in per_class.collect()}
     if not counts:
         return base
     mx = max(counts.values())

@@ -24,6 +24,7 @@ from .quantiles import grouped_quantiles
 from . import contingency
 
 TOPK_SALT = 64
+MAX_BOX_GROUPS = 100_000      # (column, class) groups handled by rank selection / broadcast
 
 
 # ---------------------------------------------------------------------------
@@ -453,6 +454,14 @@ def box_stats(df: DataFrame, class_col: str, columns: list[str] | None = None, q
     ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     if method == "auto":
         method = "exact" if estimated_bytes(df) <= AUTO_INLINE_BYTES else "distributed"
+    n_groups = None
+    if method == "distributed" or method == "exact":
+        # groups = columns × classes; rank selection keeps per-group state on the
+        # driver, so it needs a bounded number of groups (checked, not assumed)
+        n_classes = df.agg(F.approx_count_distinct(cls).alias("k")).collect()[0]["k"]
+        n_groups = n_classes * len(cols)
+        if method == "distributed" and n_groups > MAX_BOX_GROUPS:
+            method = "approx"
     if method == "distributed":
         # exact, bounded per task: rank selection per (column, class)
         keyed = long.select(F.concat_ws("\u0001", "column_name", "class").alias("__k"), "value")
@@ -469,8 +478,9 @@ def box_stats(df: DataFrame, class_col: str, columns: list[str] | None = None, q
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= lo) & (F.col("value") <= hi)
-    # quartile table has one row per (column, class): small, broadcast it
-    j = long.join(F.broadcast(quart), ["column_name", "class"])
+    # one row per (column, class): broadcast only when that count is known small
+    small = n_groups is not None and n_groups * 1.2 <= MAX_BOX_GROUPS
+    j = long.join(F.broadcast(quart) if small else quart, ["column_name", "class"])
     return j.groupBy("column_name", "class", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),

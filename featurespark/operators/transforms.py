@@ -159,8 +159,10 @@ def reference_date(params: dict) -> Column:
     ref = params.get("reference_date")
     if ref is None:
         return F.current_date()
-    if isinstance(ref, (_dt.date, _dt.datetime)):
-        return F.lit(ref).cast("date")
+    if isinstance(ref, _dt.datetime):
+        ref = ref.date()
+    if isinstance(ref, _dt.date):
+        return F.lit(ref.isoformat()).cast("date")
     return F.to_date(F.lit(str(ref)))
 
 

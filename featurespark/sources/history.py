@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col_of
+from ..functions.columns import col_of, ntz_lit
 from .io import append_batch
 
 # FIXED VALUES: the five phase columns of a workspace.
@@ -64,7 +64,7 @@ def add_workspaces(existing: DataFrame, lists: DataFrame, column: str = "table_l
 
 def new_workspace_rows(result: DataFrame, now: _dt.datetime | None = None) -> DataFrame:
     """Rows to append for the 'added' names (all phases pending)."""
-    ts = F.lit(now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
+    ts = ntz_lit(now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
     out = result.where(F.col("status") == "added").select(
         F.expr("uuid()").alias("id"), "table_name", F.lit("active").alias("status"), ts.alias("Last_updated"))
     for p in PHASES:
@@ -104,7 +104,7 @@ def age_text(ts: Column, now: Column) -> Column:
 
 def list_workspaces(state: DataFrame, now, ts: str = "last_updated") -> DataFrame:
     """(table_name, last_updated, age) newest first; ``now`` is a parameter."""
-    now_c = now if isinstance(now, Column) else F.lit(now).cast("timestamp_ntz")
+    now_c = now if isinstance(now, Column) else ntz_lit(now)
     return (state.select("table_name", col_of(ts).alias("last_updated"),
                          age_text(col_of(ts), now_c).alias("age"))
             .orderBy(F.col("last_updated").desc(), "table_name"))
@@ -146,7 +146,7 @@ def append_run(history_path: str, section: str, rows: DataFrame, run_id: str | N
     full = T.StructType(list(schema.fields) + [
         T.StructField("run_id", T.StringType()), T.StructField("created_at", T.TimestampNTZType()),
         T.StructField("section", T.StringType()), T.StructField("run_date", T.DateType())])
-    tagged = (rows.withColumn("run_id", F.lit(run_id)).withColumn("created_at", F.lit(ts).cast("timestamp_ntz"))
+    tagged = (rows.withColumn("run_id", F.lit(run_id)).withColumn("created_at", ntz_lit(ts))
               .withColumn("section", F.lit(section)).withColumn("run_date", F.lit(ts.date())))
     append_batch(tagged, history_path, full, partition_by=["section", "run_date"])
     return run_id
