@@ -193,9 +193,12 @@ def global_ntile(df: DataFrame, column: str, k: int, order_key: str | None, n_ro
 
 
 def dense_rank_dictionary(values: DataFrame, value_col: str, out: str = "code",
-                          rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    """Distinct values → 0-based dense rank in ascending (byte) order."""
+                          rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_estimate: int | None = None) -> DataFrame:
+    """Distinct values → 0-based dense rank in ascending (byte) order.
+
+    ``n_estimate`` (e.g. an HLL distinct count) only sizes the buckets and the
+    cut sample; exact ranks come from the per-bucket counts."""
     dictionary = values.select(col_of(value_col).alias("__v")).distinct()
-    n = dictionary.count()
+    n = int(n_estimate) + 1 if n_estimate is not None else dictionary.count()
     ranked = global_row_number(dictionary, [SortKey("__v")], n, out="__rn", rows_per_bucket=rows_per_bucket)
     return ranked.select(F.col("__v").alias(value_col), (F.col("__rn") - 1).cast("bigint").alias(out))

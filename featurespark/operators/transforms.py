@@ -206,7 +206,8 @@ def build_lookup(spec: S.Spec, fit_df: DataFrame, key: Column, key_dtype: T.Data
     if m == "label_encoding":
         text = F.coalesce(as_text(key, key_dtype), F.lit(""))
         values = fit_df.select(text.alias("__lk"))
-        table = rank.dense_rank_dictionary(values, "__lk", out="__lv", rows_per_bucket=rows_per_bucket)
+        table = rank.dense_rank_dictionary(values, "__lk", out="__lv", rows_per_bucket=rows_per_bucket,
+                                           n_estimate=ndv)
         return Lookup(text, table, ndv, null_safe=False)
     if m == "frequency_encoding":
         text = as_text(key, key_dtype)
