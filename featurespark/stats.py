@@ -164,8 +164,9 @@ class StatsPlan:
                 got = exact_quantiles(df, reqs, {c: counts[c] for c in large})
                 for (kind, c, p), v in got.items():
                     stats.values[("q" if kind == "cont" else "qd", c, p)] = v
-        for col in sorted(self._modes):
-            stats.values[("mode", col)] = mode_of(df, col)
+        if self._modes:
+            for col, v in modes_of(df, sorted(self._modes)).items():
+                stats.values[("mode", col)] = v
         return stats
 
 
@@ -173,6 +174,28 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def modes_of(df: DataFrame, cols: list[str]) -> dict:
+    """Most frequent non-NULL value of each column (smallest on ties) in one job:
+    columns of one type are unpivoted to (column, value), counted with partial
+    aggregation, and reduced by a constant-state min_by per column."""
+    out = {}
+    by_type: dict[str, list[str]] = {}
+    for c in cols:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for _, group in by_type.items():
+        if len(group) == 1:
+            out[group[0]] = mode_of(df, group[0])
+            continue
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), col_of(c).alias("v")) for c in group])))
+        counts = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        rows = counts.groupBy("c").agg(
+            F.min_by("v", F.struct((-F.col("n")).alias("nn"), F.col("v").alias("vv"))).alias("m")).collect()
+        got = {r["c"]: r["m"] for r in rows}
+        for c in group:
+            out[c] = got.get(c)
+    return out
+
+
 def mode_of(df: DataFrame, col: str):
     """Most frequent non-NULL value, smallest value on ties (None if all NULL).
 

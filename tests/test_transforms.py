@@ -112,3 +112,10 @@ def test_fitted_on_new_rows(spark, customers):
     out = {r["customer_id"]: r for r in fitted.transform(new).df.collect()}
     assert out[9]["category_encoded"] == 1 and out[10]["category_encoded"] is None
     assert out[10]["age_standardized"] is None
+
+
+def test_modes_of_many_columns(spark):
+    from featurespark.stats import modes_of
+    df = spark.createDataFrame([(1, 5, "b"), (1, 6, "a"), (2, 6, "a"), (2, 5, None), (None, 7, "b")],
+                               "x int, y int, s string")
+    assert modes_of(df, ["x", "y", "s"]) == {"x": 1, "y": 5, "s": "a"}
