@@ -1112,3 +1112,56 @@ def q_multi_transform(spark, sf):
                     R("l_extendedprice_log").alias("l_extendedprice_log"),
                     L("l_quantity_is_missing").alias("l_quantity_is_missing"),
                     R("l_quantity_imputed").alias("l_quantity_imputed"), F.col("l_returnflag_lower"))
+
+
+# ---------------------------------------------------------------------------
+# flagship: chained model-ready table over lineitem ⨝ orders with a target
+# ---------------------------------------------------------------------------
+JOINED_SPECS = [
+    {"column_name": "l_quantity", "fe_method": "standardization"},
+    {"column_name": "l_extendedprice", "fe_method": "log_transformation"},
+    {"column_name": "l_discount", "fe_method": "winsorize"},
+    {"column_name": "o_orderpriority", "fe_method": "label_encoding"},
+    {"column_name": "l_returnflag", "fe_method": "frequency_encoding"},
+    {"column_name": "o_totalprice", "fe_method": "robust_scaling"},
+    {"column_name": "o_orderstatus", "fe_method": "label_encoding"},
+]
+
+
+def lineitem_orders(spark, sf):
+    """Both sides grow with the data: no broadcast hint, Spark plans the join
+    (sort-merge on the order key, or broadcast under its own size threshold)."""
+    li = read_table(spark, sf, "lineitem")
+    o = read_table(spark, sf, "orders")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
+        "o_orderpriority", "o_totalprice", "o_orderstatus")
+
+
+@register("chain_joined", """
+WITH j AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag, o_orderpriority,
+                  o_totalprice, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+s AS (SELECT avg(l_quantity) AS qa, stddev_samp(l_quantity) AS qs, quantile_cont(l_discount, 0.05) AS d05,
+             quantile_cont(l_discount, 0.95) AS d95, quantile_cont(o_totalprice, 0.25) AS t1,
+             quantile_cont(o_totalprice, 0.5) AS t2, quantile_cont(o_totalprice, 0.75) AS t3 FROM j)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  round((l_quantity - qa) / nullif(qs, 0), 6) AS l_quantity_scaled,
+  round(ln(l_extendedprice + 1), 6) AS l_extendedprice_log,
+  round(CASE WHEN l_discount IS NULL THEN NULL ELSE greatest(least(l_discount, d95), d05) END, 6) AS l_discount_winsorized,
+  CAST(dense_rank() OVER (ORDER BY coalesce(o_orderpriority, '')) - 1 AS BIGINT) AS o_orderpriority_encoded,
+  count(*) OVER (PARTITION BY l_returnflag) AS l_returnflag_freq,
+  round((o_totalprice - t2) / nullif(t3 - t1, 0), 6) AS o_totalprice_robust_scaled,
+  CAST(dense_rank() OVER (ORDER BY coalesce(o_orderstatus, '')) - 1 AS BIGINT) AS target
+FROM j, s""")
+def q_chain_joined(spark, sf):
+    res = build_chain(lineitem_orders(spark, sf), JOINED_SPECS, target_column="o_orderstatus",
+                      keep_columns=["l_orderkey", "l_linenumber"])
+    d = res.df
+    return d.select(L("l_orderkey").alias("l_orderkey"), L("l_linenumber").alias("l_linenumber"),
+                    R("l_quantity_scaled").alias("l_quantity_scaled"),
+                    R("l_extendedprice_log").alias("l_extendedprice_log"),
+                    R("l_discount_winsorized").alias("l_discount_winsorized"),
+                    L("o_orderpriority_encoded").alias("o_orderpriority_encoded"),
+                    L("l_returnflag_freq").alias("l_returnflag_freq"),
+                    R("o_totalprice_robust_scaled").alias("o_totalprice_robust_scaled"),
+                    L("target").alias("target"))
