@@ -18,8 +18,6 @@ Majority rows (and all originals) pass straight from the scan to the union.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -29,9 +29,6 @@ from . import contingency
 from .balance import qcut_bin, qcut_edges
 from .profile import cardinality
 
-RISK_ORDER = {"high": 3, "medium": 2, "low": 1}
-
-
 def leakage_report(df: DataFrame, target: str, features: list[str] | None = None, event_time: str | None = None,
                    time_columns: list[str] | None = None, corr_high: float = 0.98, corr_medium: float = 0.8,
                    corr_low: float = 0.5, purity_high: float = 0.98, min_rows_per_value: float = 5.0,

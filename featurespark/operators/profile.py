@@ -61,10 +61,6 @@ def top_k(counts: DataFrame, group: str, order: list[Column], k: int, salt_col:
     return cand.withColumn(rank_col, F.row_number().over(w2).cast("bigint")).where(F.col(rank_col) <= k)
 
 
-def _r(c: Column, places=None) -> Column:
-    return c if places is None else F.round(c, places)
-
-
 # ---------------------------------------------------------------------------
 # P1 overview, S3 preview
 # ---------------------------------------------------------------------------
