@@ -1173,3 +1173,10 @@ def q_chain_joined(spark, sf):
                     L("l_returnflag_freq").alias("l_returnflag_freq"),
                     R("o_totalprice_robust_scaled").alias("o_totalprice_robust_scaled"),
                     L("target").alias("target"))
+
+
+@register("sample_rows")
+def q_sample_rows(spark, sf):
+    """S2 with a row budget: 1,500 rows chosen by row hash (the sampling is the
+    feature; xxhash64 has no DuckDB twin, so rows-only)."""
+    return IO.sample_rows(read_table(spark, sf, "lineitem"), 1500)

@@ -42,6 +42,15 @@ def sample_scan(df: DataFrame, fraction: float, key: list[str] | None = None, se
     return df.where(h < F.lit(int(fraction * buckets)))
 
 
+def sample_rows(df: DataFrame, n: int, key: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """S2 with a row budget (the reference's LIMIT 1500): the n rows with the
+    smallest row hash — reproducible, spread over the whole table, and planned
+    as a per-task top-n plus one merge of at most tasks × n rows."""
+    cols = [col_of(c) for c in (key or df.columns)]
+    h = F.xxhash64(*cols, F.lit(seed))
+    return df.withColumn("__h", h).orderBy("__h").limit(int(n)).drop("__h")
+
+
 def write_table(df: DataFrame, target: str, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:
     """Create-or-replace (``overwrite``) a table from a SELECT; ``table:<name>``

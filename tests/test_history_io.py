@@ -79,3 +79,12 @@ def test_records_and_apply_and_write(spark, customers):
     assert sections == {"eda", "fe", "leakage", "transform"}
     cols = [r["column_name"] for r in H.latest_columns(spark, path, "ds", "customers").orderBy("position").collect()]
     assert cols == customers.columns
+
+
+def test_sample_rows_is_topn(spark):
+    df = spark.range(0, 20000)
+    a = IO.sample_rows(df, 1500)
+    assert a.count() == 1500
+    assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in IO.sample_rows(df, 1500).collect())
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan

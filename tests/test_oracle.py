@@ -16,7 +16,7 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_rows_only():
     missing = set(E.queries()) - set(E.oracle_sql())
     assert missing <= {"target_suggestion", "profile_sections", "oversample_rows", "smoter_rows",
-                       "recommendations", "column_report", "sample_scan"}
+                       "recommendations", "column_report", "sample_scan", "sample_rows"}
 
 
 @pytest.mark.parametrize("name", NAMES)
