@@ -315,7 +315,10 @@ def suggest_target(df: DataFrame, metadata: DataFrame | None = None) -> DataFram
     name = F.lower(F.col("column_name"))
     hint = None
     for h in TARGET_HINTS:
-        cond = name.startswith(h) if h.endswith("_") else (name == h) | name.endswith("_" + h) | name.contains(h)
+        if h.endswith("_"):
+            cond = name.startswith(h)
+        else:
+            cond = (name == h) | name.endswith("_" + h) | name.startswith(h + "_")
         hint = cond if hint is None else hint | cond
     score = (F.when(hint, 3).otherwise(0) + F.when(F.col("distinct_count").between(2, 20), 2).otherwise(0)
              + F.when(F.col("pos") == n_cols - 1, 1).otherwise(0)

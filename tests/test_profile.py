@@ -111,3 +111,10 @@ def test_box_stats_distributed_equals_exact(spark):
     for k in a:
         for f in ("q1", "median", "q3", "lower_whisker", "upper_whisker", "outlier_count", "count"):
             assert a[k][f] == pytest.approx(b[k][f]), (k, f)
+
+
+def test_suggest_target_rules(spark):
+    df = spark.createDataFrame([(i, i % 3, "x" if i % 2 else "y", i % 2) for i in range(50)],
+                               "customer_id long, segment int, city string, churn int")
+    ranked = [r["column_name"] for r in P.suggest_target(df).orderBy("rank").collect()]
+    assert ranked[0] == "churn" and ranked[-1] == "customer_id"
