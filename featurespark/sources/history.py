@@ -131,8 +131,9 @@ def latest_completed(results: DataFrame, state: DataFrame, key: str, ts: str, ph
 
 def latest_run_rows(df: DataFrame, keys: list[str], run: str, ts: str) -> DataFrame:
     """Every row of each key's newest run (max_by then an equi-join back)."""
-    latest = df.groupBy(*[col_of(k) for k in keys]).agg(F.max_by(col_of(run), col_of(ts)).alias("__run"))
-    cond = [df[k] == latest[k] for k in keys] + [df[run] == latest["__run"]]
+    latest = (df.groupBy(*[col_of(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+              .agg(F.max_by(col_of(run), col_of(ts)).alias("__run")))
+    cond = [col_of(k) == F.col(f"__k{i}") for i, k in enumerate(keys)] + [col_of(run) == F.col("__run")]
     return df.join(latest, cond, "left_semi")
 
 
