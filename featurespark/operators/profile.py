@@ -52,8 +52,13 @@ def _text(df: DataFrame):
 def top_k(counts: DataFrame, group: str, order: list[Column], k: int, salt_col: str = "value",
           rank_col: str = "rank") -> DataFrame:
     """Top-k rows per ``group`` in ``order``: first within (group, salt) — spreading
-    one group's rows over TOPK_SALT tasks — then among the ≤ salt·k survivors."""
-    salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(TOPK_SALT))
+    one group's rows over as many salts as the session's shuffle parallelism
+    (at least TOPK_SALT) — then among the ≤ salts·k survivors."""
+    try:
+        parallel = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        parallel = TOPK_SALT
+    salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(max(TOPK_SALT, parallel)))
     w1 = Window.partitionBy(group, "__salt").orderBy(*order)
     cand = (counts.withColumn("__salt", salt).withColumn("__r1", F.row_number().over(w1))
             .where(F.col("__r1") <= k).drop("__r1", "__salt"))
