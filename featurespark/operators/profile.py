@@ -282,7 +282,8 @@ def chi2_scores(df: DataFrame, target: str, columns: list[str] | None = None, co
 
 
 def chi2_ranking(df: DataFrame, target: str, columns: list[str] | None = None) -> DataFrame:
-    """Chi-square scores ascending with their position."""
+    """Chi-square scores ascending with their position (the window ranks the
+    per-feature score table — one row per column, not data rows)."""
     s = chi2_scores(df, target, columns)
     return s.withColumn("position", F.row_number().over(Window.orderBy("chi2", "column_name")).cast("bigint"))
 
@@ -314,7 +315,8 @@ TARGET_HINTS = ["target", "label", "class", "y", "outcome", "churn", "default",
 
 def suggest_target(df: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """P10 (ours, deterministic; the reference asks an LLM): score = name hint (3)
-    + low cardinality 2..20 (2) + last column (1); ids never win."""
+    + low cardinality 2..20 (2) + last column (1); ids never win.  The ranking
+    window runs over the metadata table (one row per column)."""
     md = metadata if metadata is not None else column_metadata(df)
     n_cols = len(df.columns)
     name = F.lower(F.col("column_name"))

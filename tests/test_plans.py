@@ -34,3 +34,23 @@ def test_filter_pushdown_and_pruning(spark):
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
     read_schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert set(read_schema.split(",")) == {"l_quantity:double", "l_tax:double"}
+
+
+# windows that rank per-column summary tables (one row per column), not data rows
+SUMMARY_WINDOWS = {"chi2_ranking", "target_suggestion", "sorted_corr"}
+
+
+def test_no_single_partition_window_over_data_rows(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF001
+    offenders = []
+    for name, fn in E.queries().items():
+        if name in SUMMARY_WINDOWS:
+            continue
+        df = fn(spark, SF001)
+        df.write.format("noop").mode("overwrite").save()
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, line in enumerate(lines):
+            if "Window [" in line and "SinglePartition" in " ".join(lines[i + 1:i + 4]):
+                offenders.append(name)
+    assert offenders == []
