@@ -119,3 +119,29 @@ def test_modes_of_many_columns(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 6, "a"), (2, 6, "a"), (2, 5, None), (None, 7, "b")],
                                "x int, y int, s string")
     assert modes_of(df, ["x", "y", "s"]) == {"x": 1, "y": 5, "s": "a"}
+
+
+def test_properties_on_events(spark):
+    """Row count kept by every transform; clips stay inside their bounds and
+    keep NULLs; min-max output in [0, 1]."""
+    from tests.conftest import SF01
+    ev = spark.read.parquet(f"{SF01}/events.parquet").withColumn(
+        "value", F.when(F.col("event_id") % 13 == 0, F.lit(None)).otherwise(F.col("value")))
+    n = ev.count()
+    specs = [{"column_name": "value", "fe_method": m} for m in
+             ("standardization", "normalization", "log_transformation", "sqrt_transformation", "robust_scaling",
+              "impute_median", "clip_iqr", "winsorize", "polynomial_features", "missing_indicator")]
+    specs += [{"column_name": "value", "fe_method": "clip", "lower_bound": 5, "upper_bound": 50},
+              {"column_name": "value", "fe_method": "binning", "order_key": "event_id"},
+              {"column_name": "event_type", "fe_method": "label_encoding"},
+              {"column_name": "event_type", "fe_method": "frequency_encoding"}]
+    out = apply_transforms(ev, specs).df
+    assert out.count() == n
+    # two clip specs: clip_iqr → value_clipped, fixed bounds → value_clipped_2
+    r = out.agg(F.min("value_normalized"), F.max("value_normalized"), F.min("value_clipped_2"),
+                F.max("value_clipped_2"), F.count_if(F.col("value").isNull() & F.col("value_clipped").isNotNull()),
+                F.count_if(F.col("value").isNull() & F.col("value_winsorized").isNotNull())).first()
+    assert r[0] == 0.0 and r[1] == 1.0
+    assert 5 <= r[2] and r[3] <= 50 and r[4] == 0 and r[5] == 0
+    sizes = [x["count"] for x in out.groupBy("value_bin").count().collect()]
+    assert max(sizes) - min(sizes) <= 1
