@@ -41,6 +41,34 @@ def _bucket(x: Column, cuts: list[float]) -> Column:
     return below * 2 + F.when(is_cut, 1).otherwise(0)
 
 
+def _with_buckets(base: DataFrame, keys: list[str], cuts: dict[str, list[float]]) -> DataFrame:
+    """Column b = 2·#{cuts < x} + [x is a cut] with the key's own cuts: literal
+    CASE trees for short cut lists, else a binary search over a literal
+    per-key array in ⌈log2(m+1)⌉ projection steps."""
+    m = max((len(c) for c in cuts.values()), default=0)
+    if m <= rank.CASE_TREE_MAX_CUTS:
+        bexpr = None
+        for k in keys:
+            e = _bucket(F.col("x"), cuts[k])
+            bexpr = F.when(F.col("k") == k, e) if bexpr is None else bexpr.when(F.col("k") == k, e)
+        return base.withColumn("b", bexpr)
+    arrays = F.create_map(*[v for k in keys for v in
+                            (F.lit(k), F.array(*[F.lit(float(c)) for c in cuts[k]]).cast("array<double>"))])
+    df = base.withColumn("__cuts", F.element_at(arrays, F.col("k")))
+    df = df.withColumn("__lo", F.lit(0)).withColumn("__hi", F.size("__cuts"))
+    for _ in range(math.ceil(math.log2(m + 1))):
+        lo, hi = F.col("__lo"), F.col("__hi")
+        mid = F.floor((lo + hi + 1) / 2).cast("int")
+        below = F.element_at(F.col("__cuts"), F.greatest(mid, F.lit(1))) < F.col("x")   # cut[mid-1] < x
+        df = (df.withColumn("__nlo", F.when((lo < hi) & below, mid).otherwise(lo))
+              .withColumn("__hi", F.when((lo < hi) & ~below, mid - 1).otherwise(hi))
+              .withColumn("__lo", F.col("__nlo")).drop("__nlo"))
+    nxt = F.when(F.col("__lo") < F.size("__cuts"), F.element_at(F.col("__cuts"), F.col("__lo") + 1))
+    is_cut = F.coalesce(nxt == F.col("x"), F.lit(False))
+    return (df.withColumn("b", F.col("__lo") * 2 + F.when(is_cut, 1).otherwise(0))
+            .drop("__cuts", "__lo", "__hi"))
+
+
 def target_ranks(kind: str, p: float, n: int) -> list[tuple[int, float]]:
     """[(1-based rank, weight)] whose weighted sum is the quantile."""
     if n == 0:
@@ -68,7 +96,9 @@ def grouped_quantiles(long: DataFrame, key: str, value: str, requests: list[tupl
         return {}
     par = spark.sparkContext.defaultParallelism
     buckets = {k: rank.n_buckets_for(counts[k], rows_per_bucket, par) for k in keys}
-    frac = {k: min(1.0, buckets[k] * rank.SAMPLE_PER_BUCKET / counts[k]) if buckets[k] > 1 else 0.0 for k in keys}
+    per_key = max(1, rank.MAX_SAMPLE_ROWS // max(1, len(keys)))
+    frac = {k: min(1.0, min(buckets[k] * rank.SAMPLE_PER_BUCKET, per_key) / counts[k]) if buckets[k] > 1 else 0.0
+            for k in keys}
     fmap = F.create_map(*[v for k in keys for v in (F.lit(k), F.lit(frac[k]))])
     vals = {k: [] for k in keys}
     for r in base.where(F.rand(seed) < F.element_at(fmap, F.col("k"))).collect():
@@ -84,11 +114,7 @@ def grouped_quantiles(long: DataFrame, key: str, value: str, requests: list[tupl
             if not cs or c > cs[-1]:
                 cs.append(c)
         cuts[k] = cs
-    bexpr = None
-    for k in keys:
-        e = _bucket(F.col("x"), cuts[k])
-        bexpr = F.when(F.col("k") == k, e) if bexpr is None else bexpr.when(F.col("k") == k, e)
-    bucketed = base.withColumn("b", bexpr)
+    bucketed = _with_buckets(base, keys, cuts)
     bc = {(r["k"], r["b"]): r["c"] for r in bucketed.groupBy("k", "b").agg(F.count(F.lit(1)).alias("c")).collect()}
     wanted = {}
     for k in keys:
@@ -104,17 +130,29 @@ def grouped_quantiles(long: DataFrame, key: str, value: str, requests: list[tupl
     values = {kr: v[1] for kr, v in wanted.items() if v[0] == "cut"}
     picks = {(k, v[1], v[2]) for (k, _), v in wanted.items() if v[0] == "sort"}
     if picks:
-        need = None
-        for k, b in {(k, b) for k, b, _ in picks}:
-            t = (F.col("k") == k) & (F.col("b") == b)
-            need = t if need is None else need | t
+        # a between-bucket 2i is the open interval (cuts[i-1], cuts[i]); filter on
+        # those literal ranges (not on the bucket column, so no projection chain
+        # is substituted into the filter, and the range can reach the scan)
+        gid, cond = None, None
+        ids = {}
+        for k, b in sorted({(k, b) for k, b, _ in picks}):
+            i = b // 2
+            t = F.col("k") == k
+            if i >= 1:
+                t = t & (F.col("x") > F.lit(cuts[k][i - 1]))
+            if i < len(cuts[k]):
+                t = t & (F.col("x") < F.lit(cuts[k][i]))
+            ids[(k, b)] = len(ids)
+            gid = F.when(t, F.lit(ids[(k, b)])) if gid is None else gid.when(t, F.lit(ids[(k, b)]))
+            cond = t if cond is None else cond | t
         pc = None
         for k, b, lr in picks:
-            t = (F.col("k") == k) & (F.col("b") == b) & (F.col("rn") == lr)
+            t = (F.col("g") == ids[(k, b)]) & (F.col("rn") == lr)
             pc = t if pc is None else pc | t
-        w = Window.partitionBy("k", "b").orderBy("x")
-        got = {(r["k"], r["b"], r["rn"]): r["x"] for r in
-               bucketed.where(need).withColumn("rn", F.row_number().over(w)).where(pc).collect()}
+        w = Window.partitionBy("g").orderBy("x")
+        ranked = base.where(cond).withColumn("g", gid).withColumn("rn", F.row_number().over(w))
+        inv = {v: kb for kb, v in ids.items()}
+        got = {inv[r["g"]] + (r["rn"],): r["x"] for r in ranked.where(pc).select("g", "rn", "x").collect()}
         for (k, r), v in wanted.items():
             if v[0] == "sort":
                 values[(k, r)] = got[(k, v[1], v[2])]

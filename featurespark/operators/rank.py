@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import col_of
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 65536
 MIN_ROWS_PER_TASK = 1000
 SAMPLE_PER_BUCKET = 40
+MAX_SAMPLE_ROWS = 1_000_000       # cut sample collected on the driver stays bounded
+CASE_TREE_MAX_CUTS = 255          # above this the search runs over a literal array
 
 
 @dataclass(frozen=True)
@@ -63,6 +65,48 @@ def _tuple_less(cols: list[Column], cut: tuple, keys: list[SortKey]) -> Column:
     return expr
 
 
+def _cmp_less(cols: list[Column], cut: list[Column], keys: list[SortKey]) -> Column:
+    """Lexicographic (cols) < (cut) where the cut is given as columns (array element)."""
+    expr = None
+    for i in reversed(range(len(cols))):
+        c, v, k = cols[i], cut[i], keys[i]
+        cmp = F.coalesce((c < v) if k.ascending else (c > v), F.lit(False))
+        if k.nulls_first:
+            lt = (c.isNull() & v.isNotNull()) | (c.isNotNull() & v.isNotNull() & cmp)
+        else:
+            lt = (c.isNotNull() & v.isNull()) | (c.isNotNull() & v.isNotNull() & cmp)
+        expr = lt if expr is None else lt | (c.eqNullSafe(v) & expr)
+    return expr
+
+
+def with_bucket(df: DataFrame, keys: list[SortKey], cuts: list[tuple], out: str) -> DataFrame:
+    """Add ``out`` = number of cut tuples <= key tuple.
+
+    Small cut lists: a literal binary-search CASE tree.  Large ones: the cuts
+    become one literal array of structs and the binary search runs as
+    ⌈log2(m+1)⌉ projection steps (lo / hi columns), so the expression stays
+    linear in size and every row does O(log m) comparisons."""
+    if len(cuts) <= CASE_TREE_MAX_CUTS:
+        return df.withColumn(out, bucket_expr(keys, cuts) if cuts else F.lit(0))
+    types = [df.schema[k.name].dataType for k in keys]
+    arr = F.array(*[F.struct(*[(F.lit(v) if v is not None else F.lit(None)).cast(t).alias(f"f{i}")
+                               for i, (v, t) in enumerate(zip(cut, types))]) for cut in cuts])
+    cols = [col_of(k.name) for k in keys]
+    m = len(cuts)
+    out_df = df.withColumn("__cuts", arr).withColumn("__lo", F.lit(0)).withColumn("__hi", F.lit(m))
+    for _ in range(math.ceil(math.log2(m + 1))):
+        lo, hi = F.col("__lo"), F.col("__hi")
+        mid = F.floor((lo + hi + 1) / 2).cast("int")
+        elem = F.element_at(F.col("__cuts"), F.greatest(mid, F.lit(1)))
+        less = _cmp_less(cols, [elem[f"f{i}"] for i in range(len(keys))], keys)
+        go_low = (lo < hi) & less
+        go_high = (lo < hi) & ~less
+        out_df = (out_df.withColumn("__nlo", F.when(go_high, mid).otherwise(lo))
+                  .withColumn("__hi", F.when(go_low, mid - 1).otherwise(hi))
+                  .withColumn("__lo", F.col("__nlo")).drop("__nlo"))
+    return out_df.withColumn(out, F.col("__lo")).drop("__cuts", "__lo", "__hi")
+
+
 def bucket_expr(keys: list[SortKey], cuts: list[tuple]) -> Column:
     """Number of cut tuples <= key tuple (binary search over sorted cuts)."""
     cols = [col_of(k.name) for k in keys]
@@ -108,7 +152,7 @@ def choose_cuts(df: DataFrame, keys: list[SortKey], n_rows: int, n_buckets: int,
     """B-1 cut tuples from a bounded sample of the keys (distinct, sorted)."""
     if n_buckets <= 1 or n_rows == 0:
         return []
-    want = n_buckets * SAMPLE_PER_BUCKET
+    want = min(n_buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE_ROWS)
     fraction = min(1.0, want / max(n_rows, 1))
     sample = df.select(*[col_of(k.name) for k in keys]).sample(False, fraction, seed).collect()
     rows = sorted((tuple(r) for r in sample), key=_sort_tuple(keys))
@@ -143,7 +187,7 @@ def global_row_number(df: DataFrame, keys: list[SortKey], n_rows: int | None = N
     b = "__bucket"
     if not cuts:            # fewer than two distinct sampled keys: cut at the smallest key
         cuts = choose_cuts(df, keys, n_rows, nb, seed=11) or [tuple([None] * len(keys))]
-    with_b = df.withColumn(b, bucket_expr(keys, cuts))
+    with_b = with_bucket(df, keys, cuts, b)
     counts = {r[0]: r[1] for r in with_b.groupBy(b).count().collect()}   # <= B rows
     offsets, acc = [], 0
     for i in range(len(cuts) + 1):

@@ -118,3 +118,18 @@ def test_suggest_target_rules(spark):
                                "customer_id long, segment int, city string, churn int")
     ranked = [r["column_name"] for r in P.suggest_target(df).orderBy("rank").collect()]
     assert ranked[0] == "churn" and ranked[-1] == "customer_id"
+
+
+def test_quantiles_array_search(spark, monkeypatch):
+    import duckdb
+    from featurespark.operators import quantiles as Q
+    from featurespark.operators import rank
+    from tests.conftest import SF01
+    monkeypatch.setattr(rank, "CASE_TREE_MAX_CUTS", 2)
+    df = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    reqs = [(k, c, p) for c in ("l_extendedprice", "l_quantity") for k in ("cont", "disc") for p in (0.1, 0.5, 0.9)]
+    got = Q.exact_quantiles(df, reqs, rows_per_bucket=900)
+    for k, c, p in reqs:
+        fn = "quantile_cont" if k == "cont" else "quantile_disc"
+        ref = duckdb.sql(f"SELECT {fn}({c}, {p}) FROM '{SF01}/lineitem.parquet'").fetchall()[0][0]
+        assert got[(k, c, p)] == pytest.approx(ref, rel=1e-12), (k, c, p)

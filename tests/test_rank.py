@@ -51,3 +51,16 @@ def test_no_single_partition_window(spark):
     out = rank.global_ntile(df, "x", 4, "id", 5000, "b", rows_per_bucket=500)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_array_search_matches_case_tree(spark, monkeypatch):
+    """Large cut lists use the array binary search; it must give the same ranks."""
+    rows = [(i, None if i % 29 == 0 else float(i % 53)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, x double")
+    monkeypatch.setattr(rank, "CASE_TREE_MAX_CUTS", 3)
+    got = rank.global_ntile(df, "x", 9, "id", 4000, "b", rows_per_bucket=37).toPandas().set_index("id")["b"]
+    ref = _duck_ntile(pd.DataFrame(rows, columns=["id", "x"]), 9).set_index("id")["b"]
+    assert (got.sort_index() == ref.sort_index()).all()
+    d = spark.createDataFrame([(s,) for s in [f"v{i:03d}" for i in range(300)] + [""] * 5], "v string")
+    codes = {r["v"]: r["code"] for r in rank.dense_rank_dictionary(d, "v", rows_per_bucket=3).collect()}
+    assert codes[""] == 0 and codes["v000"] == 1 and codes["v299"] == 300
