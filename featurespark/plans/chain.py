@@ -160,14 +160,27 @@ def auto_binary_target(x: Column, dtype: T.DataType) -> Column:
 def build_chain(df: DataFrame, raw_specs: list[dict], target_column: str | None = None,
                 include_target: bool = True, quantiles: str | None = None, order_key: str | None = None,
                 keep_columns: list[str] | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> ChainResult:
+                rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET, cut_input_lineage: bool = False) -> ChainResult:
     """X3 + X4: chained, model-ready projection of ``df``.
 
     ``keep_columns`` (ours) passes key columns through unchanged, e.g. to join
-    the features back or compare them."""
+    the features back or compare them.  ``cut_input_lineage`` checkpoints the
+    needed input columns once (into ``spark.checkpoint.dir``) — worth it when the
+    input is expensive (a join) and several lookups are fitted on it; off by
+    default because re-reading pruned columns is usually cheaper."""
     valid, skipped = S.validate_specs(raw_specs, df.columns)
     if not valid:
         raise ValueError(f"No valid transformations provided: {skipped}")
+    if cut_input_lineage:
+        from ..session import cut_lineage
+        needed = set(keep_columns or []) | {s.column for s in valid} | ({target_column} if target_column else set())
+        for s in valid:
+            for k in ("column1", "column2", "target_column", "order_key"):
+                if isinstance(s.params.get(k), str):
+                    needed.add(s.params[k])
+        if order_key:
+            needed.add(order_key)
+        df = cut_lineage(df.select(*[col_of(c) for c in df.columns if c in needed]))
     grouped = group_by_column(valid)
     plan = StatsPlan(quantile_method=quantiles)
     for column, steps in grouped.items():

@@ -64,3 +64,13 @@ def test_odd_column_name(spark):
     res = build_chain(df, [{"column_name": "user-name", "fe_method": "uppercase"}])
     assert res.df.columns == ["user_name_upper"]
     assert sorted(r[0] for r in res.df.collect()) == ["A", "B"]
+
+
+def test_chain_with_cut_lineage_matches(spark):
+    from featurespark.plans.registered import JOINED_SPECS, lineitem_orders
+    from tests.conftest import SF001
+    df = lineitem_orders(spark, SF001)
+    a = build_chain(df, JOINED_SPECS, target_column="o_orderstatus", keep_columns=["l_orderkey", "l_linenumber"]).df
+    b = build_chain(df, JOINED_SPECS, target_column="o_orderstatus", keep_columns=["l_orderkey", "l_linenumber"],
+                    cut_input_lineage=True).df
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
