@@ -235,3 +235,32 @@ def record_transform(spark: SparkSession, history_path: str, dataset: str, table
     rows = spark.createDataFrame([(dataset, target_table, target_table, json.dumps(specs), status)],
                                  "dataset string, table_name string, target_table string, specs string, status string")
     return append_run(history_path, "transform", rows, ts=ts)
+
+
+# ---------------------------------------------------------------------------
+# R2 write side: a status change is an appended event
+# ---------------------------------------------------------------------------
+PHASE_EVENT_SCHEMA = T.StructType([
+    T.StructField("table_name", T.StringType()), T.StructField("phase", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("ts", T.TimestampNTZType())])
+
+
+def append_phase_event(spark: SparkSession, events_path: str, table: str, phase: str, status: str,
+                       ts: _dt.datetime | None = None) -> None:
+    """Record that ``phase`` of ``table`` is now ``status`` (the reference updates
+    one of five phase columns in place; here the event is appended and
+    ``phase_state`` derives the current state)."""
+    if phase not in PHASES:
+        raise ValueError(f"Unknown phase '{phase}'; expected one of {PHASES}")
+    ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    row = spark.createDataFrame([(table, phase, status, ts.isoformat(sep=" "))],
+                                "table_name string, phase string, status string, ts string")
+    append_batch(row.withColumn("ts", F.col("ts").cast("timestamp_ntz")), events_path, PHASE_EVENT_SCHEMA)
+
+
+def workspace_state(spark: SparkSession, events_path: str, table: str | None = None) -> DataFrame:
+    """Current phase columns (+ last update) of every table, or of one table."""
+    ev = spark.read.schema(PHASE_EVENT_SCHEMA).parquet(events_path)
+    if table is not None:
+        ev = ev.where(F.col("table_name") == table)          # pushed into the scan
+    return phase_state(ev, "table_name", "phase", "status", "ts", PHASES)

@@ -88,3 +88,17 @@ def test_sample_rows_is_topn(spark):
     assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in IO.sample_rows(df, 1500).collect())
     plan = a._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_phase_events_roundtrip(spark):
+    path = tempfile.mkdtemp(prefix="fs-ev-") + "/events"
+    H.append_phase_event(spark, path, "t1", "EDA_status", "running", dt.datetime(2024, 1, 1, 0, 0))
+    H.append_phase_event(spark, path, "t1", "EDA_status", "completed", dt.datetime(2024, 1, 1, 0, 5))
+    H.append_phase_event(spark, path, "t2", "FE_status", "failed", dt.datetime(2024, 1, 2))
+    st = {r["table_name"]: r for r in H.workspace_state(spark, path).collect()}
+    assert st["t1"]["EDA_status"] == "completed" and st["t2"]["FE_status"] == "failed"
+    one = H.workspace_state(spark, path, "t2").collect()
+    assert len(one) == 1 and one[0]["last_updated"] == dt.datetime(2024, 1, 2)
+    import pytest
+    with pytest.raises(ValueError):
+        H.append_phase_event(spark, path, "t1", "nope", "x")
