@@ -503,18 +503,19 @@ def profile(df: DataFrame, target: str | None = None, cache: bool = False, quant
     if cache:
         df = df.persist()
     nums, cats = numeric_columns(df), categorical_columns(df)
+    card = cardinality(df)
     out = {
         "overview": overview(df),
         "preview": preview(df),
         "missing_values": missing_report(df),
         "outliers": iqr_outliers(df, nums, quantiles) if nums else None,
-        "cardinality": cardinality(df),
+        "cardinality": card,
         "univariate_numeric": univariate_numeric(df, nums, quantiles=quantiles) if nums else None,
         "univariate_categorical": univariate_categorical(df, cats) if cats else None,
         "histogram": histogram(df, nums) if nums else None,
         "top10": top_values(df, cats, 10, clean=True) if cats else None,
     }
-    out["feature_types"] = feature_types(df)
+    out["feature_types"] = feature_types(df, card)
     if target:
         if target in nums:
             out["correlations"] = target_correlation(df, target, nums)
