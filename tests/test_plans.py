@@ -54,3 +54,12 @@ def test_no_single_partition_window_over_data_rows(spark):
             if "Window [" in line and "SinglePartition" in " ".join(lines[i + 1:i + 4]):
                 offenders.append(name)
     assert offenders == []
+
+
+def test_plan_summary_of_flagship(spark):
+    from featurespark.plans.inspect import plan_summary
+    from featurespark.plans.registered import QUERIES
+    s = plan_summary(QUERIES["chain_features"](spark, SF01))
+    assert s.single_partition_windows == 0 and s.nested_loop_joins == 0
+    assert s.broadcast_hash_joins == 2
+    assert all("l_shipdate" not in schema for schema, _ in s.scans)     # pruned
