@@ -14,7 +14,7 @@ from .profile import numeric_columns
 
 def recommendations(df: DataFrame, target: str | None = None, quantiles: str | None = None,
                     skew_log: float = 1.0, missing_flag_pct: float = 5.0, one_hot_max: int = 10,
-                    freq_max: int = 1000) -> DataFrame:
+                    freq_max: int = 1000, summary: DataFrame | None = None) -> DataFrame:
     """(column_name, category, technique, reason) — several rows per column.
 
     Rules (ours): missing → impute (median if skewed, else mean; mode for
@@ -23,7 +23,7 @@ def recommendations(df: DataFrame, target: str | None = None, quantiles: str | N
     standardization; categorical → one-hot (≤ one_hot_max values),
     frequency (≤ freq_max) or hash encoding; dates → date parts; id-like or
     constant columns → drop."""
-    info = column_summary(df, quantiles)
+    info = summary if summary is not None else column_summary(df, quantiles)
     if target:
         info = info.where(F.col("column_name") != target)
     c = F.col
@@ -130,11 +130,11 @@ def recommendations_to_specs(rec: DataFrame) -> list[dict]:
 
 
 def column_report(df: DataFrame, rec: DataFrame | None = None, leakage: DataFrame | None = None,
-                  lineage: list[dict] | None = None) -> DataFrame:
+                  lineage: list[dict] | None = None, summary: DataFrame | None = None) -> DataFrame:
     """one row per column with eda / fe / leakage / transform details
     (full outer joins on column_name of small per-column tables)."""
     spark = df.sparkSession
-    eda = column_summary(df).select(
+    eda = (summary if summary is not None else column_summary(df)).select(
         "column_name", F.format_string("%s, %.2f%% missing, %d distinct", "feature_type", "missing_pct",
                                        "n_unique").alias("eda_details"))
     out = eda

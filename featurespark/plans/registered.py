@@ -983,10 +983,11 @@ def q_recommendations(spark, sf):
 def q_column_report(spark, sf):
     """per-column eda / fe / leakage / transform details."""
     o = orders_nulls(spark, sf)
-    rec = RC.recommendations(o, target="o_orderstatus")
+    summary = RC.column_summary(o)          # one per-column table (built on the driver from 2 passes)
+    rec = RC.recommendations(o, target="o_orderstatus", summary=summary)
     chain = build_chain(o, CHAIN_TARGET_SPECS, target_column="o_orderstatus", order_key="o_orderkey")
     lk = LK.leakage_report(o, "o_totalprice", features=["o_custkey", "o_orderpriority", "o_orderstatus"])
-    return RC.column_report(o, rec, lk, chain.lineage)
+    return RC.column_report(o, rec, lk, chain.lineage, summary=summary)
 
 
 # ---------------------------------------------------------------------------
