@@ -246,3 +246,22 @@ def dense_rank_dictionary(values: DataFrame, value_col: str, out: str = "code",
     n = int(n_estimate) + 1 if n_estimate is not None else dictionary.count()
     ranked = global_row_number(dictionary, [SortKey("__v")], n, out="__rn", rows_per_bucket=rows_per_bucket)
     return ranked.select(F.col("__v").alias(value_col), (F.col("__rn") - 1).cast("bigint").alias(out))
+
+
+def dense_rank_dictionaries(values: DataFrame, group_col: str, value_col: str, out: str = "code",
+                            rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_estimate: int | None = None) -> DataFrame:
+    """Dense ranks of many dictionaries at once: distinct (group, value) pairs are
+    ranked in ONE bucketed global order on (group, value); a group's codes are
+    the global positions minus the number of entries of the groups before it
+    (one small count per group).  Output: group, value, 0-based code."""
+    d = values.select(col_of(group_col).alias("__g"), col_of(value_col).alias("__v")).distinct()
+    sizes = {r["__g"]: r["n"] for r in d.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, acc = {}, 0
+    for g in sorted(sizes):                  # same byte order as the rank's first key
+        starts[g] = acc
+        acc += sizes[g]
+    n = acc if n_estimate is None else max(acc, int(n_estimate))
+    ranked = global_row_number(d, [SortKey("__g"), SortKey("__v")], n, out="__rn", rows_per_bucket=rows_per_bucket)
+    start = F.create_map(*[x for g, st in starts.items() for x in (F.lit(g), F.lit(st))])
+    return ranked.select(F.col("__g").alias(group_col), F.col("__v").alias(value_col),
+                         (F.col("__rn") - 1 - F.element_at(start, F.col("__g"))).cast("bigint").alias(out))

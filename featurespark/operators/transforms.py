@@ -322,8 +322,22 @@ def fit_transforms(df: DataFrame, raw_specs: list[dict], quantiles: str | None =
         register_needs(spec, plan)
     stats = plan.fit(df)
     lookups = {}
+    labels = sorted({s.column for s in valid if s.method == "label_encoding"})
+    shared = None
+    if len(labels) > 1:
+        # one combined dictionary for every label-encoded column: 3 jobs in total
+        pairs = df.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("g"), F.coalesce(as_text(col_of(c), df.schema[c].dataType), F.lit("")).alias("v"))
+            for c in labels])))
+        est = sum(int(stats.get(("ndv", c)) or 0) for c in labels)
+        shared = rank.dense_rank_dictionaries(pairs, "g", "v", "code", rows_per_bucket, n_estimate=est)
     for i, spec in enumerate(valid):
-        if spec.method in LOOKUP_METHODS:
+        if spec.method == "label_encoding" and shared is not None:
+            dtype = df.schema[spec.column].dataType
+            table = shared.where(F.col("g") == spec.column).select(F.col("v").alias("__lk"), F.col("code").alias("__lv"))
+            lookups[i] = Lookup(build_lookup_key(spec, col_of(spec.column), dtype), table,
+                                stats.get(("ndv", spec.column)), null_safe=False)
+        elif spec.method in LOOKUP_METHODS:
             lookups[i] = build_lookup(spec, df, col_of(spec.column), df.schema[spec.column].dataType,
                                       stats.get(("ndv", spec.column)), rows_per_bucket)
     return FittedTransforms(valid, skipped, stats, lookups, order_key, max_broadcast_rows, rows_per_bucket, df)

@@ -145,3 +145,20 @@ def test_properties_on_events(spark):
     assert 5 <= r[2] and r[3] <= 50 and r[4] == 0 and r[5] == 0
     sizes = [x["count"] for x in out.groupBy("value_bin").count().collect()]
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_many_label_encodings_share_one_dictionary(spark):
+    import duckdb
+    from tests.conftest import SF01
+    li = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    cols = ["l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_quantity"]
+    out = apply_transforms(li, [{"column_name": c, "fe_method": "label_encoding"} for c in cols],
+                           include_original=False, rows_per_bucket=7).df
+    got = sorted(map(tuple, out.collect()))
+    def text(c):
+        if c.startswith("l_return") or c.startswith("l_line"):
+            return c
+        return f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
+    sql = ", ".join(f"CAST(dense_rank() OVER (ORDER BY coalesce({text(c)}, '')) - 1 AS BIGINT)" for c in cols)
+    ref = sorted(duckdb.sql(f"SELECT {sql} FROM '{SF01}/lineitem.parquet'").fetchall())
+    assert got == ref
