@@ -331,8 +331,21 @@ def fit_transforms(df: DataFrame, raw_specs: list[dict], quantiles: str | None =
             for c in labels])))
         est = sum(int(stats.get(("ndv", c)) or 0) for c in labels)
         shared = rank.dense_rank_dictionaries(pairs, "g", "v", "code", rows_per_bucket, n_estimate=est)
+    freqs = sorted({s.column for s in valid if s.method == "frequency_encoding"})
+    shared_counts = None
+    if len(freqs) > 1:
+        # one partial-aggregated count over (column, value) for every frequency encoding
+        pairs = df.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("g"), as_text(col_of(c), df.schema[c].dataType).alias("v")) for c in freqs])))
+        shared_counts = pairs.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
     for i, spec in enumerate(valid):
-        if spec.method == "label_encoding" and shared is not None:
+        if spec.method == "frequency_encoding" and shared_counts is not None:
+            dtype = df.schema[spec.column].dataType
+            table = shared_counts.where(F.col("g") == spec.column).select(F.col("v").alias("__lk"),
+                                                                         F.col("n").alias("__lv"))
+            lookups[i] = Lookup(build_lookup_key(spec, col_of(spec.column), dtype), table,
+                                stats.get(("ndv", spec.column)), null_safe=True)
+        elif spec.method == "label_encoding" and shared is not None:
             dtype = df.schema[spec.column].dataType
             table = shared.where(F.col("g") == spec.column).select(F.col("v").alias("__lk"), F.col("code").alias("__lv"))
             lookups[i] = Lookup(build_lookup_key(spec, col_of(spec.column), dtype), table,

@@ -162,3 +162,11 @@ def test_many_label_encodings_share_one_dictionary(spark):
     sql = ", ".join(f"CAST(dense_rank() OVER (ORDER BY coalesce({text(c)}, '')) - 1 AS BIGINT)" for c in cols)
     ref = sorted(duckdb.sql(f"SELECT {sql} FROM '{SF01}/lineitem.parquet'").fetchall())
     assert got == ref
+
+
+def test_many_frequency_encodings_share_one_count(spark, customers):
+    out = apply_transforms(customers, [{"column_name": c, "fe_method": "frequency_encoding"}
+                                       for c in ("category", "gender", "age")]).df
+    r = {x["customer_id"]: x for x in out.collect()}
+    assert r[1]["category_freq"] == 4 and r[1]["gender_freq"] == 4 and r[4]["age_freq"] == 1
+    assert r[4]["age"] is None
