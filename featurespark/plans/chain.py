@@ -108,7 +108,7 @@ class _Chain:
 
 
 def _apply_step(ch: _Chain, spec: S.Spec, stats: Stats, idx: str, order_key, rows_per_bucket,
-                max_broadcast_rows) -> None:
+                max_broadcast_rows, pending: list | None = None) -> None:
     m, c = spec.method, ch.column
     if m in ("interaction", "ratio", "extract_date_parts"):
         ch.extra.extend(multi_output(spec, ch.df))
@@ -131,6 +131,9 @@ def _apply_step(ch: _Chain, spec: S.Spec, stats: Stats, idx: str, order_key, row
             key = spec.params.get("order_key", order_key)
             ch.df = rank.global_ntile(ch.df, staged, int(spec.params["num_bins"]), key,
                                       stats[("rows", None)], out, rows_per_bucket)
+        elif pending is not None and ch.local and m in ("label_encoding", "frequency_encoding"):
+            # deferred: one shared dictionary / count is built for all such steps
+            pending.append((spec, c, ch.expr, ch.dtype, staged, out))
         else:
             # fit the lookup on the input table when the staged value is row-local,
             # so its lineage does not re-run other columns' joins
@@ -153,6 +156,38 @@ def _apply_step(ch: _Chain, spec: S.Spec, stats: Stats, idx: str, order_key, row
         ch.suffixes.append(suffix)
 
 
+def _resolve_pending(source: DataFrame, running: DataFrame, pending: list, stats: Stats, max_broadcast_rows: int,
+                     rows_per_bucket: int) -> DataFrame:
+    """Join the deferred label / frequency lookups.  Steps of one kind share one
+    (step, value) table fitted on the chain's input: a single bucketed ranking
+    for every label encoding, a single count for every frequency encoding."""
+    from ..operators.transforms import Lookup
+    for kind in ("label_encoding", "frequency_encoding"):
+        steps = [p for p in pending if p[0].method == kind]
+        if not steps:
+            continue
+        if len(steps) == 1:
+            spec, c, expr, dtype, staged, out = steps[0]
+            lk = build_lookup(spec, source, expr, dtype, stats.get(("ndv", c)), rows_per_bucket)
+            lk.key = build_lookup_key(spec, F.col(staged), dtype)
+            running = join_lookup(running, lk, out, max_broadcast_rows)
+            continue
+        text = {p[5]: build_lookup_key(p[0], p[2], p[3]) for p in steps}          # out -> key on the input
+        pairs = source.select(F.inline(F.array(*[F.struct(F.lit(o).alias("g"), t.alias("v"))
+                                                 for o, t in text.items()])))
+        if kind == "label_encoding":
+            est = sum(int(stats.get(("ndv", p[1])) or 0) for p in steps)
+            shared = rank.dense_rank_dictionaries(pairs, "g", "v", "n", rows_per_bucket, n_estimate=est)
+        else:
+            shared = pairs.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+        for spec, c, expr, dtype, staged, out in steps:
+            table = shared.where(F.col("g") == out).select(F.col("v").alias("__lk"), F.col("n").alias("__lv"))
+            lk = Lookup(build_lookup_key(spec, F.col(staged), dtype), table, stats.get(("ndv", c)),
+                        null_safe=(kind == "frequency_encoding"))
+            running = join_lookup(running, lk, out, max_broadcast_rows)
+    return running
+
+
 def auto_binary_target(x: Column, dtype: T.DataType) -> Column:
     return F.when(as_text(x, dtype).isin(S.TRUE_TEXTS), F.lit(1)).otherwise(F.lit(0))
 
@@ -190,13 +225,19 @@ def build_chain(df: DataFrame, raw_specs: list[dict], target_column: str | None
     running = df
     outputs: list[tuple[str, Column]] = []
     lineage = []
+    pending: list = []
     for ci, (column, steps) in enumerate(grouped.items()):
         is_target = column == target_column
         if is_target and not include_target:
             continue
         ch = _Chain(running, column, df.schema[column].dataType, df)
+        # a column whose only lookup step is label / frequency encoding and that has
+        # no rank step can defer that lookup to the shared pass below
+        n_lookup = sum(1 for s in steps if s.method in LOOKUP_METHODS)
+        eligible = n_lookup == 1 and not any(s.method == "binning" for s in steps)
         for si, spec in enumerate(steps):
-            _apply_step(ch, spec, stats, f"{ci}_{si}", order_key, rows_per_bucket, max_broadcast_rows)
+            _apply_step(ch, spec, stats, f"{ci}_{si}", order_key, rows_per_bucket, max_broadcast_rows,
+                        pending if eligible else None)
         running = ch.df
         name = "target" if is_target else (
             f"{S.sanitize_column_name(column)}_{'_'.join(ch.suffixes)}" if ch.suffixes
@@ -205,6 +246,7 @@ def build_chain(df: DataFrame, raw_specs: list[dict], target_column: str | None
         outputs.extend(ch.extra)
         lineage.append({"original_column": column, "output_column": name,
                         "transformations": [s.raw_method for s in steps]})
+    running = _resolve_pending(df, running, pending, stats, max_broadcast_rows, rows_per_bucket)
     if target_column and include_target and target_column not in grouped:
         if target_column not in df.columns:
             raise ValueError(f"Target column '{target_column}' not found")
