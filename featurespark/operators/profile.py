@@ -370,15 +370,19 @@ def feature_types(df: DataFrame, card: DataFrame | None = None, text_min_avg_len
 # ---------------------------------------------------------------------------
 # P12 histogram, P13 density
 # ---------------------------------------------------------------------------
-def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30) -> DataFrame:
+def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30,
+              bounds: dict[str, tuple] | None = None) -> DataFrame:
     """(column_name, bin, lower, upper, count) for non-empty equal-width bins,
-    bin = least(floor((x-min)/(max-min)·bins)+1, bins); constant column → bin 1."""
+    bin = least(floor((x-min)/(max-min)·bins)+1, bins); constant column → bin 1.
+    ``bounds`` ({column: (min, max)}) skips the min/max pass when already known."""
     cols = columns or numeric_columns(df)
-    mm = df.agg(*[F.min(col_of(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-                *[F.max(col_of(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]).collect()[0]
+    if bounds is None:
+        mm = df.agg(*[F.min(col_of(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
+                    *[F.max(col_of(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]).collect()[0]
+        bounds = {c: (mm[f"a{i}"], mm[f"b{i}"]) for i, c in enumerate(cols)}
     structs, meta = [], []
     for i, c in enumerate(cols):
-        lo, hi = mm[f"a{i}"], mm[f"b{i}"]
+        lo, hi = bounds.get(c, (None, None))
         if lo is None:
             continue
         x = col_of(c).cast("double")
@@ -498,24 +502,47 @@ def box_stats(df: DataFrame, class_col: str, columns: list[str] | None = None, q
 # P19 full profile
 # ---------------------------------------------------------------------------
 def profile(df: DataFrame, target: str | None = None, cache: bool = False, quantiles: str | None = None) -> dict:
-    """P1–P8, P11 composed; numeric target → P7/P16, categorical → P8/P17.
-    Returns named DataFrames (lazy except the small fitted passes)."""
+    """P1–P8, P11, P12, P14 composed; numeric target → P7/P15/P16, categorical → P8/P18/P17.
+
+    Missing values, cardinality, IQR outliers, feature types and histogram
+    ranges all come from one per-column summary (two passes over the data);
+    the other sections are lazy DataFrames."""
+    from .recommend import column_summary
     if cache:
         df = df.persist()
     nums, cats = numeric_columns(df), categorical_columns(df)
-    card = cardinality(df)
+    summ = column_summary(df, quantiles)                 # small: one row per column
+    rows = {r["column_name"]: r for r in summ.collect()}
+    n = next(iter(rows.values()))["rows"] if rows else 0
+    spark = df.sparkSession
+    missing = summ.select("column_name", "missing_count", "missing_pct")
+    card = summ.select("column_name", "n_unique", (F.col("n_unique") <= 10).alias("low_cardinality"),
+                       (F.col("n_unique") > F.col("rows") * 0.5).alias("high_cardinality"),
+                       F.col("id_like"))
+    outl_rows = []
+    for c in nums:
+        r = rows[c]
+        if r["q1"] is None or not r["outlier_count"]:
+            continue
+        iqr = r["q3"] - r["q1"]
+        outl_rows.append((c, r["q1"], r["q3"], r["q1"] - 1.5 * iqr, r["q3"] + 1.5 * iqr, r["outlier_count"],
+                          round(r["outlier_count"] * 100.0 / n, 2) if n else 0.0, "IQR"))
+    outliers = spark.createDataFrame(outl_rows, "column_name string, q1 double, q3 double, lower double, "
+                                                "upper double, outlier_count bigint, outlier_percentage double, "
+                                                "method string")
     out = {
         "overview": overview(df),
         "preview": preview(df),
-        "missing_values": missing_report(df),
-        "outliers": iqr_outliers(df, nums, quantiles) if nums else None,
+        "missing_values": missing,
+        "outliers": outliers,
         "cardinality": card,
         "univariate_numeric": univariate_numeric(df, nums, quantiles=quantiles) if nums else None,
         "univariate_categorical": univariate_categorical(df, cats) if cats else None,
-        "histogram": histogram(df, nums) if nums else None,
+        "histogram": histogram(df, nums, bounds={c: (rows[c]["min"], rows[c]["max"]) for c in nums})
+        if nums else None,
         "top10": top_values(df, cats, 10, clean=True) if cats else None,
+        "feature_types": summ.select("column_name", "feature_type"),
     }
-    out["feature_types"] = feature_types(df, card)
     if target:
         if target in nums:
             out["correlations"] = target_correlation(df, target, nums)

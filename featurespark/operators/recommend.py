@@ -77,7 +77,7 @@ def column_summary(df: DataFrame, quantiles: str | None = None, text_min_avg_len
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     plan = StatsPlan(quantile_method=quantiles)
     for c in nums:
-        for k in ("min", "skew", "count"):
+        for k in ("min", "max", "skew", "count"):
             plan.need(k, c)
         plan.need_qdisc(c, 0.25), plan.need_qdisc(c, 0.75)
     st = plan.fit(df) if nums else None
@@ -115,12 +115,17 @@ def column_summary(df: DataFrame, quantiles: str | None = None, text_min_avg_len
         m = row[f"m{i}"]
         sk, cnt = (st[("skew", c)], st[("count", c)]) if c in nums else (None, None)
         adj = sk * math.sqrt(cnt * (cnt - 1)) / (cnt - 2) if (sk is not None and cnt and cnt > 2) else None
+        num = c in nums
         rows.append((c, kind, int(m), round(100.0 * m / n, 2) if n else 0.0, int(nu), nu == n,
-                     float(st[("min", c)]) if c in nums and st[("min", c)] is not None else None, adj,
-                     int(row[f"o{i}"]) if c in bounds else None))
+                     float(st[("min", c)]) if num and st[("min", c)] is not None else None,
+                     float(st[("max", c)]) if num and st[("max", c)] is not None else None, adj,
+                     float(st[("qd", c, 0.25)]) if c in bounds else None,
+                     float(st[("qd", c, 0.75)]) if c in bounds else None,
+                     int(row[f"o{i}"]) if c in bounds else None, int(n)))
     return spark.createDataFrame(rows, "column_name string, feature_type string, missing_count bigint, "
                                        "missing_pct double, n_unique bigint, id_like boolean, min double, "
-                                       "skewness double, outlier_count bigint")
+                                       "max double, skewness double, q1 double, q3 double, outlier_count bigint, "
+                                       "rows bigint")
 
 
 def recommendations_to_specs(rec: DataFrame) -> list[dict]:

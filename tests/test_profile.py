@@ -133,3 +133,16 @@ def test_quantiles_array_search(spark, monkeypatch):
         fn = "quantile_cont" if k == "cont" else "quantile_disc"
         ref = duckdb.sql(f"SELECT {fn}({c}, {p}) FROM '{SF01}/lineitem.parquet'").fetchall()[0][0]
         assert got[(k, c, p)] == pytest.approx(ref, rel=1e-12), (k, c, p)
+
+
+def test_profile_sections_equal_standalone_operators(spark):
+    from tests.conftest import SF01
+    o = spark.read.parquet(f"{SF01}/orders.parquet")
+    rep = P.profile(o, target="o_orderstatus")
+    def rows(d):
+        return sorted(map(tuple, d.collect()))
+    assert rows(rep["missing_values"]) == rows(P.missing_report(o))
+    assert rows(rep["cardinality"]) == rows(P.cardinality(o))
+    assert rows(rep["outliers"]) == rows(P.iqr_outliers(o))
+    assert rows(rep["histogram"]) == rows(P.histogram(o))
+    assert rows(rep["feature_types"]) == rows(P.feature_types(o))
