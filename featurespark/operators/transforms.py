@@ -214,9 +214,12 @@ def build_lookup(spec: S.Spec, fit_df: DataFrame, key: Column, key_dtype: T.Data
         table = fit_df.groupBy(text.alias("__lk")).agg(F.count(F.lit(1)).alias("__lv"))
         return Lookup(text, table, ndv, null_safe=True)
     if m == "target_encoding":
+        # keyed on the canonical text of the value: same groups as the raw value
+        # (NULL is its own group), and a common key type across columns
+        text = as_text(key, key_dtype)
         target = col_of(spec.params["target_column"]).cast("double")
-        table = fit_df.groupBy(key.alias("__lk")).agg(F.avg(target).alias("__lv"))
-        return Lookup(key, table, ndv, null_safe=True)
+        table = fit_df.groupBy(text.alias("__lk")).agg(F.avg(target).alias("__lv"))
+        return Lookup(text, table, ndv, null_safe=True)
     raise ValueError(m)
 
 
@@ -224,7 +227,7 @@ def build_lookup_key(spec: S.Spec, x: Column, dtype: T.DataType) -> Column:
     """The join key a lookup of ``spec`` expects for input expression ``x``."""
     if spec.method == "label_encoding":
         return F.coalesce(as_text(x, dtype), F.lit(""))
-    if spec.method == "frequency_encoding":
+    if spec.method in ("frequency_encoding", "target_encoding"):
         return as_text(x, dtype)
     return x
 
@@ -338,8 +341,28 @@ def fit_transforms(df: DataFrame, raw_specs: list[dict], quantiles: str | None =
         pairs = df.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("g"), as_text(col_of(c), df.schema[c].dataType).alias("v")) for c in freqs])))
         shared_counts = pairs.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    by_target: dict[str, list[str]] = {}
+    for s_ in valid:
+        if s_.method == "target_encoding":
+            cols_t = by_target.setdefault(s_.params["target_column"], [])
+            if s_.column not in cols_t:
+                cols_t.append(s_.column)
+    shared_means = {}
+    for tgt, cols_t in by_target.items():
+        if len(cols_t) > 1:
+            # one partial-aggregated mean over (column, value) per target
+            pairs = df.select(F.inline(F.array(*[
+                F.struct(F.lit(c).alias("g"), as_text(col_of(c), df.schema[c].dataType).alias("v")) for c in cols_t])),
+                col_of(tgt).cast("double").alias("__y"))
+            shared_means[tgt] = pairs.groupBy("g", "v").agg(F.avg("__y").alias("n"))
     for i, spec in enumerate(valid):
-        if spec.method == "frequency_encoding" and shared_counts is not None:
+        if spec.method == "target_encoding" and spec.params["target_column"] in shared_means:
+            dtype = df.schema[spec.column].dataType
+            table = shared_means[spec.params["target_column"]].where(F.col("g") == spec.column).select(
+                F.col("v").alias("__lk"), F.col("n").alias("__lv"))
+            lookups[i] = Lookup(build_lookup_key(spec, col_of(spec.column), dtype), table,
+                                stats.get(("ndv", spec.column)), null_safe=True)
+        elif spec.method == "frequency_encoding" and shared_counts is not None:
             dtype = df.schema[spec.column].dataType
             table = shared_counts.where(F.col("g") == spec.column).select(F.col("v").alias("__lk"),
                                                                          F.col("n").alias("__lv"))

@@ -170,3 +170,15 @@ def test_many_frequency_encodings_share_one_count(spark, customers):
     r = {x["customer_id"]: x for x in out.collect()}
     assert r[1]["category_freq"] == 4 and r[1]["gender_freq"] == 4 and r[4]["age_freq"] == 1
     assert r[4]["age"] is None
+
+
+def test_target_encodings_share_one_mean(spark, customers):
+    specs = [{"column_name": c, "fe_method": "target_encoding", "target_column": "income"}
+             for c in ("category", "gender", "age")]
+    out = {r["customer_id"]: r for r in apply_transforms(customers, specs).df.collect()}
+    premium = [75000.0, 120000.0, 95000.0, 250000.0]
+    assert out[1]["category_target_encoded"] == pytest.approx(sum(premium) / 4)
+    assert out[6]["gender_target_encoded"] == pytest.approx((52000 + 48000 + 250000) / 3)   # NULL income skipped
+    assert out[4]["age_target_encoded"] == pytest.approx(48000.0)                          # NULL age group
+    single = {r["customer_id"]: r for r in apply_transforms(customers, specs[:1]).df.collect()}
+    assert all(single[i]["category_target_encoded"] == out[i]["category_target_encoded"] for i in single)
