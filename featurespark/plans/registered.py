@@ -1163,8 +1163,10 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
   CAST(dense_rank() OVER (ORDER BY coalesce(o_orderstatus, '')) - 1 AS BIGINT) AS target
 FROM j, s""")
 def q_chain_joined(spark, sf):
+    # the joined input feeds the statistics pass, the shared dictionary, the count
+    # and the output: checkpoint its needed columns once (spark.checkpoint.dir)
     res = build_chain(lineitem_orders(spark, sf), JOINED_SPECS, target_column="o_orderstatus",
-                      keep_columns=["l_orderkey", "l_linenumber"])
+                      keep_columns=["l_orderkey", "l_linenumber"], cut_input_lineage=True)
     d = res.df
     return d.select(L("l_orderkey").alias("l_orderkey"), L("l_linenumber").alias("l_linenumber"),
                     R("l_quantity_scaled").alias("l_quantity_scaled"),
