@@ -23,3 +23,16 @@ def test_every_query_has_oracle_or_is_rows_only():
 def test_query_matches_oracle(spark, name):
     res = check([name], SF01, spark)[name]
     assert res[0] in ("ok", "rows-only"), res
+
+
+def test_schemas_stable_across_scales(spark):
+    """Each registered query has the same output schema at sf0.001 and sf0.01
+    (one_hot's columns are data values, fixed across the driver's scales)."""
+    from tests.conftest import SF001
+    diff = []
+    for name, fn in E.queries().items():
+        a = fn(spark, SF001).schema.simpleString()
+        b = fn(spark, SF01).schema.simpleString()
+        if a != b:
+            diff.append(name)
+    assert diff == []
