@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurespark.llm import exact_dedup, line_dedup
+from featurespark.llm import exact_dedup, line_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op10_line_dedup)}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.repeated_word_cover(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op10_line_dedup)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
@@ -47,4 +52,16 @@ ORACLE = {
         SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN s USING (doc_id)""",
+    "op3_substring_dedup": r"""
+        WITH l AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM l),
+        w AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS pos, ws FROM l WHERE len(ws) >= 13),
+        k AS (SELECT doc_id, pos, md5(array_to_string(ws[pos:pos + 12], ' ')) AS k FROM w),
+        f AS (SELECT doc_id, pos FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS least FROM k) WHERE least < doc_id),
+        g AS (SELECT x.*, max(f.pos IS NOT NULL) OVER (PARTITION BY x.doc_id ORDER BY x.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+              FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.pos = x.pos),
+        s AS (SELECT doc_id, count(*) AS n_words, sum(gone::INT)::BIGINT AS n_removed,
+                     coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN s USING (doc_id)""",
 }
