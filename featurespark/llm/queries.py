@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurespark.llm import exact_dedup, jaccard_join, line_dedup, substring_dedup
+from featurespark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, pieces, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,27 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_ngram_jaccard, op10_line_dedup)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs (doc_id, item_id) of documents that contain a benchmark item."""
+    return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target documents: those labelled of good quality and not toxic."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lm_score.score(_table(spark, sf_dir, "documents"), good)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"), pieces.PieceModel())
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_ngram_jaccard, op5_language_id, op7_lm_scoring, op8_sentencepiece, op9_decontaminate, op10_line_dedup)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
@@ -79,4 +99,13 @@ ORACLE = {
         r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, d.c AS component_id
         FROM (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) d LEFT JOIN n USING (doc_id)""",
+    "op9_decontaminate": r"""
+        WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        l AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x20\x09-\x0D]+') AS ws FROM t),
+        s AS (SELECT DISTINCT kind, id, array_to_string(ws[p:p + 4], ' ') AS g
+              FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 3)) AS p FROM l WHERE len(ws) >= 5)),
+        m AS (SELECT id, count(*) AS m FROM s WHERE kind = 'i' GROUP BY id),
+        c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n FROM s d JOIN s i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2)
+        SELECT doc_id, item_id, m AS n_shingles, n AS n_common, n / m AS containment FROM c JOIN m ON m.id = item_id WHERE 100 * n >= 80 * m""",
 }

@@ -50,8 +50,14 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def batch_count(spark: SparkSession, total_bytes: int, batch_bytes: int) -> int:
-    """Batches of about ``batch_bytes`` of text, and several for each shuffle partition."""
-    return max(-(-total_bytes // batch_bytes), 3 * partitions(spark))
+    """Batches of about ``batch_bytes`` of text, and two for each shuffle partition."""
+    return max(-(-total_bytes // batch_bytes), 2 * partitions(spark))
+
+
+def bucket_count(spark: SparkSession, total_bytes: int, bucket_bytes: int = 6_000_000) -> int:
+    """Buckets of the keys of about ``bucket_bytes`` of text (a million words), and one for
+    each shuffle partition: batches times buckets is the number of blobs."""
+    return max(-(-total_bytes // bucket_bytes), partitions(spark))
 
 
 def batched(docs: DataFrame, batches: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

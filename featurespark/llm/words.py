@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 BASES = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
@@ -28,6 +29,18 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1_000_000):
+    """The rows of ``batch`` in slices of about ``most`` bytes of the text column: the
+    memory of numpy work does not follow Arrow's batch size."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = lengths[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(lengths, before + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     x = x ^ (x >> U64(30))
