@@ -13,30 +13,30 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(lines: Column, size: int) -> Column:
-    """(pos, a, b) of every run of ``size`` lines: two 64-bit hashes of the lines in order."""
-    def one(i: Column) -> Column:
-        run = [lines[i + k] for k in range(size)]
-        return F.struct(i.cast("int").alias("pos"), F.xxhash64(*run).alias("a"), F.xxhash64(F.lit(1), *run).alias("b"))
-    return F.when(F.size(lines) >= size, F.transform(F.sequence(F.lit(0), F.size(lines) - size), one))
+def _windows(text: Column, size: int) -> Column:
+    """(pos, struct of ``size`` lines) for every line; the last ``size`` - 1 have nulls.
+    Zipped slices split a text ``size`` times in all, whatever its length."""
+    shifted = [F.slice(_lines(text), k + 1, 2147483647).alias(str(k)) for k in range(size)]
+    return F.posexplode(F.arrays_zip(*shifted)).alias("pos", "run")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """Lines covered by a window of ``size`` consecutive lines that also starts earlier
-    (smaller id, or earlier in the same document): (id, text_hash, starts), where
-    ``starts`` are the positions of such windows. Documents without any are absent.
+    (smaller id, or earlier in the same document): (id, text_hash, covered),
+    ``covered`` being the positions. Documents without any are absent.
 
     A row is addressed by its id and a hash of its text, so different texts under one
     id stay apart; a repeated row is one document. A null id comes last.
     """
+    run = [F.col("run").getField(str(k)) for k in range(size)]
     cut = stage(docs.where(F.col(text_col).isNotNull()).select(
-        id_or_last(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
-        F.explode(_windows(_lines(F.col(text_col)), size)).alias("w"),
-    ).select("id", "text_hash", F.col("w.pos").alias("pos"), F.col("w.a").alias("a"), F.col("w.b").alias("b")), "line-windows")
+        id_or_last(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _windows(F.col(text_col), size),
+    ).where(run[-1].isNotNull()).select("id", "text_hash", "pos", F.xxhash64(*run).alias("a"), F.xxhash64(F.lit(1), *run).alias("b")), "line-windows")
     first = stage(cut.groupBy("a", "b").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
                   .where("n > 1").select(F.col("a").alias("ra"), F.col("b").alias("rb"), "first"), "line-first")
     later = cut.join(first, (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb"))).where(F.struct("id", "pos") > F.col("first"))
-    return later.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("starts"))
+    return later.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("starts")).select(
+        "id", "text_hash", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1))))).alias("covered"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -50,14 +50,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     they are; null text stays null with 0 lines; an empty text is one empty line.
     """
     hits = removed_lines(docs, id_col, text_col, size).select(
-        F.col("id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash"), F.col("starts").alias("__starts"))
+        F.col("id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash"), F.col("covered").alias("__covered"))
     joined = docs.join(hits, (id_or_last(id_col) == F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_hash")), "left")
     lines = _lines(F.col(text_col))
-    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (size - 1)))))
-    joined = joined.withColumn("__covered", covered)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__covered", i)), "\n")
     n_lines, n_removed = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("__covered"), F.lit(0))
-    has = F.col("__starts").isNotNull()
+    has = F.col("__covered").isNotNull()
     columns = [F.when(has, kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(
         *columns,
