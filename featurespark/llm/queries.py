@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurespark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, pieces, substring_dedup
+from featurespark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, pieces, pii, substring_dedup
+from featurespark.llm.shared import reach
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,7 +56,15 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, sf_dir, "documents"), pieces.PieceModel())
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_ngram_jaccard, op5_language_id, op7_lm_scoring, op8_sentencepiece, op9_decontaminate, op10_line_dedup)}
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias("n_" + kind)
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_substring_dedup, op4_ngram_jaccard, op5_language_id, op7_lm_scoring, op8_sentencepiece, op9_decontaminate, op10_line_dedup)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
