@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurespark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, pieces, pii, substring_dedup
+from featurespark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, pieces, pii, substring_dedup, suffix_dedup
 from featurespark.llm.shared import reach
 
 
@@ -64,7 +64,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_substring_dedup, op4_ngram_jaccard, op5_language_id, op7_lm_scoring, op8_sentencepiece, op9_decontaminate, op10_line_dedup)}
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeated_byte_cover(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_substring_dedup, op4_ngram_jaccard, op5_language_id, op6_suffix_array_dedup, op7_lm_scoring, op8_sentencepiece, op9_decontaminate, op10_line_dedup)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
