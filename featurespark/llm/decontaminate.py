@@ -39,7 +39,7 @@ class Items:
         grams, owner = _sets(Words(pa.array(texts, pa.string()), lower=True), size)
         pairs = np.unique(np.stack([owner.astype(U64), grams], 1), axis=0) if len(grams) else np.zeros((0, 2), U64)
         self.owner, self.grams = pairs[:, 0].astype(np.int64), pairs[:, 1]
-        self.ids = np.array(ids, np.int64)
+        self.ids = pa.array(ids, pa.int64())
         self.m = np.bincount(self.owner, minlength=len(ids)).astype(np.int64)
         self.need = (PERCENT * self.m + 99) // 100
         keep = self.m - self.need + 1
@@ -114,7 +114,7 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, id_c
                 found = held.value.search(grams, owner)
                 m, common = held.value.m[found[:, 1]], found[:, 2]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(found[:, 0])), pa.array(held.value.ids[found[:, 1]]), pa.array(m), pa.array(common),
+                    [batch.column(0).take(pa.array(found[:, 0])), held.value.ids.take(pa.array(found[:, 1])), pa.array(m), pa.array(common),
                      pa.array(common / np.maximum(m, 1))], ["doc_id", "item_id", "n_shingles", "n_common", "containment"])
 
         part = texts.mapInArrow(find, RESULT)

@@ -22,12 +22,15 @@ def normalised(text_col: str):
 class DigestIndex:
     """Table (digest binary, keep_id long, n_chars long), bucketed and sorted by digest.
 
-    ``buckets`` is fixed when the table is created; aim at 1 GB a bucket (about
-    2·10^7 digests).
+    ``buckets`` holds for a new table; aim at 1 GB a bucket (about 2·10^7 digests). An
+    existing table keeps its own.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int = 16):
         self.spark, self.table, self.buckets = spark, table, buckets
+        if self.exists():
+            told = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+            self.buckets = int(told["data_type"])
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)

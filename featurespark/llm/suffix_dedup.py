@@ -90,7 +90,7 @@ class Stretches:
 
     def __init__(self, table: pa.Table, answer: pa.Table, plan: x.Plan, common: int):
         a = self.a = Anchors(table)
-        self.first = self.last = self.key = np.zeros(0, np.int64)
+        self.first, self.last, self.key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
         if len(a.at):
             cut = plan.cut(a.key)
             keys, group, here = np.unique(cut, return_inverse=True, return_counts=True)
@@ -115,7 +115,7 @@ class Stretches:
 
     def _add(self, first, last, key) -> None:
         self.first, self.last = np.concatenate([self.first, first]), np.concatenate([self.last, last])
-        self.key = np.concatenate([self.key.astype(U64), key])
+        self.key = np.concatenate([self.key, key])
 
     def _blocks(self, at, first, last) -> None:
         """Cut stretches by the distance of a string's start from the anchor."""
