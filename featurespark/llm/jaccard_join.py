@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from featurespark.llm import exchange as x
 from featurespark.llm.components import components
-from featurespark.llm.shared import NULL_ID, batch_count, batched, stage, text_bytes
+from featurespark.llm.shared import NULL_ID, batch_count, batched, bucket_count, stage, text_bytes
 from featurespark.llm.words import U64, Words, mix
 
 SHINGLE, PERCENT = 4, 85
 BATCH_BYTES = 2_000_000
 #: sets of one gram that meet in one task in round two
 BLOCK = 1000
+#: preceding prefix grams that tell whether a pair was made at an earlier gram
+BEFORE = 8
 HUB = np.dtype([("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
 
@@ -77,13 +79,13 @@ def _octaves(group, groups, _source, values):
     return np.floor(np.log2(np.bincount(group, values[0], groups))).astype(np.uint8)[group]
 
 
-def _prefix(size):
-    return size - (PERCENT * size + 99) // 100 + 1
+def _prefix(size, percent):
+    return size - (percent * size + 99) // 100 + 1
 
 
-def _least_overlap(a, b):
-    """Links need this many common shingles: 100 i >= PERCENT (a + b - i)."""
-    return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
+def _least_overlap(a, b, percent):
+    """Links need this many common shingles: 100 i >= percent (a + b - i)."""
+    return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
 def _hub(group, groups, source, values):
@@ -114,11 +116,11 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(a[:i], b[:j], depth - 1) + same + suffix_bound(a[i + 1:], b[j + same:], depth - 1)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= PERCENT * union, after the length and suffix filters."""
-    if PERCENT * max(len(a), len(b)) > 100 * min(len(a), len(b)):
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, after the length and suffix filters."""
+    if percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
         return False
-    need = _least_overlap(len(a), len(b))
+    need = _least_overlap(len(a), len(b), percent)
     if suffix_bound(a, b) < need:
         return False
     at = np.searchsorted(b, a)
@@ -126,7 +128,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int((b[at] == a).sum()) >= need
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, batches: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, batches: int, percent: int) -> DataFrame:
     """Links (a, b) among ``pairs`` (a, b): a forest for each batch of pairs. A batch gets
     each set that its pairs name once, however often they name it."""
     spread = pairs.withColumn("batch", F.pmod(F.xxhash64("a"), F.lit(batches)).cast("int"))
@@ -148,7 +150,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, batches: int) -> DataFrame:
         asked = table.filter(table["b"].is_valid())
         found = []
         for a, b in sorted(zip(asked["a"].to_pylist(), asked["b"].to_pylist())):
-            if (p := find(a)) != (q := find(b)) and linked(held[a], held[b]):
+            if (p := find(a)) != (q := find(b)) and linked(held[a], held[b], percent):
                 root[max(p, q)] = min(p, q)
                 found.append((a, b))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
@@ -156,11 +158,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, batches: int) -> DataFrame:
     return rows.groupBy("batch").applyInArrow(check, "a long, b long")
 
 
-def _prefix_rows(table: pa.Table):
+def _prefix_rows(table: pa.Table, percent: int):
     """Prefix grams of a batch's sets: hash, row, place, all in row order."""
     grams = [np.frombuffer(g.as_py(), U64) for g in table["grams"]]
     sizes = np.array([len(g) for g in grams], np.int64)
-    heads = _prefix(sizes)
+    heads = _prefix(sizes, percent)
     row = np.repeat(np.arange(len(grams)), heads)
     place = np.arange(len(row)) - np.repeat(np.cumsum(heads) - heads, heads)
     keys = np.concatenate([g[:h] for g, h in zip(grams, heads)]) if grams else np.zeros(0, U64)
@@ -168,20 +170,22 @@ def _prefix_rows(table: pa.Table):
     return keys[shared], row[shared], place[shared], sizes
 
 
-def link_components(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
 
     The set of a document is its distinct ``size``-word shingles (A-Z lowered); with
     fewer words the whole sequence is one; null, empty and blank texts have none and
-    link with nothing. Documents link at a Jaccard similarity of PERCENT % or more;
+    link with nothing. Documents link at a Jaccard similarity of ``percent`` % or more;
     component_id is the smallest id reachable by links. Rows that repeat an id are one
     node, which has the links of all of them; a null id is larger than any other, and
     is null in the result. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    batches = batch_count(spark, text_bytes(docs, text_col), BATCH_BYTES)
+    total = text_bytes(docs, text_col)
+    batches, buckets = batch_count(spark, total, BATCH_BYTES), bucket_count(spark, total)
     texts = batched(docs, batches, id_col, text_col)
-    short, full = x.Plan(batches, 40), x.Plan(batches)
+    short, full = x.Plan(buckets, 40), x.Plan(buckets)
 
     def frequency(batch, table):
         sets = Sets(table, size)
@@ -199,7 +203,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
         blobs = [None] * sets.n
         for d in np.flatnonzero(sets.first):
             grams = np.sort(ranked[sets.edges[d]:sets.edges[d + 1]])
-            if (grams[:_prefix(len(grams))] >> U64(58)).any():
+            if (grams[:_prefix(len(grams), percent)] >> U64(58)).any():
                 blobs[d] = grams.tobytes()
         return pa.table({"batch": pa.array([key[0].as_py()] * sets.n, pa.int32()), "doc_id": table["id"], "node": sets.node,
                          "n_shingles": sets.sizes, "grams": pa.array(blobs, pa.binary())})
@@ -209,7 +213,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     sets = ordered.where("grams is not null").select("batch", "node", "grams")
 
     def heads(batch, table):
-        keys, row, place, sizes = _prefix_rows(table)
+        keys, row, place, sizes = _prefix_rows(table, percent)
         nodes = table["node"].to_numpy()[row]
         order = np.lexsort((nodes, keys))
         distinct, first = np.unique(keys[order], return_index=True)
@@ -219,12 +223,12 @@ def link_components(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     hubs = x.ask(sets, heads, _hub, [np.int64, np.int32, np.int32])
 
     def to_hubs(_key, table, answer):
-        keys, row, place, sizes = _prefix_rows(table)
+        keys, row, place, sizes = _prefix_rows(table, percent)
         distinct, group = np.unique(keys, return_inverse=True)
         hub, node, size_ = x.replies(answer, distinct, full, HUB)[group], table["node"].to_numpy()[row], sizes[row]
-        most = np.minimum(place, hub["pos"]) + np.minimum(size_ - place, hub["size"] - hub["pos"])
-        good = (hub["node"] != node) & (most >= _least_overlap(size_, hub["size"])) & (
-            PERCENT * np.maximum(size_, hub["size"]) <= 100 * np.minimum(size_, hub["size"]))
+        most = np.minimum(size_ - place, hub["size"] - hub["pos"])
+        good = (hub["node"] != node) & (most >= _least_overlap(size_, hub["size"], percent)) & (
+            percent * np.maximum(size_, hub["size"]) <= 100 * np.minimum(size_, hub["size"]))
         pairs = np.unique(np.stack([hub["node"][good], node[good]], 1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -232,7 +236,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     first = stage(sets.groupBy("batch").cogroup(hubs.groupBy("batch")).applyInArrow(to_hubs, "a long, b long").select(
         F.col("b").alias("a"), F.col("a").alias("b")), "hub-pairs")
     known = sets.select("node", "grams")
-    links = stage(_verify(first, known, batches), "links")
+    links = stage(_verify(first, known, batches, percent), "links")
     labels = components(links)
     labelled = labels.select(F.pmod(F.xxhash64("node"), F.lit(batches)).cast("int").alias("batch"), "node", "label")
 
@@ -242,7 +246,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
         return np.array([at.get(n, n) for n in nodes], np.int64)
 
     def spread(batch, table, label):
-        keys, row, place, sizes = _prefix_rows(table)
+        keys, row, place, sizes = _prefix_rows(table, percent)
         comp = labels_of(table, label)[row]
         distinct, group, count = np.unique(keys, return_inverse=True, return_counts=True)
         low, high = np.full(len(distinct), NULL_ID, np.int64), np.full(len(distinct), -1, np.int64)
@@ -255,37 +259,41 @@ def link_components(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
         labelled.select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("reply"), "node", "label"))
 
     def left(_key, table, answer):
-        keys, row, place, sizes = _prefix_rows(table)
+        keys, row, place, sizes = _prefix_rows(table, percent)
         distinct, group = np.unique(keys, return_inverse=True)
         is_label = answer["node"].is_valid()
         count = x.replies(answer.filter(answer["bucket"].is_valid()), distinct, full, np.int32)[group]
         comp, on = labels_of(table, answer.filter(is_label))[row], count > 0
-        node = table["node"].to_numpy()[row]
-        return pa.table({"gram": keys[on].view(np.int64), "node": node[on], "comp": comp[on], "size": sizes[row[on]], "pos": place[on],
-                         "blocks": (count[on] + BLOCK - 1) // BLOCK})
+        keys, row, place, comp = keys[on], row[on], place[on], comp[on]
+        start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])[row]
+        before = [keys[max(start[i], i - BEFORE):i].view(np.int64).tolist() for i in range(len(row))]
+        return pa.table({"gram": keys.view(np.int64), "node": table["node"].to_numpy()[row], "comp": comp, "size": sizes[row], "pos": place,
+                         "before": pa.array(before, pa.list_(pa.int64())), "blocks": (count[on] + BLOCK - 1) // BLOCK})
 
     rows = stage(sets.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
-        left, "gram long, node long, comp long, size long, pos long, blocks int"), "open-grams")
-    pairs = stage(_open_pairs(rows), "open-pairs")
+        left, "gram long, node long, comp long, size long, pos long, before array<long>, blocks int"), "open-grams")
+    pairs = stage(_open_pairs(rows, percent), "open-pairs")
     if not pairs.isEmpty():
-        more = _verify(pairs, known, batches)
+        more = _verify(pairs, known, batches, percent)
         labels = components(stage(links.union(more), "links"))
     out = ordered.select("doc_id", "n_shingles", F.col("node").alias("n")).join(labels, F.col("n") == F.col("node"), "left")
     smallest = F.coalesce("label", "n")
     return out.select("doc_id", "n_shingles", F.when(smallest != NULL_ID, smallest).alias("component_id"))
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of one gram from different components that pass the length and
-    positional filters. A gram of many sets is split into blocks that meet two by two."""
+    positional filters. The position bounds the overlap at a pair's first common gram, so a
+    linked pair passes there; where an earlier common gram is at hand the pair has been
+    made before. A gram of many sets is split into blocks that meet two by two."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     left = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = rows.select(*[F.col(c).alias("r_" + c) for c in ("gram", "node", "comp", "size", "pos")], own.alias("r_block"),
+    right = rows.select(*[F.col(c).alias("r_" + c) for c in ("gram", "node", "comp", "size", "pos", "before")], own.alias("r_block"),
                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r_other"))
     a, b = F.col("size"), F.col("r_size")
-    need = F.floor((PERCENT * (a + b) + 99 + PERCENT) / (100 + PERCENT))
+    need = F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
     met = ((F.col("gram") == F.col("r_gram")) & (F.col("block") == F.col("r_other")) & (F.col("other") == F.col("r_block"))
            & (F.col("node") > F.col("r_node")) & (F.col("comp") != F.col("r_comp"))
-           & (PERCENT * F.greatest(a, b) <= 100 * F.least(a, b))
-           & (F.least("pos", "r_pos") + F.least(a - F.col("pos"), b - F.col("r_pos")) >= need))
+           & (percent * F.greatest(a, b) <= 100 * F.least(a, b))
+           & (F.least(a - F.col("pos"), b - F.col("r_pos")) >= need) & ~F.arrays_overlap("before", "r_before"))
     return left.join(right, met).select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
