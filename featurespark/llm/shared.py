@@ -67,8 +67,8 @@ def batch_count(spark: SparkSession, total_bytes: int, batch_bytes: int) -> int:
 
 def bucket_count(spark: SparkSession, total_bytes: int, bucket_bytes: int = 6_000_000) -> int:
     """Buckets of the keys of about ``bucket_bytes`` of text (a million words), and one for
-    each shuffle partition: batches times buckets is the number of blobs."""
-    return max(-(-total_bytes // bucket_bytes), partitions(spark))
+    most shuffle partitions (a power of two): batches times buckets is the number of blobs."""
+    return max(-(-total_bytes // bucket_bytes), 1 << (partitions(spark).bit_length() - 1))
 
 
 def batched(docs: DataFrame, batches: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
