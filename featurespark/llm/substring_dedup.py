@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from featurespark.llm import exchange as x
-from featurespark.llm.shared import NULL_ID, batch_count, batched, text_bytes
+from featurespark.llm.shared import NULL_ID, batch_count, batched, bucket_count, text_bytes
 from featurespark.llm.words import Words, mix, runs_cover
 
 WINDOW = 13
@@ -76,8 +76,9 @@ def repeated_word_cover(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_
     """
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
-    batches = batched(docs, n := batch_count(spark, total, BATCH_BYTES), id_col, text_col)
-    short, full = x.Plan(n, 40), x.Plan(n)
+    batches = batched(docs, batch_count(spark, total, BATCH_BYTES), id_col, text_col)
+    buckets = bucket_count(spark, total)
+    short, full = x.Plan(buckets, 40), x.Plan(buckets)
 
     def windows(batch, table):
         words = Words(table["text"])
