@@ -59,6 +59,13 @@ def md5_bucket(text: Column, num_buckets: int) -> Column:
     return F.when(text.isNull(), F.lit(None)).otherwise(F.pmod(h, F.lit(int(num_buckets))))
 
 
+def md5_int(*parts: Column) -> Column:
+    """60 bits of the md5 of the parts' text joined by '|': a draw that other engines can
+    repeat (``CAST('0x' || substr(md5(a || '|' || b), 1, 15) AS BIGINT)``)."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def btrim_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

@@ -18,15 +18,16 @@ Majority rows (and all originals) pass straight from the scan to the union.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_text, col_of, is_numeric
+from ..functions.columns import as_text, col_of, is_numeric, md5_int
+from ..session import stage
 from . import rank
 
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_CLASSES = 100_000          # class counts travel to the driver: checked bound
+#: draws that one task generates at a time
+DRAW_BLOCK = 100_000
 
 
 def _class_text(df: DataFrame, target: str) -> Column:
@@ -138,79 +139,47 @@ def prepare_rows(df: DataFrame, target: str, quantiles: str | None = None) -> Da
 # ---------------------------------------------------------------------------
 # B6 random oversampling, B7 shuffle
 # ---------------------------------------------------------------------------
-def _offsets_expr(idx: Column, bounds: list[int]) -> Column:
-    """Position of idx among sorted start offsets (binary search over literals)."""
-    def build(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(idx < F.lit(bounds[mid]), build(lo, mid - 1)).otherwise(build(mid, hi))
-    return build(0, len(bounds) - 1)
-
-
-def random_oversample(df: DataFrame, target: str, seed: int = 42,
-                      max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+def random_oversample(df: DataFrame, target: str, seed: int = 42, order_key: str | None = None,
                       rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Every class raised to the majority count by draws with replacement; all
-    original rows kept; NULL-target rows dropped. Deterministic for a seed."""
+    original rows kept; NULL-target rows dropped.  Deterministic for a seed: draw j of
+    class c copies the row at position md5(c, j, seed) mod its size, in the order of
+    ``order_key`` (default: a hash of the row).
+
+    Class counts and first positions are tables, so the plan has one size for two or a
+    million classes.  Draws are generated in blocks spread over all tasks."""
     base = df.where(col_of(target).isNotNull())
     cls = _class_text(base, target)
-    per_class = base.groupBy(cls.alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    if per_class.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes; balance it as a continuous target")
-    counts = {r["c"]: r["n"] for r in per_class.collect()}
-    if not counts:
-        return base
-    mx = max(counts.values())
-    minority = sorted((c, n) for c, n in counts.items() if n < mx)
-    if not minority:
+    classes = stage(base.groupBy(cls.alias("__c")).agg(F.count(F.lit(1)).alias("__n")), "classes")
+    most = classes.agg(F.max("__n")).first()[0] or 0
+    minority = classes.where(F.col("__n") < most)
+    n_min = minority.agg(F.sum("__n")).first()[0] or 0
+    if not n_min:
         return base
-    spark = df.sparkSession
-    cols = df.columns
-    # 1) index minority rows 1..cnt inside their class (sorted by class, then row hash)
-    mins = spark.createDataFrame([(c,) for c, _ in minority], "__c string")
-    tagged = base.withColumn("__c", cls).join(F.broadcast(mins), "__c", "left_semi") \
-        .withColumn("__h", F.xxhash64(*[col_of(c) for c in cols]))
-    n_min = sum(n for _, n in minority)
-    ranked = rank.global_row_number(tagged, [rank.SortKey("__c"), rank.SortKey("__h")], n_min, "__rn",
-                                    rows_per_bucket)
-    starts = {}
-    acc = 0
-    for c, n in minority:                  # classes sorted like the rank order (byte order)
-        starts[c] = acc
-        acc += n
-    start_df = spark.createDataFrame([(c, s, n) for c, n in minority for s in [starts[c]]],
-                                     "__c string, __start bigint, __cnt bigint")
-    indexed = (ranked.join(F.broadcast(start_df), "__c")
-               .withColumn("__idx", F.col("__rn") - F.col("__start")).drop("__rn", "__start", "__cnt", "__h"))
-    # 2) draws, generated in parallel
-    need = [(c, mx - n, n) for c, n in minority]
-    draw_starts, acc = [], 0
-    for _, d, _ in need:
-        draw_starts.append(acc)
-        acc += d
-    total_draws = acc
-    which = _offsets_expr(F.col("id"), draw_starts)
-    classes = F.array(*[F.lit(c) for c, _, _ in need])
-    cnts = F.array(*[F.lit(n) for _, _, n in need])
-    firsts = F.array(*[F.lit(s) for s in draw_starts])
-    n_parts = max(1, spark.sparkContext.defaultParallelism)
-    draws = (spark.range(0, total_draws, numPartitions=n_parts)
-             .withColumn("__k", which)
-             .withColumn("__c", F.element_at(classes, F.col("__k") + 1))
-             .withColumn("__j", F.col("id") - F.element_at(firsts, F.col("__k") + 1))
-             .withColumn("__idx", F.pmod(F.xxhash64(F.col("__c"), F.col("__j"), F.lit(seed)),
-                                         F.element_at(cnts, F.col("__k") + 1)) + 1)
-             .select("__c", "__idx"))
-    # 3) join draws to rows; small minority sets are broadcast (exact size known)
-    rows = indexed if n_min > max_broadcast_rows else F.broadcast(indexed)
-    extra = draws.join(rows, ["__c", "__idx"]).select(*[col_of(c) for c in cols])
+    # minority rows, numbered 0..n-1 inside their class
+    tie = col_of(order_key) if order_key else F.xxhash64(*[col_of(c) for c in df.columns])
+    tagged = base.withColumn("__c", cls).withColumn("__h", tie).join(minority.select("__c"), "__c", "left_semi")
+    ranked = rank.global_row_number(tagged, [rank.SortKey("__c"), rank.SortKey("__h")], n_min, "__rn", rows_per_bucket)
+    first = ranked.groupBy("__c").agg(F.min("__rn").alias("__first"))
+    indexed = ranked.join(first, "__c").withColumn("__idx", F.col("__rn") - F.col("__first")).drop("__rn", "__first", "__h")
+    # draws: blocks of a class first, then the draws of each block
+    need = F.lit(most) - F.col("__n")
+    blocks = minority.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((need - 1) / DRAW_BLOCK).cast("int"))))
+    draws = blocks.repartition("__c", "__block").withColumn(
+        "__j", F.explode(F.sequence(F.col("__block") * F.lit(DRAW_BLOCK).cast("long"),
+                                    F.least(need, (F.col("__block") + 1) * F.lit(DRAW_BLOCK).cast("long")) - 1)))
+    draws = draws.select("__c", F.pmod(md5_int(F.col("__c"), F.col("__j"), F.lit(seed)), F.col("__n")).alias("__idx"))
+    extra = draws.join(indexed, ["__c", "__idx"]).select(*[col_of(c) for c in df.columns])
     return base.unionByName(extra)
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
     """B7 (optional): deterministic random order = range-partitioned sort on a row hash."""
-    return df.orderBy(F.xxhash64(*[col_of(c) for c in df.columns], F.lit(seed)))
+    return df.orderBy(row_draw(df, seed))
+
+
+def row_draw(df: DataFrame, seed: int) -> Column:
+    return md5_int(*[F.coalesce(as_text(col_of(c), df.schema[c].dataType), F.lit("")) for c in df.columns], F.lit(seed))
 
 
 # ---------------------------------------------------------------------------
@@ -258,8 +227,8 @@ def balance_report(df: DataFrame, target: str, target_type: str = "categorical",
 def infer_target_type(df: DataFrame, target: str, max_classes: int = 20) -> str:
     if not is_numeric(df.schema[target].dataType):
         return "categorical"
-    d = df.agg(F.approx_count_distinct(col_of(target)).alias("d")).collect()[0]["d"]
-    return "categorical" if d <= max_classes else "continuous"
+    some = df.select(col_of(target)).where(col_of(target).isNotNull()).distinct().limit(max_classes + 1).count()
+    return "categorical" if some <= max_classes else "continuous"
 
 
 def severity(ratio: Column, bands=(1.2, 3.0, 10.0)) -> Column:
@@ -336,8 +305,10 @@ def group_outcomes(df: DataFrame, target: str, features: list[str] | None = None
     long = df.select(F.inline(F.array(*groups)), outcome.alias("__y"))
     per = long.groupBy("feature", "group").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                                 F.avg("__y").alias("outcome"))
-    tot = F.sum("n").over(Window.partitionBy("feature"))   # rows = groups of one feature (small)
-    return per.withColumn("share", F.col("n") / tot).select("feature", "group", "n", "share", "outcome")
+    per = stage(per, "groups")
+    total = per.groupBy("feature").agg(F.sum("n").alias("__total"))        # one row per feature
+    return (per.join(F.broadcast(total), "feature").withColumn("share", F.col("n") / F.col("__total"))
+            .select("feature", "group", "n", "share", "outcome"))
 
 
 def bias_report(outcomes: DataFrame, di_high: float = 0.8, di_medium: float = 0.9,
@@ -348,7 +319,7 @@ def bias_report(outcomes: DataFrame, di_high: float = 0.8, di_medium: float = 0.
     per = outcomes.where(F.col("group").isNotNull()).groupBy("feature").agg(
         F.min("outcome").alias("omin"), F.max("outcome").alias("omax"),
         F.min("share").alias("smin"), F.max("share").alias("smax"),
-        F.min_by("group", "outcome").alias("g_lo"), F.max_by("group", "outcome").alias("g_hi"))
+        F.min_by("group", F.struct("outcome", "group")).alias("g_lo"), F.max_by("group", F.struct("outcome", "group")).alias("g_hi"))
     di = F.when(F.col("omax") > 0, F.col("omin") / F.col("omax"))
     rep = F.col("smax") / F.col("smin")
     outcome_rows = per.select(
@@ -377,7 +348,7 @@ def balance_table(df: DataFrame, target: str, target_type: str = "categorical",
     the full DataFrame (the reference only returns its first 100 rows)."""
     from .smoter import smoter
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in table")
+        raise ValueError(f"no column {target!r} to balance")
     if target_type == "categorical":
         dist = class_distribution(df, target)
     else:
@@ -394,9 +365,6 @@ def balance_table(df: DataFrame, target: str, target_type: str = "categorical",
         else:
             balanced, info = smoter(prepared, target, seed=seed)
     post = balance_report(balanced, target, target_type, q)
-    missing = [c for c in df.columns if c not in balanced.columns]
-    if missing:
-        raise ValueError(f"Balanced data missing columns: {missing}")
     from .profile import preview
     return {"pre_distribution": dist, "pre_summary": pre, "balanced": balanced, "post_summary": post,
             "preview": preview(balanced, preview_rows), "smoter": info}

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_text, col_of
+from ..session import stage
 
 
 def crosstab_counts(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -34,9 +35,9 @@ def crosstab_counts(df: DataFrame, features: list[str], target: str) -> DataFram
 
 def chi2_scores(df: DataFrame, features: list[str], target: str, correction: bool = True) -> DataFrame:
     """(column_name, chi2, chi2_uncorrected, dof, n, cramers_v, purity,
-    rows_per_value) per feature — one cross-tab, reused by every branch."""
+    rows_per_value) per feature: one cross-tab, staged once and read by every branch."""
     features = [c for c in features if c != target]
-    cells = crosstab_counts(df, features, target)
+    cells = stage(crosstab_counts(df, features, target), "cells")
     rows = cells.groupBy("column_name", "value").agg(F.sum("n").alias("rn"), F.max("n").alias("rmax"))
     cols = cells.groupBy("column_name", "tvalue").agg(F.sum("n").alias("cn"))
     tot = cells.groupBy("column_name").agg(F.sum("n").alias("tot_n"))
@@ -44,6 +45,7 @@ def chi2_scores(df: DataFrame, features: list[str], target: str, correction: boo
                                              (F.sum("rmax") / F.sum("rn")).alias("purity"))
              .join(cols.groupBy("column_name").agg(F.count(F.lit(1)).alias("c")), "column_name")
              .join(tot, "column_name"))
+    shape, tot = F.broadcast(shape), F.broadcast(tot)                 # one row per feature
     obs = (cells.join(rows.drop("rmax"), ["column_name", "value"]).join(cols, ["column_name", "tvalue"])
            .join(shape, "column_name")
            .withColumn("E", F.col("rn") * F.col("cn") / F.col("tot_n")))

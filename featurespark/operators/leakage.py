@@ -7,15 +7,15 @@ here are aggregates (thresholds are ours and parameters):
   ≥ low → low;
 * any other feature (or any feature against a categorical target): purity —
   share of rows whose target equals the most frequent target of their
-  feature value — ≥ high with at least ``min_rows_per_value`` rows per value
-  (so ids do not count) → high; Cramér's V ≥ medium_v → medium;
-* id-like feature (distinct = rows) → low;
+  feature value — ≥ high → high; Cramér's V ≥ medium_v → medium; both only with
+  at least ``min_rows_per_value`` rows per value (a near-unique column determines
+  any target);
+* identifier (distinct = rows) → low, without a cross-tab;
 * ``time_columns`` vs ``event_time``: any row whose feature time is after the
   event time → high ("comes from future data").
 
 A numeric target is cut into quartile bins for the purity / Cramér's V
-tests.  One correlation aggregate, one cross-tab group-by, one distinct-count
-aggregate in total.
+tests.  One correlation aggregate, one staged cross-tab, one distinct pass in total.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col_of, is_numeric, is_temporal
+from ..session import stage
+from ..stats import present
 from . import contingency
 from .balance import qcut_bin, qcut_edges
 from .profile import cardinality
@@ -40,11 +42,15 @@ def leakage_report(df: DataFrame, target: str, features: list[str] | None = None
     numeric_target = is_numeric(tdt) and not isinstance(tdt, T.BooleanType)
     num = [c for c in feats if is_numeric(df.schema[c].dataType)
            and not isinstance(df.schema[c].dataType, T.BooleanType)] if numeric_target else []
-    other = [c for c in feats if c not in num and not is_temporal(df.schema[c].dataType)]
+    ids = [c for c in feats if not is_temporal(df.schema[c].dataType)]
+    card = stage(cardinality(df, ids), "cardinality") if ids else None            # one row per feature
+    unique = {r["column_name"] for r in card.where("id_like").collect()} if ids else set()
+    # an identifier determines every target; it has its own rule and is not cross-tabulated
+    other = [c for c in feats if c not in num and c not in unique and not is_temporal(df.schema[c].dataType)]
     parts = []
     if num:
-        y = col_of(target).cast("double")
-        one = df.agg(*[F.corr(col_of(c).cast("double"), y).alias(f"c{i}") for i, c in enumerate(num)])
+        y = present(df, target).cast("double")
+        one = df.agg(*[F.corr(present(df, c).cast("double"), y).alias(f"c{i}") for i, c in enumerate(num)])
         corr = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.col(f"c{i}")).alias("value"))
                                              for i, c in enumerate(num)])))
         risk = (F.when(F.col("value") >= corr_high, "high").when(F.col("value") >= corr_medium, "medium")
@@ -60,14 +66,12 @@ def leakage_report(df: DataFrame, target: str, features: list[str] | None = None
         j = contingency.chi2_scores(base, other, tcol, correction=False).select(
             "column_name", "cramers_v", "purity", "rows_per_value")
         high = (F.col("purity") >= purity_high) & (F.col("rows_per_value") >= min_rows_per_value)
-        medium = F.coalesce(F.col("cramers_v"), F.lit(0.0)) >= v_medium
+        medium = (F.coalesce(F.col("cramers_v"), F.lit(0.0)) >= v_medium) & (F.col("rows_per_value") >= min_rows_per_value)
         parts.append(j.select(F.col("column_name").alias("feature"),
                               F.when(high, "high").when(medium, "medium").alias("risk"),
                               F.when(high, "purity").otherwise("cramers_v").alias("metric"),
                               F.when(high, F.col("purity")).otherwise(F.col("cramers_v")).alias("value")))
-    ids = [c for c in feats if not is_temporal(df.schema[c].dataType)]
     if ids:
-        card = cardinality(df, ids)
         parts.append(card.where("id_like").select(F.col("column_name").alias("feature"), F.lit("low").alias("risk"),
                                                   F.lit("id_like").alias("metric"), F.lit(1.0).alias("value")))
     if event_time and time_columns:
@@ -85,7 +89,7 @@ def leakage_report(df: DataFrame, target: str, features: list[str] | None = None
     flagged = allp.where(F.col("risk").isNotNull())
     order = F.when(F.col("risk") == "high", 3).when(F.col("risk") == "medium", 2).otherwise(1)
     best = flagged.groupBy("feature").agg(F.max_by(F.struct("risk", "metric", "value"),
-                                                   F.struct(order, F.col("value"))).alias("b"))
+                                                   F.struct(order, F.col("value"), F.col("metric"))).alias("b"))
     out = best.select("feature", "b.risk", "b.metric", "b.value")
     reason = (F.when(F.col("metric") == "abs_corr", F.format_string("|correlation| with target = %.3f", "value"))
               .when(F.col("metric") == "purity", F.format_string("value determines target for %.1f%% of rows",

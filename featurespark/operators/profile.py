@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_text, btrim_ws, col_of, is_numeric, is_temporal
-from ..stats import AUTO_INLINE_BYTES, StatsPlan, default_quantile_method, estimated_bytes
+from ..session import stage
+from ..stats import StatsPlan, default_quantile_method, present
 from .quantiles import grouped_quantiles
 from . import contingency
 
 TOPK_SALT = 64
-MAX_BOX_GROUPS = 100_000      # (column, class) groups handled by rank selection / broadcast
 
 
 # ---------------------------------------------------------------------------
@@ -94,7 +94,7 @@ def preview(df: DataFrame, n: int = 3, order_by: list[str] | None = None) -> Dat
 # ---------------------------------------------------------------------------
 def missing_report(df: DataFrame) -> DataFrame:
     """(column_name, missing_count, missing_pct) — one aggregate for all columns."""
-    aggs = [F.count_if(col_of(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
+    aggs = [F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
     one = df.agg(F.count(F.lit(1)).alias("__n"), *aggs)
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("missing_count"))
                     for i, c in enumerate(df.columns)])
@@ -134,7 +134,7 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, quantiles: str
               "outlier_percentage double, method string")
     if not bounds:
         return spark.createDataFrame([], schema)
-    counts = df.agg(*[F.count_if((col_of(c).cast("double") < F.lit(lo)) | (col_of(c).cast("double") > F.lit(hi)))
+    counts = df.agg(*[F.count_if((present(df, c).cast("double") < F.lit(lo)) | (present(df, c).cast("double") > F.lit(hi)))
                       .alias(f"o{i}") for i, (c, _, _, lo, hi) in enumerate(bounds)])
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"),
                              F.lit(lo).alias("lower"), F.lit(hi).alias("upper"),
@@ -149,20 +149,36 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, quantiles: str
 # ---------------------------------------------------------------------------
 # P4 cardinality
 # ---------------------------------------------------------------------------
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n_unique) of the columns' values, NULL and NaN left out: narrow
+    (column number, value) pairs are made distinct, texts over 32 characters as their
+    128-bit digest, so no row carries a slot for every column and no long text travels."""
+    txt = _text(df)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _key(F.when(present(df, c).isNotNull(), txt(c))).alias("v")) for i, c in enumerate(columns)])
+    seen = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column_name string")
+    return names.join(seen, "i", "left").select("column_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_unique"))
+
+
+def _key(text: Column) -> Column:
+    return F.when(F.char_length(text) > 32, F.md5(text)).otherwise(text)
+
+
 def cardinality(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
                 low_max: int = 10, high_share: float = 0.5) -> DataFrame:
     """(column_name, n_unique, low_cardinality, high_cardinality, id_like) on the
     full table (NULLs not counted). ``exact=False`` uses HLL sketches."""
     cols = columns or df.columns
-    cnt = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.02))
-    one = df.agg(F.count(F.lit(1)).alias("__n"), *[cnt(col_of(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").cast("bigint").alias("n_unique"))
-                    for i, c in enumerate(cols)])
-    long = one.select("__n", F.inline(arr))
+    if exact:
+        n, long = df.count(), distinct_counts(df, cols)
+    else:
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(present(df, c), 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        n = row["n"]
+        long = df.sparkSession.createDataFrame([(c, row[f"d{i}"]) for i, c in enumerate(cols)], "column_name string, n_unique bigint")
     return long.select("column_name", "n_unique",
                        (F.col("n_unique") <= low_max).alias("low_cardinality"),
-                       (F.col("n_unique") > F.col("__n") * high_share).alias("high_cardinality"),
-                       (F.col("n_unique") == F.col("__n")).alias("id_like"))
+                       (F.col("n_unique") > F.lit(n) * high_share).alias("high_cardinality"),
+                       (F.col("n_unique") == F.lit(n)).alias("id_like"))
 
 
 # ---------------------------------------------------------------------------
@@ -183,7 +199,7 @@ def univariate_numeric(df: DataFrame, columns: list[str] | None = None, null_pol
     if null_policy == "listwise" and cols:
         cond = None
         for c in cols:
-            cond = col_of(c).isNotNull() if cond is None else cond & col_of(c).isNotNull()
+            cond = present(df, c).isNotNull() if cond is None else cond & present(df, c).isNotNull()
         base = df.where(cond)
     plan = StatsPlan(quantile_method=quantiles)
     for c in cols:
@@ -230,7 +246,7 @@ def univariate_categorical(df: DataFrame, columns: list[str] | None = None, k: i
     """(column_name, unique_count, mode, top_values array<struct<value,count>>);
     all-NULL columns are skipped (reference rule)."""
     cols = columns or categorical_columns(df)
-    counts = value_counts(df, cols)
+    counts = stage(value_counts(df, cols), "value-counts")
     uniq = counts.groupBy("column_name").agg(F.count(F.lit(1)).cast("bigint").alias("unique_count"))
     top = top_k(counts, "column_name", [F.col("count").desc(), F.col("value").asc()], k)
     nested = top.groupBy("column_name").agg(
@@ -251,14 +267,14 @@ def target_correlation(df: DataFrame, target: str, columns: list[str] | None = N
     NULL → 0.0. ``listwise`` drops rows with any NULL (reference); ``pairwise``
     uses each pair's complete rows (the chart series)."""
     cols = [c for c in (columns or numeric_columns(df)) if c != target]
-    y = col_of(target).cast("double")
+    y = present(df, target).cast("double")
     base = df
     if null_policy == "listwise":
-        cond = col_of(target).isNotNull()
+        cond = present(df, target).isNotNull()
         for c in cols:
-            cond = cond & col_of(c).isNotNull()
+            cond = cond & present(df, c).isNotNull()
         base = df.where(cond)
-    one = base.agg(*[F.corr(col_of(c).cast("double"), y).alias(f"c{i}") for i, c in enumerate(cols)])
+    one = base.agg(*[F.corr(present(df, c).cast("double"), y).alias(f"c{i}") for i, c in enumerate(cols)])
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"),
                              F.coalesce(F.when(~F.isnan(F.col(f"c{i}")), F.col(f"c{i}")), F.lit(0.0))
                              .alias("correlation")) for i, c in enumerate(cols)])
@@ -296,8 +312,13 @@ def column_metadata(df: DataFrame, samples: int = 5, exact: bool = True) -> Data
     ``samples`` smallest distinct non-NULL texts (two-level top-k, never a full
     collect_set)."""
     cols = df.columns
-    card = cardinality(df, cols, exact=exact).select("column_name", F.col("n_unique").alias("distinct_count"))
-    long = unpivot_values(df, cols, _text(df)).where(F.col("value").isNotNull()).distinct()
+    long = stage(unpivot_values(df, cols, _text(df)).where(F.col("value").isNotNull()).distinct(), "values")
+    if exact:
+        seen = long.groupBy("column_name").agg(F.count(F.lit(1)).cast("bigint").alias("distinct_count"))
+        names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+        card = names.join(seen, "column_name", "left").select("column_name", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"))
+    else:
+        card = cardinality(df, cols, exact=False).select("column_name", F.col("n_unique").alias("distinct_count"))
     smallest = top_k(long, "column_name", [F.col("value").asc()], samples)
     samp = smallest.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("__s"))
     types = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), i) for i, f in
@@ -308,7 +329,7 @@ def column_metadata(df: DataFrame, samples: int = 5, exact: bool = True) -> Data
                     .alias("sample_values"), "pos"))
 
 
-# FIXED VALUES (ours): column-name hints for a target.
+# Our own column-name hints for a target.
 TARGET_HINTS = ["target", "label", "class", "y", "outcome", "churn", "default", "fraud", "status",
                 "quality", "toxic", "survived", "is_", "has_"]
 
@@ -377,19 +398,20 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30,
     ``bounds`` ({column: (min, max)}) skips the min/max pass when already known."""
     cols = columns or numeric_columns(df)
     if bounds is None:
-        mm = df.agg(*[F.min(col_of(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-                    *[F.max(col_of(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]).collect()[0]
+        mm = df.agg(*[F.min(present(df, c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
+                    *[F.max(present(df, c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]).collect()[0]
         bounds = {c: (mm[f"a{i}"], mm[f"b{i}"]) for i, c in enumerate(cols)}
     structs, meta = [], []
     for i, c in enumerate(cols):
         lo, hi = bounds.get(c, (None, None))
         if lo is None:
             continue
-        x = col_of(c).cast("double")
+        x = present(df, c).cast("double")
         if hi == lo:
             b = F.when(x.isNotNull(), F.lit(1))
         else:
-            b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)) + 1, F.lit(bins))
+            # LEAST skips NULL, so a missing value must be kept out of it
+            b = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)) + 1, F.lit(bins)))
         structs.append(F.struct(F.lit(c).alias("column_name"), b.cast("bigint").alias("bin")))
         meta.append((c, float(lo), float(hi)))
     spark = df.sparkSession
@@ -408,16 +430,17 @@ def density(df: DataFrame, columns: list[str] | None = None, bins: int = 30, gri
     """Gaussian kernel density on a grid, from the histogram (Scott's rule
     bandwidth = std · n^(-1/5)).  Each column's ≤ ``bins`` counts are folded into
     an array and every grid point is evaluated with array functions — the
-    work is bins × grid per column, independent of the row count."""
+    work is bins × grid per column, independent of the row count.  A constant column
+    is one point with NULL density (a point mass)."""
     cols = columns or numeric_columns(df)
     hist = histogram(df, cols, bins)
-    sd = df.agg(*[F.stddev_samp(col_of(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
-                *[F.count(col_of(c)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
+    sd = df.agg(*[F.stddev_samp(present(df, c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
+                *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
     bw = []
     for i, c in enumerate(cols):
         s, n = sd[f"s{i}"], sd[f"n{i}"]
-        if s and n:
-            bw.append((c, float(s) * n ** (-0.2), int(n)))
+        if n:
+            bw.append((c, float(s) * n ** (-0.2) if s else 0.0, int(n)))
     spark = df.sparkSession
     bwdf = spark.createDataFrame(bw, "column_name string, h double, n bigint")
     per = (hist.groupBy("column_name")
@@ -425,15 +448,15 @@ def density(df: DataFrame, columns: list[str] | None = None, bins: int = 30, gri
                                         F.col("count").alias("k"))).alias("pts"),
                 F.min("lower").alias("lo"), F.max("upper").alias("hi"))
            .join(F.broadcast(bwdf), "column_name"))
-    g = F.sequence(F.lit(0), F.lit(grid - 1))
+    g = F.when(F.col("h") > 0, F.sequence(F.lit(0), F.lit(grid - 1))).otherwise(F.array(F.lit(0)))
     norm = 1.0 / math.sqrt(2 * math.pi)
     with_grid = per.select("column_name", "pts", "h", "n",
                            F.posexplode(F.transform(g, lambda j: F.col("lo") + (F.col("hi") - F.col("lo")) * j
                                                     / F.lit(max(grid - 1, 1)))).alias("point", "x"))
     dens = F.aggregate("pts", F.lit(0.0),
-                       lambda acc, p: acc + p["k"] * F.exp(-0.5 * F.pow((F.col("x") - p["c"]) / F.col("h"), 2)))
+                       lambda acc, p: acc + p["k"] * F.exp(-0.5 * F.pow((F.col("x") - p["c"]) / F.nullif(F.col("h"), F.lit(0.0)), 2)))
     return with_grid.select("column_name", F.col("point").cast("bigint").alias("point"), "x",
-                            (dens * F.lit(norm) / (F.col("n") * F.col("h"))).alias("density"))
+                            F.when(F.col("h") > 0, dens * F.lit(norm) / (F.col("n") * F.nullif(F.col("h"), F.lit(0.0)))).alias("density"))
 
 
 # ---------------------------------------------------------------------------
@@ -453,44 +476,25 @@ def box_stats(df: DataFrame, class_col: str, columns: list[str] | None = None, q
     """(column_name, class, q1, median, q3, lower_whisker, upper_whisker,
     outlier_count, count) per numeric column and target class.
 
-    Quartiles are interpolated (box-plot convention).  ``approx`` keeps a
-    constant-size sketch per group, for groups too large for the exact
-    aggregate's value map."""
+    Quartiles are interpolated (box-plot convention) and exact, whatever the number
+    of classes; ``approx`` (on request) takes them from a sketch of each group.  NULL
+    and NaN values and NULL classes are left out."""
     cols = [c for c in (columns or numeric_columns(df)) if c != class_col]
     method = quantiles or default_quantile_method(df.sparkSession)
     cls = as_text(col_of(class_col), df.schema[class_col].dataType)
-    long = (unpivot_values(df, cols, lambda c: col_of(c).cast("double"), [cls.alias("class")])
+    long = (unpivot_values(df, cols, lambda c: present(df, c).cast("double"), [cls.alias("class")])
             .where(F.col("value").isNotNull() & F.col("class").isNotNull()))
-    ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    if method == "auto":
-        method = "exact" if estimated_bytes(df) <= AUTO_INLINE_BYTES else "distributed"
-    n_groups = None
-    if method == "distributed" or method == "exact":
-        # groups = columns × classes; rank selection keeps per-group state on the
-        # driver, so it needs a bounded number of groups (checked, not assumed)
-        n_classes = df.agg(F.approx_count_distinct(cls).alias("k")).collect()[0]["k"]
-        n_groups = n_classes * len(cols)
-        if method == "distributed" and n_groups > MAX_BOX_GROUPS:
-            method = "approx"
-    if method == "distributed":
-        # exact, bounded per task: rank selection per (column, class)
-        keyed = long.select(F.concat_ws("\u0001", "column_name", "class").alias("__k"), "value")
-        got = grouped_quantiles(keyed, "__k", "value", [("cont", 0.25), ("cont", 0.5), ("cont", 0.75)])
-        rows = sorted({k for k, _, _ in got})
-        quart = df.sparkSession.createDataFrame(
-            [tuple(k.split("\u0001", 1)) + (got[(k, "cont", 0.25)], got[(k, "cont", 0.5)], got[(k, "cont", 0.75)])
-             for k in rows], "column_name string, class string, q1 double, median double, q3 double")
+    keys = ["column_name", "class"]
+    if method == "approx":
+        quart = long.groupBy(*keys).agg(F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy).alias("q"))
+        quart = quart.select(*keys, *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     else:
-        qexpr = F.percentile_approx("value", ps, accuracy) if method == "approx" else F.percentile("value", ps)
-        quart = long.groupBy("column_name", "class").agg(qexpr.alias("q"))
-        quart = quart.select("column_name", "class", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                             F.col("q")[2].alias("q3"))
+        quart = grouped_quantiles(long, keys, "value", [("cont", 0.25), ("cont", 0.5), ("cont", 0.75)]).select(
+            *keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= lo) & (F.col("value") <= hi)
-    # one row per (column, class): broadcast only when that count is known small
-    small = n_groups is not None and n_groups * 1.2 <= MAX_BOX_GROUPS
-    j = long.join(F.broadcast(quart) if small else quart, ["column_name", "class"])
+    j = long.join(quart, keys)
     return j.groupBy("column_name", "class", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),
@@ -501,15 +505,17 @@ def box_stats(df: DataFrame, class_col: str, columns: list[str] | None = None, q
 # ---------------------------------------------------------------------------
 # P19 full profile
 # ---------------------------------------------------------------------------
-def profile(df: DataFrame, target: str | None = None, cache: bool = False, quantiles: str | None = None) -> dict:
+def profile(df: DataFrame, target: str | None = None, quantiles: str | None = None, find_target: bool = True) -> dict:
     """P1–P8, P11, P12, P14 composed; numeric target → P7/P15/P16, categorical → P8/P18/P17.
 
     Missing values, cardinality, IQR outliers, feature types and histogram
     ranges all come from one per-column summary (two passes over the data);
-    the other sections are lazy DataFrames."""
+    the other sections are lazy DataFrames.  Without a ``target`` the suggested one (P10)
+    is used when a name or a value count speaks for it (score of 3 or more)."""
     from .recommend import column_summary
-    if cache:
-        df = df.persist()
+    if target is None and find_target:
+        best = suggest_target(df).where("rank = 1 and score >= 3").first()
+        target = best["column_name"] if best else None
     nums, cats = numeric_columns(df), categorical_columns(df)
     summ = column_summary(df, quantiles)                 # small: one row per column
     rows = {r["column_name"]: r for r in summ.collect()}

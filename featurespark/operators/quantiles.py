@@ -1,21 +1,15 @@
-"""Exact quantiles without a single-task value map (rank selection).
-
-Spark's exact ``percentile`` merges one value→count map per column in a
-single task, which grows with the number of distinct values.  Here:
-
-1. a bounded sample of each column gives sorted distinct cut values;
-2. every value gets a bucket: ``2·#{cuts < x} + [x is a cut]`` — buckets
-   alternate between "strictly between two cuts" and "equal to a cut", so a
-   value held by a third of the rows lands in an equal-bucket that needs no
-   sorting at all;
-3. one group-by counts rows per (column, bucket) — at most 2·B rows per
-   column come back;
-4. each requested rank is located by prefix sums; equal-buckets answer
-   directly, between-buckets (≈ n/B rows each) are ordered with a window
-   partitioned by (column, bucket), restricted to the few buckets needed.
+"""Exact quantiles in bounded memory per task, one way at every size.
+
+Spark's exact ``percentile`` merges a value → count map of a whole column in one
+task.  Here a mergeable sketch (``percentile_approx``, rank error n / ACCURACY)
+gives a bracket of two values around every wanted rank; one pass counts the rows
+below each bracket exactly, another orders only the values inside, summed per
+distinct value.  The wanted rank is then known exactly, and so is whether the bracket
+held it: if it did not, the quantile is settled again with an open bracket.
 
 percentile_cont(p) = v[r] + f·(v[r+1] − v[r]) with h = p·(n−1), r = ⌊h⌋+1,
-f = h − ⌊h⌋; percentile_disc(p) = v[max(1, ⌈p·n⌉)] (1-based ranks).
+f = h − ⌊h⌋; percentile_disc(p) = v[max(1, ⌈p·n⌉)] (1-based ranks).  NULL and NaN
+are missing.
 """
 
 from __future__ import annotations
@@ -26,156 +20,136 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_of
-from . import rank
-
-
-def _bucket(x: Column, cuts: list[float]) -> Column:
-    """2·#{cuts < x} + [x ∈ cuts], by binary search over literal cuts."""
-    def lt_count(lo, hi):           # number of cuts < x, searching cuts[lo:hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x > F.lit(cuts[mid]), lt_count(mid + 1, hi)).otherwise(lt_count(lo, mid))
-    below = lt_count(0, len(cuts))
-    is_cut = x.isin(cuts) if cuts else F.lit(False)
-    return below * 2 + F.when(is_cut, 1).otherwise(0)
-
-
-def _with_buckets(base: DataFrame, keys: list[str], cuts: dict[str, list[float]]) -> DataFrame:
-    """Column b = 2·#{cuts < x} + [x is a cut] with the key's own cuts: literal
-    CASE trees for short cut lists, else a binary search over a literal
-    per-key array in ⌈log2(m+1)⌉ projection steps."""
-    m = max((len(c) for c in cuts.values()), default=0)
-    if m <= rank.CASE_TREE_MAX_CUTS:
-        bexpr = None
-        for k in keys:
-            e = _bucket(F.col("x"), cuts[k])
-            bexpr = F.when(F.col("k") == k, e) if bexpr is None else bexpr.when(F.col("k") == k, e)
-        return base.withColumn("b", bexpr)
-    arrays = F.create_map(*[v for k in keys for v in
-                            (F.lit(k), F.array(*[F.lit(float(c)) for c in cuts[k]]).cast("array<double>"))])
-    df = base.withColumn("__cuts", F.element_at(arrays, F.col("k")))
-    df = df.withColumn("__lo", F.lit(0)).withColumn("__hi", F.size("__cuts"))
-    for _ in range(math.ceil(math.log2(m + 1))):
-        lo, hi = F.col("__lo"), F.col("__hi")
-        mid = F.floor((lo + hi + 1) / 2).cast("int")
-        below = F.element_at(F.col("__cuts"), F.greatest(mid, F.lit(1))) < F.col("x")   # cut[mid-1] < x
-        df = (df.withColumn("__nlo", F.when((lo < hi) & below, mid).otherwise(lo))
-              .withColumn("__hi", F.when((lo < hi) & ~below, mid - 1).otherwise(hi))
-              .withColumn("__lo", F.col("__nlo")).drop("__nlo"))
-    nxt = F.when(F.col("__lo") < F.size("__cuts"), F.element_at(F.col("__cuts"), F.col("__lo") + 1))
-    is_cut = F.coalesce(nxt == F.col("x"), F.lit(False))
-    return (df.withColumn("b", F.col("__lo") * 2 + F.when(is_cut, 1).otherwise(0))
-            .drop("__cuts", "__lo", "__hi"))
-
-
-def target_ranks(kind: str, p: float, n: int) -> list[tuple[int, float]]:
-    """[(1-based rank, weight)] whose weighted sum is the quantile."""
-    if n == 0:
-        return []
+from ..session import stage
+
+ACCURACY = 50_000
+#: groups of at most this many rows are ordered whole (an open bracket)
+WHOLE = 20_000
+
+
+def probes(requests: list[tuple[str, float]]) -> list[float]:
+    """Sketch fractions on both sides of each request, further out than the sketch's error."""
+    margin = 2.0 / ACCURACY
+    return [f for _, p in requests for f in (max(0.0, p - margin), min(1.0, p + margin))]
+
+
+def sketch(x: Column, requests: list[tuple[str, float]]) -> Column:
+    return F.percentile_approx(x, F.array(*[F.lit(f) for f in probes(requests)]), ACCURACY)
+
+
+def target_ranks(kind: str, p: float, n: int) -> tuple[int, int, float]:
+    """(rank, next rank, weight of the next) whose mix is the quantile; 1-based."""
     if kind == "disc":
-        return [(max(1, math.ceil(p * n - 1e-12)), 1.0)]
+        r = max(1, math.ceil(p * n - 1e-12))
+        return r, r, 0.0
     h = p * (n - 1)
     r = math.floor(h) + 1
     f = h - math.floor(h)
-    return [(r, 1.0)] if f == 0 or r >= n else [(r, 1.0 - f), (r + 1, f)]
+    return r, min(r + (f > 0), n), f
 
 
-def grouped_quantiles(long: DataFrame, key: str, value: str, requests: list[tuple[str, float]],
-                      rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET, seed: int = 13) -> dict:
-    """Exact quantiles of ``value`` per ``key`` (a string column with a bounded
-    number of distinct keys, e.g. column names or column × class):
-    {(key, kind, p): value}.  Jobs: counts per key, one sample, counts per
-    (key, bucket), one restricted ordering."""
-    spark = long.sparkSession
-    x = F.col(value).cast("double")
-    base = long.select(F.col(key).alias("k"), x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    counts = {r["k"]: r["n"] for r in base.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keys = sorted(counts)
-    if not keys:
-        return {}
-    par = spark.sparkContext.defaultParallelism
-    buckets = {k: rank.n_buckets_for(counts[k], rows_per_bucket, par) for k in keys}
-    per_key = max(1, rank.MAX_SAMPLE_ROWS // max(1, len(keys)))
-    frac = {k: min(1.0, min(buckets[k] * rank.SAMPLE_PER_BUCKET, per_key) / counts[k]) if buckets[k] > 1 else 0.0
-            for k in keys}
-    fmap = F.create_map(*[v for k in keys for v in (F.lit(k), F.lit(frac[k]))])
-    vals = {k: [] for k in keys}
-    for r in base.where(F.rand(seed) < F.element_at(fmap, F.col("k"))).collect():
-        vals[r["k"]].append(r["x"])
-    cuts = {}
-    for k in keys:
-        v = sorted(vals[k])
-        cs = []
-        for i in range(1, buckets[k]):
-            if not v:
-                break
-            c = v[min(len(v) - 1, (i * len(v)) // buckets[k])]
-            if not cs or c > cs[-1]:
-                cs.append(c)
-        cuts[k] = cs
-    bucketed = _with_buckets(base, keys, cuts)
-    bc = {(r["k"], r["b"]): r["c"] for r in bucketed.groupBy("k", "b").agg(F.count(F.lit(1)).alias("c")).collect()}
-    wanted = {}
-    for k in keys:
-        nb = 2 * len(cuts[k]) + 1
-        starts, acc = [], 0
-        for b in range(nb):
-            starts.append(acc)
-            acc += bc.get((k, b), 0)
-        for kind, p in requests:
-            for r, _ in target_ranks(kind, p, counts[k]):
-                b = max(i for i in range(nb) if starts[i] < r)
-                wanted[(k, r)] = ("cut", cuts[k][(b - 1) // 2]) if b % 2 == 1 else ("sort", b, r - starts[b])
-    values = {kr: v[1] for kr, v in wanted.items() if v[0] == "cut"}
-    picks = {(k, v[1], v[2]) for (k, _), v in wanted.items() if v[0] == "sort"}
-    if picks:
-        # a between-bucket 2i is the open interval (cuts[i-1], cuts[i]); filter on
-        # those literal ranges (not on the bucket column, so no projection chain
-        # is substituted into the filter, and the range can reach the scan)
-        gid, cond = None, None
-        ids = {}
-        for k, b in sorted({(k, b) for k, b, _ in picks}):
-            i = b // 2
-            t = F.col("k") == k
-            if i >= 1:
-                t = t & (F.col("x") > F.lit(cuts[k][i - 1]))
-            if i < len(cuts[k]):
-                t = t & (F.col("x") < F.lit(cuts[k][i]))
-            ids[(k, b)] = len(ids)
-            gid = F.when(t, F.lit(ids[(k, b)])) if gid is None else gid.when(t, F.lit(ids[(k, b)]))
-            cond = t if cond is None else cond | t
-        pc = None
-        for k, b, lr in picks:
-            t = (F.col("g") == ids[(k, b)]) & (F.col("rn") == lr)
-            pc = t if pc is None else pc | t
-        w = Window.partitionBy("g").orderBy("x")
-        ranked = base.where(cond).withColumn("g", gid).withColumn("rn", F.row_number().over(w))
-        inv = {v: kb for kb, v in ids.items()}
-        got = {inv[r["g"]] + (r["rn"],): r["x"] for r in ranked.where(pc).select("g", "rn", "x").collect()}
-        for (k, r), v in wanted.items():
-            if v[0] == "sort":
-                values[(k, r)] = got[(k, v[1], v[2])]
+def column_quantiles(df: DataFrame, wanted: dict[str, list[tuple[str, float]]], counts: dict[str, int],
+                     sketches: dict[str, list[float]]) -> dict:
+    """{(kind, column, p): value} from each column's row count and sketch values (of
+    :func:`probes`).  Two jobs for all columns together."""
+    todo = []                                   # (column, kind, p, low, high, ranks)
     out = {}
-    for k in keys:
-        for kind, p in requests:
-            tr = target_ranks(kind, p, counts[k])
-            if len(tr) == 1:
-                out[(k, kind, p)] = values[(k, tr[0][0])]
-            else:
-                (r1, _), (r2, f) = tr
-                v1, v2 = values[(k, r1)], values[(k, r2)]
-                out[(k, kind, p)] = v1 + f * (v2 - v1)
+    for c, requests in wanted.items():
+        n, found = counts[c], sketches[c]
+        for i, (kind, p) in enumerate(requests):
+            if not n:
+                out[(kind, c, p)] = None
+                continue
+            low, high = (found[2 * i], found[2 * i + 1]) if n > WHOLE else (None, None)
+            todo.append((c, kind, p, low, high, target_ranks(kind, p, n)))
+    while todo:
+        values, todo = _settle_columns(df, todo)
+        out.update(values)
     return out
 
 
-def exact_quantiles(df: DataFrame, requests: list[tuple[str, str, float]], counts: dict[str, int] | None = None,
-                    rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> dict:
-    """{(kind, column, p): value} for kind in {'cont', 'disc'} (NULL/NaN ignored):
-    the columns are unpivoted to (column, value) and handled as groups."""
-    cols = sorted({c for _, c, _ in requests})
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("k"), col_of(c).cast("double").alias("x"))
-                                        for c in cols])))
-    per = sorted({(kind, p) for kind, _, p in requests})
-    got = grouped_quantiles(long, "k", "x", per, rows_per_bucket)
-    return {(kind, c, p): got.get((c, kind, p)) for kind, c, p in requests}
+def _present(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x)
+
+
+def _settle_columns(df: DataFrame, todo: list) -> tuple[dict, list]:
+    x = [col_of(c).cast("double") for c, *_ in todo]
+    below = [F.lit(0).alias(f"b{i}") if low is None else F.count_if(_present(x[i]) & (x[i] < low)).alias(f"b{i}")
+             for i, (_, _, _, low, _, _) in enumerate(todo)]
+    counted = [i for i, t in enumerate(todo) if t[3] is not None]
+    row = df.agg(*[below[i] for i in counted]).first() if counted else None
+    under = {i: int(row[f"b{i}"]) for i in counted}
+    inside = [_present(x[i]) & (F.lit(True) if t[3] is None else x[i].between(t[3], t[4])) for i, t in enumerate(todo)]
+    some = inside[0]
+    for c in inside[1:]:
+        some = some | c
+    values = F.array(*[F.when(c, F.struct(F.lit(i).alias("i"), x[i].alias("x"))) for i, c in enumerate(inside)])
+    ranks = df.sparkSession.createDataFrame(
+        [(i, under.get(i, 0), *t[5][:2]) for i, t in enumerate(todo)], "i int, below long, r1 long, r2 long")
+    settled = _ranked(df.where(some).select(F.inline(F.array_compact(values))), ["i"], F.broadcast(ranks)).collect()
+    done, again = {}, []
+    got = {r["i"]: r for r in settled}
+    for i, (c, kind, p, low, high, (r1, r2, f)) in enumerate(todo):
+        r = got.get(i)
+        if r is None or not r["held"]:
+            again.append((c, kind, p, None, None, (r1, r2, f)))
+        else:
+            done[(kind, c, p)] = r["v1"] + f * (r["v2"] - r["v1"])
+    return done, again
+
+
+def _ranked(inside: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
+    """(keys, v1, v2, held): the values at ranks r1 and r2 of each key's rows, ``below`` of
+    which lie under the bracket; ``inside`` has (keys, x)."""
+    counted = inside.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto", upto).join(ranks, keys).withColumn("upto", F.col("upto") + F.col("below"))
+    return placed.groupBy(*keys).agg(
+        F.min(F.when(F.col("upto") >= F.col("r1"), F.col("x"))).alias("v1"),
+        F.min(F.when(F.col("upto") >= F.col("r2"), F.col("x"))).alias("v2"),
+        ((F.max("below") < F.max("r1")) & (F.max("upto") >= F.max("r2"))).alias("held"))
+
+
+def grouped_quantiles(long: DataFrame, keys: list[str], value: str, requests: list[tuple[str, float]]) -> DataFrame:
+    """(keys, n, q0, q1, ...): exact quantiles of ``value`` for each group, one row per
+    group with a value; any number of groups.  The brackets are a table joined to the rows
+    on the keys, so neither the plan nor the driver grows with the groups."""
+    x = F.col(value).cast("double")
+    base = long.select(*keys, x.alias("x")).where(_present(F.col("x")))
+    first = stage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch(F.col("x"), requests).alias("s")), "sketches")
+    brackets = first.select(*keys, F.explode(F.array(*[_bracket(i, kind, p) for i, (kind, p) in enumerate(requests)])).alias("w")).select(*keys, "w.*")
+    settled = stage(_settle_groups(base, keys, brackets), "quantiles")
+    missed = settled.where(~F.col("held")).select(*keys, "i")
+    if not missed.isEmpty():
+        again = brackets.join(missed, [*keys, "i"]).withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
+        settled = settled.where("held").unionByName(_settle_groups(base, keys, again))
+    wide = settled.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{i}") for i in range(len(requests))])
+    return first.select(*keys, "n").join(wide, keys)
+
+
+def _bracket(i: int, kind: str, p: float) -> Column:
+    n, s = F.col("n"), F.col("s")
+    if kind == "disc":
+        r1 = F.greatest(F.lit(1), F.ceil(F.lit(p) * n - 1e-12))
+        r2, f = r1, F.lit(0.0)
+    else:
+        h = F.lit(p) * (n - 1)
+        r1 = F.floor(h) + 1
+        f = h - F.floor(h)
+        r2 = F.least(r1 + (f > 0).cast("long"), n)
+    whole = n <= WHOLE
+    return F.struct(F.lit(i).alias("i"), F.when(~whole, s[2 * i]).alias("low"), F.when(~whole, s[2 * i + 1]).alias("high"),
+                    r1.cast("long").alias("r1"), r2.cast("long").alias("r2"), f.alias("f"))
+
+
+def _settle_groups(base: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
+    packed = brackets.groupBy(*keys).agg(F.collect_list(F.struct("i", "low", "high")).alias("w"))    # one entry per request
+    joined = base.join(packed, keys)
+    under = (joined.select(*keys, "x", F.explode("w").alias("b")).where(F.col("x") < F.col("b.low"))
+             .groupBy(*keys, F.col("b.i").alias("i")).agg(F.count(F.lit(1)).alias("below")))
+    inside = joined.select(*keys, "x", F.explode("w").alias("b")).where(
+        (F.col("b.low").isNull() | (F.col("x") >= F.col("b.low"))) & (F.col("b.high").isNull() | (F.col("x") <= F.col("b.high"))))
+    by = [*keys, "i"]
+    ranks = brackets.join(under, by, "left").select(*by, F.coalesce("below", F.lit(0)).alias("below"), "r1", "r2", "f")
+    got = _ranked(inside.select(*keys, F.col("b.i").alias("i"), "x"), by, ranks.drop("f"))
+    return got.join(ranks.select(*by, "f"), by).select(*by, (F.col("v1") + F.col("f") * (F.col("v2") - F.col("v1"))).alias("v"), "held")

@@ -1,19 +1,16 @@
 """Exact global ranks without a single-partition window.
 
-``ORDER BY`` windows with no ``PARTITION BY`` put every row in one task.  Here
-a global order is cut into buckets instead:
-
-1. draw a bounded sample of the sort keys and pick B-1 cut tuples from it
-   (the cuts only balance the buckets; they never change the answer);
-2. bucket = number of cuts <= key, evaluated by a literal binary-search
-   ``CASE`` tree (O(log B) per row, inside whole-stage codegen);
-3. count rows per bucket (B rows back to the driver), prefix sums → offsets;
-4. row number = offset[bucket] + ``row_number()`` over ``PARTITION BY bucket``.
-
-The sort keys must form a total order (append a unique tie-break column) so
-the result is deterministic and survives task re-execution.  Because the cut
-tuples include the tie-break, one value repeated on a third of the rows still
-spreads over many buckets.
+``ORDER BY`` windows with no ``PARTITION BY`` put every row in one task.  Here the
+rows are range-partitioned on the sort keys (Spark samples the cut points), sorted
+inside their partition and written once to the shared folder with their place in it;
+a row's global number is its place plus the rows of the partitions before its own.
+Only the partition sizes travel, as a small table joined on the partition number, so
+the plan has the same size for twenty or a hundred thousand partitions.
+
+The sort keys must form a total order (append a unique tie-break column) so the
+result is deterministic.  The tie-break also spreads a value that a third of the rows
+share over many partitions; rows equal in every key are interchangeable and are
+spread by a seeded random last key.
 """
 
 from __future__ import annotations
@@ -21,17 +18,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_of
+from ..session import stage
 
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 65536
+DEFAULT_ROWS_PER_BUCKET = 10_000_000
 MIN_ROWS_PER_TASK = 1000
-SAMPLE_PER_BUCKET = 40
-MAX_SAMPLE_ROWS = 1_000_000       # cut sample collected on the driver stays bounded
-CASE_TREE_MAX_CUTS = 255          # above this the search runs over a literal array
 
 
 @dataclass(frozen=True)
@@ -40,169 +34,44 @@ class SortKey:
     ascending: bool = True
     nulls_first: bool = True   # Spark's default for ascending order
 
-
-def _less(c: Column, v, key: SortKey) -> Column:
-    """c strictly before literal v in the key's order (NULL-aware, never NULL)."""
-    if v is None:
-        # before NULL: only non-NULL values, and only when NULLs sort last
-        return F.lit(False) if key.nulls_first else c.isNotNull()
-    cmp = (c < F.lit(v)) if key.ascending else (c > F.lit(v))
-    if key.nulls_first:
-        return c.isNull() | F.coalesce(cmp, F.lit(False))
-    return c.isNotNull() & F.coalesce(cmp, F.lit(False))
-
-
-def _tuple_less(cols: list[Column], cut: tuple, keys: list[SortKey]) -> Column:
-    """Lexicographic (cols) < (cut)."""
-    expr = None
-    for i in reversed(range(len(cols))):
-        lt = _less(cols[i], cut[i], keys[i])
-        if expr is None:
-            expr = lt
-        else:
-            eq = cols[i].eqNullSafe(F.lit(cut[i]))
-            expr = lt | (eq & expr)
-    return expr
-
-
-def _cmp_less(cols: list[Column], cut: list[Column], keys: list[SortKey]) -> Column:
-    """Lexicographic (cols) < (cut) where the cut is given as columns (array element)."""
-    expr = None
-    for i in reversed(range(len(cols))):
-        c, v, k = cols[i], cut[i], keys[i]
-        cmp = F.coalesce((c < v) if k.ascending else (c > v), F.lit(False))
-        if k.nulls_first:
-            lt = (c.isNull() & v.isNotNull()) | (c.isNotNull() & v.isNotNull() & cmp)
-        else:
-            lt = (c.isNotNull() & v.isNull()) | (c.isNotNull() & v.isNotNull() & cmp)
-        expr = lt if expr is None else lt | (c.eqNullSafe(v) & expr)
-    return expr
-
-
-def with_bucket(df: DataFrame, keys: list[SortKey], cuts: list[tuple], out: str) -> DataFrame:
-    """Add ``out`` = number of cut tuples <= key tuple.
-
-    Small cut lists: a literal binary-search CASE tree.  Large ones: the cuts
-    become one literal array of structs and the binary search runs as
-    ⌈log2(m+1)⌉ projection steps (lo / hi columns), so the expression stays
-    linear in size and every row does O(log m) comparisons."""
-    if len(cuts) <= CASE_TREE_MAX_CUTS:
-        return df.withColumn(out, bucket_expr(keys, cuts) if cuts else F.lit(0))
-    types = [df.schema[k.name].dataType for k in keys]
-    arr = F.array(*[F.struct(*[(F.lit(v) if v is not None else F.lit(None)).cast(t).alias(f"f{i}")
-                               for i, (v, t) in enumerate(zip(cut, types))]) for cut in cuts])
-    cols = [col_of(k.name) for k in keys]
-    m = len(cuts)
-    out_df = df.withColumn("__cuts", arr).withColumn("__lo", F.lit(0)).withColumn("__hi", F.lit(m))
-    for _ in range(math.ceil(math.log2(m + 1))):
-        lo, hi = F.col("__lo"), F.col("__hi")
-        mid = F.floor((lo + hi + 1) / 2).cast("int")
-        elem = F.element_at(F.col("__cuts"), F.greatest(mid, F.lit(1)))
-        less = _cmp_less(cols, [elem[f"f{i}"] for i in range(len(keys))], keys)
-        go_low = (lo < hi) & less
-        go_high = (lo < hi) & ~less
-        out_df = (out_df.withColumn("__nlo", F.when(go_high, mid).otherwise(lo))
-                  .withColumn("__hi", F.when(go_low, mid - 1).otherwise(hi))
-                  .withColumn("__lo", F.col("__nlo")).drop("__nlo"))
-    return out_df.withColumn(out, F.col("__lo")).drop("__cuts", "__lo", "__hi")
-
-
-def bucket_expr(keys: list[SortKey], cuts: list[tuple]) -> Column:
-    """Number of cut tuples <= key tuple (binary search over sorted cuts)."""
-    cols = [col_of(k.name) for k in keys]
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(_tuple_less(cols, cuts[mid - 1], keys), build(lo, mid - 1)).otherwise(build(mid, hi))
-
-    return build(0, len(cuts))
-
-
-def _sort_tuple(keys: list[SortKey]):
-    def key(row):
-        out = []
-        for k, v in zip(keys, row):
-            null_rank = 0 if k.nulls_first else 2
-            if v is None:
-                out.append((null_rank, 0))
-            elif isinstance(v, float) and v != v:     # NaN sorts above every number
-                out.append((1.5, 0))
-            else:
-                out.append((1, v if k.ascending else _Desc(v)))
-        return tuple(out)
-    return key
-
-
-class _Desc:
-    __slots__ = ("v",)
-
-    def __init__(self, v):
-        self.v = v
-
-    def __lt__(self, other):
-        return self.v > other.v
-
-    def __eq__(self, other):
-        return self.v == other.v
-
-
-def choose_cuts(df: DataFrame, keys: list[SortKey], n_rows: int, n_buckets: int, seed: int = 7) -> list[tuple]:
-    """B-1 cut tuples from a bounded sample of the keys (distinct, sorted)."""
-    if n_buckets <= 1 or n_rows == 0:
-        return []
-    want = min(n_buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE_ROWS)
-    fraction = min(1.0, want / max(n_rows, 1))
-    sample = df.select(*[col_of(k.name) for k in keys]).sample(False, fraction, seed).collect()
-    rows = sorted((tuple(r) for r in sample), key=_sort_tuple(keys))
-    if not rows:
-        return []
-    cuts = []
-    for i in range(1, n_buckets):
-        t = rows[min(len(rows) - 1, (i * len(rows)) // n_buckets)]
-        if not cuts or t != cuts[-1]:
-            cuts.append(t)
-    return cuts
+    def order(self) -> Column:
+        c = col_of(self.name)
+        if self.ascending:
+            return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
+        return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
 
 
 def n_buckets_for(n_rows: int, rows_per_bucket: int, parallelism: int = 1) -> int:
-    """Enough buckets to bound each one by ``rows_per_bucket``, at least one per
-    core for mid-size inputs, and never fewer than two (a single constant
-    bucket would be folded into an un-partitioned window)."""
-    if n_rows < 2:
-        return 1
+    """Enough partitions to bound each one by ``rows_per_bucket``, and at least one per
+    core for mid-size inputs."""
     by_size = math.ceil(n_rows / max(rows_per_bucket, 1))
     by_cores = min(parallelism, math.ceil(n_rows / MIN_ROWS_PER_TASK))
-    return max(2, min(MAX_BUCKETS, max(by_size, by_cores)))
+    return max(1, by_size, by_cores)
+
+
+def placed(df: DataFrame, keys: list[SortKey], n_rows: int, rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``__part`` and 0-based ``__place`` in it, (``__part``, ``__before``))."""
+    spark = df.sparkSession
+    n = n_buckets_for(n_rows, rows_per_bucket, spark.sparkContext.defaultParallelism)
+    order = [k.order() for k in keys] + [F.col("__any").asc()]
+    cut = (df.withColumn("__any", F.rand(7)).repartitionByRange(n, *order).sortWithinPartitions(*order)
+           .withColumn("__at", F.monotonically_increasing_id()).drop("__any"))
+    # monotonically_increasing_id: partition number in the upper 31 bits, place in the lower 33
+    rows = stage(cut, "ranked").select(*[col_of(c) for c in df.columns], F.shiftright("__at", 33).cast("int").alias("__part"),
+                                       F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    sizes, before, table = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect(), 0, []   # one row per partition
+    for part, size in sorted((r["__part"], r["n"]) for r in sizes):
+        table.append((part, before))
+        before += size
+    return rows, spark.createDataFrame(table, "__part int, __before bigint")
 
 
 def global_row_number(df: DataFrame, keys: list[SortKey], n_rows: int | None = None,
                       out: str = "__rn", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Add ``out`` = 1-based position of each row in the global order of ``keys``."""
-    if n_rows is None:
-        n_rows = df.count()
-    nb = n_buckets_for(n_rows, rows_per_bucket, df.sparkSession.sparkContext.defaultParallelism)
-    cuts = choose_cuts(df, keys, n_rows, nb)
-    b = "__bucket"
-    if not cuts:            # fewer than two distinct sampled keys: cut at the smallest key
-        cuts = choose_cuts(df, keys, n_rows, nb, seed=11) or [tuple([None] * len(keys))]
-    with_b = with_bucket(df, keys, cuts, b)
-    counts = {r[0]: r[1] for r in with_b.groupBy(b).count().collect()}   # <= B rows
-    offsets, acc = [], 0
-    for i in range(len(cuts) + 1):
-        offsets.append(acc)
-        acc += counts.get(i, 0)
-    order = []
-    for k in keys:
-        c = col_of(k.name)
-        if k.ascending:
-            order.append(c.asc_nulls_first() if k.nulls_first else c.asc_nulls_last())
-        else:
-            order.append(c.desc_nulls_first() if k.nulls_first else c.desc_nulls_last())
-    w = Window.partitionBy(b).orderBy(*order)
-    offset = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col(b) + 1) if len(offsets) > 1 else F.lit(0)
-    return with_b.withColumn(out, (offset + F.row_number().over(w)).cast("bigint")).drop(b)
+    rows, before = placed(df, keys, df.count() if n_rows is None else n_rows, rows_per_bucket)
+    return (rows.join(F.broadcast(before), "__part")
+            .withColumn(out, (F.col("__before") + F.col("__place") + 1).cast("bigint")).drop("__part", "__place", "__before"))
 
 
 def ntile_from_rank(rn: Column, n_rows: int, k: int) -> Column:
@@ -237,31 +106,20 @@ def global_ntile(df: DataFrame, column: str, k: int, order_key: str | None, n_ro
 
 
 def dense_rank_dictionary(values: DataFrame, value_col: str, out: str = "code",
-                          rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_estimate: int | None = None) -> DataFrame:
-    """Distinct values → 0-based dense rank in ascending (byte) order.
-
-    ``n_estimate`` (e.g. an HLL distinct count) only sizes the buckets and the
-    cut sample; exact ranks come from the per-bucket counts."""
-    dictionary = values.select(col_of(value_col).alias("__v")).distinct()
-    n = int(n_estimate) + 1 if n_estimate is not None else dictionary.count()
-    ranked = global_row_number(dictionary, [SortKey("__v")], n, out="__rn", rows_per_bucket=rows_per_bucket)
-    return ranked.select(F.col("__v").alias(value_col), (F.col("__rn") - 1).cast("bigint").alias(out))
+                          rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """Distinct values → 0-based dense rank in ascending (byte) order."""
+    one = values.select(F.lit("").alias("__g"), col_of(value_col).alias(value_col))
+    return dense_rank_dictionaries(one, "__g", value_col, out, rows_per_bucket).drop("__g")
 
 
 def dense_rank_dictionaries(values: DataFrame, group_col: str, value_col: str, out: str = "code",
-                            rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_estimate: int | None = None) -> DataFrame:
-    """Dense ranks of many dictionaries at once: distinct (group, value) pairs are
-    ranked in ONE bucketed global order on (group, value); a group's codes are
-    the global positions minus the number of entries of the groups before it
-    (one small count per group).  Output: group, value, 0-based code."""
-    d = values.select(col_of(group_col).alias("__g"), col_of(value_col).alias("__v")).distinct()
-    sizes = {r["__g"]: r["n"] for r in d.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, acc = {}, 0
-    for g in sorted(sizes):                  # same byte order as the rank's first key
-        starts[g] = acc
-        acc += sizes[g]
-    n = acc if n_estimate is None else max(acc, int(n_estimate))
-    ranked = global_row_number(d, [SortKey("__g"), SortKey("__v")], n, out="__rn", rows_per_bucket=rows_per_bucket)
-    start = F.create_map(*[x for g, st in starts.items() for x in (F.lit(g), F.lit(st))])
-    return ranked.select(F.col("__g").alias(group_col), F.col("__v").alias(value_col),
-                         (F.col("__rn") - 1 - F.element_at(start, F.col("__g"))).cast("bigint").alias(out))
+                            rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """Dense ranks of many dictionaries at once: the distinct (group, value) pairs are
+    staged once and ranked in ONE global order on (group, value); a group's codes
+    start at its first position.  Output: group, value, 0-based code, staged."""
+    pairs = stage(values.select(col_of(group_col).alias("__g"), col_of(value_col).alias("__v")).distinct(), "dictionary")
+    ranked = global_row_number(pairs, [SortKey("__g"), SortKey("__v")], pairs.count(), "__rn", rows_per_bucket)
+    first = ranked.groupBy("__g").agg(F.min("__rn").alias("__first")).withColumnRenamed("__g", "__of")
+    # one row per group (a column, a few dozen at most)
+    return ranked.join(F.broadcast(first), F.col("__g").eqNullSafe(F.col("__of"))).select(
+        F.col("__g").alias(group_col), F.col("__v").alias(value_col), (F.col("__rn") - F.col("__first")).cast("bigint").alias(out))

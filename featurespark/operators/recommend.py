@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import numeric_columns
+from .profile import distinct_counts, numeric_columns
 
 
 def recommendations(df: DataFrame, target: str | None = None, quantiles: str | None = None,
@@ -65,11 +65,11 @@ def column_summary(df: DataFrame, quantiles: str | None = None, text_min_avg_len
     """One row per column: feature_type, missing_count / pct, n_unique, id_like,
     and for numeric columns min, skewness, q1, q3, outlier_count.
 
-    Two passes in total: the StatsPlan (moments + quartiles) for the numeric
-    columns, then ONE aggregate for NULL counts, exact distinct counts, text
-    lengths and IQR outlier counts with the fitted bounds as literals."""
+    The StatsPlan (moments + quartiles) for the numeric columns, ONE aggregate for
+    NULL counts, text lengths and IQR outlier counts with the fitted bounds as
+    literals, and one narrow distinct pass."""
     from ..functions.columns import col_of, is_numeric, is_temporal
-    from ..stats import StatsPlan
+    from ..stats import StatsPlan, present
     from pyspark.sql import types as T
     import math
     spark = df.sparkSession
@@ -88,19 +88,20 @@ def column_summary(df: DataFrame, quantiles: str | None = None, text_min_avg_len
             bounds[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(df.columns):
-        aggs += [F.count_if(col_of(c).isNull()).alias(f"m{i}"), F.count_distinct(col_of(c)).alias(f"d{i}")]
+        aggs.append(F.count_if(present(df, c).isNull()).alias(f"m{i}"))
         if c in strings:
             aggs.append(F.avg(F.char_length(col_of(c))).alias(f"l{i}"))
         if c in bounds:
             lo, hi = bounds[c]
-            x = col_of(c).cast("double")
+            x = present(df, c).cast("double")
             aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"o{i}"))
     row = df.agg(*aggs).collect()[0]
+    distinct = {r["column_name"]: r["n_unique"] for r in distinct_counts(df, df.columns).collect()}    # one row per column
     n = row["__n"]
     rows = []
     for i, f in enumerate(df.schema.fields):
         c, dt = f.name, f.dataType
-        nu = row[f"d{i}"]
+        nu = distinct[c]
         if isinstance(dt, T.BooleanType):
             kind = "boolean"
         elif is_numeric(dt):

@@ -7,15 +7,14 @@ Branco et al. 2017, SMOGN) as Spark jobs:
    the whiskers (q1 − 1.5·IQR, q3 + 1.5·IQR, clipped to the data range), joined
    by the monotone cubic Hermite curve with flat ends (3t² − 2t³);
 2. rows with φ ≥ ``rel_threshold`` form the low and high rare bumps;
-3. inside a bump, rows are numbered 1..size in target order (bucketed global
-   row number, never one task per bump); the neighbours of a row are its k
-   nearest rows by |Δy| among the k positions on either side — found by an
-   equi-join on (bump, position ± d), 2k candidates per row, exact for the
-   target distance;
+3. the neighbours of a row are its k nearest in feature space (numeric features scaled
+   to [0, 1]) among bounded candidates: the k rows on either side of it along the
+   target and along ``projections`` fixed directions, each an order of the bump
+   (global row numbers, never one task per bump) joined on position ± d;
 4. the synthetic rows a bump needs to reach the balanced size (n / bumps) are
    generated by ``spark.range`` (spread over all tasks); synthetic j takes seed
    position (j mod size) + 1, neighbour choice and gap u ∈ [0, 1) from
-   xxhash64(bump, j, seed); numeric features and y are interpolated
+   md5(bump, j, seed); numeric features and y are interpolated
    seed + u·(neighbour − seed), other features come from seed or neighbour;
 5. originals are all kept (``under_sample=True`` samples the normal bump down
    to the balanced size by hash rank, as SMOGN's balance mode does).
@@ -23,14 +22,17 @@ Branco et al. 2017, SMOGN) as Spark jobs:
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col_of, is_numeric
+from ..functions.columns import col_of, is_numeric, md5_int
+from ..session import stage
 from ..stats import StatsPlan
 from . import rank
-from .balance import MAX_BROADCAST_ROWS, smoter_gate
+from .balance import smoter_gate
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -45,11 +47,33 @@ def relevance(y: Column, median: float, lower: float, upper: float) -> Column:
     return F.when(y >= F.lit(median), hi).otherwise(lo)
 
 
+def _scaled(name: str, low, high) -> Column:
+    """A feature on [0, 1]; NULL in the middle, a constant feature at 0."""
+    if low is None or high is None or float(low) == float(high):
+        return F.lit(0.0)
+    x = (col_of(name).cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low))
+    return F.coalesce(x, F.lit(0.5))
+
+
+def weight(direction: int, feature: int) -> float:
+    """Fixed component of a direction, in [-1, 1] in steps of 1/1000."""
+    return (int(hashlib.md5(f"{direction}|{feature}".encode()).hexdigest()[:15], 16) % 2001 - 1000) / 1000
+
+
+def _direction(i: int, scaled: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for f, x in enumerate(scaled):
+        out = out + x * F.lit(weight(i, f))
+    return out
+
+
 def smoter(df: DataFrame, target: str, k: int = 5, rel_threshold: float = 0.5, seed: int = 42,
-           under_sample: bool = False, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-           rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET, quantiles: str | None = None):
+           under_sample: bool = False, order_key: str | None = None, features: list[str] | None = None,
+           projections: int = 2, rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET, quantiles: str | None = None):
     """Returns (DataFrame, info dict).  Data are returned unchanged when the gate
-    refuses or no rare bump exists."""
+    refuses or no rare bump exists.  ``features`` (default: all numeric columns but the
+    target and ``order_key``) span the neighbour space; ``order_key`` breaks ties
+    (default: a hash of the row)."""
     gate = smoter_gate(df, target)
     info = {"gate": gate}
     if not gate["apply"]:
@@ -58,7 +82,10 @@ def smoter(df: DataFrame, target: str, k: int = 5, rel_threshold: float = 0.5, s
     plan = StatsPlan(quantile_method=quantiles)
     for q in (0.25, 0.5, 0.75):
         plan.need_q(target, q)
-    plan.need("min", target), plan.need("max", target), plan.need("rows", target)
+    if features is None:
+        features = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in (target, order_key)]
+    for c in [target, *features]:
+        plan.need("min", c), plan.need("max", c)
     st = plan.fit(base)
     q1, med, q3 = (float(st.q(target, p)) for p in (0.25, 0.5, 0.75))
     ymin, ymax = float(st[("min", target)]), float(st[("max", target)])
@@ -68,7 +95,8 @@ def smoter(df: DataFrame, target: str, k: int = 5, rel_threshold: float = 0.5, s
     phi = relevance(y, med, lower, upper)
     bump = F.when(phi >= F.lit(rel_threshold), F.when(y < F.lit(med), "low").otherwise("high")).otherwise("normal")
     cols = df.columns
-    tagged = base.withColumn("__bump", bump).withColumn("__h", F.xxhash64(*[col_of(c) for c in cols]))
+    tie = col_of(order_key) if order_key else F.xxhash64(*[col_of(c) for c in cols])
+    tagged = base.withColumn("__bump", bump).withColumn("__h", tie)
     sizes = {r["__bump"]: r["n"] for r in tagged.groupBy("__bump").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(sizes.values())
     bumps = [b for b in ("low", "normal", "high") if sizes.get(b)]
@@ -84,25 +112,28 @@ def smoter(df: DataFrame, target: str, k: int = 5, rel_threshold: float = 0.5, s
     # positions inside each rare bump, in target order
     rare_rows = tagged.where(F.col("__bump").isin(rare))
     n_rare = sum(sizes[b] for b in rare)
-    ranked = rank.global_row_number(rare_rows, [rank.SortKey("__bump"), rank.SortKey(target), rank.SortKey("__h")],
-                                    n_rare, "__rn", rows_per_bucket)
-    starts, acc = {}, 0
-    for b in sorted(rare):                   # 'high' < 'low' in byte order, as in the sort
-        starts[b] = acc
-        acc += sizes[b]
-    start_df = spark.createDataFrame([(b, s) for b, s in starts.items()], "__bump string, __start bigint")
-    pos = ranked.join(F.broadcast(start_df), "__bump").withColumn("__pos", F.col("__rn") - F.col("__start")) \
-        .drop("__rn", "__start", "__h")
-
-    # k nearest by |Δy| among positions pos±1..k  (2k candidates per row)
-    offsets = F.array(*[F.lit(d) for d in range(-k, k + 1) if d != 0])
-    cand = pos.select("__bump", "__pos", y.alias("__y"), F.explode(offsets).alias("__d")) \
-        .withColumn("__npos", F.col("__pos") + F.col("__d"))
-    other = pos.select("__bump", F.col("__pos").alias("__npos"), y.alias("__ny"))
-    pairs = cand.join(other, ["__bump", "__npos"])
-    w = Window.partitionBy("__bump", "__pos").orderBy(F.abs(F.col("__ny") - F.col("__y")), F.abs("__d"), "__d")
-    nbrs = (pairs.withColumn("__m", F.row_number().over(w)).where(F.col("__m") <= k)
-            .select("__bump", "__pos", "__m", "__npos"))
+    start = F.create_map(*[x for i, b in enumerate(sorted(rare)) for x in (F.lit(b), F.lit(sum(sizes[a] for a in sorted(rare)[:i])))])
+
+    def positions(rows: DataFrame, key: str, out: str) -> DataFrame:
+        numbered = rank.global_row_number(rows, [rank.SortKey("__bump"), rank.SortKey(key), rank.SortKey("__h")], n_rare, "__rn", rows_per_bucket)
+        return numbered.withColumn(out, F.col("__rn") - F.element_at(start, F.col("__bump"))).drop("__rn")
+
+    pos = positions(rare_rows, target, "__pos")
+    scaled = [_scaled(c, st[("min", c)], st[("max", c)]) for c in features]
+    space = pos.select("__bump", "__pos", "__h", y.alias("__y"), F.array(*scaled).cast("array<double>").alias("__z"),
+                       *[_direction(i, scaled).alias(f"__d{i}") for i in range(projections if scaled else 0)])
+    near = F.explode(F.array(*[F.lit(d) for d in range(-k, k + 1) if d != 0]))
+    pairs = None
+    for order in ["__pos", *[f"__d{i}" for i in range(projections if scaled else 0)]]:
+        at = space.withColumn("__at", F.col("__pos")) if order == "__pos" else positions(space, order, "__at")
+        side = at.select("__bump", "__at", F.col("__pos").alias("__npos"), F.col("__y").alias("__ny"), F.col("__z").alias("__nz"))
+        met = at.select("__bump", "__pos", "__y", "__z", "__at", near.alias("__by")).withColumn("__at", F.col("__at") + F.col("__by")).drop("__by").join(side, ["__bump", "__at"]).drop("__at")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    pairs = pairs.dropDuplicates(["__bump", "__pos", "__npos"])
+    apart = F.aggregate(F.zip_with("__z", "__nz", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    w = Window.partitionBy("__bump", "__pos").orderBy(apart, F.abs(F.col("__ny") - F.col("__y")), "__npos")
+    # at most 2k(projections + 1) candidates per row
+    nbrs = stage(pairs.withColumn("__m", F.row_number().over(w)).where(F.col("__m") <= k).select("__bump", "__pos", "__m", "__npos"), "neighbours")
     n_nb = (nbrs.groupBy("__bump", "__pos").agg(F.max("__m").alias("__k")))
 
     # synthetic ids, spread over all tasks
@@ -120,6 +151,7 @@ def smoter(df: DataFrame, target: str, k: int = 5, rel_threshold: float = 0.5, s
             return F.when(idx < F.lit(firsts[mid]), build(lo, mid - 1)).otherwise(build(mid, hi))
         return build(0, len(firsts) - 1)
 
+    draw = lambda i: md5_int(F.col("__bump"), F.col("__j"), F.lit(seed), F.lit(i))
     names = F.array(*[F.lit(b) for b, _, _ in need])
     szs = F.array(*[F.lit(s) for _, _, s in need])
     fst = F.array(*[F.lit(f) for f in firsts])
@@ -128,20 +160,17 @@ def smoter(df: DataFrame, target: str, k: int = 5, rel_threshold: float = 0.5, s
            .withColumn("__bump", F.element_at(names, F.col("__i") + 1))
            .withColumn("__j", F.col("id") - F.element_at(fst, F.col("__i") + 1))
            .withColumn("__pos", F.pmod(F.col("__j"), F.element_at(szs, F.col("__i") + 1)) + 1)
-           .withColumn("__r1", F.xxhash64(F.col("__bump"), F.col("__j"), F.lit(seed), F.lit(1)))
-           .withColumn("__u", F.pmod(F.xxhash64(F.col("__bump"), F.col("__j"), F.lit(seed), F.lit(2)),
-                                     F.lit(1_000_000)) / F.lit(1_000_000.0))
-           .withColumn("__side", F.pmod(F.xxhash64(F.col("__bump"), F.col("__j"), F.lit(seed), F.lit(3)), F.lit(2)))
+           .withColumn("__r1", draw(1)).withColumn("__u", F.pmod(draw(2), F.lit(1_000_000)) / F.lit(1_000_000.0))
+           .withColumn("__side", F.pmod(draw(3), F.lit(2)))
            .select("__bump", "__pos", "__r1", "__u", "__side"))
-    small = n_rare <= max_broadcast_rows
-    bc = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    ids = (ids.join(bc(n_nb), ["__bump", "__pos"])
+    # all sides grow with the data: Spark plans the joins from their sizes
+    ids = (ids.join(n_nb, ["__bump", "__pos"])
            .withColumn("__m", F.pmod(F.col("__r1"), F.col("__k")) + 1)
-           .join(bc(nbrs), ["__bump", "__pos", "__m"]))
+           .join(nbrs, ["__bump", "__pos", "__m"]))
     seed_rows = pos.select("__bump", "__pos", *[col_of(c).alias(f"s__{i}") for i, c in enumerate(cols)])
     nb_rows = pos.select("__bump", F.col("__pos").alias("__npos"),
                          *[col_of(c).alias(f"n__{i}") for i, c in enumerate(cols)])
-    joined = ids.join(bc(seed_rows), ["__bump", "__pos"]).join(bc(nb_rows), ["__bump", "__npos"])
+    joined = ids.join(seed_rows, ["__bump", "__pos"]).join(nb_rows, ["__bump", "__npos"])
     u = F.col("__u")
     out_cols = []
     for i, f in enumerate(df.schema.fields):

@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 
 from .. import specs as S
 from ..functions.columns import as_text, btrim_ws, clip, col_of, md5_bucket, nan_to_null
+from ..session import stage
 from ..stats import Stats, StatsPlan
 from . import rank
 
-MAX_BROADCAST_ROWS = 2_000_000
 LOOKUP_METHODS = {"label_encoding", "frequency_encoding", "target_encoding"}
 RANK_METHODS = {"binning"}
 
@@ -65,8 +65,6 @@ def register_needs(spec: S.Spec, plan: StatsPlan) -> None:
         plan.need_q(c, 0.25), plan.need_q(c, 0.75)
     elif m == "winsorize":
         plan.need_q(c, float(p["lower_percentile"])), plan.need_q(c, float(p["upper_percentile"]))
-    elif m in LOOKUP_METHODS:
-        plan.need("ndv", c)
     elif m in RANK_METHODS:
         plan.need("rows", c)
 
@@ -86,6 +84,8 @@ def iqr_bounds(stats: Stats, col: str):
 def scalar_expr(spec: S.Spec, x: Column, dtype: T.DataType, stats: Stats) -> Column:
     """Row-local expression of a one-output transform (no lookup, no rank)."""
     c, m, p = spec.column, spec.method, spec.params
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        x = nan_to_null(x)              # NaN is missing
     xd = x.cast("double")
     if m == "standardization":
         avg, sd = _f(stats[("avg", c)]), _f(stats[("stddev", c)])
@@ -194,33 +194,36 @@ class Lookup:
     """key expression on the input → value column from a table keyed by ``__lk``."""
     key: Column
     table: DataFrame          # columns: __lk, __lv
-    ndv: int | None
     null_safe: bool = True
 
 
-def build_lookup(spec: S.Spec, fit_df: DataFrame, key: Column, key_dtype: T.DataType, ndv,
-                 rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> Lookup:
-    """Lookup table of a label / frequency / target encoding, fitted on ``fit_df``
-    where ``key`` is evaluated (raw column or staged chain value)."""
-    m = spec.method
-    if m == "label_encoding":
-        text = F.coalesce(as_text(key, key_dtype), F.lit(""))
-        values = fit_df.select(text.alias("__lk"))
-        table = rank.dense_rank_dictionary(values, "__lk", out="__lv", rows_per_bucket=rows_per_bucket,
-                                           n_estimate=ndv)
-        return Lookup(text, table, ndv, null_safe=False)
-    if m == "frequency_encoding":
-        text = as_text(key, key_dtype)
-        table = fit_df.groupBy(text.alias("__lk")).agg(F.count(F.lit(1)).alias("__lv"))
-        return Lookup(text, table, ndv, null_safe=True)
-    if m == "target_encoding":
-        # keyed on the canonical text of the value: same groups as the raw value
-        # (NULL is its own group), and a common key type across columns
-        text = as_text(key, key_dtype)
-        target = col_of(spec.params["target_column"]).cast("double")
-        table = fit_df.groupBy(text.alias("__lk")).agg(F.avg(target).alias("__lv"))
-        return Lookup(text, table, ndv, null_safe=True)
-    raise ValueError(m)
+def lookup_tables(fit_df: DataFrame, wanted: list[tuple[str, str, Column, T.DataType, str | None]],
+                  rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> dict[str, DataFrame]:
+    """Lookup tables (__lk, __lv) by name of label / frequency / target encodings fitted on
+    ``fit_df``; ``wanted`` has (name, method, key expression, key type, target column).
+
+    All encodings of one method (and target) are one group-by over (name, value) pairs,
+    staged once; each table is a filter on that staged table, so the input is read once
+    per method, however many columns it encodes."""
+    kinds: dict[tuple[str, str | None], list] = {}
+    for name, method, key, dtype, target in wanted:
+        text = as_text(key, dtype)
+        if method == "label_encoding":
+            text = F.coalesce(text, F.lit(""))
+        kinds.setdefault((method, target if method == "target_encoding" else None), []).append((name, text))
+    out = {}
+    for (method, target), keys in kinds.items():
+        pairs = F.inline(F.array(*[F.struct(F.lit(n).alias("g"), t.alias("v")) for n, t in keys]))
+        if method == "label_encoding":
+            table = stage(rank.dense_rank_dictionaries(fit_df.select(pairs), "g", "v", "n", rows_per_bucket), "labels")
+        elif method == "frequency_encoding":
+            table = stage(fit_df.select(pairs).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
+        else:
+            mean = F.avg(F.col("__y")).alias("n")
+            table = stage(fit_df.select(pairs, col_of(target).cast("double").alias("__y")).groupBy("g", "v").agg(mean), "means")
+        for n, _ in keys:
+            out[n] = table.where(F.col("g") == n).select(F.col("v").alias("__lk"), F.col("n").alias("__lv"))
+    return out
 
 
 def build_lookup_key(spec: S.Spec, x: Column, dtype: T.DataType) -> Column:
@@ -232,13 +235,13 @@ def build_lookup_key(spec: S.Spec, x: Column, dtype: T.DataType) -> Column:
     return x
 
 
-def join_lookup(df: DataFrame, lookup: Lookup, out: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Left join of ``lookup`` onto ``df``; adds column ``out``."""
+def join_lookup(df: DataFrame, lookup: Lookup, out: str) -> DataFrame:
+    """Left join of ``lookup`` onto ``df``; adds column ``out``.  The table is staged, so
+    Spark knows its size in bytes: it broadcasts a small one and shuffles a large one,
+    where adaptive execution splits a hot key."""
     k = f"__key{out}"
     left = df.withColumn(k, lookup.key)
     table = lookup.table.withColumnRenamed("__lk", k + "_r").withColumnRenamed("__lv", out)
-    if lookup.ndv is not None and lookup.ndv * 1.2 <= max_broadcast_rows:
-        table = F.broadcast(table)
     cond = (left[k].eqNullSafe(table[k + "_r"]) if lookup.null_safe else left[k] == table[k + "_r"])
     return left.join(table, cond, "left").drop(k, k + "_r")
 
@@ -265,20 +268,11 @@ class FittedTransforms:
     specs: list
     skipped: list
     stats: Stats
-    lookups: dict                      # spec index → Lookup (tables derived from the fit input)
+    lookups: dict                      # spec index → Lookup (staged tables fitted on the input)
     order_key: str | None
-    max_broadcast_rows: int
     rows_per_bucket: int
     source: DataFrame | None = None    # the fitted input (its row count is known)
 
-    def materialize(self) -> "FittedTransforms":
-        """Checkpoint each lookup table into the shared checkpoint folder so later
-        applications (e.g. every micro-batch of a stream) reuse it."""
-        from ..session import cut_lineage
-        for lk in self.lookups.values():
-            lk.table = cut_lineage(lk.table)
-        return self
-
     def transform(self, df: DataFrame, include_original: bool = True) -> TransformResult:
         out = df
         outputs: list[tuple[str, Column]] = []
@@ -293,7 +287,7 @@ class FittedTransforms:
                 tmp = f"__lookup_{i}"
                 lk = self.lookups[i]
                 key = build_lookup_key(spec, x, dtype)
-                out = join_lookup(out, Lookup(key, lk.table, lk.ndv, lk.null_safe), tmp, self.max_broadcast_rows)
+                out = join_lookup(out, Lookup(key, lk.table, lk.null_safe), tmp)
                 outputs.append((name, F.col(tmp)))
             elif spec.method == "binning":
                 if df.isStreaming:
@@ -313,78 +307,31 @@ class FittedTransforms:
 
 
 def fit_transforms(df: DataFrame, raw_specs: list[dict], quantiles: str | None = None,
-                   order_key: str | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                   order_key: str | None = None,
                    rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> FittedTransforms:
-    """One aggregate for every statistic of every spec, plus lazy lookup tables.
-    Invalid specs are skipped with a reason (never fatal unless all are)."""
+    """One aggregate for every statistic of every spec, and one staged lookup table for
+    each kind of encoding.  Invalid specs are skipped with a reason; when all are,
+    there is nothing to fit and an error is raised."""
     valid, skipped = S.validate_specs(raw_specs, df.columns)
     if not valid:
-        raise ValueError(f"No valid transformations provided: {skipped}")
+        raise S.no_valid_specs(skipped)
     plan = StatsPlan(quantile_method=quantiles)
     for spec in valid:
         register_needs(spec, plan)
     stats = plan.fit(df)
-    lookups = {}
-    labels = sorted({s.column for s in valid if s.method == "label_encoding"})
-    shared = None
-    if len(labels) > 1:
-        # one combined dictionary for every label-encoded column: 3 jobs in total
-        pairs = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("g"), F.coalesce(as_text(col_of(c), df.schema[c].dataType), F.lit("")).alias("v"))
-            for c in labels])))
-        est = sum(int(stats.get(("ndv", c)) or 0) for c in labels)
-        shared = rank.dense_rank_dictionaries(pairs, "g", "v", "code", rows_per_bucket, n_estimate=est)
-    freqs = sorted({s.column for s in valid if s.method == "frequency_encoding"})
-    shared_counts = None
-    if len(freqs) > 1:
-        # one partial-aggregated count over (column, value) for every frequency encoding
-        pairs = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("g"), as_text(col_of(c), df.schema[c].dataType).alias("v")) for c in freqs])))
-        shared_counts = pairs.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    by_target: dict[str, list[str]] = {}
-    for s_ in valid:
-        if s_.method == "target_encoding":
-            cols_t = by_target.setdefault(s_.params["target_column"], [])
-            if s_.column not in cols_t:
-                cols_t.append(s_.column)
-    shared_means = {}
-    for tgt, cols_t in by_target.items():
-        if len(cols_t) > 1:
-            # one partial-aggregated mean over (column, value) per target
-            pairs = df.select(F.inline(F.array(*[
-                F.struct(F.lit(c).alias("g"), as_text(col_of(c), df.schema[c].dataType).alias("v")) for c in cols_t])),
-                col_of(tgt).cast("double").alias("__y"))
-            shared_means[tgt] = pairs.groupBy("g", "v").agg(F.avg("__y").alias("n"))
-    for i, spec in enumerate(valid):
-        if spec.method == "target_encoding" and spec.params["target_column"] in shared_means:
-            dtype = df.schema[spec.column].dataType
-            table = shared_means[spec.params["target_column"]].where(F.col("g") == spec.column).select(
-                F.col("v").alias("__lk"), F.col("n").alias("__lv"))
-            lookups[i] = Lookup(build_lookup_key(spec, col_of(spec.column), dtype), table,
-                                stats.get(("ndv", spec.column)), null_safe=True)
-        elif spec.method == "frequency_encoding" and shared_counts is not None:
-            dtype = df.schema[spec.column].dataType
-            table = shared_counts.where(F.col("g") == spec.column).select(F.col("v").alias("__lk"),
-                                                                         F.col("n").alias("__lv"))
-            lookups[i] = Lookup(build_lookup_key(spec, col_of(spec.column), dtype), table,
-                                stats.get(("ndv", spec.column)), null_safe=True)
-        elif spec.method == "label_encoding" and shared is not None:
-            dtype = df.schema[spec.column].dataType
-            table = shared.where(F.col("g") == spec.column).select(F.col("v").alias("__lk"), F.col("code").alias("__lv"))
-            lookups[i] = Lookup(build_lookup_key(spec, col_of(spec.column), dtype), table,
-                                stats.get(("ndv", spec.column)), null_safe=False)
-        elif spec.method in LOOKUP_METHODS:
-            lookups[i] = build_lookup(spec, df, col_of(spec.column), df.schema[spec.column].dataType,
-                                      stats.get(("ndv", spec.column)), rows_per_bucket)
-    return FittedTransforms(valid, skipped, stats, lookups, order_key, max_broadcast_rows, rows_per_bucket, df)
+    encoded = [(i, s) for i, s in enumerate(valid) if s.method in LOOKUP_METHODS]
+    tables = lookup_tables(df, [(str(i), s.method, col_of(s.column), df.schema[s.column].dataType, s.params.get("target_column"))
+                                for i, s in encoded], rows_per_bucket)
+    lookups = {i: Lookup(build_lookup_key(s, col_of(s.column), df.schema[s.column].dataType), tables[str(i)],
+                         null_safe=s.method != "label_encoding") for i, s in encoded}
+    return FittedTransforms(valid, skipped, stats, lookups, order_key, rows_per_bucket, df)
 
 
 def apply_transforms(df: DataFrame, raw_specs: list[dict], include_original: bool = True,
                      quantiles: str | None = None, order_key: str | None = None,
-                     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
                      rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET) -> TransformResult:
     """Apply each spec independently to the raw columns (template semantics)."""
-    fitted = fit_transforms(df, raw_specs, quantiles, order_key, max_broadcast_rows, rows_per_bucket)
+    fitted = fit_transforms(df, raw_specs, quantiles, order_key, rows_per_bucket)
     return fitted.transform(df, include_original)
 
 
@@ -402,22 +349,26 @@ def dedupe_names(outputs: list[tuple[str, Column]], taken: list[str]) -> list[tu
     return result
 
 
-def one_hot_columns(df: DataFrame, column: str, max_values: int = 1000, drop_original: bool = False) -> DataFrame:
+def one_hot_columns(df: DataFrame, column: str, max_values: int | None = None, drop_original: bool = False) -> DataFrame:
     """True one-hot (ours, beside the reference's hash-based 'one-hot'): one 0/1
-    column per distinct non-NULL value; NULL rows are all zeros.
-
-    The distinct values become column names, so their number is checked and an
-    error is raised above ``max_values`` (use hash_encoding there) — no value is
-    ever dropped silently."""
-    x = col_of(column)
-    dtype = df.schema[column].dataType
-    text = as_text(x, dtype)
-    values = [r[0] for r in df.select(text.alias("v")).where(F.col("v").isNotNull()).distinct()
-              .limit(max_values + 1).collect()]
-    if len(values) > max_values:
-        raise ValueError(f"{column} has more than {max_values} distinct values; use hash_encoding")
+    column per distinct non-NULL value; NULL rows are all zeros.  Values whose names
+    collide get ``_2``, ``_3`` … in value order.
+
+    The distinct values become column names and so travel to the driver; for a column
+    of many values use :func:`one_hot_long`.  ``max_values`` makes that an error."""
+    text = as_text(col_of(column), df.schema[column].dataType)
+    found = df.select(text.alias("v")).where(F.col("v").isNotNull()).distinct()
+    values = sorted(r[0] for r in (found if max_values is None else found.limit(max_values + 1)).collect())
+    if max_values is not None and len(values) > max_values:
+        raise ValueError(f"{column}: more than {max_values} distinct values")
     base = S.sanitize_column_name(column)
-    outs = [F.when(text == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(f"{base}_{S.sanitize_column_name(str(v))}")
-            for v in sorted(values)]
-    keep = [col_of(c) for c in df.columns if not (drop_original and c == column)]
-    return df.select(*keep, *outs)
+    keep = [c for c in df.columns if not (drop_original and c == column)]
+    outs = dedupe_names([(f"{base}_{S.sanitize_column_name(v)}", F.when(text == F.lit(v), F.lit(1)).otherwise(F.lit(0)))
+                         for v in values], keep)
+    return df.select(*[col_of(c) for c in keep], *[c.alias(n) for n, c in outs])
+
+
+def one_hot_long(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Sparse one-hot for any number of values: (keys, value, flag = 1), no row for NULL."""
+    text = as_text(col_of(column), df.schema[column].dataType)
+    return df.select(*[col_of(k) for k in keys], text.alias("value"), F.lit(1).alias("flag")).where(F.col("value").isNotNull())

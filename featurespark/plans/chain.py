@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from .. import specs as S
 from ..functions.columns import as_text, clip, col_of, md5_bucket
 from ..operators import rank
-from ..operators.transforms import (LOOKUP_METHODS, MAX_BROADCAST_ROWS, build_lookup, build_lookup_key, dedupe_names,
-                                    iqr_bounds, join_lookup, multi_output, scalar_expr, _lit_double, _f)
+from ..operators.transforms import (LOOKUP_METHODS, Lookup, build_lookup_key, dedupe_names, iqr_bounds, join_lookup,
+                                    lookup_tables, multi_output, MULTI, scalar_expr, _lit_double, _f)
+from ..session import stage
 from ..stats import Stats, StatsPlan
 
 # FIXED VALUES: suffix of each step inside a chain.
@@ -78,8 +79,6 @@ def _register_chain_needs(column: str, steps: list[S.Spec], plan: StatsPlan) ->
         elif m == "robust_scaling":
             for q in (0.25, 0.5, 0.75):
                 plan.need_q(column, q)
-        elif m in LOOKUP_METHODS:
-            plan.need("ndv", column)
         elif m == "binning":
             plan.need("rows", column)
 
@@ -108,7 +107,7 @@ class _Chain:
 
 
 def _apply_step(ch: _Chain, spec: S.Spec, stats: Stats, idx: str, order_key, rows_per_bucket,
-                max_broadcast_rows, pending: list | None = None) -> None:
+                pending: list | None = None) -> None:
     m, c = spec.method, ch.column
     if m in ("interaction", "ratio", "extract_date_parts"):
         ch.extra.extend(multi_output(spec, ch.df))
@@ -131,21 +130,22 @@ def _apply_step(ch: _Chain, spec: S.Spec, stats: Stats, idx: str, order_key, row
             key = spec.params.get("order_key", order_key)
             ch.df = rank.global_ntile(ch.df, staged, int(spec.params["num_bins"]), key,
                                       stats[("rows", None)], out, rows_per_bucket)
-        elif pending is not None and ch.local and m in ("label_encoding", "frequency_encoding"):
-            # deferred: one shared dictionary / count is built for all such steps
-            pending.append((spec, c, ch.expr, ch.dtype, staged, out))
+        elif pending is not None and ch.local:
+            # deferred: all such steps of one kind share one staged table
+            pending.append((spec, ch.expr, ch.dtype, staged, out))
         else:
             # fit the lookup on the input table when the staged value is row-local,
             # so its lineage does not re-run other columns' joins
             fit_df, key = ((ch.source, ch.expr) if ch.local else (ch.df, F.col(staged)))
-            lk = build_lookup(spec, fit_df, key, ch.dtype, stats.get(("ndv", c)), rows_per_bucket)
-            lk.key = build_lookup_key(spec, F.col(staged), ch.dtype)
-            ch.df = join_lookup(ch.df, lk, out, max_broadcast_rows)
+            table = lookup_tables(fit_df, [(out, m, key, ch.dtype, spec.params.get("target_column"))], rows_per_bucket)[out]
+            ch.df = join_lookup(ch.df, Lookup(build_lookup_key(spec, F.col(staged), ch.dtype), table, m != "label_encoding"), out)
         ch.expr = F.col(out)
         ch.local = False
     else:
         ch.expr = scalar_expr(spec, ch.expr, ch.dtype, stats)
-    if m in NUMERIC_OUT:
+    if m == "impute_constant":
+        ch.dtype = ch.df.select(ch.expr.alias("x")).schema["x"].dataType     # an integer column filled with 0.5 is double
+    elif m in NUMERIC_OUT:
         ch.dtype = T.DoubleType()
     elif m in LONG_OUT:
         ch.dtype = T.LongType()
@@ -156,35 +156,14 @@ def _apply_step(ch: _Chain, spec: S.Spec, stats: Stats, idx: str, order_key, row
         ch.suffixes.append(suffix)
 
 
-def _resolve_pending(source: DataFrame, running: DataFrame, pending: list, stats: Stats, max_broadcast_rows: int,
-                     rows_per_bucket: int) -> DataFrame:
-    """Join the deferred label / frequency lookups.  Steps of one kind share one
-    (step, value) table fitted on the chain's input: a single bucketed ranking
-    for every label encoding, a single count for every frequency encoding."""
-    from ..operators.transforms import Lookup
-    for kind in ("label_encoding", "frequency_encoding"):
-        steps = [p for p in pending if p[0].method == kind]
-        if not steps:
-            continue
-        if len(steps) == 1:
-            spec, c, expr, dtype, staged, out = steps[0]
-            lk = build_lookup(spec, source, expr, dtype, stats.get(("ndv", c)), rows_per_bucket)
-            lk.key = build_lookup_key(spec, F.col(staged), dtype)
-            running = join_lookup(running, lk, out, max_broadcast_rows)
-            continue
-        text = {p[5]: build_lookup_key(p[0], p[2], p[3]) for p in steps}          # out -> key on the input
-        pairs = source.select(F.inline(F.array(*[F.struct(F.lit(o).alias("g"), t.alias("v"))
-                                                 for o, t in text.items()])))
-        if kind == "label_encoding":
-            est = sum(int(stats.get(("ndv", p[1])) or 0) for p in steps)
-            shared = rank.dense_rank_dictionaries(pairs, "g", "v", "n", rows_per_bucket, n_estimate=est)
-        else:
-            shared = pairs.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-        for spec, c, expr, dtype, staged, out in steps:
-            table = shared.where(F.col("g") == out).select(F.col("v").alias("__lk"), F.col("n").alias("__lv"))
-            lk = Lookup(build_lookup_key(spec, F.col(staged), dtype), table, stats.get(("ndv", c)),
-                        null_safe=(kind == "frequency_encoding"))
-            running = join_lookup(running, lk, out, max_broadcast_rows)
+def _resolve_pending(source: DataFrame, running: DataFrame, pending: list, rows_per_bucket: int) -> DataFrame:
+    """Join the deferred lookups, all fitted on the chain's input: one staged table for
+    each kind of encoding."""
+    tables = lookup_tables(source, [(out, spec.method, expr, dtype, spec.params.get("target_column"))
+                                    for spec, expr, dtype, _, out in pending], rows_per_bucket)
+    for spec, _, dtype, staged, out in pending:
+        lookup = Lookup(build_lookup_key(spec, F.col(staged), dtype), tables[out], spec.method != "label_encoding")
+        running = join_lookup(running, lookup, out)
     return running
 
 
@@ -192,22 +171,47 @@ def auto_binary_target(x: Column, dtype: T.DataType) -> Column:
     return F.when(as_text(x, dtype).isin(S.TRUE_TEXTS), F.lit(1)).otherwise(F.lit(0))
 
 
+def chain_lineage(raw_specs: list[dict], columns: list[str], target_column: str | None = None,
+                  include_target: bool = True) -> list[dict]:
+    """Lineage of the chain that ``raw_specs`` describe, from the specs alone (no data is
+    read): which output each column gets, and by which steps."""
+    out = []
+    valid, _ = S.validate_specs(raw_specs, columns)
+    for column, steps in group_by_column(valid).items():
+        if column == target_column and not include_target:
+            continue
+        suffixes = list(dict.fromkeys(x for s in steps if s.method not in MULTI and (x := CHAIN_SUFFIX.get(s.method) or S.SUFFIX.get(s.method))))
+        name = "target" if column == target_column else "_".join([S.sanitize_column_name(column), *suffixes])
+        out.append(_lineage(column, name, [s.raw_method for s in steps]))
+    if target_column and include_target and not any(l["original_column"] == target_column for l in out):
+        out.append(_lineage(target_column, "target", [AUTO_TARGET]))
+    return out
+
+
+# FIXED VALUES: keys of a lineage entry, and the step name of a target without a chain
+LINEAGE_KEYS = ("original_column", "output_column", "transformations")
+AUTO_TARGET = "auto_binary_encoding"
+
+
+def _lineage(column: str, output: str, steps: list[str]) -> dict:
+    return dict(zip(LINEAGE_KEYS, (column, output, steps)))
+
+
 def build_chain(df: DataFrame, raw_specs: list[dict], target_column: str | None = None,
                 include_target: bool = True, quantiles: str | None = None, order_key: str | None = None,
-                keep_columns: list[str] | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET, cut_input_lineage: bool = False) -> ChainResult:
+                keep_columns: list[str] | None = None,
+                rows_per_bucket: int = rank.DEFAULT_ROWS_PER_BUCKET, stage_input: bool = False) -> ChainResult:
     """X3 + X4: chained, model-ready projection of ``df``.
 
     ``keep_columns`` (ours) passes key columns through unchanged, e.g. to join
-    the features back or compare them.  ``cut_input_lineage`` checkpoints the
-    needed input columns once (into ``spark.checkpoint.dir``) — worth it when the
-    input is expensive (a join) and several lookups are fitted on it; off by
-    default because re-reading pruned columns is usually cheaper."""
+    the features back or compare them.  ``stage_input`` writes the needed input
+    columns once as Parquet to the shared folder (``spark.checkpoint.dir``; see
+    ``session.drop_staged``) — worth it when the input is expensive (a join), since
+    every fitting pass then reads only its own columns of the staged table."""
     valid, skipped = S.validate_specs(raw_specs, df.columns)
     if not valid:
-        raise ValueError(f"No valid transformations provided: {skipped}")
-    if cut_input_lineage:
-        from ..session import cut_lineage
+        raise S.no_valid_specs(skipped)
+    if stage_input:
         needed = set(keep_columns or []) | {s.column for s in valid} | ({target_column} if target_column else set())
         for s in valid:
             for k in ("column1", "column2", "target_column", "order_key"):
@@ -215,7 +219,7 @@ def build_chain(df: DataFrame, raw_specs: list[dict], target_column: str | None
                     needed.add(s.params[k])
         if order_key:
             needed.add(order_key)
-        df = cut_lineage(df.select(*[col_of(c) for c in df.columns if c in needed]))
+        df = stage(df.select(*[col_of(c) for c in df.columns if c in needed]), "chain-input")
     grouped = group_by_column(valid)
     plan = StatsPlan(quantile_method=quantiles)
     for column, steps in grouped.items():
@@ -231,28 +235,25 @@ def build_chain(df: DataFrame, raw_specs: list[dict], target_column: str | None
         if is_target and not include_target:
             continue
         ch = _Chain(running, column, df.schema[column].dataType, df)
-        # a column whose only lookup step is label / frequency encoding and that has
-        # no rank step can defer that lookup to the shared pass below
+        # a column with a single lookup step and
+        # no rank step can defer that lookup to the shared tables below
         n_lookup = sum(1 for s in steps if s.method in LOOKUP_METHODS)
         eligible = n_lookup == 1 and not any(s.method == "binning" for s in steps)
         for si, spec in enumerate(steps):
-            _apply_step(ch, spec, stats, f"{ci}_{si}", order_key, rows_per_bucket, max_broadcast_rows,
-                        pending if eligible else None)
+            _apply_step(ch, spec, stats, f"{ci}_{si}", order_key, rows_per_bucket, pending if eligible else None)
         running = ch.df
         name = "target" if is_target else (
             f"{S.sanitize_column_name(column)}_{'_'.join(ch.suffixes)}" if ch.suffixes
             else S.sanitize_column_name(column))
         outputs.append((name, ch.expr))
         outputs.extend(ch.extra)
-        lineage.append({"original_column": column, "output_column": name,
-                        "transformations": [s.raw_method for s in steps]})
-    running = _resolve_pending(df, running, pending, stats, max_broadcast_rows, rows_per_bucket)
+        lineage.append(_lineage(column, name, [s.raw_method for s in steps]))
+    running = _resolve_pending(df, running, pending, rows_per_bucket)
     if target_column and include_target and target_column not in grouped:
         if target_column not in df.columns:
-            raise ValueError(f"Target column '{target_column}' not found")
+            raise ValueError(f"no column {target_column!r} to use as target")
         outputs.append(("target", auto_binary_target(col_of(target_column), df.schema[target_column].dataType)))
-        lineage.append({"original_column": target_column, "output_column": "target",
-                        "transformations": ["auto_binary_encoding"]})
+        lineage.append(_lineage(target_column, "target", [AUTO_TARGET]))
     keep = [col_of(k) for k in (keep_columns or [])]
     outputs = dedupe_names(outputs, keep_columns or [])
     result = running.select(*keep, *[c.alias(n) for n, c in outputs])

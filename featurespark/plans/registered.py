@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.transforms import apply_transforms, one_hot_columns
-from ..plans.chain import build_chain
-from ..session import read_table
+from ..plans.chain import build_chain, chain_lineage
+from ..session import read_table, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -720,7 +720,7 @@ SELECT column_name, class, round(q1, 6) AS q1, round(med, 6) AS median, round(q3
   CAST(count(*) AS BIGINT) AS "count"
 FROM long JOIN q USING (column_name, class) GROUP BY column_name, class, q1, med, q3""")
 def q_box_stats(spark, sf):
-    out = P.box_stats(read_table(spark, sf, "orders"), "o_orderstatus", ["o_totalprice", "o_custkey"], quantiles="exact")
+    out = P.box_stats(read_table(spark, sf, "orders"), "o_orderstatus", ["o_totalprice", "o_custkey"])
     return _round_cols(out, ["q1", "median", "q3", "lower_whisker", "upper_whisker"])
 
 
@@ -750,25 +750,95 @@ def q_density(spark, sf):
     return out.select("column_name", "point", R("x").alias("x"), F.round("density", 9).alias("density"))
 
 
-@register("target_suggestion")
+@register("target_suggestion", """
+WITH m AS (SELECT 'doc_id' AS column_name, count(DISTINCT doc_id) AS distinct_count, 0 AS pos FROM labels
+  UNION ALL SELECT 'quality', count(DISTINCT quality), 1 FROM labels UNION ALL SELECT 'toxic', count(DISTINCT toxic), 2 FROM labels),
+s AS (SELECT column_name, distinct_count, CAST(CASE WHEN column_name IN ('quality', 'toxic') THEN 3 ELSE 0 END
+        + CASE WHEN distinct_count BETWEEN 2 AND 20 THEN 2 ELSE 0 END + CASE WHEN pos = 2 THEN 1 ELSE 0 END
+        - CASE WHEN column_name LIKE '%id' OR column_name LIKE '%key' THEN 5 ELSE 0 END AS INTEGER) AS score FROM m)
+SELECT column_name, distinct_count, score, CAST(row_number() OVER (ORDER BY score DESC, column_name) AS INTEGER) AS rank FROM s""")
 def q_target_suggestion(spark, sf):
     """P10 (ours: deterministic score instead of an LLM call)."""
     return P.suggest_target(read_table(spark, sf, "labels"))
 
 
-@register("profile_sections")
+def _long(section: str, key: str, value: str, number: str, source: str) -> str:
+    return f"SELECT '{section}' AS section, {key} AS key, {value} AS value, round(CAST({number} AS DOUBLE), 6) AS number FROM {source}"
+
+
+@register("profile_sections", """
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders),
+num AS (""" + _union([f"SELECT '{c}' AS c, CAST({c} AS DOUBLE) AS x FROM o" for c in ("o_orderkey", "o_custkey", "o_totalprice")]) + """),
+cat AS (""" + _union([f"SELECT '{c}' AS c, {c} AS v FROM o" for c in ("o_orderstatus", "o_orderpriority")]) + """),
+qs AS (SELECT c, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3, avg(x) AS mean FROM num GROUP BY c),
+out AS (SELECT c, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS k FROM num JOIN qs USING (c) GROUP BY c),
+vc AS (SELECT c, v, count(*) AS n FROM cat GROUP BY ALL),
+top AS (SELECT c, arg_max(v, n) AS mode, count(*) AS u FROM vc GROUP BY c)
+""" + " UNION ALL ".join([
+    _long("overview", "'rows'", "NULL", "count(*)", "o"),
+    _long("missing_values", "c", "NULL", "0", "(SELECT DISTINCT c FROM num UNION ALL SELECT DISTINCT c FROM cat)"),
+    _long("cardinality", "c", "NULL", "count(DISTINCT x)", "num GROUP BY c"),
+    _long("cardinality", "c", "NULL", "u", "top"),
+    _long("outliers", "c", "NULL", "k", "out WHERE k > 0"),
+    _long("univariate_numeric", "c", "NULL", "mean", "qs"),
+    _long("univariate_categorical", "c", "mode", "u", "top"),
+]))
 def q_profile_sections(spark, sf):
-    """Which report sections a full profile produces, with per-section row
-    counts computed lazily by Spark (one union of counts)."""
-    rep = P.profile(read_table(spark, sf, "orders"), target="o_orderstatus")
-    parts = [d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(k).alias("section"), "n_rows")
-             for k, d in rep.items()]
+    """Values of a full profile's sections, as (section, key, value, number)."""
+    rep = P.profile(read_table(spark, sf, "orders").drop("o_orderdate"), target="o_orderstatus")
+    text = F.lit(None).cast("string")
+    parts = [rep["overview"].select(F.lit("overview").alias("section"), F.lit("rows").alias("key"), text.alias("value"), R("rows").alias("number"))]
+    for section, value, number in (("missing_values", text, "missing_count"), ("cardinality", text, "n_unique"), ("outliers", text, "outlier_count"),
+                                   ("univariate_numeric", text, "mean"), ("univariate_categorical", F.col("mode"), "unique_count")):
+        parts.append(rep[section].select(F.lit(section).alias("section"), F.col("column_name").alias("key"), value.alias("value"), R(number).alias("number")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+@register("density_constant", """
+SELECT 'one' AS column_name, CAST(0 AS BIGINT) AS point, 1.0::DOUBLE AS x, CAST(NULL AS DOUBLE) AS density FROM (SELECT count(*) AS n FROM events) WHERE n > 0""")
+def q_density_constant(spark, sf):
+    """P13 on a constant column: one point, a point mass."""
+    return P.density(read_table(spark, sf, "events").withColumn("one", F.lit(1.0)), ["one"]).select("column_name", "point", "x", "density")
+
+
+_NAN_SQL = """n AS (SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v FROM events)"""
+
+
+def _events_nan(spark, sf):
+    """A third of the values are NaN, which counts as missing (the oracle has NULL there)."""
+    e = read_table(spark, sf, "events")
+    return e.withColumn("v", F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+
+
+@register("nan_outliers", f"""
+WITH {_NAN_SQL}, q AS (SELECT quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM n)
+SELECT 'v' AS column_name, round(q1, 6) AS q1, round(q3, 6) AS q3,
+  count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outlier_count FROM n, q GROUP BY q1, q3""")
+def q_nan_outliers(spark, sf):
+    out = P.iqr_outliers(_events_nan(spark, sf), ["v"], keep_zero=True)
+    return _round_cols(out.select("column_name", "q1", "q3", "outlier_count"), ["q1", "q3"])
+
+
+@register("nan_histogram", f"""
+WITH {_NAN_SQL}, m AS (SELECT min(v) AS a, max(v) AS b FROM n)
+SELECT 'v' AS column_name, CAST(least(floor((v - a) / (b - a) * 30) + 1, 30) AS BIGINT) AS bin, count(*) AS "count"
+FROM n, m WHERE v IS NOT NULL GROUP BY 2""")
+def q_nan_histogram(spark, sf):
+    return P.histogram(_events_nan(spark, sf), ["v"]).select("column_name", "bin", "count")
+
+
+@register("box_stats_many", """
+WITH q AS (SELECT CAST(o_custkey AS VARCHAR) AS class, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q, count(*) AS n FROM orders GROUP BY 1)
+SELECT class, round(q[1], 6) AS q1, round(q[2], 6) AS median, round(q[3], 6) AS q3, n AS "count" FROM q""")
+def q_box_stats_many(spark, sf):
+    """P17 with a class for every customer."""
+    out = P.box_stats(read_table(spark, sf, "orders"), "o_custkey", ["o_totalprice"])
+    return _round_cols(out.select("class", "q1", "median", "q3", "count"), ["q1", "median", "q3"])
+
+
 # ---------------------------------------------------------------------------
 # B*: imbalance, balancing, bias
 # ---------------------------------------------------------------------------
@@ -819,20 +889,44 @@ def q_oversample_counts(spark, sf):
     return out.groupBy(F.col("quality").cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
 
 
-@register("oversample_rows")
+_DRAW = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
+
+
+@register("oversample_rows", """
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS idx FROM labels),
+c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), m AS (SELECT max(n) AS most FROM c),
+d AS (SELECT quality, n, unnest(range(most - n)) AS j FROM c, m),
+p AS (SELECT quality, """ + _DRAW.format("quality || '|' || j || '|' || 42") + """ % n AS idx FROM d)
+SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT l.doc_id, l.quality, l.toxic FROM p JOIN l ON l.quality = p.quality AND l.idx = p.idx""")
 def q_oversample_rows(spark, sf):
-    """B6 rows (drawn copies come from xxhash64 draws, so only row counts are
-    checked here; tests check that every copy is an original of its class)."""
-    return B.random_oversample(read_table(spark, sf, "labels"), "quality", seed=42)
+    """B6 row for row: the draws are md5 values that SQL repeats."""
+    return B.random_oversample(read_table(spark, sf, "labels"), "quality", seed=42, order_key="doc_id")
+
+
+@register("shuffled_rows", """
+SELECT doc_id, row_number() OVER (ORDER BY """ + _DRAW.format("doc_id || '|' || quality || '|' || toxic || '|' || 7") + """) AS position FROM labels""")
+def q_shuffled_rows(spark, sf):
+    """Every row with its position in the shuffled order."""
+    from ..operators import rank
+    labels = read_table(spark, sf, "labels")
+    keyed = labels.withColumn("draw", B.row_draw(labels, 7))
+    return rank.global_row_number(keyed, [rank.SortKey("draw")], out="position").select("doc_id", "position")
 
 
 @register("balance_status", """
-WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1)
+WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), m AS (SELECT max(n) AS most FROM c),
+d AS (SELECT quality, n, unnest(range(most - n)) AS j FROM c, m),
+b AS (SELECT quality FROM labels UNION ALL SELECT quality FROM d), k AS (SELECT quality, count(*) AS n FROM b GROUP BY 1)
 SELECT 'quality' AS target_column, 'categorical' AS target_type, count(*) AS n_classes,
-  round(max(n) / max(n), 2) AS imbalance_ratio, 'Balanced' AS balance_status FROM c""")
+  round(max(n) / greatest(min(n), 1), 2) AS imbalance_ratio,
+  CASE WHEN max(n) / greatest(min(n), 1) <= 1.2 THEN 'Balanced' ELSE 'Imbalanced' END AS balance_status FROM k
+UNION ALL
+SELECT 'toxic', 'categorical', count(*), round(max(n) / greatest(min(n), 1), 2),
+  CASE WHEN round(max(n) / greatest(min(n), 1), 2) <= 1.2 THEN 'Balanced' ELSE 'Imbalanced' END FROM (SELECT toxic, count(*) AS n FROM labels GROUP BY 1)""")
 def q_balance_status(spark, sf):
-    out = B.random_oversample(read_table(spark, sf, "labels"), "quality", seed=42)
-    return B.balance_report(out, "quality")
+    """B10 after balancing, and on a table that is not balanced."""
+    labels = read_table(spark, sf, "labels")
+    return B.balance_report(B.random_oversample(labels, "quality", seed=42), "quality").unionByName(B.balance_report(labels, "toxic"))
 
 
 @register("imbalance_record", """
@@ -872,31 +966,69 @@ def q_bias_groups(spark, sf):
 
 @register("bias_report", _BIAS_SQL + """,
 s AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) AS share, outcome, "group" FROM g),
-p AS (SELECT feature, min(outcome) AS omin, max(outcome) AS omax, min(share) AS smin, max(share) AS smax FROM s
-      GROUP BY 1),
+p AS (SELECT feature, min(outcome) AS omin, max(outcome) AS omax, min(share) AS smin, max(share) AS smax,
+             arg_min("group", (outcome, "group")) AS lo, arg_max("group", (outcome, "group")) AS hi FROM s GROUP BY 1),
 r AS (SELECT feature, 'outcome' AS bias_type, CASE WHEN omax > 0 AND omin / omax < 0.8 THEN 'high'
-        WHEN omax > 0 AND omin / omax < 0.9 THEN 'medium' ELSE 'low' END AS risk FROM p
+        WHEN omax > 0 AND omin / omax < 0.9 THEN 'medium' ELSE 'low' END AS risk,
+        printf('outcome ratio %.3f (group %s vs %s)', coalesce(CASE WHEN omax > 0 THEN omin / omax END, 1.0), lo, hi) AS evidence FROM p
       UNION ALL
       SELECT feature, 'representation', CASE WHEN smax / smin > 10 THEN 'high' WHEN smax / smin > 3 THEN 'medium'
-        ELSE 'low' END FROM p),
+        ELSE 'low' END, printf('largest/smallest group share %.3f', smax / smin) FROM p),
 f AS (SELECT * FROM r WHERE risk <> 'low')
-SELECT * FROM f UNION ALL SELECT NULL, 'none', 'low' WHERE (SELECT count(*) FROM f) = 0""")
+SELECT * FROM f UNION ALL SELECT NULL, 'none', 'low', 'no significant bias' WHERE (SELECT count(*) FROM f) = 0""")
 def q_bias_report(spark, sf):
-    out = B.bias_report(B.group_outcomes(_cust_country(spark, sf), "positive", ["country"]))
-    return out.select("feature", "bias_type", "risk")
+    return B.bias_report(B.group_outcomes(_cust_country(spark, sf), "positive", ["country"]))
 
 
 @register("smoter_gate", """
-SELECT count(DISTINCT value) >= 10 AND abs(skewness(value)) >= 0.5 AS apply FROM events""")
+SELECT count(DISTINCT value) >= 10 AND abs(skewness(value)) >= 0.5 AS apply, count(DISTINCT value) AS distinct,
+  round(skewness(value), 6) AS skewness FROM events""")
 def q_smoter_gate(spark, sf):
-    return B.smoter_gate_frame(read_table(spark, sf, "events"), "value").select("apply")
+    return _round_cols(B.smoter_gate_frame(read_table(spark, sf, "events"), "value"), ["skewness"])
 
 
-@register("smoter_rows")
+def _smoter_sql() -> str:
+    """The rule of operators.smoter for events: k = 5, two directions over (user_id, hour)."""
+    from ..operators.smoter import weight
+    z = ["(user_id - ua) / (ub - ua)", "(hour - ha) / (hb - ha)"]
+    directions = [f"0.0 + ({z[0]}) * ({weight(i, 0)!r}) + ({z[1]}) * ({weight(i, 1)!r})" for i in range(2)]
+    near = " UNION ".join(f"SELECT a.bump, a.pos, a.y, a.z0, a.z1, b.pos AS npos, b.y AS ny, b.z0 AS n0, b.z1 AS n1 FROM ranked a JOIN ranked b "
+                          f"ON a.bump = b.bump AND b.{p} - a.{p} BETWEEN -5 AND 5 AND a.pos <> b.pos" for p in ("pos", "p0", "p1"))
+    draw = [_DRAW.format(f"bump || '|' || j || '|' || 42 || '|' || {i}") for i in (1, 2, 3)]
+    return f"""
+WITH e AS (SELECT event_id, user_id, CAST(hour(ts) AS INTEGER) AS hour, event_type, value FROM events),
+s AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3, min(value) AS a, max(value) AS b,
+             CAST(min(user_id) AS DOUBLE) AS ua, CAST(max(user_id) AS DOUBLE) AS ub, CAST(min(hour) AS DOUBLE) AS ha, CAST(max(hour) AS DOUBLE) AS hb FROM e),
+w AS (SELECT *, greatest(a, q1 - 1.5 * (q3 - q1)) AS lower, least(b, q3 + 1.5 * (q3 - q1)) AS upper FROM s),
+t AS (SELECT e.*, w.*, least(greatest(CASE WHEN value >= med THEN (value - med) / (upper - med) ELSE (med - value) / (med - lower) END, 0.0), 1.0) AS t FROM e, w),
+r AS (SELECT *, CASE WHEN 3 * t * t - 2 * t * t * t >= 0.5 THEN CASE WHEN value < med THEN 'low' ELSE 'high' END ELSE 'normal' END AS bump FROM t),
+sizes AS (SELECT bump, count(*) AS n FROM r GROUP BY 1),
+goal AS (SELECT sum(n)::BIGINT // count(*) AS goal FROM sizes),
+ranked AS (SELECT bump, event_id, user_id, hour, event_type, value, value AS y, {z[0]} AS z0, {z[1]} AS z1,
+  row_number() OVER (PARTITION BY bump ORDER BY value, event_id) AS pos,
+  row_number() OVER (PARTITION BY bump ORDER BY {directions[0]}, event_id) AS p0,
+  row_number() OVER (PARTITION BY bump ORDER BY {directions[1]}, event_id) AS p1 FROM r WHERE bump <> 'normal'),
+pairs AS ({near}),
+nbrs AS (SELECT * FROM (SELECT bump, pos, npos, row_number() OVER (PARTITION BY bump, pos
+  ORDER BY 0.0 + (z0 - n0) * (z0 - n0) + (z1 - n1) * (z1 - n1), abs(ny - y), npos) AS m FROM pairs) WHERE m <= 5),
+k AS (SELECT bump, pos, max(m) AS k FROM nbrs GROUP BY ALL),
+d AS (SELECT bump, n, unnest(range(goal - n)) AS j FROM sizes, goal WHERE bump <> 'normal' AND n < goal),
+ids AS (SELECT bump, j % n + 1 AS pos, {draw[0]} AS r1, ({draw[1]} % 1000000) / 1000000.0::DOUBLE AS u, {draw[2]} % 2 AS side FROM d),
+picked AS (SELECT ids.*, nbrs.npos FROM ids JOIN k USING (bump, pos) JOIN nbrs ON nbrs.bump = ids.bump AND nbrs.pos = ids.pos AND nbrs.m = ids.r1 % k + 1),
+made AS (SELECT CAST(round(s.event_id + u * (CAST(o.event_id AS DOUBLE) - s.event_id)) AS BIGINT) AS event_id,
+  CAST(round(s.user_id + u * (CAST(o.user_id AS DOUBLE) - s.user_id)) AS BIGINT) AS user_id,
+  CAST(round(s.hour + u * (CAST(o.hour AS DOUBLE) - s.hour)) AS INTEGER) AS hour,
+  CASE WHEN side = 0 THEN s.event_type ELSE o.event_type END AS event_type, s.value + u * (o.value - s.value) AS value
+  FROM picked JOIN ranked s ON s.bump = picked.bump AND s.pos = picked.pos JOIN ranked o ON o.bump = picked.bump AND o.pos = picked.npos)
+SELECT event_id, user_id, hour, event_type, round(value, 6) AS value FROM (SELECT * FROM e UNION ALL SELECT * FROM made)"""
+
+
+@register("smoter_rows", _smoter_sql())
 def q_smoter_rows(spark, sf):
-    """B9 (no SQL oracle: synthetic rows). Original rows plus interpolated rare-bump rows."""
-    out, _ = smoter(read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), "value")
-    return out
+    """Original rows plus interpolated rare-bump rows, row for row."""
+    e = read_table(spark, sf, "events").select("event_id", "user_id", F.hour("ts").alias("hour"), "event_type", "value")
+    out, _ = smoter(e, "value", order_key="event_id")
+    return out.select("event_id", "user_id", "hour", "event_type", R("value").alias("value"))
 
 
 # ---------------------------------------------------------------------------
@@ -910,8 +1042,10 @@ _LK_CAT = ["l_returnflag", "l_linestatus"]
 
 
 def _leak_input(spark, sf):
+    """With a leaking column and an identifier, which must come out low."""
     return read_table(spark, sf, "lineitem").withColumn("l_leak", F.col("l_extendedprice") * 2 + 1) \
-        .select("l_extendedprice", *_LK_NUM, *_LK_CAT)
+        .withColumn("l_line", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")) \
+        .select("l_extendedprice", *_LK_NUM, *_LK_CAT, "l_line")
 
 
 _LEAK_CTE = """WITH d AS (SELECT l_extendedprice, l_quantity, l_discount, l_tax, l_extendedprice * 2 + 1 AS l_leak,
@@ -936,28 +1070,48 @@ flags AS (
   SELECT feature, CASE WHEN v >= 0.98 THEN 'high' WHEN v >= 0.8 THEN 'medium' WHEN v >= 0.5 THEN 'low' END AS risk,
          'abs_corr' AS metric, v AS value FROM nums
   UNION ALL
-  SELECT pur.column_name, CASE WHEN p >= 0.98 AND rpv >= 5 THEN 'high' WHEN cv.v >= 0.6 THEN 'medium' END,
+  SELECT pur.column_name, CASE WHEN p >= 0.98 AND rpv >= 5 THEN 'high' WHEN cv.v >= 0.6 AND rpv >= 5 THEN 'medium' END,
          CASE WHEN p >= 0.98 AND rpv >= 5 THEN 'purity' ELSE 'cramers_v' END,
          CASE WHEN p >= 0.98 AND rpv >= 5 THEN p ELSE cv.v END
-  FROM pur JOIN cv USING (column_name)),
+  FROM pur JOIN cv USING (column_name)
+  UNION ALL
+  SELECT 'l_line', 'low', 'id_like', 1.0 FROM (SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity)) AS u FROM lineitem) WHERE n = u),
 best AS (SELECT feature, arg_max(risk, (CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) * 10 + value)
            AS risk, arg_max(metric, (CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) * 10 + value)
            AS metric, arg_max(value, (CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) * 10 + value)
            AS value FROM flags WHERE risk IS NOT NULL GROUP BY 1)"""
 
 
-@register("leakage_report", _LEAK_CTE + "\nSELECT feature, risk, metric, round(value, 6) AS value FROM best")
+_REASON_SQL = """CASE metric WHEN 'abs_corr' THEN printf('|correlation| with target = %.3f', value)
+  WHEN 'purity' THEN printf('value determines target for %.1f%% of rows', value * 100)
+  WHEN 'cramers_v' THEN printf('Cramer''s V with target = %.3f', value) ELSE 'unique per row (identifier)' END"""
+
+
+@register("leakage_report", _LEAK_CTE + f"\nSELECT feature, risk, metric, round(value, 6) AS value, {_REASON_SQL} AS reason FROM best")
 def q_leakage_report(spark, sf):
-    rep = LK.leakage_report(_leak_input(spark, sf), "l_extendedprice")
-    return _round_cols(rep.select("feature", "risk", "metric", "value"), ["value"])
+    return _round_cols(LK.leakage_report(_leak_input(spark, sf), "l_extendedprice"), ["value"])
+
+
+@register("leakage_identifier", """
+SELECT 'o_orderkey' AS feature, 'low' AS risk, 'id_like' AS metric FROM (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS u FROM orders) WHERE n = u""")
+def q_leakage_identifier(spark, sf):
+    """An identifier against a categorical target: low, never medium."""
+    return LK.leakage_report(read_table(spark, sf, "orders"), "o_orderstatus", features=["o_orderkey"]).select("feature", "risk", "metric")
+
 
+def _features_sql(risk: str) -> str:
+    return f"coalesce(string_agg(feature || ': ' || {_REASON_SQL}, '; ' ORDER BY feature) FILTER (risk = '{risk}'), '') AS {risk}_risk_features"
 
-@register("leakage_summary", _LEAK_CTE + """
+
+@register("leakage_summary", _LEAK_CTE + f"""
 SELECT CAST(count_if(risk = 'high') AS INTEGER) AS high_risk, CAST(count_if(risk = 'medium') AS INTEGER) AS medium_risk,
-  CAST(count_if(risk = 'low') AS INTEGER) AS low_risk FROM best""")
+  CAST(count_if(risk = 'low') AS INTEGER) AS low_risk, {_features_sql('high')}, {_features_sql('medium')}, {_features_sql('low')} FROM best""")
 def q_leakage_summary(spark, sf):
-    rep = LK.leakage_report(_leak_input(spark, sf), "l_extendedprice")
-    return LK.leakage_summary(rep).select("high_risk", "medium_risk", "low_risk")
+    """L4, the three lists of (feature, reason) as text."""
+    out = LK.leakage_summary(LK.leakage_report(_leak_input(spark, sf), "l_extendedprice"))
+    lists = [f"{risk}_risk_features" for risk in ("high", "medium", "low")]
+    return out.select("high_risk", "medium_risk", "low_risk", *[
+        F.array_join(F.transform(c, lambda x: F.concat_ws(": ", x["feature"], x["reason"])), "; ").alias(c) for c in lists])
 
 
 @register("leakage_temporal", """
@@ -973,21 +1127,53 @@ def q_leakage_temporal(spark, sf):
     return _round_cols(rep.select("feature", "risk", "metric", "value"), ["value"])
 
 
-@register("recommendations")
+_SUMMARY_SQL = f"""{O_NULLS},
+num AS ({_union([f"SELECT '{c}' AS c, CAST({c} AS DOUBLE) AS x FROM o" for c in ("o_orderkey", "o_custkey", "o_totalprice")])}),
+oth AS ({_union([f"SELECT '{c}' AS c, '{k}' AS t, CAST({c} AS VARCHAR) AS v FROM o" for c, k in (("o_orderstatus", "categorical"), ("o_orderdate", "datetime"), ("o_orderpriority", "categorical"))])}),
+q AS (SELECT c, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM num GROUP BY c),
+ou AS (SELECT c, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers FROM num JOIN q USING (c) GROUP BY c),
+sm AS (SELECT c, 'numerical' AS t, count(*) AS n, count(*) - count(x) AS miss, count(DISTINCT x) AS nu, skewness(x) AS sk, min(x) AS mn, max(outliers) AS outliers
+       FROM num JOIN ou USING (c) GROUP BY c
+       UNION ALL SELECT c, t, count(*), count(*) - count(v), count(DISTINCT v), NULL, NULL, NULL FROM oth GROUP BY c, t),
+st AS (SELECT *, round(100.0 * miss / n, 2) AS pct, nu = n AS id FROM sm)"""
+_RULES_SQL = """rules AS (
+  SELECT c, 'drop' AS category, 'drop' AS technique, CASE WHEN id THEN 'identifier: unique per row' ELSE 'constant column' END AS reason FROM st WHERE id OR nu <= 1
+  UNION ALL SELECT c, 'missing', CASE WHEN abs(coalesce(sk, 0)) > 1 THEN 'impute_median' ELSE 'impute_mean' END, printf('%.2f%% missing', pct) FROM st WHERE miss > 0 AND t = 'numerical'
+  UNION ALL SELECT c, 'missing', 'impute_mode', printf('%.2f%% missing', pct) FROM st WHERE miss > 0 AND t <> 'numerical'
+  UNION ALL SELECT c, 'create', 'missing_indicator', 'missingness may carry signal' FROM st WHERE pct > 5
+  UNION ALL SELECT c, 'transform', 'log_transformation', printf('skewness %.2f', sk) FROM st WHERE t = 'numerical' AND abs(coalesce(sk, 0)) > 1 AND mn >= 0
+  UNION ALL SELECT c, 'transform', 'clip_iqr', printf('%d IQR outliers', outliers) FROM st WHERE t = 'numerical' AND outliers > 0
+  UNION ALL SELECT c, 'scale', 'standardization', 'put on a common scale' FROM st WHERE t = 'numerical' AND NOT id
+  UNION ALL SELECT c, 'encode', 'one_hot_encoding', printf('%d categories', nu) FROM st WHERE t = 'categorical' AND nu BETWEEN 2 AND 10
+  UNION ALL SELECT c, 'encode', 'frequency_encoding', printf('%d categories', nu) FROM st WHERE t = 'categorical' AND nu > 10 AND nu <= 1000 AND NOT id
+  UNION ALL SELECT c, 'encode', 'hash_encoding', printf('%d categories', nu) FROM st WHERE t = 'categorical' AND nu > 1000 AND NOT id
+  UNION ALL SELECT c, 'create', 'extract_date_parts', 'calendar parts' FROM st WHERE t = 'datetime')"""
+
+
+@register("recommendations", f"WITH {_SUMMARY_SQL}, {_RULES_SQL} SELECT c AS column_name, category, technique, reason FROM rules WHERE c <> 'o_orderstatus'")
 def q_recommendations(spark, sf):
-    """F1 (rules of ours over the profile; no SQL oracle)."""
+    """F1 (rules of ours over the profile)."""
     return RC.recommendations(orders_nulls(spark, sf), target="o_orderstatus")
 
 
-@register("column_report")
+def _lineage_sql() -> str:
+    """Lineage depends on the specs alone, so it is a constant table on both sides."""
+    rows = chain_lineage(CHAIN_TARGET_SPECS, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "o_orderstatus")
+    return "(VALUES " + ", ".join(f"('{l['original_column']}', '{l['output_column']} <- {', '.join(l['transformations'])}')" for l in rows) + ") AS l(c, dag_details)"
+
+
+@register("column_report", f"""
+WITH {_SUMMARY_SQL}, {_RULES_SQL},
+fe AS (SELECT c, string_agg(technique, ', ' ORDER BY technique) AS fe_details FROM rules WHERE c <> 'o_orderstatus' GROUP BY c),
+dag AS (SELECT * FROM {_lineage_sql()})
+SELECT st.c AS column_name, printf('%s, %.2f%% missing, %d distinct', t, pct, nu) AS eda_details, fe_details, dag_details
+FROM st LEFT JOIN fe USING (c) LEFT JOIN dag USING (c)""")
 def q_column_report(spark, sf):
-    """per-column eda / fe / leakage / transform details."""
+    """per-column eda / fe / transform details (the leakage column is leakage_report's)."""
     o = orders_nulls(spark, sf)
-    summary = RC.column_summary(o)          # one per-column table (built on the driver from 2 passes)
+    summary = RC.column_summary(o)
     rec = RC.recommendations(o, target="o_orderstatus", summary=summary)
-    chain = build_chain(o, CHAIN_TARGET_SPECS, target_column="o_orderstatus", order_key="o_orderkey")
-    lk = LK.leakage_report(o, "o_totalprice", features=["o_custkey", "o_orderpriority", "o_orderstatus"])
-    return RC.column_report(o, rec, lk, chain.lineage, summary=summary)
+    return RC.column_report(o, rec, None, chain_lineage(CHAIN_TARGET_SPECS, o.columns, "o_orderstatus"), summary=summary)
 
 
 # ---------------------------------------------------------------------------
@@ -1039,8 +1225,9 @@ def q_phase_state(spark, sf):
 
 @register("workspace_list", _STATE_SQL + """,
 a AS (SELECT table_name, last_updated, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_updated)) // 1000000
-        AS s FROM w)
-SELECT table_name, last_updated, CASE
+        AS s, """ + ", ".join(_PHASES_EV) + """ FROM w)
+SELECT table_name, CASE WHEN """ + " AND ".join(f"coalesce({p} = 'completed', false)" for p in _PHASES_EV) + """ THEN 'completed'
+  WHEN """ + " AND ".join(f"{p} IS NULL" for p in _PHASES_EV) + """ THEN 'pending' ELSE 'in_progress' END AS status, last_updated, CASE
   WHEN s < 60 THEN s || ' seconds ago'
   WHEN s < 3600 THEN (s // 60) || ' minute' || CASE WHEN s // 60 <> 1 THEN 's' ELSE '' END || ' ago'
   WHEN s < 86400 THEN (s // 3600) || ' hour' || CASE WHEN s // 3600 <> 1 THEN 's' ELSE '' END || ' ago'
@@ -1050,7 +1237,7 @@ FROM a""")
 def q_workspace_list(spark, sf):
     st = H.phase_state(_status_log(spark, sf), "table_name", "phase", "status", "ts", _PHASES_EV, "event_id")
     import datetime as _dt
-    return H.list_workspaces(st, _dt.datetime(2024, 1, 31))
+    return H.list_workspaces(st, _dt.datetime(2024, 1, 31), phases=_PHASES_EV)
 
 
 @register("latest_analysis", _STATE_SQL + """,
@@ -1061,7 +1248,7 @@ def q_latest_analysis(spark, sf):
     log = _status_log(spark, sf)
     st = H.phase_state(log, "table_name", "phase", "status", "ts", _PHASES_EV, "event_id")
     views = log.where(F.col("phase") == "view").select("table_name", "event_id", "value", "ts")
-    return H.latest_completed(views, st, "table_name", "ts", "signup").select("table_name", "event_id", "value", "ts")
+    return H.latest_completed(views, st, "table_name", "ts", "signup", "event_id").select("table_name", "event_id", "value", "ts")
 
 
 @register("latest_run", """
@@ -1093,9 +1280,10 @@ def q_outside_bounds(spark, sf):
     return IO.outside_bounds(read_table(spark, sf, "events"), "value", 1, 400)
 
 
-@register("sample_scan")
+@register("sample_scan", """
+SELECT * FROM lineitem WHERE """ + _DRAW.format("l_orderkey || '|' || l_linenumber || '|' || 42") + """ < CAST(0.1 * 1152921504606846976 AS BIGINT)""")
 def q_sample_scan(spark, sf):
-    """S2 (hash-based reproducible sample; xxhash64 has no DuckDB twin)."""
+    """A reproducible sample by md5."""
     return IO.sample_scan(read_table(spark, sf, "lineitem"), 0.1, key=["l_orderkey", "l_linenumber"])
 
 
@@ -1166,7 +1354,7 @@ def q_chain_joined(spark, sf):
     # the joined input feeds the statistics pass, the shared dictionary, the count
     # and the output: checkpoint its needed columns once (spark.checkpoint.dir)
     res = build_chain(lineitem_orders(spark, sf), JOINED_SPECS, target_column="o_orderstatus",
-                      keep_columns=["l_orderkey", "l_linenumber"], cut_input_lineage=True)
+                      keep_columns=["l_orderkey", "l_linenumber"], stage_input=True)
     d = res.df
     return d.select(L("l_orderkey").alias("l_orderkey"), L("l_linenumber").alias("l_linenumber"),
                     R("l_quantity_scaled").alias("l_quantity_scaled"),
@@ -1178,8 +1366,109 @@ def q_chain_joined(spark, sf):
                     L("target").alias("target"))
 
 
-@register("sample_rows")
+@register("sample_rows", """
+SELECT * FROM lineitem ORDER BY """ + _DRAW.format("l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || 42") + """ LIMIT 1500""")
 def q_sample_rows(spark, sf):
-    """S2 with a row budget: 1,500 rows chosen by row hash (the sampling is the
-    feature; xxhash64 has no DuckDB twin, so rows-only)."""
-    return IO.sample_rows(read_table(spark, sf, "lineitem"), 1500)
+    """S2 with a row budget: 1,500 rows chosen by hash (the sampling is the feature)."""
+    return IO.sample_rows(read_table(spark, sf, "lineitem"), 1500, key=["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+# ---------------------------------------------------------------------------
+# Written to the shared folder and read back
+# ---------------------------------------------------------------------------
+_SECTIONS = {"click": "eda", "view": "fe", "error": "leakage", "purchase": "transform"}
+_HISTORY_SQL = "h AS (SELECT CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SECTIONS.items()) + \
+    """ END AS section, 'ds' AS dataset, 't' || user_id % 7 || CASE WHEN event_type = 'purchase' THEN '_transformed' ELSE '' END AS table_name,
+  'run' || lpad(CAST(event_id // 20 AS VARCHAR), 8, '0') AS run_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS created_at, event_id
+  FROM events WHERE event_type <> 'signup')"""
+
+
+def _history(spark, sf):
+    e = read_table(spark, sf, "events").where(F.col("event_type") != "signup")
+    section = F.create_map(*[F.lit(x) for kv in _SECTIONS.items() for x in kv])[F.col("event_type")]
+    table = F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string"), F.when(F.col("event_type") == "purchase", "_transformed").otherwise(""))
+    return e.select(section.alias("section"), F.lit("ds").alias("dataset"), table.alias("table_name"),
+                    F.concat(F.lit("run"), F.lpad(F.floor(F.col("event_id") / 20).cast("string"), 8, "0")).alias("run_id"),
+                    F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("created_at"), "event_id")
+
+
+@register("consolidated_report", f"""
+WITH {_HISTORY_SQL}, m AS (SELECT * FROM h WHERE table_name = CASE WHEN section = 'transform' THEN 't3_transformed' ELSE 't3' END),
+r AS (SELECT section, arg_max(run_id, (created_at, run_id)) AS run_id FROM m GROUP BY 1)
+SELECT m.section, m.run_id, m.created_at,
+  '{{"dataset":"ds","table_name":"' || table_name || '","event_id":' || event_id || '}}' AS record FROM m JOIN r USING (section, run_id)""")
+def q_consolidated_report(spark, sf):
+    """R11 over a history derived from events."""
+    return H.consolidated(_history(spark, sf), "ds", "t3")
+
+
+@register("run_rows", """
+SELECT 'ds' AS dataset, 'orders' AS table_name, o_orderpriority AS feature_name, 'frequency_encoding' AS technique, CAST(count(*) AS VARCHAR) AS reason,
+  'r1' AS run_id, TIMESTAMP '2024-05-01 12:00:00' AS created_at, 'fe' AS section, DATE '2024-05-01' AS run_date FROM orders GROUP BY 3""")
+def q_run_rows(spark, sf):
+    """One run's rows, appended to a history in the shared folder and read back."""
+    import datetime as _dt
+    import uuid
+    rows = read_table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("feature_name")).agg(F.count(F.lit(1)).cast("string").alias("reason")) \
+        .select(F.lit("ds").alias("dataset"), F.lit("orders").alias("table_name"), "feature_name", F.lit("frequency_encoding").alias("technique"), "reason")
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    H.append_run(path, "fe", rows, "r1", _dt.datetime(2024, 5, 1, 12))
+    return H.read_history(spark, path, "fe").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@register("latest_columns", f"""
+WITH {_HISTORY_SQL}, m AS (SELECT run_id, created_at, ['c' || event_id % 5, 'd' || event_id % 3] AS cols, event_id FROM h WHERE section = 'eda' AND table_name = 't2'),
+b AS (SELECT arg_max(cols, (created_at, event_id)) AS cols FROM m)
+SELECT CAST(unnest(range(2)) AS INTEGER) AS position, unnest(cols) AS column_name FROM b""")
+def q_latest_columns(spark, sf):
+    """R13 over a history derived from events."""
+    cols = F.array(F.concat(F.lit("c"), (F.col("event_id") % 5).cast("string")), F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string")))
+    eda = _history(spark, sf).where(F.col("section") == "eda").withColumn("columns", cols).withColumn("run_id", F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    return H.columns_of_latest(eda, "ds", "t2")
+
+
+@register("chain_written", """
+WITH s AS (SELECT avg(o_totalprice) AS a, stddev_samp(o_totalprice) AS d FROM orders)
+SELECT round((o_totalprice - a) / d, 6) AS o_totalprice_scaled,
+  CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS o_orderpriority_encoded,
+  CAST(count(*) OVER (PARTITION BY o_orderstatus) AS BIGINT) AS o_orderstatus_freq FROM orders, s""")
+def q_chain_written(spark, sf):
+    """A chain written as a table and read back."""
+    import uuid
+    from .chain import apply_and_write
+    path = f"{shared_dir(spark)}/orders_transformed-{uuid.uuid4().hex}"
+    apply_and_write(read_table(spark, sf, "orders"), [
+        {"column_name": "o_totalprice", "fe_method": "standardization"}, {"column_name": "o_orderpriority", "fe_method": "label_encoding"},
+        {"column_name": "o_orderstatus", "fe_method": "frequency_encoding"}], None, path)
+    out = IO.scan(spark, path)
+    return out.select(R("o_totalprice_scaled").alias("o_totalprice_scaled"), L("o_orderpriority_encoded").alias("o_orderpriority_encoded"),
+                      L("o_orderstatus_freq").alias("o_orderstatus_freq"))
+
+
+@register("freq_encode_many", """
+SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_orderstatus) AS BIGINT) AS o_orderstatus_freq,
+  CAST(count(*) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS o_orderpriority_freq,
+  CAST(count(*) OVER (PARTITION BY o_custkey) AS BIGINT) AS o_custkey_freq FROM orders""")
+def q_freq_encode_many(spark, sf):
+    """C2 on three columns: one staged count."""
+    cols = ["o_orderstatus", "o_orderpriority", "o_custkey"]
+    out = apply_transforms(read_table(spark, sf, "orders"), [{"column_name": c, "fe_method": "frequency_encoding"} for c in cols]).df
+    return out.select("o_orderkey", *[L(f"{c}_freq").alias(f"{c}_freq") for c in cols])
+
+
+@register("target_encode_many", """
+SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderstatus), 6) AS o_orderstatus_target_encoded,
+  round(avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 6) AS o_orderpriority_target_encoded FROM orders""")
+def q_target_encode_many(spark, sf):
+    """C3 on two columns: one staged mean."""
+    cols = ["o_orderstatus", "o_orderpriority"]
+    out = apply_transforms(read_table(spark, sf, "orders"), [{"column_name": c, "fe_method": "target_encoding", "target_column": "o_totalprice"} for c in cols]).df
+    return out.select("o_orderkey", *[R(f"{c}_target_encoded").alias(f"{c}_target_encoded") for c in cols])
+
+
+@register("one_hot_collisions", """
+SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS k_a_b, CAST(o_orderstatus = 'O' AS INTEGER) AS k_a_b_2 FROM orders""")
+def q_one_hot_collisions(spark, sf):
+    """C6 on values whose column names collide ('a b' and 'a-b')."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "a b").when(F.col("o_orderstatus") == "O", "a-b").alias("k"))
+    return one_hot_columns(o, "k", drop_original=True)

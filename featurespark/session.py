@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,32 +33,55 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    shared_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+#: temporary folders of local sessions that name none
+_LOCAL: dict[str, str] = {}
 
-    A cluster names it; only when it is unset (local tests) do we create one
-    under the system temp folder.
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    It must be set on a cluster; only a local session gets a temporary one.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="featurespark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
-    return configured
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="featurespark-")
+    return configured.rstrip("/")
+
+
+def stage(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: computed once,
+    column-pruned by its readers, with statistics, and safe when executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged(df.sparkSession).append(path)
+    return out
+
+
+_STAGED: dict[str, list[str]] = {}
+
+
+def _staged(spark: SparkSession) -> list[str]:
+    return _STAGED.setdefault(spark.sparkContext.applicationId, [])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what :func:`stage` has written in this application; results read from it
+    must have been written before.  Returns the number of tables."""
+    paths = _staged(spark)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    n = len(paths)
+    paths.clear()
+    return n
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col_of, ntz_lit
-from .io import append_batch
+from .io import append_batch, conform, write_table
 
 # FIXED VALUES: the five phase columns of a workspace.
 PHASES = ["EDA_status", "FE_status", "DAG_status", "Leakage_status", "report_status"]
@@ -28,6 +28,10 @@ SECTION_SCHEMAS: dict[str, T.StructType] = {
         T.StructField("table_name", T.StringType()), T.StructField("columns", T.ArrayType(T.StringType())),
         T.StructField("rows_count", T.LongType()), T.StructField("columns_count", T.LongType()),
         T.StructField("payload", T.StringType())]),
+    # one row for each record of a report section, as JSON
+    "eda_rows": T.StructType([
+        T.StructField("dataset", T.StringType()), T.StructField("table_name", T.StringType()),
+        T.StructField("part", T.StringType()), T.StructField("record", T.StringType())]),
     "fe": T.StructType([
         T.StructField("dataset", T.StringType()), T.StructField("table_name", T.StringType()),
         T.StructField("feature_name", T.StringType()), T.StructField("technique", T.StringType()),
@@ -87,25 +91,35 @@ def phase_state(events: DataFrame, table: str, phase: str, status: str, ts: str,
     return wide.join(last, "table_name")
 
 
+# FIXED VALUES: an age is told in the largest unit that it fills, a week or more as a date.
+AGE_UNITS = [("second", 1, 60), ("minute", 60, 3600), ("hour", 3600, 86400), ("day", 86400, 604800)]
+
+
 def age_text(ts: Column, now: Column) -> Column:
-    """'N seconds ago', 'N minute(s) ago', 'N hour(s) ago', 'N day(s) ago', or the
-    date when a week or older."""
-    s = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(1_000_000))
-
-    def unit(n: Column, word: str) -> Column:
-        return F.concat(n.cast("string"), F.lit(" " + word), F.when(n != 1, F.lit("s")).otherwise(F.lit("")),
-                        F.lit(" ago"))
-    return (F.when(s < 60, F.concat(s.cast("string"), F.lit(" seconds ago")))
-            .when(s < 3600, unit(F.floor(s / 60), "minute"))
-            .when(s < 86400, unit(F.floor(s / 3600), "hour"))
-            .when(s < 604800, unit(F.floor(s / 86400), "day"))
-            .otherwise(F.date_format(ts, "yyyy-MM-dd")))
-
-
-def list_workspaces(state: DataFrame, now, ts: str = "last_updated") -> DataFrame:
-    """(table_name, last_updated, age) newest first; ``now`` is a parameter."""
+    """Age of ``ts`` at ``now`` in words, by AGE_UNITS; seconds are always plural."""
+    elapsed = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(1_000_000))
+    words = F.date_format(ts, "yyyy-MM-dd")
+    for unit, size, limit in reversed(AGE_UNITS):
+        n = F.floor(elapsed / size)
+        plural = F.lit("s") if size == 1 else F.when(n == 1, F.lit("")).otherwise(F.lit("s"))
+        words = F.when(elapsed < limit, F.concat_ws(" ", n.cast("string"), F.concat(F.lit(unit), plural), F.lit("ago"))).otherwise(words)
+    return words
+
+
+def list_workspaces(state: DataFrame, now, ts: str = "last_updated", phases: list[str] | None = None) -> DataFrame:
+    """(table_name, status, last_updated, age) newest first; ``now`` is a parameter.
+    ``status`` is the state's own, or derived from ``phases``: completed when all of
+    them are, pending when none has begun, else in_progress."""
     now_c = now if isinstance(now, Column) else ntz_lit(now)
-    return (state.select("table_name", col_of(ts).alias("last_updated"),
+    if "status" in state.columns:
+        status = F.col("status")
+    else:
+        cols = [col_of(p) for p in (phases or [c for c in state.columns if c in PHASES])]
+        every = [F.coalesce(c == "completed", F.lit(False)) for c in cols]
+        idle = [c.isNull() | (c == "pending") for c in cols]
+        status = (F.when(F.array_position(F.array(*every), False) == 0, "completed")
+                  .when(F.array_position(F.array(*idle), False) == 0, "pending").otherwise("in_progress")) if cols else F.lit("active")
+    return (state.select("table_name", status.alias("status"), col_of(ts).alias("last_updated"),
                          age_text(col_of(ts), now_c).alias("age"))
             .orderBy(F.col("last_updated").desc(), "table_name"))
 
@@ -114,17 +128,19 @@ def list_workspaces(state: DataFrame, now, ts: str = "last_updated") -> DataFram
 # R5 latest row per key, R6 rows of the latest run, R11, R13
 # ---------------------------------------------------------------------------
 def latest_by_key(df: DataFrame, keys: list[str], ts: str, tiebreak: str | None = None) -> DataFrame:
-    """Newest row per key (a max_by aggregate, no sort)."""
+    """Newest row per key (a max_by aggregate, no sort); equal times go by ``tiebreak``,
+    or else by the row's JSON text, so the answer does not depend on the run."""
     others = [c for c in df.columns if c not in keys]
-    order = F.struct(col_of(ts), col_of(tiebreak)) if tiebreak else col_of(ts)
+    order = F.struct(col_of(ts), col_of(tiebreak) if tiebreak else F.to_json(F.struct(*[col_of(c) for c in others])))
     agg = df.groupBy(*[col_of(k) for k in keys]).agg(
         F.max_by(F.struct(*[col_of(c) for c in others]), order).alias("__row"))
     return agg.select(*keys, *[F.col("__row")[c].alias(c) for c in others])
 
 
-def latest_completed(results: DataFrame, state: DataFrame, key: str, ts: str, phase: str) -> DataFrame:
+def latest_completed(results: DataFrame, state: DataFrame, key: str, ts: str, phase: str,
+                     tiebreak: str | None = None) -> DataFrame:
     """The newest result per key, only where the key's phase is completed."""
-    newest = latest_by_key(results, [key], ts)
+    newest = latest_by_key(results, [key], ts, tiebreak)
     done = state.where(col_of(phase) == "completed").select(F.col("table_name").alias(key))
     return newest.join(done, key, "left_semi")
 
@@ -132,80 +148,92 @@ def latest_completed(results: DataFrame, state: DataFrame, key: str, ts: str, ph
 def latest_run_rows(df: DataFrame, keys: list[str], run: str, ts: str) -> DataFrame:
     """Every row of each key's newest run (max_by then an equi-join back)."""
     latest = (df.groupBy(*[col_of(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-              .agg(F.max_by(col_of(run), col_of(ts)).alias("__run")))
+              .agg(F.max_by(col_of(run), F.struct(col_of(ts), col_of(run))).alias("__run")))
     cond = [col_of(k) == F.col(f"__k{i}") for i, k in enumerate(keys)] + [col_of(run) == F.col("__run")]
     return df.join(latest, cond, "left_semi")
 
 
-def append_run(history_path: str, section: str, rows: DataFrame, run_id: str | None = None,
-               ts: _dt.datetime | None = None) -> str:
-    """Append one run's rows to the section's history, partitioned by section
-    and date; all rows of the run share ``run_id`` and ``created_at``."""
-    run_id = run_id or uuid.uuid4().hex
-    ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+def run_rows(section: str, rows: DataFrame, run_id: str, ts: _dt.datetime) -> DataFrame:
+    """One run's rows in the section's schema; all share ``run_id`` and ``created_at``."""
     schema = SECTION_SCHEMAS[section]
     full = T.StructType(list(schema.fields) + [
         T.StructField("run_id", T.StringType()), T.StructField("created_at", T.TimestampNTZType()),
         T.StructField("section", T.StringType()), T.StructField("run_date", T.DateType())])
-    tagged = (rows.withColumn("run_id", F.lit(run_id)).withColumn("created_at", ntz_lit(ts))
-              .withColumn("section", F.lit(section)).withColumn("run_date", F.lit(ts.date())))
-    append_batch(tagged, history_path, full, partition_by=["section", "run_date"])
+    return conform(rows.withColumn("run_id", F.lit(run_id)).withColumn("created_at", ntz_lit(ts))
+                   .withColumn("section", F.lit(section)).withColumn("run_date", F.lit(ts.date())), full)
+
+
+def append_run(history_path: str, section: str, rows: DataFrame, run_id: str | None = None,
+               ts: _dt.datetime | None = None) -> str:
+    """Append one run's rows to the section's history, partitioned by section and date."""
+    run_id = run_id or uuid.uuid4().hex
+    ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    write_table(run_rows(section, rows, run_id, ts), history_path, mode="append", partition_by=["section", "run_date"])
     return run_id
 
 
 def read_history(spark: SparkSession, history_path: str, section: str | None = None) -> DataFrame:
-    df = spark.read.parquet(history_path)
+    # sections have columns of their own
+    df = spark.read.option("mergeSchema", "true").parquet(history_path)
     return df.where(F.col("section") == section) if section else df   # partition pruning
 
 
 def consolidated_report(spark: SparkSession, history_path: str, dataset: str, table: str) -> DataFrame:
-    """Newest run of each section for one table, as (section, run_id,
-    created_at, payload json); the transform run is keyed by the transformed
-    table name like the reference, all others by the table itself."""
-    hist = read_history(spark, history_path)
+    """R11 over a stored history; see :func:`consolidated`."""
+    return consolidated(read_history(spark, history_path), dataset, table)
+
+
+def consolidated(history: DataFrame, dataset: str, table: str) -> DataFrame:
+    """Every record of the newest run of each section for one table, as (section,
+    run_id, created_at, record json), one row per record however long the run; the
+    transform run is keyed by the transformed table name, all others by the table."""
     key_table = F.when(F.col("section") == "transform", F.lit(f"{table}_transformed")).otherwise(F.lit(table))
-    mine = hist.where((F.col("dataset") == dataset) & (F.col("table_name") == key_table))
-    runs = mine.groupBy("section").agg(F.max_by("run_id", "created_at").alias("run_id"))
-    rows = mine.join(runs, ["section", "run_id"], "left_semi")
-    payload_cols = [c for c in rows.columns if c not in ("section", "run_id", "created_at", "run_date")]
-    return rows.groupBy("section", "run_id", "created_at").agg(
-        F.to_json(F.collect_list(F.struct(*payload_cols))).alias("payload"))
+    mine = history.where((F.col("dataset") == dataset) & (F.col("table_name") == key_table))
+    # one row per section
+    runs = mine.groupBy("section").agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
+    rows = mine.join(F.broadcast(runs), ["section", "run_id"], "left_semi")
+    own = [c for c in rows.columns if c not in ("section", "run_id", "created_at", "run_date")]
+    return rows.select("section", "run_id", "created_at", F.to_json(F.struct(*[col_of(c) for c in own])).alias("record"))
 
 
 def latest_columns(spark: SparkSession, history_path: str, dataset: str, table: str) -> DataFrame:
-    """The column list stored with the newest EDA run of a table."""
-    eda = read_history(spark, history_path, "eda").where((F.col("dataset") == dataset) &
-                                                         (F.col("table_name") == table))
-    newest = latest_by_key(eda, ["dataset", "table_name"], "created_at")
+    """R13 over a stored history; see :func:`columns_of_latest`."""
+    return columns_of_latest(read_history(spark, history_path, "eda"), dataset, table)
+
+
+def columns_of_latest(eda: DataFrame, dataset: str, table: str) -> DataFrame:
+    """(position, column_name) stored with the newest EDA run of a table."""
+    mine = eda.where((F.col("dataset") == dataset) & (F.col("table_name") == table))
+    newest = latest_by_key(mine, ["dataset", "table_name"], "created_at", "run_id")
     return newest.select(F.posexplode("columns").alias("position", "column_name"))
 
 
 # ---------------------------------------------------------------------------
 # R7 writers: one typed record per run, built on Spark from the report frames
 # ---------------------------------------------------------------------------
-def sections_json(sections: dict[str, DataFrame]) -> DataFrame:
-    """One row with one JSON text per report section (each section is a small
-    per-column DataFrame, folded with to_json(collect_list(struct)) on Spark)."""
-    parts = [d.agg(F.to_json(F.collect_list(F.struct(*[col_of(c) for c in d.columns]))).alias("j"))
-             .select(F.lit(name).alias("section"), "j") for name, d in sections.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("section", "j")))).alias("payload"))
+def section_rows(dataset: str, table: str, report: dict[str, DataFrame]) -> DataFrame | None:
+    """(dataset, table_name, part, record): every row of every report section as JSON."""
+    out = None
+    for part, d in report.items():
+        rows = d.select(F.lit(dataset).alias("dataset"), F.lit(table).alias("table_name"), F.lit(part).alias("part"),
+                        F.to_json(F.struct(*[col_of(c) for c in d.columns])).alias("record"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def record_profile(history_path: str, dataset: str, table: str, df: DataFrame, report: dict[str, DataFrame],
                    ts: _dt.datetime | None = None) -> str:
-    """R7 (EDA): analysis_id = dataset_table_utc, columns, counts and the sections."""
+    """R7 (EDA): one header row (analysis_id = dataset_table_utc, columns, counts) and one
+    row for each record of each section, under the same run id."""
     ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     analysis_id = f"{dataset}_{table}_{ts.strftime('%Y%m%d%H%M%S')}"
-    payload = sections_json({k: v for k, v in report.items() if k not in ("overview", "preview")})
-    row = report["overview"].withColumn("__one", F.lit(1)).join(payload.withColumn("__one", F.lit(1)), "__one")
-    rec = row.select(F.lit(analysis_id).alias("analysis_id"), F.lit(dataset).alias("dataset"),
-                     F.lit(table).alias("table_name"),
-                     F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
-                     F.col("rows").alias("rows_count"), F.col("columns").alias("columns_count"), "payload")
-    return append_run(history_path, "eda", rec, analysis_id, ts)
+    head = report["overview"].select(
+        F.lit(analysis_id).alias("analysis_id"), F.lit(dataset).alias("dataset"), F.lit(table).alias("table_name"),
+        F.array(*[F.lit(c) for c in df.columns]).alias("columns"), F.col("rows").alias("rows_count"),
+        F.col("columns").alias("columns_count"))
+    append_run(history_path, "eda", head, analysis_id, ts)
+    rows = section_rows(dataset, table, {k: v for k, v in report.items() if k not in ("overview", "preview")})
+    return append_run(history_path, "eda_rows", rows, analysis_id, ts) if rows is not None else analysis_id
 
 
 def record_recommendations(history_path: str, dataset: str, table: str, rec: DataFrame,
@@ -258,6 +286,12 @@ def append_phase_event(spark: SparkSession, events_path: str, table: str, phase:
     append_batch(row.withColumn("ts", F.col("ts").cast("timestamp_ntz")), events_path, PHASE_EVENT_SCHEMA)
 
 
+def compact_phase_events(spark: SparkSession, events_path: str, target_path: str, files: int = 1) -> None:
+    """Rewrite the event log, one small file per event, into ``files`` files at
+    ``target_path``; point readers there and append new events to it."""
+    spark.read.schema(PHASE_EVENT_SCHEMA).parquet(events_path).coalesce(files).write.parquet(target_path)
+
+
 def workspace_state(spark: SparkSession, events_path: str, table: str | None = None) -> DataFrame:
     """Current phase columns (+ last update) of every table, or of one table."""
     ev = spark.read.schema(PHASE_EVENT_SCHEMA).parquet(events_path)

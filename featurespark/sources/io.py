@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col_of
+from ..functions.columns import as_text, col_of, md5_int
 
 
 def scan(spark: SparkSession, source: str, fmt: str = "parquet", columns: list[str] | None = None,
@@ -31,24 +31,23 @@ def scan(spark: SparkSession, source: str, fmt: str = "parquet", columns: list[s
     return df
 
 
-def sample_scan(df: DataFrame, fraction: float, key: list[str] | None = None, seed: int = 42,
-                buckets: int = 1_000_000) -> DataFrame:
+def sample_scan(df: DataFrame, fraction: float, key: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Bounded, reproducible sample — rows whose hash of ``key`` (default: the
-    whole row) falls in the first ``fraction`` of the hash range.  Unlike an
-    unordered LIMIT, the same rows come back on every run and every engine
-    restart, and the sample is spread over all partitions."""
-    cols = [col_of(c) for c in (key or df.columns)]
-    h = F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(buckets))
-    return df.where(h < F.lit(int(fraction * buckets)))
+    whole row) falls in the first ``fraction`` of a 60-bit range, so any fraction down
+    to 1e-18 is honoured.  Unlike an unordered LIMIT, the same rows come back on every
+    run and on every engine, and the sample is spread over all partitions."""
+    return df.where(_draw(df, key, seed) < F.lit(int(fraction * (1 << 60))))
 
 
 def sample_rows(df: DataFrame, n: int, key: list[str] | None = None, seed: int = 42) -> DataFrame:
     """S2 with a row budget (the reference's LIMIT 1500): the n rows with the
     smallest row hash — reproducible, spread over the whole table, and planned
     as a per-task top-n plus one merge of at most tasks × n rows."""
-    cols = [col_of(c) for c in (key or df.columns)]
-    h = F.xxhash64(*cols, F.lit(seed))
-    return df.withColumn("__h", h).orderBy("__h").limit(int(n)).drop("__h")
+    return df.withColumn("__h", _draw(df, key, seed)).orderBy("__h").limit(int(n)).drop("__h")
+
+
+def _draw(df: DataFrame, key: list[str] | None, seed: int) -> Column:
+    return md5_int(*[F.coalesce(as_text(col_of(c), df.schema[c].dataType), F.lit("")) for c in (key or df.columns)], F.lit(seed))
 
 
 def write_table(df: DataFrame, target: str, mode: str = "overwrite", fmt: str = "parquet",

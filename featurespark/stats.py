@@ -3,15 +3,12 @@ them in ONE aggregate over the input (partial + final aggregation, no
 single-partition window over data rows), and hand the one-row result back as
 literals.
 
-Quantiles (session conf ``featurespark.quantiles``, default ``auto``):
-  * ``exact``       – ``percentile`` (interpolated, = percentile_cont) /
-    ``percentile_disc`` inside the one aggregate.  Its value→count map is
-    merged in one task, so it suits columns with few distinct values.
-  * ``distributed`` – exact rank selection (operators.quantiles): bounded
-    memory per task whatever the cardinality.
-  * ``auto``        – ``exact`` when Catalyst's size estimate of the input is
-    ≤ AUTO_INLINE_BYTES, else ``distributed``.
-  * ``approx``      – ``percentile_approx`` with a configurable accuracy.
+Quantiles (session conf ``featurespark.quantiles``, default ``exact``):
+  * ``exact``  – the aggregate carries a bounded sketch of each column; two further
+    passes settle the exact values (operators.quantiles).  One way at every size.
+  * ``approx`` – ``percentile_approx`` with a configurable accuracy, on request only.
+
+NaN is missing, like NULL, in every statistic.
 
 Mode is computed separately as a distributed ``groupBy(x).count()`` followed by
 a constant-state ``min_by`` so no value map is held in one task.
@@ -20,30 +17,19 @@ a constant-state ``min_by`` so no value map is held in one task.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.columns import col_of
-
-
-# 'auto': inputs whose optimizer size estimate is at most this many bytes get
-# exact quantiles inside the single aggregate (one pass); larger inputs use
-# rank selection, whose memory per task does not grow with the data.
-AUTO_INLINE_BYTES = 8 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the (optimized) plan — no job is run."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:       # no estimate: assume large
-        return 1 << 62
+from .operators.quantiles import column_quantiles, sketch
 
 
 def default_quantile_method(spark) -> str:
-    return spark.conf.get("featurespark.quantiles", "auto")
+    return spark.conf.get("featurespark.quantiles", "exact")
 
 
 @dataclass
@@ -79,7 +65,7 @@ class StatsPlan:
     def __init__(self, quantile_method: str | None = None, accuracy: int = 1_000_000):
         self.quantile_method = quantile_method
         self.accuracy = accuracy
-        self._simple: dict[tuple, Column] = {}
+        self._simple: dict[tuple, Callable[[Column], Column]] = {}
         self._quant: dict[str, set] = defaultdict(set)
         self._quant_disc: dict[str, set] = defaultdict(set)
         self._modes: set[str] = set()
@@ -92,7 +78,7 @@ class StatsPlan:
         elif kind == "mode":
             self._modes.add(col)
         else:
-            self._simple[(kind, col)] = self.SIMPLE[kind](col_of(col))
+            self._simple[(kind, col)] = self.SIMPLE[kind]
         return (kind, col)
 
     def need_q(self, col: str, p: float):
@@ -108,70 +94,39 @@ class StatsPlan:
 
     # -- execution ----------------------------------------------------------
     def fit(self, df: DataFrame) -> Stats:
-        method = self.quantile_method or default_quantile_method(df.sparkSession)
-        if method == "auto" and (self._quant or self._quant_disc):
-            method = "exact" if estimated_bytes(df) <= AUTO_INLINE_BYTES else "distributed"
+        approx = (self.quantile_method or default_quantile_method(df.sparkSession)) == "approx"
         stats = Stats()
-        qcols = sorted(set(self._quant) | set(self._quant_disc))
-        # quantiles inside the single aggregate for 'exact' / 'approx';
-        # 'distributed' first learns the counts, then selects ranks
-        inline_q = method in ("exact", "approx")
-        select_exprs, layout = [], []
-        for i, (key, expr) in enumerate(self._simple.items()):
-            select_exprs.append(expr.alias(f"s{i}"))
-            layout.append((f"s{i}", key, None))
-        if self._rows:
-            select_exprs.append(F.count(F.lit(1)).alias("rows"))
-            layout.append(("rows", ("rows", None), None))
-        for j, col in enumerate(qcols):
-            x = col_of(col).cast("double")
-            if inline_q:
-                for kind, ps in (("q", sorted(self._quant.get(col, ()))), ("qd", sorted(self._quant_disc.get(col, ())))):
-                    if not ps:
-                        continue
-                    name = f"{kind}{j}"
-                    if method == "approx":
-                        expr = F.percentile_approx(x, F.array(*[F.lit(p) for p in ps]), self.accuracy)
-                        select_exprs.append(expr.alias(name))
-                        layout.append((name, None, [(kind, col, p) for p in ps]))
-                    elif kind == "q":
-                        select_exprs.append(F.percentile(x, F.array(*[F.lit(p) for p in ps])).alias(name))
-                        layout.append((name, None, [(kind, col, p) for p in ps]))
-                    else:
-                        for k, p in enumerate(ps):
-                            nm = f"{name}_{k}"
-                            select_exprs.append(F.expr(
-                                f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST({_quoted(col)} AS DOUBLE))").alias(nm))
-                            layout.append((nm, ("qd", col, p), None))
-            else:
-                select_exprs.append(F.count(F.when(~F.isnan(x), x)).alias(f"qn{j}"))
-        row = df.agg(*select_exprs).collect()[0] if select_exprs else None
-        for name, key, sub in layout:
-            val = row[name]
-            if sub is None:
-                stats.values[key] = val
+        wanted = {c: [("cont", p) for p in sorted(self._quant.get(c, ()))] + [("disc", p) for p in sorted(self._quant_disc.get(c, ()))]
+                  for c in sorted(set(self._quant) | set(self._quant_disc))}
+        exprs = [make(present(df, col)).alias(f"s{i}") for i, ((_, col), make) in enumerate(self._simple.items())]
+        exprs.append(F.count(F.lit(1)).alias("rows"))
+        for j, (c, requests) in enumerate(wanted.items()):
+            x = present(df, c).cast("double")
+            if approx:
+                exprs.append(F.percentile_approx(x, F.array(*[F.lit(p) for _, p in requests]), self.accuracy).alias(f"q{j}"))
             else:
-                vals = list(val) if val is not None else [None] * len(sub)
-                for k, v in zip(sub, vals):
-                    stats.values[k] = v
-        if qcols and not inline_q:
-            counts = {c: row[f"qn{j}"] for j, c in enumerate(qcols)}
-            large = qcols
-            if large:
-                from .operators.quantiles import exact_quantiles
-                reqs = [("cont", c, p) for c in large for p in self._quant.get(c, ())]
-                reqs += [("disc", c, p) for c in large for p in self._quant_disc.get(c, ())]
-                got = exact_quantiles(df, reqs, {c: counts[c] for c in large})
-                for (kind, c, p), v in got.items():
-                    stats.values[("q" if kind == "cont" else "qd", c, p)] = v
+                exprs += [F.count(x).alias(f"n{j}"), sketch(x, requests).alias(f"q{j}")]
+        row = df.agg(*exprs).first()
+        for i, key in enumerate(self._simple):
+            stats.values[key] = row[f"s{i}"]
+        stats.values[("rows", None)] = row["rows"]
+        found = {c: row[f"q{j}"] for j, c in enumerate(wanted)}
+        if approx:
+            values = {(kind, c, p): v for c, requests in wanted.items() for (kind, p), v in zip(requests, found[c] or [None] * len(requests))}
+        else:
+            values = column_quantiles(df, wanted, {c: row[f"n{j}"] for j, c in enumerate(wanted)}, found) if wanted else {}
+        for (kind, c, p), v in values.items():
+            stats.values[("q" if kind == "cont" else "qd", c, p)] = v
         if self._modes:
             for col, v in modes_of(df, sorted(self._modes)).items():
                 stats.values[("mode", col)] = v
         return stats
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN as NULL."""
+    c = col_of(name)
+    return F.when(~F.isnan(c), c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c
 
 
 def modes_of(df: DataFrame, cols: list[str]) -> dict:

@@ -3,7 +3,7 @@
 The reference has no streams; this is the §7.5 extension: statistics fitted
 on a batch table are literals, so every row-local transform runs unchanged on
 ``readStream`` input, and label / frequency / target encodings become
-stream-static joins against the (checkpointed) lookup tables.  NTILE needs the
+stream-static joins against the staged lookup tables.  NTILE needs the
 whole table and is refused on a stream.
 """
 
@@ -15,9 +15,8 @@ from ..operators.transforms import FittedTransforms, fit_transforms
 
 
 def fit_for_stream(batch: DataFrame, raw_specs: list[dict], **kw) -> FittedTransforms:
-    """Fit on a batch table and checkpoint the lookup tables for reuse."""
-    fitted = fit_transforms(batch, raw_specs, **kw)
-    return fitted.materialize()
+    """Fit on a batch table; its lookup tables are staged, so every micro-batch reads them."""
+    return fit_transforms(batch, raw_specs, **kw)
 
 
 def transform_stream(stream: DataFrame, fitted: FittedTransforms, include_original: bool = True) -> DataFrame:

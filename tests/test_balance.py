@@ -8,12 +8,12 @@ from tests.conftest import SF01
 def test_oversample_exact_counts_and_original_rows(spark):
     df = spark.range(0, 1000).select("id", F.when(F.col("id") < 700, "a").when(F.col("id") < 950, "b")
                                      .otherwise("c").alias("cls"), (F.col("id") * 3).alias("v"))
-    out = B.random_oversample(df, "cls", seed=7, rows_per_bucket=40, max_broadcast_rows=10)
+    out = B.random_oversample(df, "cls", seed=7, rows_per_bucket=40)
     counts = {r["cls"]: r["count"] for r in out.groupBy("cls").count().collect()}
     assert counts == {"a": 700, "b": 700, "c": 700}
     # every drawn row is an original row of its class
     assert out.join(df, ["id", "cls", "v"], "left_anti").count() == 0
-    again = B.random_oversample(df, "cls", seed=7, rows_per_bucket=40, max_broadcast_rows=10)
+    again = B.random_oversample(df, "cls", seed=7, rows_per_bucket=40)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
 
 
@@ -44,7 +44,7 @@ def test_prepare_rows(spark):
 
 def test_smoter_properties(spark):
     ev = spark.read.parquet(f"{SF01}/events.parquet").select("event_id", "user_id", "event_type", "value")
-    out, info = smoter(ev, "value", rows_per_bucket=500, max_broadcast_rows=100)
+    out, info = smoter(ev, "value", rows_per_bucket=500)
     assert info["gate"]["apply"]
     n_syn = sum(info["synthetic"].values())
     assert out.count() == ev.count() + n_syn

@@ -66,11 +66,35 @@ def test_odd_column_name(spark):
     assert sorted(r[0] for r in res.df.collect()) == ["A", "B"]
 
 
-def test_chain_with_cut_lineage_matches(spark):
+def test_chain_with_staged_input_matches(spark):
     from featurespark.plans.registered import JOINED_SPECS, lineitem_orders
     from tests.conftest import SF001
     df = lineitem_orders(spark, SF001)
     a = build_chain(df, JOINED_SPECS, target_column="o_orderstatus", keep_columns=["l_orderkey", "l_linenumber"]).df
     b = build_chain(df, JOINED_SPECS, target_column="o_orderstatus", keep_columns=["l_orderkey", "l_linenumber"],
-                    cut_input_lineage=True).df
+                    stage_input=True).df
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_lineage_from_specs_alone(spark, customers):
+    from featurespark.plans.chain import chain_lineage
+    specs = [{"column_name": "age", "fe_method": "impute_mean"}, {"column_name": "category", "fe_method": "label_encoding"},
+             {"column_name": "age", "fe_method": "standardization"}]
+    assert chain_lineage(specs, customers.columns, "gender") == build_chain(customers, specs, target_column="gender").lineage
+
+
+def test_constant_fill_changes_the_type(spark):
+    df = spark.createDataFrame([(1,), (None,)], "x int")
+    res = build_chain(df, [{"column_name": "x", "fe_method": "impute_constant", "fill_value": 0.5}, {"column_name": "x", "fe_method": "label_encoding"}])
+    assert sorted(r[0] for r in res.df.collect()) == [0, 1]
+
+
+def test_staged_tables_are_dropped(spark, tmp_path, monkeypatch):
+    import os
+    from featurespark import session
+    monkeypatch.setattr(session, "_STAGED", {})          # leave other tests' tables alone
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    session.stage(spark.range(5), "x").count()
+    assert [d for d in os.listdir(tmp_path) if d.startswith("x-")]
+    assert session.drop_staged(spark) == 1
+    assert not [d for d in os.listdir(tmp_path) if d.startswith("x-")]

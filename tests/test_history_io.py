@@ -42,7 +42,7 @@ def test_workspaces_and_state(spark):
     assert st["EDA_status"] == "completed" and st["FE_status"] == "running" and st["DAG_status"] is None
     lst = H.list_workspaces(H.phase_state(log, "table_name", "phase", "status", "ts", H.PHASES),
                             dt.datetime(2024, 1, 1, 3, 0, 30)).first()
-    assert lst["age"] == "1 hour ago"
+    assert lst["age"] == "1 hour ago" and lst["status"] == "in_progress"
 
 
 def test_io_roundtrip(spark):
@@ -54,6 +54,8 @@ def test_io_roundtrip(spark):
     back = IO.scan(spark, path, where=F.col("a") > 0).orderBy("a").collect()
     assert [(r["a"], r["b"]) for r in back] == [(1, None), (2, "x")]
     assert IO.keyed_lookup(IO.scan(spark, path), "a", 2).count() == 1
+    tiny = IO.sample_scan(spark.range(0, 2_000_000), 5e-7)
+    assert tiny.count() in range(0, 8) and IO.sample_scan(spark.range(0, 2_000_000), 4e-6).count() >= 1
     s1 = IO.sample_scan(spark.range(0, 10000), 0.1).count()
     assert 800 < s1 < 1200 and s1 == IO.sample_scan(spark.range(0, 10000), 0.1).count()
 
@@ -76,7 +78,7 @@ def test_records_and_apply_and_write(spark, customers):
     assert spark.read.parquet(out).count() == 8 and res.lineage[0]["output_column"] == "age_imputed_scaled"
     H.record_transform(spark, path, "ds", "customers", specs, ts=dt.datetime(2024, 5, 4))
     sections = {r["section"] for r in H.consolidated_report(spark, path, "ds", "customers").collect()}
-    assert sections == {"eda", "fe", "leakage", "transform"}
+    assert sections == {"eda", "eda_rows", "fe", "leakage", "transform"}
     cols = [r["column_name"] for r in H.latest_columns(spark, path, "ds", "customers").orderBy("position").collect()]
     assert cols == customers.columns
 
@@ -99,6 +101,9 @@ def test_phase_events_roundtrip(spark):
     assert st["t1"]["EDA_status"] == "completed" and st["t2"]["FE_status"] == "failed"
     one = H.workspace_state(spark, path, "t2").collect()
     assert len(one) == 1 and one[0]["last_updated"] == dt.datetime(2024, 1, 2)
+    H.compact_phase_events(spark, path, path + "-compact")
+    again = {r["table_name"]: r for r in H.workspace_state(spark, path + "-compact").collect()}
+    assert again == st
     import pytest
     with pytest.raises(ValueError):
         H.append_phase_event(spark, path, "t1", "nope", "x")

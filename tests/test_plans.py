@@ -24,7 +24,7 @@ def test_ntile_plan_windows_are_partitioned(spark):
     res = apply_transforms(df, [{"column_name": "o_totalprice", "fe_method": "binning", "order_key": "o_orderkey"}],
                            rows_per_bucket=2000)
     plan = _plan(res.df)
-    assert "SinglePartition" not in plan and "Window" in plan
+    assert "SinglePartition" not in plan and "Window" not in plan
 
 
 def test_filter_pushdown_and_pruning(spark):
@@ -41,10 +41,10 @@ SUMMARY_WINDOWS = {"chi2_ranking", "target_suggestion", "sorted_corr"}
 
 
 def test_no_single_partition_window_over_data_rows(spark):
-    import __spark_entry__ as E
+    from featurespark.plans.registered import QUERIES
     from tests.conftest import SF001
     offenders = []
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if name in SUMMARY_WINDOWS:
             continue
         df = fn(spark, SF001)
@@ -61,5 +61,25 @@ def test_plan_summary_of_flagship(spark):
     from featurespark.plans.registered import QUERIES
     s = plan_summary(QUERIES["chain_features"](spark, SF01))
     assert s.single_partition_windows == 0 and s.nested_loop_joins == 0
-    assert s.broadcast_hash_joins == 2
+    assert s.broadcast_hash_joins == 2                 # the two lookups, by their staged size
     assert all("l_shipdate" not in schema for schema, _ in s.scans)     # pruned
+
+
+def test_three_frequency_encodings_scan_the_input_twice(spark):
+    """Once to count, staged, and once for the output; the lookups read the staged counts."""
+    df = spark.read.parquet(f"{SF01}/orders.parquet")
+    out = apply_transforms(df, [{"column_name": c, "fe_method": "frequency_encoding"} for c in ("o_orderstatus", "o_orderpriority", "o_custkey")]).df
+    out.write.format("noop").mode("overwrite").save()
+    assert len(re.findall(r"Location: InMemoryFileIndex[^\n]*orders.parquet", out._jdf.queryExecution().executedPlan().toString())) <= 1
+
+
+def test_chi2_scans_the_input_once(spark):
+    from featurespark.operators.contingency import chi2_scores
+    out = chi2_scores(spark.read.parquet(f"{SF01}/orders.parquet"), ["o_orderpriority"], "o_orderstatus")
+    assert "orders.parquet" not in out._jdf.queryExecution().executedPlan().toString()      # all branches read the staged cells
+
+
+def test_no_expand_over_columns(spark):
+    from featurespark.operators import profile as P
+    plan = P.cardinality(spark.read.parquet(f"{SF01}/orders.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from featurespark.operators import contingency
 from featurespark.operators import profile as P
@@ -75,42 +76,66 @@ def test_profile_composes(customers):
     assert rep["overview"].first()["rows"] == 8
 
 
-def test_distributed_quantiles_match_duckdb(spark):
+def _quantiles(df, columns, requests, **kw):
+    from featurespark.operators import quantiles as Q
+    aggs = [a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), Q.sketch(F.col(c).cast("double"), requests).alias(f"s{i}"))]
+    row = df.agg(*aggs).first()
+    return Q.column_quantiles(df, {c: requests for c in columns}, {c: row[f"n{i}"] for i, c in enumerate(columns)},
+                              {c: kw.get("sketches", row[f"s{i}"]) for i, c in enumerate(columns)})
+
+
+REQUESTS = [(k, p) for k in ("cont", "disc") for p in (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)]
+
+
+def _duck_quantile(kind, c, p, where=""):
     import duckdb
-    from featurespark.operators.quantiles import exact_quantiles
     from tests.conftest import SF01
+    return duckdb.sql(f"SELECT quantile_{kind}({c}, {p}) FROM '{SF01}/lineitem.parquet' {where}").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("whole", [0, 1_000_000])
+def test_quantiles_match_duckdb(spark, monkeypatch, whole):
+    """With brackets from the sketch, and with everything ordered."""
+    from featurespark.operators import quantiles as Q
+    from tests.conftest import SF01
+    monkeypatch.setattr(Q, "WHOLE", whole)
     df = spark.read.parquet(f"{SF01}/lineitem.parquet")
-    reqs = [(k, c, p) for c in ("l_extendedprice", "l_quantity", "l_discount")
-            for k in ("cont", "disc") for p in (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)]
-    got = exact_quantiles(df, reqs, rows_per_bucket=3000)
-    for k, c, p in reqs:
-        fn = "quantile_cont" if k == "cont" else "quantile_disc"
-        ref = duckdb.sql(f"SELECT {fn}({c}, {p}) FROM '{SF01}/lineitem.parquet'").fetchall()[0][0]
-        assert got[(k, c, p)] == pytest.approx(ref, rel=1e-12, abs=1e-9), (k, c, p)
+    columns = ["l_extendedprice", "l_quantity", "l_discount"]
+    for (k, c, p), v in _quantiles(df, columns, REQUESTS).items():
+        assert v == pytest.approx(_duck_quantile(k, c, p), rel=1e-12, abs=1e-9), (k, c, p)
 
 
-def test_univariate_numeric_distributed_equals_exact(spark):
+def test_quantiles_survive_a_wrong_bracket(spark, monkeypatch):
+    from featurespark.operators import quantiles as Q
     from tests.conftest import SF01
+    monkeypatch.setattr(Q, "WHOLE", 0)
     df = spark.read.parquet(f"{SF01}/lineitem.parquet")
-    a = {r["column_name"]: r for r in P.univariate_numeric(df, ["l_extendedprice", "l_tax"], quantiles="exact").collect()}
-    b = {r["column_name"]: r for r in P.univariate_numeric(df, ["l_extendedprice", "l_tax"],
-                                                           quantiles="distributed").collect()}
-    for c in a:
-        for k in ("median", "q1", "q3", "iqr"):
-            assert a[c][k] == pytest.approx(b[c][k])
+    got = _quantiles(df, ["l_extendedprice"], [("cont", 0.5)], sketches=[1e9, 2e9])
+    assert got[("cont", "l_extendedprice", 0.5)] == pytest.approx(_duck_quantile("cont", "l_extendedprice", 0.5), rel=1e-12)
 
 
-def test_box_stats_distributed_equals_exact(spark):
+def test_grouped_quantiles(spark, monkeypatch):
+    from featurespark.operators import quantiles as Q
     from tests.conftest import SF01
-    o = spark.read.parquet(f"{SF01}/orders.parquet")
-    a = {(r["column_name"], r["class"]): r for r in
-         P.box_stats(o, "o_orderstatus", ["o_totalprice", "o_custkey"], quantiles="exact").collect()}
-    b = {(r["column_name"], r["class"]): r for r in
-         P.box_stats(o, "o_orderstatus", ["o_totalprice", "o_custkey"], quantiles="distributed").collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        for f in ("q1", "median", "q3", "lower_whisker", "upper_whisker", "outlier_count", "count"):
-            assert a[k][f] == pytest.approx(b[k][f]), (k, f)
+    monkeypatch.setattr(Q, "WHOLE", 3000)       # some groups with brackets, some without
+    df = spark.read.parquet(f"{SF01}/lineitem.parquet").where("l_quantity < 30 or l_quantity = 33")
+    got = Q.grouped_quantiles(df, ["l_returnflag", "l_linenumber"], "l_extendedprice", [("cont", 0.25), ("disc", 0.9)]).collect()
+    assert len(got) > 10
+    for r in got[:12]:
+        where = f"WHERE (l_quantity < 30 or l_quantity = 33) AND l_returnflag = '{r['l_returnflag']}' AND l_linenumber = {r['l_linenumber']}"
+        assert r["q0"] == pytest.approx(_duck_quantile("cont", "l_extendedprice", 0.25, where), rel=1e-12)
+        assert r["q1"] == pytest.approx(_duck_quantile("disc", "l_extendedprice", 0.9, where), rel=1e-12)
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(float("nan") if i % 3 == 0 else float(i),) for i in range(90)], "x double")
+    clean = df.where("not isnan(x)")
+    a, b = P.univariate_numeric(df, ["x"]).first(), P.univariate_numeric(clean, ["x"]).first()
+    assert a == b and P.missing_report(df).first()["missing_count"] == 30
+    assert [tuple(r) for r in P.histogram(df, ["x"]).orderBy("bin").collect()] == [tuple(r) for r in P.histogram(clean, ["x"]).orderBy("bin").collect()]
+    from featurespark.operators.transforms import apply_transforms
+    filled = apply_transforms(df, [{"column_name": "x", "fe_method": "impute_median"}], include_original=False).df
+    assert filled.where("isnan(x_imputed) or x_imputed is null").count() == 0
 
 
 def test_suggest_target_rules(spark):
@@ -120,19 +145,18 @@ def test_suggest_target_rules(spark):
     assert ranked[0] == "churn" and ranked[-1] == "customer_id"
 
 
-def test_quantiles_array_search(spark, monkeypatch):
-    import duckdb
-    from featurespark.operators import quantiles as Q
-    from featurespark.operators import rank
-    from tests.conftest import SF01
-    monkeypatch.setattr(rank, "CASE_TREE_MAX_CUTS", 2)
-    df = spark.read.parquet(f"{SF01}/lineitem.parquet")
-    reqs = [(k, c, p) for c in ("l_extendedprice", "l_quantity") for k in ("cont", "disc") for p in (0.1, 0.5, 0.9)]
-    got = Q.exact_quantiles(df, reqs, rows_per_bucket=900)
-    for k, c, p in reqs:
-        fn = "quantile_cont" if k == "cont" else "quantile_disc"
-        ref = duckdb.sql(f"SELECT {fn}({c}, {p}) FROM '{SF01}/lineitem.parquet'").fetchall()[0][0]
-        assert got[(k, c, p)] == pytest.approx(ref, rel=1e-12), (k, c, p)
+def test_profile_finds_its_target(spark):
+    df = spark.createDataFrame([(i, i * 1.5, "x" if i % 2 else "y", i % 2) for i in range(50)], "id long, v double, city string, churn int")
+    rep = P.profile(df)
+    assert any(k.startswith("correlation") or "target" in k for k in rep) or "chi2" in rep
+    assert set(P.profile(df, find_target=False)) < set(rep)
+
+
+def test_density_of_a_constant(spark):
+    df = spark.createDataFrame([(1.0, float(i)) for i in range(20)], "c double, x double")
+    got = P.density(df, ["c", "x"]).collect()
+    assert [(r["point"], r["x"], r["density"]) for r in got if r["column_name"] == "c"] == [(0, 1.0, None)]
+    assert len([r for r in got if r["column_name"] == "x" and r["density"] > 0]) == 30
 
 
 def test_profile_sections_equal_standalone_operators(spark):

@@ -22,12 +22,30 @@ def test_ntile_many_buckets_with_skew_and_nulls(spark):
     assert sizes.max() - sizes.min() <= 1
 
 
-def test_hot_value_spreads_over_buckets(spark):
+def test_hot_value_spreads_over_partitions(spark):
     rows = [(i, 1.0 if i < 1000 else float(i)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, x double")
-    cuts = rank.choose_cuts(df, [rank.SortKey("x"), rank.SortKey("id")], 3000, 30)
-    hot_cuts = [c for c in cuts if c[0] == 1.0]
-    assert len(hot_cuts) >= 5          # the repeated value is split by the tie-break key
+    placed, _ = rank.placed(df, [rank.SortKey("x"), rank.SortKey("id")], 3000, 100)
+    assert placed.where("x = 1.0").select("__part").distinct().count() >= 5     # split by the tie-break key
+
+
+def test_equal_rows_spread_and_get_distinct_numbers(spark):
+    df = spark.range(0, 4000).select(F.lit(1.0).alias("x"))
+    placed, _ = rank.placed(df, [rank.SortKey("x")], 4000, 200)
+    assert placed.select("__part").distinct().count() >= 5
+    out = rank.global_row_number(df, [rank.SortKey("x")], 4000, rows_per_bucket=200)
+    assert sorted(r["__rn"] for r in out.collect()) == list(range(1, 4001))
+
+
+def test_plan_does_not_grow_with_partitions(spark):
+    df = spark.range(0, 20_000).withColumn("x", F.col("id") % 997)
+    keys = [rank.SortKey("x"), rank.SortKey("id")]
+    sizes = []
+    for per in (1000, 10):
+        out = rank.global_row_number(df, keys, 20_000, rows_per_bucket=per)
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        assert out.agg(F.max("__rn"), F.count_distinct("__rn")).first() == (20_000, 20_000)
+    assert abs(sizes[0] - sizes[1]) < 200
 
 
 @settings(max_examples=8, deadline=None)
@@ -53,14 +71,7 @@ def test_no_single_partition_window(spark):
     assert "SinglePartition" not in plan
 
 
-def test_array_search_matches_case_tree(spark, monkeypatch):
-    """Large cut lists use the array binary search; it must give the same ranks."""
-    rows = [(i, None if i % 29 == 0 else float(i % 53)) for i in range(4000)]
-    df = spark.createDataFrame(rows, "id long, x double")
-    monkeypatch.setattr(rank, "CASE_TREE_MAX_CUTS", 3)
-    got = rank.global_ntile(df, "x", 9, "id", 4000, "b", rows_per_bucket=37).toPandas().set_index("id")["b"]
-    ref = _duck_ntile(pd.DataFrame(rows, columns=["id", "x"]), 9).set_index("id")["b"]
-    assert (got.sort_index() == ref.sort_index()).all()
+def test_dictionary_of_many_partitions(spark):
     d = spark.createDataFrame([(s,) for s in [f"v{i:03d}" for i in range(300)] + [""] * 5], "v string")
     codes = {r["v"]: r["code"] for r in rank.dense_rank_dictionary(d, "v", rows_per_bucket=3).collect()}
     assert codes[""] == 0 and codes["v000"] == 1 and codes["v299"] == 300

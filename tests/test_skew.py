@@ -23,8 +23,9 @@ def test_hot_key_encodings_shuffle_path(spark):
     try:
         for k in keys:
             spark.conf.set(k, "-1")
-        a = apply_transforms(df, specs, max_broadcast_rows=0, rows_per_bucket=10).df   # shuffle joins
-        assert "BroadcastHashJoin" not in a._jdf.queryExecution().executedPlan().toString()
+        a = apply_transforms(df, specs, rows_per_bucket=10).df   # shuffle joins
+        # the only broadcasts left are of partition offsets, one row each
+        assert "SortMergeJoin" in a._jdf.queryExecution().executedPlan().toString()
         assert a.count() == df.count()
         ra = sorted(map(tuple, a.collect()))
         hot = a.where("k = 'hot'").select("k_freq").distinct().collect()
@@ -37,10 +38,11 @@ def test_hot_key_encodings_shuffle_path(spark):
     assert [r[0] for r in hot] == [1000]
 
 
-def test_tiny_class_many_draws(spark):
+def test_tiny_class_many_draws(spark, monkeypatch):
     df = spark.range(0, 5003).select("id", F.when(F.col("id") < 5000, "big").otherwise("tiny").alias("c"))
-    for limit in (0, 10_000):                       # shuffle join and broadcast join of the class rows
-        out = B.random_oversample(df, "c", seed=1, max_broadcast_rows=limit, rows_per_bucket=100)
+    for block in (100, 100_000):                    # draws in many blocks and in one
+        monkeypatch.setattr(B, "DRAW_BLOCK", block)
+        out = B.random_oversample(df, "c", seed=1, rows_per_bucket=100)
         counts = {r["c"]: r["count"] for r in out.groupBy("c").count().collect()}
         assert counts == {"big": 5000, "tiny": 5000}
         assert {r[0] for r in out.where("c = 'tiny'").select("id").distinct().collect()} == {5000, 5001, 5002}
