@@ -26,6 +26,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 HIDDEN, WINDOW, OVERLAP = 8, 256, 32
+#: windows that go through the network together (their gates stay in a core's cache)
+TILE = 2048
 #: the training sample: documents with and without marks of personal data, characters of each, steps
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOW, STEPS = 300, 20_000, 64, 150
 #: a span that the network adds has at least so many characters and so many digits
@@ -198,9 +200,7 @@ class Tagger:
         times, _, n = e.shape
         labels = np.zeros((times, n), np.uint8)
         move, first = self.p["move"], self.p["first"]
-        # a window where no label can pay for its transitions is all none
-        gain = 2 * max(0.0, float((move - move[0, 0]).max()), float((first - first[0]).max()))
-        open_ = np.flatnonzero((e[:, 1:].max(1) - e[:, 0]).max(0) + gain > 0)
+        open_ = np.flatnonzero(self._most_gain(e) > 0)      # elsewhere no label at all is best
         if not len(open_):
             return labels
         e = np.ascontiguousarray(e[:, :, open_].transpose(0, 2, 1))
@@ -216,6 +216,19 @@ class Tagger:
                 at = back[t, np.arange(len(open_)), at]
         return labels
 
+    def _most_gain(self, e: np.ndarray) -> np.ndarray:
+        """Upper bound, per window, of what any labels gain over none: the best run with the
+        best label at every place, the best transitions between labels, and its ends."""
+        move, first = self.p["move"] - self.p["move"][0, 0], self.p["first"] - self.p["first"][0]
+        enter, stay, leave = move[0, 1:].max(), move[1:, 1:].max(), move[1:, 0].max()
+        over = e[:, 1:].max(1) - e[:, 0]
+        run = over[0] + first[1:].max()
+        most = run + leave
+        for t in range(1, len(over)):
+            run = np.maximum(run + stay, enter) + over[t]
+            np.maximum(most, run + leave, out=most)
+        return np.maximum(most, run)                          # a run may last to the window's end
+
     def tag(self, x: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Labels of all characters of texts x[edges[i]:edges[i + 1]], window by window."""
         step = WINDOW - OVERLAP
@@ -223,15 +236,19 @@ class Tagger:
         count = np.maximum(-(-(sizes - OVERLAP) // step), 1) * (sizes > 0)
         text = np.repeat(np.arange(len(sizes)), count)
         number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        start = edges[text] + number * step
-        where = start + np.arange(WINDOW)[:, None]
-        inside = where < edges[text + 1]
-        labels = self.viterbi(self.emissions(np.where(inside, x[np.minimum(where, max(len(x) - 1, 0))], PAD)))
-        # reconcile: the first half of an overlap belongs to the earlier window
+        start, end = edges[text] + number * step, edges[text + 1]
+        last = number == count[text] - 1
         half, place = OVERLAP // 2, np.arange(WINDOW)[:, None]
-        own = inside & ((place >= half) | (number == 0)) & ((place < step + half) | (number == count[text] - 1))
         out = np.zeros(len(x), np.uint8)
-        out[where[own]] = labels[own]
+        for i in range(0, len(text), TILE):
+            some = slice(i, i + TILE)
+            where = start[some] + place
+            inside = where < end[some]
+            labels = self.viterbi(self.emissions(np.where(inside, x[np.minimum(where, len(x) - 1)], PAD)))
+            if labels.any():
+                # reconcile: the first half of an overlap belongs to the earlier window
+                own = inside & ((place >= half) | (number[some] == 0)) & ((place < step + half) | last[some])
+                out[where[own]] = labels[own]
         return out
 
 

@@ -396,6 +396,34 @@ def test_pii_windows_agree_with_one_long_window():
         assert (parts[a:b] == whole).mean() > 0.95
 
 
+def test_pii_windows_without_labels_are_skipped_exactly():
+    """The bound never skips a window whose best path has a label."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    tagger, skipped = pii.Tagger(), 0
+    for _ in range(60):
+        tagger.p["move"][:] = rng.normal(0, 2, (5, 5))
+        tagger.p["first"][:] = rng.normal(0, 2, 5)
+        e = rng.normal(0, 1, (9, 5, 40)).astype(np.float32)
+        e[:, 0] += rng.uniform(0, 6)
+        gain = tagger._most_gain(e)
+        best = np.zeros((9, 40), np.uint8)
+        for n in range(40):                                   # plain Viterbi, window by window
+            score, back = e[0, :, n] + tagger.p["first"], []
+            for t in range(1, 9):
+                paths = score[:, None] + tagger.p["move"]
+                back.append(paths.argmax(0))
+                score = paths.max(0) + e[t, :, n]
+            at = int(score.argmax())
+            for t in range(8, -1, -1):
+                best[t, n] = at
+                if t:
+                    at = int(back[t - 1][at])
+        assert (tagger.viterbi(e) == best).all()
+        skipped += int((gain <= 0).sum())
+    assert skipped > 100
+
+
 def test_pii_training_lowers_the_loss():
     import numpy as np
     x, y = [], []
