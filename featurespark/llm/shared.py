@@ -12,17 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 NULL_ID = 9223372036854775807
 
 
+#: temporary folders of local sessions that name none
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
     Only a local session may leave it unset; it then gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="featurespark-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="featurespark-llm-")
     return folder.rstrip("/")
 
 
