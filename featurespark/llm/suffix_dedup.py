@@ -26,7 +26,9 @@ from featurespark.llm.suffixes import DEPTH as SIZE, descending
 from featurespark.llm.words import U64, _power_tables, mix, runs_cover, utf8
 
 GRAM, BLOCK = 24, 8
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
+#: text of the corpus for each shard; a shard sorts the repeated part of it several times over
+SHARD_BYTES = 2_000_000
 #: bytes that no UTF-8 text has, between the stretches of a shard
 BORDER = 255
 #: memory for the queues of one shard
@@ -45,44 +47,64 @@ class Anchors:
         order = np.argsort(ids, kind="stable")
         self.table, self.ids = table.take(pa.array(order)), ids[order]
         self.data, self.edges = utf8(self.table["text"])
-        self.doc_of = np.repeat(np.arange(len(self.ids)), np.diff(self.edges))
         n = len(self.data)
-        self.sums = []
-        for base in (0, 1):
-            up, _ = _power_tables(n, base)
-            s = np.empty(n + 1, U64)
-            s[0] = 0
-            np.cumsum((self.data.astype(U64) + U64(1)) * up[:n], out=s[1:])
-            self.sums.append(s)
+        self.sums: dict[int, np.ndarray] = {}
         none = np.zeros(0, np.int64)
         self.at, self.first, self.last = none, none, none
         width = SIZE - GRAM + 1
         if n < SIZE:
             return
-        grams = n - GRAM + 1
-        starts = np.arange(grams)
-        least = (self.hash(starts, starts + GRAM) & ~_PLACE) | starts.astype(U64)
+        # hash of every gram, its place in the lowest bits: the least is the leftmost least
+        sums = self._sums(0)
+        least = sums[GRAM:] - sums[:-GRAM]
+        least *= _power_tables(n, 0)[1][:len(least)]
+        least ^= least >> U64(32)
+        least *= U64(0x9E3779B97F4A7C15)
+        least &= ~_PLACE
+        least |= np.arange(len(least), dtype=U64)
         reach = 1
         while 2 * reach <= width:
             least = np.minimum(least[:-reach], least[reach:])
             reach *= 2
         if reach < width:
             least = np.minimum(least[:reach - width], least[width - reach:])
-        starts = np.arange(len(least))
-        inside = self.edges[self.doc_of[:len(least)] + 1] >= starts + SIZE
-        at = (least & _PLACE).astype(np.int64)
-        new = inside.copy()
-        new[1:] &= ~inside[:-1] | (at[1:] != at[:-1]) | (self.doc_of[1:len(least)] != self.doc_of[:len(least) - 1])
-        self.first = np.flatnonzero(new)
-        stops = np.concatenate([self.first[1:], [len(least)]]) if len(self.first) else none
-        counts = np.concatenate([[0], np.cumsum(inside)])
-        self.last = self.first + (counts[stops] - counts[self.first]) - 1
-        self.at = at[self.first]
+        # strings that lie in one document, document by document
+        at = (least & _PLACE).astype(np.int32)
+        new = np.empty(len(at), bool)
+        new[0] = True
+        np.not_equal(at[1:], at[:-1], out=new[1:])
+        sizes = np.diff(self.edges)
+        long = np.flatnonzero(sizes >= SIZE)
+        low, high = self.edges[long], self.edges[long + 1] - SIZE
+        new[low] = True
+        whole = np.zeros(len(at) + 1, np.int8)
+        whole[low] = 1
+        whole[high + 1] -= 1
+        first = np.flatnonzero(new & (np.cumsum(whole[:-1], dtype=np.int8) > 0))
+        doc = np.searchsorted(low, first, "right") - 1
+        self.first = first
+        self.last = np.minimum(np.append(first[1:], len(at)) - 1, high[doc])
+        self.at = at[first].astype(np.int64)
         self.key = self.hash(self.at, self.at + GRAM)
 
+    def _sums(self, base: int) -> np.ndarray:
+        """Sums of byte times power: any stretch's hash is a difference."""
+        if base not in self.sums:
+            s = np.empty(len(self.data) + 1, U64)
+            s[0] = 0
+            terms = self.data.astype(U64)
+            terms += U64(1)
+            terms *= _power_tables(len(self.data), base)[0][:len(self.data)]
+            np.cumsum(terms, out=s[1:])
+            self.sums[base] = s
+        return self.sums[base]
+
     def hash(self, low: np.ndarray, high: np.ndarray, base: int = 0) -> np.ndarray:
-        down = _power_tables(len(self.data), base)[1]
-        return mix((self.sums[base][high] - self.sums[base][low]) * down[low])
+        sums, down = self._sums(base), _power_tables(len(self.data), base)[1]
+        return mix((sums[high] - sums[low]) * down[low])
+
+    def doc_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, places, "right") - 1
 
 
 class Stretches:
@@ -102,7 +124,9 @@ class Stretches:
                 self._blocks(a.at[hot], a.first[hot], a.last[hot])
         size = self.last - self.first + SIZE
         one, two = a.hash(self.first, self.first + size), a.hash(self.first, self.first + size, 1)
-        order = np.lexsort((self.first, size, two, one, self.key))
+        docs = a.doc_of(self.first)
+        self.id, self.place = a.ids[docs], self.first - a.edges[docs]
+        order = np.lexsort((self.place, self.id, size, two, one, self.key))
         same = np.zeros(len(order), bool)
         same[1:] = True
         for v in (size, two, one, self.key):
@@ -110,8 +134,6 @@ class Stretches:
         self.one_of = np.empty(len(order), np.int64)          # stretch -> its distinct number
         self.one_of[order] = np.cumsum(~same) - 1
         self.origin = order[~same]                            # distinct number -> its earliest stretch
-        docs = a.doc_of[self.first]
-        self.id, self.place = a.ids[docs], self.first - a.edges[docs]
 
     def _add(self, first, last, key) -> None:
         self.first, self.last = np.concatenate([self.first, first]), np.concatenate([self.last, last])
@@ -258,7 +280,7 @@ def repeated_byte_cover(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
     n = batch_count(spark, total, BATCH_BYTES)
-    buckets = bucket_count(spark, total)
+    buckets = bucket_count(spark, total, SHARD_BYTES)
     texts = batched(docs, n, id_col, text_col)
     short, full = x.Plan(buckets, 40), x.Plan(buckets)
     common = min(255, max(8, n // 8))
@@ -286,7 +308,7 @@ def repeated_byte_cover(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = inner[gone[inner] & gone[inner - 1]] if len(inner) else inner
         starts = np.sort(np.concatenate([np.flatnonzero(flat == 1), np.unique(both)]))
         ends = np.sort(np.concatenate([np.flatnonzero(flat == -1), np.unique(both)]))
-        docs_ = a.doc_of[starts] if len(starts) else starts
+        docs_ = a.doc_of(starts)
         spans = [[] for _ in a.ids]
         for d, low, high in zip(docs_.tolist(), starts.tolist(), ends.tolist()):
             spans[d].append({"start": int(low - a.edges[d]), "end": int(high - a.edges[d])})
