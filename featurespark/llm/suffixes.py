@@ -62,42 +62,55 @@ class Queues:
 
     def read(self, char: int, first: int = 0, last: int | None = None):
         """Tuples of the parts first to last of a queue, in blocks of about STEP."""
+        yield from self._blocks(self.parts.get(char, [])[first:last])
+
+    def backwards(self, char: int):
+        """All tuples of a queue in reverse order, in blocks of about STEP."""
+        for block in self._blocks(self.parts.get(char, [])[::-1], -1):
+            yield block
+
+    def _blocks(self, parts: list, way: int = 1):
         group, size = [], 0
-        for part in self.parts.get(char, [])[first:last]:
+        for i, part in enumerate(parts):
             group.append(self._load(part))
             size += len(group[-1][0])
-            if size >= STEP:
-                yield tuple(np.concatenate(v) for v in zip(*group))
+            if size >= STEP or i + 1 == len(parts):
+                yield tuple(np.concatenate(v)[::way] for v in zip(*group[::way]))
                 group, size = [], 0
-        if group:
-            yield tuple(np.concatenate(v) for v in zip(*group))
-
-    def backwards(self, char: int):
-        """The same in reverse, one part at a time."""
-        for part in reversed(self.parts.get(char, [])):
-            yield tuple(v[::-1] for v in self._load(part))
 
     def close(self) -> None:
         if self.file:
             self.file.close()
 
 
-def _pack(x: np.ndarray, at: np.ndarray, offset: int, ends: np.ndarray) -> np.ndarray:
-    """The next characters of each slice as one number; beyond an end the largest value."""
+def _packed(x: np.ndarray) -> np.ndarray:
+    """For every place, its next characters (four of 16 bits or two of 32) as one number;
+    beyond the end the largest character."""
     bits = 8 * x.dtype.itemsize
-    out = np.zeros(len(at), np.uint64)
+    out = np.zeros(len(x), np.uint64)
     for k in range(64 // bits):
-        place = at + (offset + k)
-        out = (out << np.uint64(bits)) | np.where(place < ends, x[np.minimum(place, len(x) - 1)].astype(np.uint64), np.uint64((1 << bits) - 1))
+        out <<= np.uint64(bits)
+        out[:len(x) - k] |= x[k:]
+        out[max(0, len(x) - k):] |= np.uint64((1 << bits) - 1)
     return out
 
 
-def _refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
+def _within(packed: np.ndarray, at: np.ndarray, offset: int, ends: np.ndarray, bits: int) -> np.ndarray:
+    """The characters of each slice from ``offset`` on; beyond a slice's end the largest."""
+    step = 64 // bits
+    place = np.minimum(at + offset, len(packed) - 1)
+    left = np.clip(ends - at - offset, 0, step)
+    beyond = np.array([(1 << bits * (step - k)) - 1 for k in range(step + 1)], np.uint64)
+    return packed[place] | beyond[left]
+
+
+def _refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray, whole: bool = False) -> np.ndarray:
     """Split the groups of equal rank of ``active`` by ``key``; a rank is the place of its
-    group's first member. Returns the members of groups that are still larger than one."""
-    order = np.lexsort((key, rank[active]))
-    active, key = active[order], key[order]
+    group's first member. ``whole``: keys of a smaller rank are smaller. Returns the members
+    of groups that are still larger than one."""
     old = rank[active]
+    order = np.argsort(key) if whole or old.min() == old.max() else np.lexsort((key, old))
+    active, key, old = active[order], key[order], old[order]
     new = np.ones(len(active), bool)
     new[1:] = (old[1:] != old[:-1]) | (key[1:] != key[:-1])
     top = np.ones(len(active), bool)
@@ -110,15 +123,14 @@ def _refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray
     return active[~alone]
 
 
-def _names(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _names(packed: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
     """Ranks of the substrings from each LMS place to the next (both ends included). A
     longer substring sorts before its own prefix: there the prefix ends in a rise."""
-    ends = np.concatenate([at[1:] + 1, [len(x)]])
+    ends = np.concatenate([at[1:] + 1, [len(packed)]])
     rank, active, offset = np.zeros(len(at), np.int64), np.arange(len(at)), 0
-    step = 8 // x.dtype.itemsize
     while len(active):
-        active = _refine(rank, active, _pack(x, at[active], offset, ends[active]))
-        offset += step
+        active = _refine(rank, active, _within(packed, at[active], offset, ends[active], bits))
+        offset += 64 // bits
         active = active[at[active] + offset <= ends[active]]     # one block past the end shows the end
     return np.unique(rank, return_inverse=True)[1]
 
@@ -126,35 +138,31 @@ def _names(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _doubled(names: np.ndarray) -> np.ndarray:
     """Order of the suffixes of ``names`` by their first 128 names, in memory."""
     n = len(names)
-    order = np.sort(names)
-    rank = np.searchsorted(order, names)
     counts = np.bincount(names)
+    rank = (np.cumsum(counts) - counts)[names]
     active, step = np.flatnonzero(counts[names] > 1), 1
     while len(active) and step < 128:
         ahead = active + step
-        active = _refine(rank, active, np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0))
+        key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        # one number for the group and the key: ranks are below 2**31
+        active = _refine(rank, active, (rank[active] << 32) | key, True)
         step *= 2
     return np.argsort(rank, kind="stable")
 
 
-def _common(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common prefixes of the suffix pairs (a, b), at most DEPTH."""
-    out, active, offset = np.zeros(len(a), np.int64), np.arange(len(a)), 0
-    n = np.full(len(a), len(x))
-    step = 8 // x.dtype.itemsize
+def _common(packed: np.ndarray, bits: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefixes of the suffix pairs (a, b), at most DEPTH. Suffixes differ before
+    either ends: the end mark is nowhere else."""
+    out, active, offset, step = np.zeros(len(a), np.int64), np.arange(len(a)), 0, 64 // bits
     while len(active) and offset < DEPTH:
-        p, q = _pack(x, a[active], offset, n[active]), _pack(x, b[active], offset, n[active])
-        same = p == q
+        differ = packed[a[active] + offset] ^ packed[b[active] + offset]
+        same = differ == 0
         out[active[same]] = offset + step
-        for i in np.flatnonzero(~same) if (~same).sum() < 16 else []:
-            out[active[i]] = offset + step - 1 - (int(p[i] ^ q[i]).bit_length() - 1) // (8 * x.dtype.itemsize)
-        if (~same).sum() >= 16:
-            differ = p[~same] ^ q[~same]
-            lead = np.zeros(len(differ), np.int64)
-            bits = np.uint64(8 * x.dtype.itemsize)
-            for k in range(1, step):
-                lead += (differ >> (np.uint64(64) - bits * np.uint64(k))) == 0
-            out[active[~same]] = offset + lead
+        differ = differ[~same]
+        lead = np.zeros(len(differ), np.int64)
+        for k in range(1, step):
+            lead += (differ >> np.uint64(64 - bits * k)) == 0
+        out[active[~same]] = offset + lead
         active = active[same]
         offset += step
     return np.minimum(out, DEPTH).astype(np.uint8)
@@ -163,23 +171,25 @@ def _common(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Least:
     """Least value of any range of an array, by a table of doubled ranges."""
 
-    def __init__(self, values: np.ndarray):
-        self.rows = [values]
-        while 2 << (len(self.rows) - 1) <= len(values):
-            half = 1 << (len(self.rows) - 1)
-            last = self.rows[-1]
-            self.rows.append(np.minimum(last[:-half], last[half:]))
-        self.level = np.zeros(len(values) + 2, np.int64)
-        self.level[2:] = np.log2(np.arange(2, len(values) + 2)).astype(np.int64)
+    #: largest power of two in a length, for lengths of one step
+    LEVEL = np.concatenate([[0, 0], np.log2(np.arange(2, STEP + 2)).astype(np.int64)])
+
+    def __init__(self, values: np.ndarray, longest: int):
+        """``longest``: the longest range that will be asked for."""
+        levels = int(self.LEVEL[longest]) + 1
+        self.width = len(values)
+        table = np.empty((levels, self.width), values.dtype)
+        table[0] = values
+        for k in range(1, levels):
+            half = 1 << (k - 1)
+            np.minimum(table[k - 1, :-half], table[k - 1, half:], out=table[k, :-half])
+        self.table = table.reshape(-1)
 
     def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Least of values[low..high], low <= high."""
-        out = np.empty(len(low), np.uint8)
-        level = self.level[high - low + 1]
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.minimum(self.rows[k][low[at]], self.rows[k][high[at] - (1 << k) + 1])
-        return out
+        level = self.LEVEL[high - low + 1]
+        row = level * self.width
+        return np.minimum(self.table[row + low], self.table[row + high - (1 << level) + 1])
 
 
 class _Scan:
@@ -209,7 +219,8 @@ class _Scan:
             run = np.minimum.accumulate(common)
             later = np.flatnonzero(~first)
             if len(later):
-                carried[later] = 1 + _Least(common)(chosen[later - 1] + 1, chosen[later]).astype(np.int64)
+                low, high = chosen[later - 1] + 1, chosen[later]
+                carried[later] = 1 + _Least(common, int((high - low).max()) + 1)(low, high).astype(np.int64)
             seen = self.since[chars[heads]]
             carried[heads] = np.where(seen < 0, 0, 1 + np.minimum(seen, run[chosen[heads]]))
             carried = np.minimum(carried, DEPTH).astype(np.uint8)
@@ -229,7 +240,7 @@ def _types(x: np.ndarray) -> np.ndarray:
     n = len(x)
     differs = np.append(x[:-1] != x[1:], True)
     rises = np.append(x[:-1] < x[1:], True)
-    at = np.where(differs, np.arange(n), n)
+    at = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))
     return rises[np.minimum.accumulate(at[::-1])[::-1]]
 
 
@@ -238,16 +249,20 @@ def _induce(x: np.ndarray, limit: int, prefixes: bool):
     descending order. x ends in 0, which is nowhere else."""
     rising = _types(x)
     lms = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
-    lms = lms[np.argsort(_names_order(x, lms, limit), kind="stable")] if len(lms) > 1 else lms
+    packed, bits = _packed(x), 8 * x.dtype.itemsize
+    if len(lms) > 1:
+        order = np.empty(len(lms), np.int64)
+        order[_names_order(packed, bits, lms, limit)] = lms
+        lms = order
     common = np.zeros(len(lms), np.uint8)
     if prefixes and len(lms) > 1:
-        common[1:] = _common(x, lms[:-1], lms[1:])
+        common[1:] = _common(packed, bits, lms[:-1], lms[1:])
     chars = np.unique(x)
     seeds = np.searchsorted(x[lms], chars), np.searchsorted(x[lms], chars, "right")
     falls, rises = Queues(limit), Queues(limit)
 
     def joint(a, b) -> int:
-        return int(_common(x, np.array([a]), np.array([b]))[0]) if prefixes and a is not None else 0
+        return int(_common(packed, bits, np.array([a]), np.array([b]))[0]) if prefixes and a is not None else 0
 
     scan = _Scan(x, ~rising, falls, prefixes)
     for c, low, high in zip(chars.tolist(), *(s.tolist() for s in seeds)):
@@ -284,9 +299,9 @@ def _induce(x: np.ndarray, limit: int, prefixes: bool):
     rises.close()
 
 
-def _names_order(x: np.ndarray, lms: np.ndarray, limit: int) -> np.ndarray:
+def _names_order(packed: np.ndarray, bits: int, lms: np.ndarray, limit: int) -> np.ndarray:
     """Rank of each LMS suffix, from the order of the string of their substrings' names."""
-    names = _names(x, lms)
+    names = _names(packed, bits, lms)
     if names.max() + 1 == len(names):
         return names
     if 64 * len(names) <= limit:

@@ -114,7 +114,5 @@ class Words:
 
 def runs_cover(at: np.ndarray, size: int, total: int) -> np.ndarray:
     """Mask of the ``total`` places covered by [a, a + size) for any a of ``at``."""
-    steps = np.zeros(total + 1, np.int32)
-    np.add.at(steps, at, 1)
-    np.add.at(steps, at + size, -1)
-    return np.cumsum(steps[:-1]) > 0
+    steps = np.bincount(at, minlength=total + 1) - np.bincount(at + size, minlength=total + 1)
+    return np.cumsum(steps[:total]) > 0
