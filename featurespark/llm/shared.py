@@ -75,9 +75,11 @@ def bucket_count(spark: SparkSession, total_bytes: int, bucket_bytes: int = 6_00
 
 
 def batched(docs: DataFrame, batches: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(batch, id, text): every document in the batch its id hashes to; null text is empty."""
+    """(batch, id, text): every document in the batch its id hashes to (without an id, its
+    text, so that many of them do not meet); null text is empty."""
+    id_ = F.col(id_col).cast("long")
     return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(batches)).cast("int").alias("batch"),
+        F.pmod(F.when(id_.isNull(), F.xxhash64(F.col(text_col))).otherwise(F.xxhash64(id_)), F.lit(batches)).cast("int").alias("batch"),
         F.col(id_col).cast("long").alias("id"),
         text_or_empty(text_col).alias("text"),
     )

@@ -251,7 +251,8 @@ def plain_scores(data, good):
         for a, b in zip(["<s>", *w], w):
             for kind in {False, i in good and i is not None}:
                 uni[kind][b] += 1
-                ctx[kind][a] += 1
+                ctx[kind][b] += 1
+                ctx[kind][a] += a == "<s>"
                 pair[kind][(a, b)] += 1
     n = {k: sum(v.values()) for k, v in uni.items()}
     out = []
@@ -442,3 +443,20 @@ def test_pii_training_lowers_the_loss():
     assert tagger.gradients(x.T, y.T)[0] < before / 10
     assert (tagger.viterbi(tagger.emissions(x.T)).T == y).mean() > 0.99
     assert pii.masked("a 1.2.3.4 b", [("ip", 2, 9)]) == "a [ip] b"
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    """A third of the rows has no id, and some ids stand for two texts."""
+    import random
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    data = []
+    for i in range(60):
+        own = " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(25))
+        data.append((None if i % 3 == 0 else i // 2, f"{own} {passage}" if i % 2 else f"{passage} {own}"))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.repeated_word_cover(df).collect()]
+    assert sorted(got, key=repr) == brute_words(data, 13)
+    assert found_bytes(df) == brute_bytes(data)
+    assert line_dedup.dedup_lines(df).count() == lm_score.score(df, df).count() == 60
+    assert jaccard_join.link_components(df).where("doc_id is null").count() == 20
