@@ -19,7 +19,7 @@ from featurespark.llm.words import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: segmentations of words that a task remembers, and the longest such word
+#: segmentations of words that a worker remembers (in each of two generations), and the longest such word
 REMEMBER, LONGEST = 400_000, 48
 
 
@@ -98,9 +98,13 @@ class PieceModel:
         self.splits = all(MARK not in w.lstrip(MARK) and "\n" not in w for w in words)
 
     def start(self) -> "PieceModel":
-        """Per-task tables (plain lists are faster to step through)."""
+        """Tables of a worker process (plain lists are faster to step through), and its
+        memory of words, which later tasks of the process go on with."""
+        if hasattr(self, "memory"):
+            return self
         self.base, self.check, self.value = self.trie.lists()
         self.memory: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         return self
 
@@ -108,32 +112,35 @@ class PieceModel:
         """Ids of the best path. Of equal scores the earlier start of the last piece wins."""
         data = text.encode()
         n = len(data)
-        best, back = [None] * (n + 1), [None] * (n + 1)
+        worst = float("-inf")
+        best, start, last = [worst] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        base, check, value, scores = self.base, self.check, self.value, self.scores
+        base, check, value, scores, least = self.base, self.check, self.value, self.scores, self.least
         top = len(base)
         at = 0
         while at < n:
             lead = data[at]
-            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            here, node, single = best[at], 0, False
-            for end in range(at, n):
+            after = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            here, node, end, single = best[at], 0, at, False
+            while end < n:
                 step = base[node] + data[end] + 1
                 if step >= top or check[step] != node:
                     break
                 node = step
+                end += 1
                 piece = value[node]
                 if piece >= 0:
                     total = here + scores[piece]
-                    if best[end + 1] is None or total > best[end + 1]:
-                        best[end + 1], back[end + 1] = total, (at, piece)
-                    single = single or end + 1 - at == width
-            if not single and (best[at + width] is None or here + self.least > best[at + width]):
-                best[at + width], back[at + width] = here + self.least, (at, -1)
-            at += width
+                    if total > best[end]:
+                        best[end], start[end], last[end] = total, at, piece
+                    if end == after:
+                        single = True
+            if not single and here + least > best[after]:
+                best[after], start[after], last[after] = here + least, at, -1
+            at = after
         out = []
         while n:
-            at, piece = back[n]
+            at, piece = start[n], last[n]
             if piece >= 0:
                 out.append(piece)
             elif self.byte_id:
@@ -149,14 +156,16 @@ class PieceModel:
         marked = MARK + text.replace(" ", MARK)
         if not self.splits:
             return self.viterbi(marked)
-        memory, out = self.memory, []
+        memory, older, out = self.memory, self.older, []
         for unit in self.unit.findall(marked):
             ids = memory.get(unit)
             if ids is None:
-                ids = self.viterbi(unit)
+                ids = older.get(unit) or self.viterbi(unit)
                 if len(unit) <= LONGEST:
                     if len(memory) >= REMEMBER:
-                        memory.clear()
+                        # what was not asked for since the last change of generation is forgotten
+                        older = self.older = memory
+                        memory = self.memory = {}
                     memory[unit] = ids
             out += ids
         return out
