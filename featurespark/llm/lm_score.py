@@ -20,25 +20,32 @@ from featurespark.llm.words import U64, Words, mix
 BATCH_BYTES = 4_000_000
 #: weight, in tokens, of the lower-order estimate
 MU_WORD, MU_PAIR = 1000.0, 8.0
-TOTAL = np.array([0x7F4A7C159E3779B9], U64)
+#: keys of the number of tokens, and of documents with any (the count of the border mark)
+TOTAL, BORDER = U64(0x7F4A7C159E3779B9), U64(0x85EBCA6BC2B2AE35)
 COUNTS = np.dtype([("target", "<u4"), ("all", "<u4")])
 KEY_BITS = 48
 
 
 class Tokens:
     """Words (A-Z lowered) of a batch and the keys of their unigrams and bigrams. The
-    word before a document's first is a border mark."""
+    word before a document's first is a border mark; ``before`` is the unigram key of the
+    word before each. A bigram's context counts all its occurrences, so what its
+    followers leave over is the chance that a document ends there."""
 
     def __init__(self, table: pa.Table):
         words = Words(table["text"], lower=True)
         self.docs, self.n = words.doc, len(words.counts)
         word = words.hashes()
+        firsts = words.first[:-1][words.counts > 0]
         before = np.zeros(len(word), U64)
         before[1:] = word[:-1]
-        before[words.first[:-1][words.counts > 0]] = U64(0x9E37)
+        before[firsts] = U64(0x9E37)
         self.word = mix(word + U64(1))
-        self.context = mix(before + U64(2))
+        self.before = np.empty_like(self.word)
+        self.before[1:] = self.word[:-1]
+        self.before[firsts] = BORDER
         self.pair = mix(before * U64(0xC2B2AE3D27D4EB4F) + word)
+        self.first_docs = words.doc[firsts]
 
 
 def _sums(group, groups, _source, values):
@@ -70,11 +77,11 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         tokens = Tokens(table)
         ids = table["id"].fill_null(NULL_ID).to_numpy()
         chosen = np.isin(ids, good["id"].to_numpy())[tokens.docs]
-        kinds = [tokens.word, tokens.context, tokens.pair]
-        total = np.repeat(TOTAL, len(tokens.word))
-        keys, group = np.unique(plan.cut(np.concatenate([*kinds, total])), return_inverse=True)
-        return plan.send(batch, keys, [np.bincount(group, np.tile(chosen, 4), len(keys)).astype(np.uint32),
-                                       np.bincount(group, minlength=len(keys)).astype(np.uint32)])
+        target_docs = np.isin(ids, good["id"].to_numpy())[tokens.first_docs]
+        special = np.array([TOTAL, BORDER], U64)
+        keys, group = np.unique(plan.cut(np.concatenate([tokens.word, tokens.pair, special])), return_inverse=True)
+        weight = lambda of, docs: np.bincount(group, np.concatenate([of, of, [of.sum(), docs]]), len(keys)).astype(np.uint32)
+        return plan.send(batch, keys, [weight(chosen, target_docs.sum()), weight(np.ones(len(tokens.word)), len(tokens.first_docs))])
 
     sums = x.ask(texts, count, _sums, [np.uint32, np.uint32], wanted)
 
@@ -82,10 +89,14 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         tokens = Tokens(table)
         if not len(tokens.word):
             return _result(table, tokens, np.zeros(0), np.zeros(0))
-        cut = [plan.cut(k) for k in (tokens.word, tokens.context, tokens.pair, TOTAL)]
-        keys = np.unique(np.concatenate(cut))
+        special = np.array([TOTAL, BORDER], U64)
+        n = len(tokens.word)
+        keys, group = np.unique(plan.cut(np.concatenate([tokens.word, tokens.pair, special])), return_inverse=True)
         held = x.replies(answer, keys, plan, COUNTS)
-        word, context, pair, total = (held[np.searchsorted(keys, c)] for c in cut)
+        word, pair, total = held[group[:n]], held[group[n:2 * n]], held[group[2 * n]]
+        context = np.empty(n, COUNTS)
+        context[1:] = word[:-1]
+        context[tokens.before == BORDER] = held[group[2 * n + 1]]
         general = word["all"] / total["all"]
         wanted_ = (word["target"] + MU_WORD * general) / (total["target"] + MU_WORD)
         losses = [-np.log2((pair[f] + MU_PAIR * p) / (context[f] + MU_PAIR)) for f, p in (("target", wanted_), ("all", general))]
