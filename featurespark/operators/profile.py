@@ -151,11 +151,24 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, quantiles: str
 # ---------------------------------------------------------------------------
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n_unique) of the columns' values, NULL and NaN left out: narrow
-    (column number, value) pairs are made distinct, texts over 32 characters as their
-    128-bit digest, so no row carries a slot for every column and no long text travels."""
+    (column number, value) pairs are made distinct, whole numbers and doubles as they
+    are, other values as text, texts over 32 characters as their 128-bit digest.  No row
+    carries a slot for every column and no long text travels."""
+    kinds: dict[str, list] = {}
     txt = _text(df)
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _key(F.when(present(df, c).isNotNull(), txt(c))).alias("v")) for i, c in enumerate(columns)])
-    seen = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    for i, c in enumerate(columns):
+        x, dtype = present(df, c), df.schema[c].dataType
+        if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            kinds.setdefault("long", []).append((i, x.cast("long")))
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+            kinds.setdefault("double", []).append((i, x.cast("double")))
+        else:
+            kinds.setdefault("text", []).append((i, _key(txt(c))))
+    seen = None
+    for values in kinds.values():
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in values])
+        counts = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+        seen = counts if seen is None else seen.unionByName(counts)
     names = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column_name string")
     return names.join(seen, "i", "left").select("column_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_unique"))
 

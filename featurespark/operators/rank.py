@@ -59,6 +59,8 @@ def placed(df: DataFrame, keys: list[SortKey], n_rows: int, rows_per_bucket: int
     # monotonically_increasing_id: partition number in the upper 31 bits, place in the lower 33
     rows = stage(cut, "ranked").select(*[col_of(c) for c in df.columns], F.shiftright("__at", 33).cast("int").alias("__part"),
                                        F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    if n == 1:
+        return rows, spark.createDataFrame([(0, 0)], "__part int, __before bigint")
     sizes, before, table = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect(), 0, []   # one row per partition
     for part, size in sorted((r["__part"], r["n"]) for r in sizes):
         table.append((part, before))
