@@ -20,7 +20,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: segmentations of words that a worker remembers (in each of two generations), and the longest such word
-REMEMBER, LONGEST = 400_000, 48
+REMEMBER, LONGEST = 300_000, 48
 
 
 class DoubleArray:
@@ -103,8 +103,8 @@ class PieceModel:
         if hasattr(self, "memory"):
             return self
         self.base, self.check, self.value = self.trie.lists()
-        self.memory: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.memory: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         return self
 
@@ -160,7 +160,7 @@ class PieceModel:
         for unit in self.unit.findall(marked):
             ids = memory.get(unit)
             if ids is None:
-                ids = older.get(unit) or self.viterbi(unit)
+                ids = older.get(unit) or tuple(self.viterbi(unit))
                 if len(unit) <= LONGEST:
                     if len(memory) >= REMEMBER:
                         # what was not asked for since the last change of generation is forgotten
