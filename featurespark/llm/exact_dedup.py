@@ -21,6 +21,7 @@ def normalised(text_col: str):
 
 class DigestIndex:
     """Table (digest binary, keep_id long, n_chars long), bucketed and sorted by digest.
+    It lasts as long as the session's catalog: across applications with a metastore.
 
     ``buckets`` holds for a new table; aim at 1 GB a bucket (about 2·10^7 digests). An
     existing table keeps its own.
