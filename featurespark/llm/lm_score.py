@@ -22,7 +22,8 @@ BATCH_BYTES = 4_000_000
 MU_WORD, MU_PAIR = 1000.0, 8.0
 #: keys of the number of tokens, and of documents with any (the count of the border mark)
 TOTAL, BORDER = U64(0x7F4A7C159E3779B9), U64(0x85EBCA6BC2B2AE35)
-COUNTS = np.dtype([("target", "<u4"), ("all", "<u4")])
+#: a corpus's counts; those of one batch fit 32 bits
+COUNTS = np.dtype([("target", "<i8"), ("all", "<i8")])
 KEY_BITS = 48
 
 
@@ -51,7 +52,7 @@ class Tokens:
 def _sums(group, groups, _source, values):
     out = np.empty(len(group), COUNTS)
     for name, v in zip(COUNTS.names, values):
-        out[name] = np.bincount(group, v, groups).astype(np.uint32)[group]
+        out[name] = np.bincount(group, v, groups).astype(np.int64)[group]
     return out
 
 

@@ -279,6 +279,19 @@ def test_lm_score(spark, odd, none):
     assert all(r["ce_diff"] is not None for r in without)
 
 
+def test_lm_counts_beyond_32_bits():
+    """Sums over batches pass 2^32 and arrive whole at the batch that asked."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    from featurespark.llm import exchange
+    plan, keys, most = exchange.Plan(2, lm_score.KEY_BITS), np.array([1, 7], np.uint64), (1 << 32) - 1
+    sent = pa.concat_tables([plan.send(b, keys, [np.array([most, b], np.uint32), np.array([most, 1], np.uint32)]) for b in range(3)])
+    answer = exchange.answers(lm_score._sums, [np.uint32, np.uint32])(sent)
+    held = exchange.replies(answer.filter(pa.compute.equal(answer["batch"], 1)), keys, plan, lm_score.COUNTS)
+    assert held["target"].tolist() == [3 * most, 3] and held["all"].tolist() == [3 * most, 3]
+
+
 def test_pieces(odd, none):
     model = pieces.PieceModel()
     assert pieces.encode_documents(none, model).count() == 0
