@@ -51,10 +51,8 @@ class Sets:
         self.sizes = np.bincount(self.docs, minlength=self.n).astype(np.int64)
         self.edges = np.concatenate([[0], np.cumsum(self.sizes)])
         self.ids = table["id"].fill_null(NULL_ID).to_numpy()
-        self.node = self._nodes()
-        self.first = np.zeros(self.n, bool)             # the one row that stands for its set
-        has = np.flatnonzero(self.sizes > 0)
-        self.first[has[np.unique(self.group[has], return_index=True)[1]]] = True
+        self.row = self._rows()                         # the row that stands for a row's set
+        self.first = (self.row == np.arange(self.n)) & (self.sizes > 0)
 
     @staticmethod
     def _whole(hashes: np.ndarray) -> int:
@@ -63,15 +61,26 @@ class Sets:
             out = (out * 0xFF51AFD7ED558CCD + int(h)) % (1 << 64)
         return int(mix(np.array([out], U64))[0])
 
-    def _nodes(self) -> np.ndarray:
-        """Smallest id of the batch with the same set; empty sets stay alone."""
+    def _rows(self) -> np.ndarray:
+        """First row of the batch with the same set; empty sets stay alone."""
         sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.grams ^ U64(s)), dtype=U64)]) for s in (0, 0x5BD1E995)]
         print_ = [s[self.edges[1:]] - s[self.edges[:-1]] for s in sums]
-        _, self.group = np.unique(np.stack([*print_, self.sizes.astype(U64)], 1), axis=0, return_inverse=True)
-        self.group = self.group.reshape(-1)
-        least = np.full(self.group.max(initial=-1) + 1, NULL_ID, np.int64)
-        np.minimum.at(least, self.group, self.ids)
-        return np.where(self.sizes > 0, least[self.group], self.ids)
+        _, first, group = np.unique(np.stack([*print_, self.sizes.astype(U64)], 1), axis=0, return_index=True, return_inverse=True)
+        return np.where(self.sizes > 0, first[group.reshape(-1)], np.arange(self.n))
+
+    def twins(self) -> np.ndarray:
+        """Least row of the sets that stand under a row's id. All rows of an id are in one
+        batch; rows without an id have nothing in common but their texts."""
+        _, group = np.unique(self.ids, return_inverse=True)
+        least = np.full(group.max(initial=-1) + 1, self.n, np.int64)
+        np.minimum.at(least, group, self.row)
+        return np.where(self.ids != NULL_ID, least[group], self.row)
+
+    def least_ids(self) -> pa.Array:
+        """Smallest id among the rows of a row's set; null if none has an id."""
+        least = np.full(self.n, NULL_ID, np.int64)
+        np.minimum.at(least, self.row, self.ids)
+        return pa.array(least[self.row], mask=least[self.row] == NULL_ID)
 
 
 def _octaves(group, groups, _source, values):
@@ -89,10 +98,10 @@ def _least_overlap(a, b, percent):
 
 
 def _hub(group, groups, source, values):
-    """Reply: the smallest node that has the gram in its prefix, with its size and place."""
+    """Reply: the node of the smallest id that has the gram in its prefix, with its size and place."""
     hub = np.empty(len(group), HUB)
-    hub["node"], hub["size"], hub["pos"] = values
-    order = np.lexsort((hub["node"], group))
+    least, hub["node"], hub["size"], hub["pos"] = values
+    order = np.lexsort((hub["node"], least, group))
     return hub[order][np.unique(group[order], return_index=True)[1]][group]
 
 
@@ -177,9 +186,10 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     The set of a document is its distinct ``size``-word shingles (A-Z lowered); with
     fewer words the whole sequence is one; null, empty and blank texts have none and
     link with nothing. Documents link at a Jaccard similarity of ``percent`` % or more;
-    component_id is the smallest id reachable by links. Rows that repeat an id are one
-    node, which has the links of all of them; a null id is larger than any other, and
-    is null in the result. An empty table gives no rows; other columns are not read.
+    component_id is the smallest id reachable by links. Rows that repeat an id are in one
+    component, which has the links of all of them. Rows without an id are linked by
+    their texts only; a null id is larger than any other, and is null in the result. An
+    empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
@@ -205,22 +215,25 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             grams = np.sort(ranked[sets.edges[d]:sets.edges[d + 1]])
             if (grams[:_prefix(len(grams), percent)] >> U64(58)).any():
                 blobs[d] = grams.tobytes()
-        return pa.table({"batch": pa.array([key[0].as_py()] * sets.n, pa.int32()), "doc_id": table["id"], "node": sets.node,
+        # a set's number, no id: ids may stand for several texts, and rows may lack one
+        base = np.int64(key[0].as_py()) << 32
+        return pa.table({"batch": pa.array([key[0].as_py()] * sets.n, pa.int32()), "doc_id": table["id"], "node": base + sets.row,
+                         "twin": base + sets.twins(), "least": sets.least_ids(), "stands": sets.row == np.arange(sets.n),
                          "n_shingles": sets.sizes, "grams": pa.array(blobs, pa.binary())})
 
     ordered = stage(texts.groupBy("batch").cogroup(octaves.groupBy("batch")).applyInArrow(
-        order, "batch int, doc_id long, node long, n_shingles long, grams binary"), "sets")
-    sets = ordered.where("grams is not null").select("batch", "node", "grams")
+        order, "batch int, doc_id long, node long, twin long, least long, stands boolean, n_shingles long, grams binary"), "sets")
+    sets = ordered.where("grams is not null").select("batch", "node", "least", "grams")
 
     def heads(batch, table):
         keys, row, place, sizes = _prefix_rows(table, percent)
-        nodes = table["node"].to_numpy()[row]
-        order = np.lexsort((nodes, keys))
+        nodes, least = table["node"].to_numpy()[row], table["least"].fill_null(NULL_ID).to_numpy()[row]
+        order = np.lexsort((nodes, least, keys))
         distinct, first = np.unique(keys[order], return_index=True)
         pick = order[first]
-        return full.send(batch, distinct, [nodes[pick], sizes[row[pick]].astype(np.int32), place[pick].astype(np.int32)])
+        return full.send(batch, distinct, [least[pick], nodes[pick], sizes[row[pick]].astype(np.int32), place[pick].astype(np.int32)])
 
-    hubs = x.ask(sets, heads, _hub, [np.int64, np.int32, np.int32])
+    hubs = x.ask(sets, heads, _hub, [np.int64, np.int64, np.int32, np.int32])
 
     def to_hubs(_key, table, answer):
         keys, row, place, sizes = _prefix_rows(table, percent)
@@ -232,13 +245,14 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         pairs = np.unique(np.stack([hub["node"][good], node[good]], 1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    # the hub is the smaller node, so pairs are dealt by the other one
+    # many sets share a hub, so pairs are dealt by the other one
     first = stage(sets.groupBy("batch").cogroup(hubs.groupBy("batch")).applyInArrow(to_hubs, "a long, b long").select(
         F.col("b").alias("a"), F.col("a").alias("b")), "hub-pairs")
     known = sets.select("node", "grams")
-    links = stage(_verify(first, known, batches, percent), "links")
+    same_id = ordered.where("node <> twin").select(F.col("node").alias("a"), F.col("twin").alias("b")).distinct()
+    links = stage(_verify(first, known, batches, percent).union(same_id), "links")
     labels = components(links)
-    labelled = labels.select(F.pmod(F.xxhash64("node"), F.lit(batches)).cast("int").alias("batch"), "node", "label")
+    labelled = labels.select(F.shiftright("node", 32).cast("int").alias("batch"), "node", "label")
 
     def labels_of(table, label):
         at = dict(zip(label["node"].to_pylist(), label["label"].to_pylist()))
@@ -276,9 +290,10 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     if not pairs.isEmpty():
         more = _verify(pairs, known, batches, percent)
         labels = components(stage(links.union(more), "links"))
-    out = ordered.select("doc_id", "n_shingles", F.col("node").alias("n")).join(labels, F.col("n") == F.col("node"), "left")
-    smallest = F.coalesce("label", "n")
-    return out.select("doc_id", "n_shingles", F.when(smallest != NULL_ID, smallest).alias("component_id"))
+    ids = ordered.where("stands").select("node", "least").join(labels, "node").groupBy("label").agg(F.min("least").alias("smallest"))
+    found = labels.join(ids, "label").select(F.col("node").alias("n"), "smallest")
+    out = ordered.select("doc_id", "n_shingles", "node", "least").join(found, F.col("node") == F.col("n"), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"))
 
 
 def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:

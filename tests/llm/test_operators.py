@@ -473,3 +473,21 @@ def test_rows_without_ids_and_repeated_ids(spark):
     assert found_bytes(df) == brute_bytes(data)
     assert line_dedup.dedup_lines(df).count() == lm_score.score(df, df).count() == 60
     assert jaccard_join.link_components(df).where("doc_id is null").count() == 20
+
+
+def test_jaccard_rows_that_share_an_id_keep_their_links(spark):
+    """Texts under one id and under none link as their own sets; nothing is joined through a null id."""
+    import random
+    rng = random.Random(3)
+    families = [[f"f{k}w{j}" for j in range(40)] for k in range(12)]
+    data = []
+    for i in range(96):
+        w = list(families[i % 12])
+        w[rng.randrange(40)] = f"x{rng.randrange(10 ** 6)}"
+        # ids 1000 and 1001 stand for two families each, and a third of the rows has no id
+        data.append((None if i % 3 == 0 else 1000 + i % 2 if 12 <= i < 18 else 100 - i, " ".join(w)))
+    data += [(1000, ""), (None, ""), (None, None), (None, data[1][1])]
+    got = [tuple(r) for r in jaccard_join.link_components(spark.createDataFrame(data, "doc_id long, text string"), 2, 80).collect()]
+    apart = [(LAST + n if i is None else i, t) for n, (i, t) in enumerate(data)]
+    known = lambda i: i if i is not None and i < LAST else None
+    assert sorted(got, key=repr) == sorted(((known(i), n, known(c)) for i, n, c in brute_components(apart, 2, 80)), key=repr)
