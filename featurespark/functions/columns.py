@@ -16,6 +16,14 @@ def col_of(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ntz_lit(value) -> Column:
     """TIMESTAMP_NTZ literal from a naive datetime / date / text, independent of
     the session time zone (a Python datetime literal would first be read as a
@@ -66,6 +74,12 @@ def md5_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def short_key(text: Column) -> Column:
+    """A text that stands for itself up to 32 characters, else its 128-bit digest; the two
+    cannot be equal, a digest has 33 characters."""
+    return F.when(F.char_length(text) > 32, F.concat(F.lit("#"), F.md5(text))).otherwise(text)
+
+
 def btrim_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
