@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from featurespark.llm.shared import text_or_empty
+from featurespark.functions.columns import unused
+from featurespark.llm.shared import stage, text_or_empty
 from featurespark.llm.words import U64, Words, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -100,7 +101,8 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, id_c
     null doc_id stays null. Empty tables give no rows; other columns are not read.
 
     The items are a stated query set. They go to the executors in blocks of bounded
-    size, one pass over the documents for each block.
+    size, one pass over the documents for each block; the block is released before the
+    next is read, so the driver never holds more than one.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -117,12 +119,14 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, id_c
                     [batch.column(0).take(pa.array(found[:, 0])), held.value.ids.take(pa.array(found[:, 1])), pa.array(m), pa.array(common),
                      pa.array(common / np.maximum(m, 1))], ["doc_id", "item_id", "n_shingles", "n_common", "containment"])
 
-        part = texts.mapInArrow(find, RESULT)
+        part = stage(texts.mapInArrow(find, RESULT), "contained-items")
+        held.destroy()
         out = part if out is None else out.union(part)
     return out
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """``docs`` without the documents that contain an item; rows with a null id stay."""
-    leaks = contained_items(docs, items, id_col=id_col, **kw).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(id_col) == F.col("__leak"), "left_anti")
+    name = unused(docs.columns, "__leak")
+    leaks = contained_items(docs, items, id_col=id_col, **kw).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaks, F.col(id_col) == F.col(name), "left_anti")

@@ -23,7 +23,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the remaining lines joined by a line feed)."""
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
+    return out.select("doc_id", F.col(out.columns[-2]).alias("n_lines"), F.col(out.columns[-1]).alias("n_removed"),
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

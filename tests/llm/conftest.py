@@ -23,7 +23,8 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: names that operators use inside
-CLASHES = ("id", "batch", "bucket", "reply", "digest", "node", "label", "gram", "pos", "a", "b", "kept", "spans", "ids", "score", "keep_id", "h", "n")
+CLASHES = ("id", "batch", "bucket", "reply", "digest", "node", "label", "gram", "pos", "a", "b", "kept", "spans", "ids", "score", "keep_id", "h", "n",
+           "__id", "__n_lines", "__n_removed", "__covered", "__hit_id", "__hit_hash", "__leak", "__rn")
 
 
 @pytest.fixture(scope="session")

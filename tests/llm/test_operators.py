@@ -4,6 +4,7 @@ import re
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from featurespark.llm import (decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, pieces, pii,
                              substring_dedup, suffix_dedup)
@@ -62,16 +63,30 @@ def test_digest_index_persists(spark):
 def test_line_dedup(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
     out = line_dedup.dedup_lines(odd)
-    assert out.columns == [*odd.columns, "__n_lines", "__n_removed"]
-    got = rows(out)
+    assert out.columns[:-2] == odd.columns and len(set(out.columns)) == len(out.columns)
+    got = rows(out.select("doc_id", "source", "text", F.col(out.columns[-2]).alias("lines"), F.col(out.columns[-1]).alias("removed")))
     assert len(got) == len(ROWS)
     by = {(r["doc_id"], r["source"]): r for r in got}
-    assert by[(1, "a")]["text"] == ROWS[0][1] and by[(1, "a")]["__n_removed"] == 0
-    assert by[(2, "a")]["text"] == "an own start\nand another end" and by[(2, "a")]["__n_removed"] == 3
-    assert by[(13, "a")]["text"] == "" and by[(13, "a")]["__n_removed"] == 4 == by[(13, "a")]["__n_lines"]
+    assert by[(1, "a")]["text"] == ROWS[0][1] and by[(1, "a")]["removed"] == 0
+    assert by[(2, "a")]["text"] == "an own start\nand another end" and by[(2, "a")]["removed"] == 3
+    assert by[(13, "a")]["text"] == "" and by[(13, "a")]["removed"] == 4 == by[(13, "a")]["lines"]
     assert by[(None, None)]["text"] == "a document without an id"
-    assert (by[(3, None)]["text"], by[(3, None)]["__n_lines"]) == (None, 0)
-    assert (by[(4, "b")]["text"], by[(4, "b")]["__n_lines"]) == ("", 1)
+    assert (by[(3, None)]["text"], by[(3, None)]["lines"]) == (None, 0)
+    assert (by[(4, "b")]["text"], by[(4, "b")]["lines"]) == ("", 1)
+
+
+def test_removing_lines_takes_time_in_proportion(spark):
+    """Two equal documents of many lines, all of which repeat."""
+    import time
+    took = []
+    for n in (20_000, 160_000):
+        text = "\n".join(f"line {i}" for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+        start = time.time()
+        got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+        took.append(time.time() - start)
+        assert got[1]["text"] == text and (got[2]["text"], got[2]["__n_removed"]) == ("", n)
+    assert took[1] < 8 * took[0] + 10
 
 
 def test_line_windows_within_a_document(spark):
