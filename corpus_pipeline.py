@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from featurespark.functions.columns import unused
 from featurespark.llm import decontaminate, jaccard_join, language_id, line_dedup, pieces
 from featurespark.llm.shared import reach, stage
 
@@ -21,9 +22,10 @@ LEAST_SCORE = 0.5
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
-def _on_id(docs: DataFrame, decisions: DataFrame, id_: str, how: str) -> DataFrame:
-    """``docs`` joined with decisions on doc_id; the decision's id is called ``id_``."""
-    return docs.join(decisions, F.col("doc_id").cast("long") == F.col(id_), how)
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but those whose doc_id is among ``ids`` (doc_id)."""
+    name = unused(docs.columns, "__id")
+    return docs.join(ids.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,25 +33,25 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     best language has too small a share, go."""
     found = language_id.identify(docs, language_id.learn(docs))
     unknown = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)
-    rejected = found.where(unknown).select(F.col("doc_id").alias("__id")).distinct()
-    return _on_id(docs, rejected, "__id", "left_anti").where(F.col("text").isNotNull())
+    return _without(docs, found.where(unknown)).where(F.col("text").isNotNull())
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated line windows; a document all of whose lines repeat goes.
     ``n_chars`` follows the text where it changed."""
-    out = line_dedup.dedup_lines(docs).where(F.col("__n_removed").isNull() | (F.col("__n_removed") < F.col("__n_lines")) | (F.col("__n_lines") == 0))
+    out = line_dedup.dedup_lines(docs)
+    n_lines, n_removed = (F.col(c) for c in out.columns[-2:])
+    out = out.where((n_removed < n_lines) | (n_lines == 0))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(n_removed > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near duplicates the document with the smallest id."""
     linked = jaccard_join.link_components(docs, NEAR_SHINGLE, NEAR_PERCENT)
-    dropped = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return _on_id(docs, dropped, "__id", "left_anti")
+    return _without(docs, linked.where("doc_id <> component_id"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
