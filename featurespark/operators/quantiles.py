@@ -5,7 +5,9 @@ task.  Here a mergeable sketch (``percentile_approx``, rank error n / ACCURACY)
 gives a bracket of two values around every wanted rank; one pass counts the rows
 below each bracket exactly, another orders only the values inside, summed per
 distinct value.  The wanted rank is then known exactly, and so is whether the bracket
-held it: if it did not, the quantile is settled again with an open bracket.
+held it: if it did not, the side on which the rank lies is narrowed again from within
+(by samples for a column, by a second sketch for groups), so a miss costs passes, not a
+task with the whole column.
 
 percentile_cont(p) = v[r] + f·(v[r+1] − v[r]) with h = p·(n−1), r = ⌊h⌋+1,
 f = h − ⌊h⌋; percentile_disc(p) = v[max(1, ⌈p·n⌉)] (1-based ranks).  NULL and NaN
@@ -21,10 +23,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col_of
 from ..session import stage
+from .selection import Selection
 
 ACCURACY = 50_000
 #: groups of at most this many rows are ordered whole (an open bracket)
 WHOLE = 20_000
+#: steps of the sketch that narrows a bracket that missed
+GRID = 500
 
 
 def probes(requests: list[tuple[str, float]]) -> list[float]:
@@ -62,9 +67,12 @@ def column_quantiles(df: DataFrame, wanted: dict[str, list[tuple[str, float]]],
                 continue
             low, high = (found[2 * i], found[2 * i + 1]) if n > WHOLE else (None, None)
             todo.append((c, kind, p, low, high, target_ranks(kind, p, n)))
-    while todo:
-        values, todo = _settle_columns(df, todo)
-        out.update(values)
+    values, missed = _settle_columns(df, todo) if todo else ({}, [])
+    out.update(values)
+    for c, kind, p, _, _, (r1, r2, f) in missed:
+        x = col_of(c).cast("double")
+        v1, v2 = (t[0] for t in Selection(df.where(_present(x)), [x]).at([r1, r2], counts[c]))
+        out[(kind, c, p)] = v1 + f * (v2 - v1)
     return out
 
 
@@ -92,7 +100,7 @@ def _settle_columns(df: DataFrame, todo: list) -> tuple[dict, list]:
     for i, (c, kind, p, low, high, (r1, r2, f)) in enumerate(todo):
         r = got.get(i)
         if r is None or not r["held"]:
-            again.append((c, kind, p, None, None, (r1, r2, f)))
+            again.append(todo[i])
         else:
             done[(kind, c, p)] = r["v1"] + f * (r["v2"] - r["v1"])
     return done, again
@@ -119,10 +127,12 @@ def grouped_quantiles(long: DataFrame, keys: list[str], value: str, requests: li
     first = stage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch(F.col("x"), requests).alias("s")), "sketches")
     brackets = first.select(*keys, F.explode(F.array(*[_bracket(i, kind, p) for i, (kind, p) in enumerate(requests)])).alias("w")).select(*keys, "w.*")
     settled = stage(_settle_groups(base, keys, brackets), "quantiles")
-    missed = settled.where(~F.col("held")).select(*keys, "i")
-    if not missed.isEmpty():
-        again = brackets.join(missed, [*keys, "i"]).withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
-        settled = settled.where("held").unionByName(_settle_groups(base, keys, again))
+    missed = brackets.join(settled.where("held").select(*keys, "i"), [*keys, "i"], "left_anti")
+    while not missed.isEmpty():
+        missed = stage(_narrowed(base, keys, _narrowed(base, keys, missed)), "brackets")
+        again = stage(_settle_groups(base, keys, missed), "quantiles")
+        settled = settled.where("held").unionByName(again)
+        missed = missed.join(again.where("held").select(*keys, "i"), [*keys, "i"], "left_anti")
     wide = settled.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{i}") for i in range(len(requests))])
     return first.select(*keys, "n").join(wide, keys)
 
@@ -142,6 +152,25 @@ def _bracket(i: int, kind: str, p: float) -> Column:
                     r1.cast("long").alias("r1"), r2.cast("long").alias("r2"), f.alias("f"))
 
 
+def _narrowed(base: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
+    """Brackets that missed, narrowed: a bound on the wrong side of a rank is opened, and a
+    sketch of the rows that are then inside gives bounds GRID times closer."""
+    by, x = [*keys, "i"], F.col("x")
+    low, high = F.col("low"), F.col("high")
+    met = base.join(brackets, keys)
+    told = met.groupBy(*by).agg(F.count_if(x < low).alias("under"), F.count_if(x <= high).alias("upto"))
+    opened = brackets.join(told, by).select(
+        *by, F.when(F.col("r1") > F.col("under"), low).alias("low"), F.when(F.col("r2") <= F.col("upto"), high).alias("high"), "r1", "r2", "f")
+    opened = stage(opened, "brackets")
+    inside = (low.isNull() | (x >= low)) & (high.isNull() | (x <= high))
+    grid = F.percentile_approx(F.when(inside, x), F.array(*[F.lit(j / GRID) for j in range(GRID + 1)]), ACCURACY)
+    sketched = base.join(opened, keys).groupBy(*by).agg(F.count_if(x < low).alias("under"), F.count_if(inside).alias("held"), grid.alias("grid"))
+    share = lambda r: (F.col(r) - F.col("under")) / F.col("held") * GRID
+    left, right = F.floor(share("r1")).cast("int") - 2, F.ceil(share("r2")).cast("int") + 2
+    return opened.join(sketched, by).select(
+        *by, F.when(left >= 0, F.col("grid")[left]).otherwise(low).alias("low"), F.when(right <= GRID, F.col("grid")[right]).otherwise(high).alias("high"), "r1", "r2", "f")
+
+
 def _settle_groups(base: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
     packed = brackets.groupBy(*keys).agg(F.collect_list(F.struct("i", "low", "high")).alias("w"))    # one entry per request
     joined = base.join(packed, keys)

@@ -128,8 +128,9 @@ def _apply_step(ch: _Chain, spec: S.Spec, stats: Stats, idx: str, order_key, row
         out = f"__step{idx}"
         if m == "binning":
             key = spec.params.get("order_key", order_key)
-            ch.df = rank.global_ntile(ch.df, staged, int(spec.params["num_bins"]), key,
-                                      stats[("rows", None)], out, rows_per_bucket)
+            # a row-local value is ranked on the input table, without other columns' joins
+            on = (ch.source, ch.expr) if ch.local else None
+            ch.df = rank.global_ntile(ch.df, staged, int(spec.params["num_bins"]), key, stats[("rows", None)], out, rows_per_bucket, on)
         elif pending is not None and ch.local:
             # deferred: all such steps of one kind share one staged table
             pending.append((spec, ch.expr, ch.dtype, staged, out))
@@ -188,13 +189,12 @@ def chain_lineage(raw_specs: list[dict], columns: list[str], target_column: str
     return out
 
 
-# FIXED VALUES: keys of a lineage entry, and the step name of a target without a chain
-LINEAGE_KEYS = ("original_column", "output_column", "transformations")
+# FIXED VALUES: the step name of a target without a chain, and the keys of a lineage entry
 AUTO_TARGET = "auto_binary_encoding"
 
 
 def _lineage(column: str, output: str, steps: list[str]) -> dict:
-    return dict(zip(LINEAGE_KEYS, (column, output, steps)))
+    return {"original_column": column, "output_column": output, "transformations": steps}
 
 
 def build_chain(df: DataFrame, raw_specs: list[dict], target_column: str | None = None,
