@@ -988,12 +988,8 @@ def q_smoter_gate(spark, sf):
 
 
 def _smoter_sql() -> str:
-    """The rule of operators.smoter for events: k = 5, two directions over (user_id, hour)."""
-    from ..operators.smoter import weight
+    """SMOTER for events with the true 5 nearest of all rows of a bump over (user_id, hour)."""
     z = ["(user_id - ua) / (ub - ua)", "(hour - ha) / (hb - ha)"]
-    directions = [f"0.0 + ({z[0]}) * ({weight(i, 0)!r}) + ({z[1]}) * ({weight(i, 1)!r})" for i in range(2)]
-    near = " UNION ".join(f"SELECT a.bump, a.pos, a.y, a.z0, a.z1, b.pos AS npos, b.y AS ny, b.z0 AS n0, b.z1 AS n1 FROM ranked a JOIN ranked b "
-                          f"ON a.bump = b.bump AND b.{p} - a.{p} BETWEEN -5 AND 5 AND a.pos <> b.pos" for p in ("pos", "p0", "p1"))
     draw = [_DRAW.format(f"bump || '|' || j || '|' || 42 || '|' || {i}") for i in (1, 2, 3)]
     return f"""
 WITH e AS (SELECT event_id, user_id, CAST(hour(ts) AS INTEGER) AS hour, event_type, value FROM events),
@@ -1005,17 +1001,15 @@ r AS (SELECT *, CASE WHEN 3 * t * t - 2 * t * t * t >= 0.5 THEN CASE WHEN value
 sizes AS (SELECT bump, count(*) AS n FROM r GROUP BY 1),
 goal AS (SELECT sum(n)::BIGINT // count(*) AS goal FROM sizes),
 ranked AS (SELECT bump, event_id, user_id, hour, event_type, value, value AS y, {z[0]} AS z0, {z[1]} AS z1,
-  row_number() OVER (PARTITION BY bump ORDER BY value, event_id) AS pos,
-  row_number() OVER (PARTITION BY bump ORDER BY {directions[0]}, event_id) AS p0,
-  row_number() OVER (PARTITION BY bump ORDER BY {directions[1]}, event_id) AS p1 FROM r WHERE bump <> 'normal'),
-pairs AS ({near}),
-nbrs AS (SELECT * FROM (SELECT bump, pos, npos, row_number() OVER (PARTITION BY bump, pos
-  ORDER BY 0.0 + (z0 - n0) * (z0 - n0) + (z1 - n1) * (z1 - n1), abs(ny - y), npos) AS m FROM pairs) WHERE m <= 5),
+  row_number() OVER (PARTITION BY bump ORDER BY value, event_id) AS pos FROM r WHERE bump <> 'normal'),
+nbrs AS (SELECT * FROM (SELECT a.bump, a.pos, b.pos AS npos, row_number() OVER (PARTITION BY a.bump, a.pos
+  ORDER BY 0.0 + (a.z0 - b.z0) * (a.z0 - b.z0) + (a.z1 - b.z1) * (a.z1 - b.z1), b.pos) AS m
+  FROM ranked a JOIN ranked b ON a.bump = b.bump AND a.pos <> b.pos) WHERE m <= 5),
 k AS (SELECT bump, pos, max(m) AS k FROM nbrs GROUP BY ALL),
 d AS (SELECT bump, n, unnest(range(goal - n)) AS j FROM sizes, goal WHERE bump <> 'normal' AND n < goal),
 ids AS (SELECT bump, j % n + 1 AS pos, {draw[0]} AS r1, ({draw[1]} % 1000000) / 1000000.0::DOUBLE AS u, {draw[2]} % 2 AS side FROM d),
 picked AS (SELECT ids.*, nbrs.npos FROM ids JOIN k USING (bump, pos) JOIN nbrs ON nbrs.bump = ids.bump AND nbrs.pos = ids.pos AND nbrs.m = ids.r1 % k + 1),
-made AS (SELECT CAST(round(s.event_id + u * (CAST(o.event_id AS DOUBLE) - s.event_id)) AS BIGINT) AS event_id,
+made AS (SELECT CAST(NULL AS BIGINT) AS event_id,
   CAST(round(s.user_id + u * (CAST(o.user_id AS DOUBLE) - s.user_id)) AS BIGINT) AS user_id,
   CAST(round(s.hour + u * (CAST(o.hour AS DOUBLE) - s.hour)) AS INTEGER) AS hour,
   CASE WHEN side = 0 THEN s.event_type ELSE o.event_type END AS event_type, s.value + u * (o.value - s.value) AS value
@@ -1025,9 +1019,10 @@ SELECT event_id, user_id, hour, event_type, round(value, 6) AS value FROM (SELEC
 
 @register("smoter_rows", _smoter_sql())
 def q_smoter_rows(spark, sf):
-    """Original rows plus interpolated rare-bump rows, row for row."""
+    """Original rows plus interpolated rare-bump rows, row for row; SQL finds the
+    neighbours by brute force."""
     e = read_table(spark, sf, "events").select("event_id", "user_id", F.hour("ts").alias("hour"), "event_type", "value")
-    out, _ = smoter(e, "value", order_key="event_id")
+    out, _ = smoter(e, "value", order_key="event_id", exact=True)
     return out.select("event_id", "user_id", "hour", "event_type", R("value").alias("value"))
 
 

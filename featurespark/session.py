@@ -54,6 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package when it runs from a checkout instead of an
+    installation (executors that see the folder, or local mode)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def stage(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: computed once,
     column-pruned by its readers, with statistics, and safe when executors are lost."""
