@@ -2,16 +2,13 @@
 
 Random oversampling (B6) is exact and distributed:
 
-* only minority-class rows are indexed 1..cnt within their class, through the
-  bucketed global row number (sort key = class, row hash), so no class is
-  ever numbered inside one task;
-* the (max - cnt) draws of every class are generated by ``spark.range`` —
-  spread over all tasks — and mapped to their class by literal offsets; each
-  draw picks index ``pmod(xxhash64(class, j, seed), cnt) + 1``;
-* draws meet rows in an equi-join on (class, index).  A class small enough
-  to broadcast (size known exactly from the class counts) is broadcast, so a
-  tiny class drawn millions of times never becomes a hot shuffle key; a large
-  class has few draws per index and joins by shuffle.
+* only minority-class rows are numbered 0..n-1 within their class, through the global row
+  number (sort key = class, row hash), so no class is ever numbered inside one task;
+* class counts and first positions are tables; the draws of a class are generated in blocks
+  spread over all tasks, and draw j takes the row at md5(class, j, seed) mod n;
+* draws meet rows in an equi-join on (class, index, salt).  A class whose rows are drawn more
+  than DRAWS_PER_COPY times each has its rows copied under as many salts, and its draws are dealt
+  over them, so a tiny class drawn millions of times is no hot key.
 
 Majority rows (and all originals) pass straight from the scan to the union.
 """
@@ -24,10 +21,13 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_text, col_of, is_numeric, md5_int
 from ..session import stage
+from ..stats import present
 from . import rank
 
 #: draws that one task generates at a time
-DRAW_BLOCK = 100_000
+DRAW_BLOCK = 10_000
+#: draws that meet one copy of a row, on average
+DRAWS_PER_COPY = 1000
 
 
 def _class_text(df: DataFrame, target: str) -> Column:
@@ -110,10 +110,11 @@ def qcut_distribution(df: DataFrame, target: str, q: int = 4, edges: list[float]
 # B5 prepare rows
 # ---------------------------------------------------------------------------
 def prepare_rows(df: DataFrame, target: str, quantiles: str | None = None) -> DataFrame:
-    """Drop NULL targets; fill features: boolean → False, numeric → median,
-    other → 'missing' (text). Medians of all numeric columns in one aggregate."""
+    """Drop rows whose target is missing (NULL or NaN); fill features: boolean → False,
+    numeric → median (NaN is missing), other → 'missing' (text). Medians of all numeric
+    columns in one aggregate."""
     from ..stats import StatsPlan
-    base = df.where(col_of(target).isNotNull())
+    base = df.where(present(df, target).isNotNull())
     nums = [f.name for f in df.schema.fields if f.name != target and is_numeric(f.dataType)]
     plan = StatsPlan(quantile_method=quantiles)
     for c in nums:
@@ -128,6 +129,7 @@ def prepare_rows(df: DataFrame, target: str, quantiles: str | None = None) -> Da
             cols.append(F.coalesce(c, F.lit(False)).alias(f.name))
         elif is_numeric(f.dataType):
             med = stats.q(f.name, 0.5)
+            c = present(df, f.name)
             cols.append((F.coalesce(c, F.lit(med).cast(f.dataType)) if med is not None else c).alias(f.name))
         elif isinstance(f.dataType, T.StringType):
             cols.append(F.coalesce(c, F.lit("missing")).alias(f.name))
@@ -147,30 +149,33 @@ def random_oversample(df: DataFrame, target: str, seed: int = 42, order_key: str
     ``order_key`` (default: a hash of the row).
 
     Class counts and first positions are tables, so the plan has one size for two or a
-    million classes.  Draws are generated in blocks spread over all tasks."""
-    base = df.where(col_of(target).isNotNull())
-    cls = _class_text(base, target)
-    classes = stage(base.groupBy(cls.alias("__c")).agg(F.count(F.lit(1)).alias("__n")), "classes")
-    most = classes.agg(F.max("__n")).first()[0] or 0
-    minority = classes.where(F.col("__n") < most)
-    n_min = minority.agg(F.sum("__n")).first()[0] or 0
+    million classes."""
+    base = df.where(present(df, target).isNotNull())
+    classes = stage(base.groupBy(_class_text(base, target).alias("cls")).agg(F.count(F.lit(1)).alias("n")), "classes")
+    most = classes.agg(F.max("n")).first()[0] or 0
+    need = F.lit(most) - F.col("n")
+    copies = F.ceil(need / (F.col("n") * F.lit(DRAWS_PER_COPY))).cast("int")
+    minority = classes.where(F.col("n") < most).withColumn("need", need).withColumn("copies", copies)
+    n_min = minority.agg(F.sum("n")).first()[0] or 0
     if not n_min:
         return base
-    # minority rows, numbered 0..n-1 inside their class
-    tie = col_of(order_key) if order_key else F.xxhash64(*[col_of(c) for c in df.columns])
-    tagged = base.withColumn("__c", cls).withColumn("__h", tie).join(minority.select("__c"), "__c", "left_semi")
-    ranked = rank.global_row_number(tagged, [rank.SortKey("__c"), rank.SortKey("__h")], n_min, "__rn", rows_per_bucket)
-    first = ranked.groupBy("__c").agg(F.min("__rn").alias("__first"))
-    indexed = ranked.join(first, "__c").withColumn("__idx", F.col("__rn") - F.col("__first")).drop("__rn", "__first", "__h")
+    # minority rows, numbered 0..n-1 inside their class; a row travels as one struct, so that
+    # its names cannot meet those used here
+    names = [col_of(c) for c in df.columns]
+    tie = col_of(order_key) if order_key else F.xxhash64(*names)
+    tagged = base.select(F.struct(*names).alias("row"), _class_text(base, target).alias("cls"), tie.alias("tie")).join(
+        minority.select("cls"), "cls", "left_semi")
+    ranked = rank.global_row_number(tagged, [rank.SortKey("cls"), rank.SortKey("tie")], n_min, "at", rows_per_bucket)
+    first = ranked.groupBy("cls").agg(F.min("at").alias("first")).join(minority.select("cls", "copies"), "cls")
+    indexed = ranked.join(first, "cls").select("cls", (F.col("at") - F.col("first")).alias("idx"), "row",
+                                               F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     # draws: blocks of a class first, then the draws of each block
-    need = F.lit(most) - F.col("__n")
-    blocks = minority.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((need - 1) / DRAW_BLOCK).cast("int"))))
-    draws = blocks.repartition("__c", "__block").withColumn(
-        "__j", F.explode(F.sequence(F.col("__block") * F.lit(DRAW_BLOCK).cast("long"),
-                                    F.least(need, (F.col("__block") + 1) * F.lit(DRAW_BLOCK).cast("long")) - 1)))
-    draws = draws.select("__c", F.pmod(md5_int(F.col("__c"), F.col("__j"), F.lit(seed)), F.col("__n")).alias("__idx"))
-    extra = draws.join(indexed, ["__c", "__idx"]).select(*[col_of(c) for c in df.columns])
-    return base.unionByName(extra)
+    blocks = minority.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("need") - 1) / DRAW_BLOCK))))
+    draws = blocks.repartition("cls", "block").withColumn(
+        "j", F.explode(F.sequence(F.col("block") * DRAW_BLOCK, F.least("need", (F.col("block") + 1) * DRAW_BLOCK) - 1)))
+    draws = draws.select("cls", F.pmod(md5_int(F.col("cls"), F.col("j"), F.lit(seed)), F.col("n")).alias("idx"),
+                         F.pmod(F.col("j"), F.col("copies")).cast("int").alias("salt"))
+    return base.unionByName(draws.join(indexed, ["cls", "idx", "salt"]).select("row.*"))
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -187,13 +192,15 @@ def row_draw(df: DataFrame, seed: int) -> Column:
 # ---------------------------------------------------------------------------
 def smoter_gate_frame(df: DataFrame, target: str, min_distinct: int = 10, min_abs_skew: float = 0.5) -> DataFrame:
     """One row (apply, distinct, skewness): numeric target with ≥ min_distinct
-    distinct values and |adjusted skewness| ≥ min_abs_skew (one aggregate)."""
-    y = col_of(target).cast("double")
+    distinct values and |adjusted skewness| ≥ min_abs_skew (one aggregate); NaN is
+    missing and does not open the gate."""
+    y = present(df, target).cast("double")
     n = F.count(y).cast("double")
     adj = F.when(n > 2, F.skewness(y) * F.sqrt(n * (n - 1)) / (n - 2))
     one = df.agg(F.count_distinct(y).alias("distinct"), adj.alias("skewness"))
     numeric = is_numeric(df.schema[target].dataType) and not isinstance(df.schema[target].dataType, T.BooleanType)
-    ok = (F.col("distinct") >= min_distinct) & F.coalesce(F.abs(F.col("skewness")) >= min_abs_skew, F.lit(False))
+    skew = F.when(~F.isnan("skewness"), F.abs(F.col("skewness")))        # infinite values leave none
+    ok = (F.col("distinct") >= min_distinct) & F.coalesce(skew >= min_abs_skew, F.lit(False))
     return one.select((ok & F.lit(numeric)).alias("apply"), F.col("distinct").cast("bigint").alias("distinct"),
                       "skewness")
 

@@ -11,23 +11,31 @@ all expected counts add up to N.  So no cross product of values × classes is
 ever materialised.  With one degree of freedom (2×2) Yates' correction is
 applied like scipy's default; that table has exactly four cells, so its zero
 cells are enumerated explicitly from the two-row marginals.
+
+Values and classes over 32 characters travel as digests.  A value's total is a window over
+its own cells; the class totals, a small table of known size, are joined under a salt, so
+two classes are not two shuffle keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_text, col_of
+from ..functions.columns import as_text, col_of, short_key
 from ..session import stage
+from ..stats import present
+
+#: copies of the class totals, should they be too many to broadcast
+SALTS = 8
 
 
 def crosstab_counts(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(column_name, value, tvalue, n) — NULL feature or target rows dropped."""
-    t = as_text(col_of(target), df.schema[target].dataType)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                               as_text(col_of(c), df.schema[c].dataType).alias("value"))
-                      for c in features])
+    """(column_name, value, tvalue, n) — rows whose feature or target is missing dropped;
+    long texts as digests."""
+    key = lambda c: short_key(as_text(present(df, c), df.schema[c].dataType))
+    t = key(target)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), key(c).alias("value")) for c in features])
     long = df.select(F.inline(pairs), t.alias("tvalue"))
     return (long.where(F.col("value").isNotNull() & F.col("tvalue").isNotNull())
             .groupBy("column_name", "value", "tvalue").agg(F.count(F.lit(1)).alias("n")))
@@ -39,15 +47,17 @@ def chi2_scores(df: DataFrame, features: list[str], target: str, correction: boo
     features = [c for c in features if c != target]
     cells = stage(crosstab_counts(df, features, target), "cells")
     rows = cells.groupBy("column_name", "value").agg(F.sum("n").alias("rn"), F.max("n").alias("rmax"))
-    cols = cells.groupBy("column_name", "tvalue").agg(F.sum("n").alias("cn"))
+    cols = stage(cells.groupBy("column_name", "tvalue").agg(F.sum("n").alias("cn")), "class-totals")
     tot = cells.groupBy("column_name").agg(F.sum("n").alias("tot_n"))
     shape = (rows.groupBy("column_name").agg(F.count(F.lit(1)).alias("r"),
                                              (F.sum("rmax") / F.sum("rn")).alias("purity"))
              .join(cols.groupBy("column_name").agg(F.count(F.lit(1)).alias("c")), "column_name")
              .join(tot, "column_name"))
     shape, tot = F.broadcast(shape), F.broadcast(tot)                 # one row per feature
-    obs = (cells.join(rows.drop("rmax"), ["column_name", "value"]).join(cols, ["column_name", "tvalue"])
-           .join(shape, "column_name")
+    own = F.sum("n").over(Window.partitionBy("column_name", "value"))
+    salted = cols.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    obs = (cells.withColumn("rn", own).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+           .join(salted, ["column_name", "tvalue", "salt"]).join(shape, "column_name")
            .withColumn("E", F.col("rn") * F.col("cn") / F.col("tot_n")))
     d = F.abs(F.col("n") - F.col("E"))
     per_col = obs.groupBy("column_name").agg(
@@ -59,7 +69,7 @@ def chi2_scores(df: DataFrame, features: list[str], target: str, correction: boo
     two = shape.where((F.col("r") == 2) & (F.col("c") == 2)).select("column_name")
     grid = (rows.drop("rmax").join(two, "column_name").join(cols.join(two, "column_name"), "column_name")
             .join(tot, "column_name")
-            .join(cells.select("column_name", "value", "tvalue"), ["column_name", "value", "tvalue"], "left_anti")
+            .join(cells.join(two, "column_name").select("column_name", "value", "tvalue"), ["column_name", "value", "tvalue"], "left_anti")
             .withColumn("E", F.col("rn") * F.col("cn") / F.col("tot_n")))
     zero_yates = grid.groupBy("column_name").agg(
         F.sum(F.pow(F.greatest(F.col("E") - 0.5, F.lit(0.0)), 2) / F.col("E")).alias("zero_yates"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col_of, is_numeric, is_temporal
+from ..functions.columns import col_of, is_numeric, is_temporal, unused
 from ..session import stage
 from ..stats import present
 from . import contingency
@@ -61,8 +61,8 @@ def leakage_report(df: DataFrame, target: str, features: list[str] | None = None
         tcol = target
         if numeric_target:
             edges = qcut_edges(df, target, 4)
-            base = df.withColumn("__tbin", qcut_bin(col_of(target).cast("double"), edges))
-            tcol = "__tbin"
+            tcol = unused(df.columns, "target_bin")
+            base = df.withColumn(tcol, qcut_bin(col_of(target).cast("double"), edges))
         j = contingency.chi2_scores(base, other, tcol, correction=False).select(
             "column_name", "cramers_v", "purity", "rows_per_value")
         high = (F.col("purity") >= purity_high) & (F.col("rows_per_value") >= min_rows_per_value)

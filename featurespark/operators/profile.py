@@ -5,9 +5,9 @@ Shape of every report: a long-form DataFrame with one row per column (or per
 column × value / bin / class), so reports of very wide tables stay
 distributed.  Wide per-column statistics are computed in one aggregate and
 unpivoted afterwards; value counts unpivot the columns into
-``(column_name, value)`` and run one partial-aggregated group-by; top-k per
-column is a two-level (salted) selection so no column's distinct values ever
-sit in a single task.
+``(column_name, value)`` and run one partial-aggregated group-by, long texts as head
+and digest (:mod:`.frequent`); top-k per column is a two-level (salted) selection so no
+column's distinct values ever sit in a single task.
 """
 
 from __future__ import annotations
@@ -18,13 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_text, btrim_ws, col_of, is_numeric, is_temporal
-from ..session import stage
+from ..functions.columns import as_text, btrim_ws, col_of, is_numeric, is_temporal, short_key
 from ..stats import StatsPlan, default_quantile_method, present
 from .quantiles import grouped_quantiles
-from . import contingency
-
-TOPK_SALT = 64
+from . import contingency, frequent
 
 
 # ---------------------------------------------------------------------------
@@ -46,24 +43,7 @@ def unpivot_values(df: DataFrame, columns: list[str], value: callable, extra: li
 
 
 def _text(df: DataFrame):
-    return lambda c: as_text(col_of(c), df.schema[c].dataType)
-
-
-def top_k(counts: DataFrame, group: str, order: list[Column], k: int, salt_col: str = "value",
-          rank_col: str = "rank") -> DataFrame:
-    """Top-k rows per ``group`` in ``order``: first within (group, salt) — spreading
-    one group's rows over as many salts as the session's shuffle parallelism
-    (at least TOPK_SALT) — then among the ≤ salts·k survivors."""
-    try:
-        parallel = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except (TypeError, ValueError):
-        parallel = TOPK_SALT
-    salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(max(TOPK_SALT, parallel)))
-    w1 = Window.partitionBy(group, "__salt").orderBy(*order)
-    cand = (counts.withColumn("__salt", salt).withColumn("__r1", F.row_number().over(w1))
-            .where(F.col("__r1") <= k).drop("__r1", "__salt"))
-    w2 = Window.partitionBy(group).orderBy(*order)
-    return cand.withColumn(rank_col, F.row_number().over(w2).cast("bigint")).where(F.col(rank_col) <= k)
+    return lambda c: as_text(present(df, c), df.schema[c].dataType)
 
 
 # ---------------------------------------------------------------------------
@@ -163,7 +143,7 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         elif isinstance(dtype, (T.FloatType, T.DoubleType)):
             kinds.setdefault("double", []).append((i, x.cast("double")))
         else:
-            kinds.setdefault("text", []).append((i, _key(txt(c))))
+            kinds.setdefault("text", []).append((i, short_key(txt(c))))
     seen = None
     for values in kinds.values():
         pairs = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in values])
@@ -173,10 +153,6 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return names.join(seen, "i", "left").select("column_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_unique"))
 
 
-def _key(text: Column) -> Column:
-    return F.when(F.char_length(text) > 32, F.md5(text)).otherwise(text)
-
-
 def cardinality(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
                 low_max: int = 10, high_share: float = 0.5) -> DataFrame:
     """(column_name, n_unique, low_cardinality, high_cardinality, id_like) on the
@@ -191,7 +167,7 @@ def cardinality(df: DataFrame, columns: list[str] | None = None, exact: bool = T
     return long.select("column_name", "n_unique",
                        (F.col("n_unique") <= low_max).alias("low_cardinality"),
                        (F.col("n_unique") > F.lit(n) * high_share).alias("high_cardinality"),
-                       (F.col("n_unique") == F.lit(n)).alias("id_like"))
+                       ((F.col("n_unique") == F.lit(n)) & (F.lit(n) > 0)).alias("id_like"))
 
 
 # ---------------------------------------------------------------------------
@@ -239,35 +215,29 @@ def univariate_numeric(df: DataFrame, columns: list[str] | None = None, null_pol
 # ---------------------------------------------------------------------------
 # P6 univariate categorical, P14 top-10
 # ---------------------------------------------------------------------------
-def value_counts(df: DataFrame, columns: list[str], clean: bool = False) -> DataFrame:
-    """(column_name, value, count) for non-NULL values; ``clean`` trims and drops ''."""
+def text_values(df: DataFrame, columns: list[str], clean: bool = False) -> DataFrame:
+    """(column_name, value), a row per input row and column; ``clean`` trims and drops ''."""
     txt = _text(df)
-    value = (lambda c: F.nullif(btrim_ws(txt(c)), F.lit(""))) if clean else txt
-    long = unpivot_values(df, columns, value)
-    return (long.where(F.col("value").isNotNull()).groupBy("column_name", "value")
-            .agg(F.count(F.lit(1)).alias("count")))
+    return unpivot_values(df, columns, (lambda c: F.nullif(btrim_ws(txt(c)), F.lit(""))) if clean else txt)
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5, clean: bool = False) -> DataFrame:
     """(column_name, rank, value, count): k most frequent values, ties by value."""
-    counts = value_counts(df, columns, clean)
-    return top_k(counts, "column_name", [F.col("count").desc(), F.col("value").asc()], k).select(
-        "column_name", "rank", "value", F.col("count").cast("bigint").alias("count"))
+    values = text_values(df, columns, clean)
+    return frequent.chosen(values, frequent.counted(values), k)
 
 
 def univariate_categorical(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
     """(column_name, unique_count, mode, top_values array<struct<value,count>>);
     all-NULL columns are skipped (reference rule)."""
-    cols = columns or categorical_columns(df)
-    counts = stage(value_counts(df, cols), "value-counts")
-    uniq = counts.groupBy("column_name").agg(F.count(F.lit(1)).cast("bigint").alias("unique_count"))
-    top = top_k(counts, "column_name", [F.col("count").desc(), F.col("value").asc()], k)
-    nested = top.groupBy("column_name").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "value", F.col("count").cast("bigint").alias("count"))))
-        .alias("__t"))
+    values = text_values(df, columns or categorical_columns(df))
+    counts = frequent.counted(values)
+    uniq = frequent.distinct_values(counts).withColumnRenamed("distinct_count", "unique_count")
+    nested = frequent.chosen(values, counts, k).groupBy("column_name").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("top"))
     return (uniq.join(nested, "column_name")
-            .select("column_name", "unique_count", F.col("__t")[0]["value"].alias("mode"),
-                    F.transform("__t", lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count")))
+            .select("column_name", "unique_count", F.col("top")[0]["value"].alias("mode"),
+                    F.transform("top", lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count")))
                     .alias("top_values")))
 
 
@@ -321,27 +291,26 @@ def chi2_ranking(df: DataFrame, target: str, columns: list[str] | None = None) -
 # P9 column metadata, P10 target suggestion, P11 feature types
 # ---------------------------------------------------------------------------
 def column_metadata(df: DataFrame, samples: int = 5, exact: bool = True) -> DataFrame:
-    """(column_name, dtype, distinct_count, sample_values): sample values are the
-    ``samples`` smallest distinct non-NULL texts (two-level top-k, never a full
-    collect_set)."""
+    """(column_name, dtype, distinct_count, sample_values, pos): sample values are the
+    ``samples`` smallest distinct non-missing texts. Values are counted by a head and a
+    digest; the texts of the samples alone are read whole."""
     cols = df.columns
-    long = stage(unpivot_values(df, cols, _text(df)).where(F.col("value").isNotNull()).distinct(), "values")
-    if exact:
-        seen = long.groupBy("column_name").agg(F.count(F.lit(1)).cast("bigint").alias("distinct_count"))
-        names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
-        card = names.join(seen, "column_name", "left").select("column_name", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"))
-    else:
-        card = cardinality(df, cols, exact=False).select("column_name", F.col("n_unique").alias("distinct_count"))
-    smallest = top_k(long, "column_name", [F.col("value").asc()], samples)
-    samp = smallest.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("__s"))
-    types = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), i) for i, f in
-                                             enumerate(df.schema.fields)], "column_name string, dtype string, pos int")
-    return (types.join(card, "column_name").join(samp, "column_name", "left")
-            .select("column_name", "dtype", "distinct_count",
-                    F.coalesce(F.transform("__s", lambda s: s["value"]), F.array().cast("array<string>"))
+    values = text_values(df, cols)
+    counts = frequent.counted(values)
+    card = frequent.distinct_values(counts) if exact else cardinality(df, cols, exact=False).select("column_name", F.col("n_unique").alias("distinct_count"))
+    samp = frequent.chosen(values, counts, samples, by_count=False).groupBy("column_name").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("smallest"))
+    return (_types(df).join(card, "column_name", "left").join(samp, "column_name", "left")
+            .select("column_name", "dtype", F.coalesce("distinct_count", F.lit(0)).cast("bigint").alias("distinct_count"),
+                    F.coalesce(F.transform("smallest", lambda s: s["value"]), F.array().cast("array<string>"))
                     .alias("sample_values"), "pos"))
 
 
+def _types(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema.fields)],
+                                           "column_name string, dtype string, pos int")
+
+
 # Our own column-name hints for a target.
 TARGET_HINTS = ["target", "label", "class", "y", "outcome", "churn", "default", "fraud", "status",
                 "quality", "toxic", "survived", "is_", "has_"]
@@ -349,9 +318,11 @@ TARGET_HINTS = ["target", "label", "class", "y", "outcome", "churn", "default",
 
 def suggest_target(df: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """P10 (ours, deterministic; the reference asks an LLM): score = name hint (3)
-    + low cardinality 2..20 (2) + last column (1); ids never win.  The ranking
-    window runs over the metadata table (one row per column)."""
-    md = metadata if metadata is not None else column_metadata(df)
+    + low cardinality 2..20 (2) + last column (1); ids never win.  ``metadata`` gives
+    (column_name, distinct_count, pos); sample values are not read. The ranking
+    window runs over one row per column."""
+    md = metadata if metadata is not None else _types(df).join(
+        distinct_counts(df, df.columns).withColumnRenamed("n_unique", "distinct_count"), "column_name")
     n_cols = len(df.columns)
     name = F.lower(F.col("column_name"))
     hint = None
@@ -526,11 +497,12 @@ def profile(df: DataFrame, target: str | None = None, quantiles: str | None = No
     the other sections are lazy DataFrames.  Without a ``target`` the suggested one (P10)
     is used when a name or a value count speaks for it (score of 3 or more)."""
     from .recommend import column_summary
-    if target is None and find_target:
-        best = suggest_target(df).where("rank = 1 and score >= 3").first()
-        target = best["column_name"] if best else None
     nums, cats = numeric_columns(df), categorical_columns(df)
     summ = column_summary(df, quantiles)                 # small: one row per column
+    if target is None and find_target:
+        known = _types(df).join(summ.select("column_name", F.col("n_unique").alias("distinct_count")), "column_name")
+        best = suggest_target(df, known).where("rank = 1 and score >= 3").first()
+        target = best["column_name"] if best else None
     rows = {r["column_name"]: r for r in summ.collect()}
     n = next(iter(rows.values()))["rows"] if rows else 0
     spark = df.sparkSession

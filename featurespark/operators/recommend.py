@@ -22,14 +22,15 @@ def recommendations(df: DataFrame, target: str | None = None, quantiles: str | N
     skewed and non-negative, IQR clip when outliers exist, else
     standardization; categorical → one-hot (≤ one_hot_max values),
     frequency (≤ freq_max) or hash encoding; dates → date parts; id-like or
-    constant columns → drop."""
+    constant columns → drop.  An empty table tells nothing about its values: only the
+    rules on types apply."""
     info = summary if summary is not None else column_summary(df, quantiles)
     if target:
         info = info.where(F.col("column_name") != target)
     c = F.col
     t = c("feature_type")
     rules = [
-        (c("id_like") | (c("n_unique") <= 1), "drop", "drop",
+        ((c("id_like") | (c("n_unique") <= 1)) & (c("rows") > 0), "drop", "drop",
          F.when(c("id_like"), "identifier: unique per row").otherwise("constant column")),
         ((c("missing_count") > 0) & (t == "numerical"), "missing",
          F.when(F.abs(F.coalesce(c("skewness"), F.lit(0.0))) > skew_log, "impute_median").otherwise("impute_mean"),
@@ -117,7 +118,7 @@ def column_summary(df: DataFrame, quantiles: str | None = None, text_min_avg_len
         sk, cnt = (st[("skew", c)], st[("count", c)]) if c in nums else (None, None)
         adj = sk * math.sqrt(cnt * (cnt - 1)) / (cnt - 2) if (sk is not None and cnt and cnt > 2) else None
         num = c in nums
-        rows.append((c, kind, int(m), round(100.0 * m / n, 2) if n else 0.0, int(nu), nu == n,
+        rows.append((c, kind, int(m), round(100.0 * m / n, 2) if n else 0.0, int(nu), n > 0 and nu == n,
                      float(st[("min", c)]) if num and st[("min", c)] is not None else None,
                      float(st[("max", c)]) if num and st[("max", c)] is not None else None, adj,
                      float(st[("qd", c, 0.25)]) if c in bounds else None,

@@ -96,6 +96,8 @@ class StatsPlan:
     def fit(self, df: DataFrame) -> Stats:
         approx = (self.quantile_method or default_quantile_method(df.sparkSession)) == "approx"
         stats = Stats()
+        if self.empty():                     # nothing asked for: no job
+            return stats
         wanted = {c: [("cont", p) for p in sorted(self._quant.get(c, ()))] + [("disc", p) for p in sorted(self._quant_disc.get(c, ()))]
                   for c in sorted(set(self._quant) | set(self._quant_disc))}
         exprs = [make(present(df, col)).alias(f"s{i}") for i, ((_, col), make) in enumerate(self._simple.items())]
@@ -130,7 +132,7 @@ def present(df: DataFrame, name: str) -> Column:
 
 
 def modes_of(df: DataFrame, cols: list[str]) -> dict:
-    """Most frequent non-NULL value of each column (smallest on ties) in one job:
+    """Most frequent non-missing value of each column (smallest on ties) in one job:
     columns of one type are unpivoted to (column, value), counted with partial
     aggregation, and reduced by a constant-state min_by per column."""
     out = {}
@@ -141,7 +143,7 @@ def modes_of(df: DataFrame, cols: list[str]) -> dict:
         if len(group) == 1:
             out[group[0]] = mode_of(df, group[0])
             continue
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), col_of(c).alias("v")) for c in group])))
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), present(df, c).alias("v")) for c in group])))
         counts = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
         rows = counts.groupBy("c").agg(
             F.min_by("v", F.struct((-F.col("n")).alias("nn"), F.col("v").alias("vv"))).alias("m")).collect()
@@ -152,10 +154,9 @@ def modes_of(df: DataFrame, cols: list[str]) -> dict:
 
 
 def mode_of(df: DataFrame, col: str):
-    """Most frequent non-NULL value, smallest value on ties (None if all NULL).
+    """Most frequent non-missing value, smallest value on ties (None if all NULL).
 
     Distributed: partial-aggregated group count, then a constant-state min_by."""
-    c = col_of(col)
-    counts = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(present(df, col).alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     row = counts.agg(F.min_by("v", F.struct((-F.col("n")).alias("nn"), F.col("v").alias("vv"))).alias("m")).collect()
     return row[0]["m"] if row else None
