@@ -5,6 +5,10 @@ Parquet has no UPDATE, so state changes are appended as events and the
 current state is derived: ``max_by(status, (ts, …))`` per key.  Latest-run
 lookups are ``max_by`` aggregates joined back on the run id, so they scale
 with runs × tables × columns and never sort the history.
+
+A run becomes visible with its commit row, written after all its rows: readers leave out
+what a cut run has written.  Phase events carry a generation; a snapshot folds the closed
+ones, and readers merge the newest snapshot with the events after it.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col_of, ntz_lit
-from .io import append_batch, conform, write_table
+from .io import append_batch, conform, exists, listed, write_table
 
 # FIXED VALUES: the five phase columns of a workspace.
 PHASES = ["EDA_status", "FE_status", "DAG_status", "Leakage_status", "report_status"]
@@ -153,12 +157,20 @@ def latest_run_rows(df: DataFrame, keys: list[str], run: str, ts: str) -> DataFr
     return df.join(latest, cond, "left_semi")
 
 
+RUN_FIELDS = [T.StructField("run_id", T.StringType()), T.StructField("created_at", T.TimestampNTZType())]
+PART_FIELDS = [T.StructField("section", T.StringType()), T.StructField("run_date", T.DateType())]
+COMMIT_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("attempt", T.StringType())])
+
+
+def _stored_schema(section: str | None) -> T.StructType:
+    """Columns of one section, or of all, as they lie in the history."""
+    own = {f.name: f for name in ([section] if section else SECTION_SCHEMAS) for f in SECTION_SCHEMAS[name].fields}
+    return T.StructType([*own.values(), *RUN_FIELDS, T.StructField("attempt", T.StringType()), *PART_FIELDS])
+
+
 def run_rows(section: str, rows: DataFrame, run_id: str, ts: _dt.datetime) -> DataFrame:
     """One run's rows in the section's schema; all share ``run_id`` and ``created_at``."""
-    schema = SECTION_SCHEMAS[section]
-    full = T.StructType(list(schema.fields) + [
-        T.StructField("run_id", T.StringType()), T.StructField("created_at", T.TimestampNTZType()),
-        T.StructField("section", T.StringType()), T.StructField("run_date", T.DateType())])
+    full = T.StructType([*SECTION_SCHEMAS[section].fields, *RUN_FIELDS, *PART_FIELDS])
     return conform(rows.withColumn("run_id", F.lit(run_id)).withColumn("created_at", ntz_lit(ts))
                    .withColumn("section", F.lit(section)).withColumn("run_date", F.lit(ts.date())), full)
 
@@ -166,16 +178,39 @@ def run_rows(section: str, rows: DataFrame, run_id: str, ts: _dt.datetime) -> Da
 def append_run(history_path: str, section: str, rows: DataFrame, run_id: str | None = None,
                ts: _dt.datetime | None = None) -> str:
     """Append one run's rows to the section's history, partitioned by section and date."""
-    run_id = run_id or uuid.uuid4().hex
+    return append_sections(history_path, {section: rows}, run_id, ts)
+
+
+def append_sections(history_path: str, sections: dict[str, DataFrame], run_id: str | None = None,
+                    ts: _dt.datetime | None = None) -> str:
+    """Append the rows of one run to several sections as one commit: readers see all of
+    them, once the commit row is written, or none. A run that was cut may be appended again
+    under its id; what the first attempt left stays invisible."""
+    run_id, attempt = run_id or uuid.uuid4().hex, uuid.uuid4().hex
     ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    write_table(run_rows(section, rows, run_id, ts), history_path, mode="append", partition_by=["section", "run_date"])
+    for section, rows in sections.items():
+        write_table(run_rows(section, rows, run_id, ts).withColumn("attempt", F.lit(attempt)), history_path, mode="append",
+                    partition_by=["section", "run_date"])
+    spark = next(iter(sections.values())).sparkSession
+    append_batch(spark.createDataFrame([(run_id, attempt)], COMMIT_SCHEMA).coalesce(1), _commits(history_path), COMMIT_SCHEMA)
     return run_id
 
 
+def _commits(history_path: str) -> str:
+    # a name with an underscore: readers of the history itself do not list it
+    return f"{history_path.rstrip('/')}/_commits"
+
+
 def read_history(spark: SparkSession, history_path: str, section: str | None = None) -> DataFrame:
-    # sections have columns of their own
-    df = spark.read.option("mergeSchema", "true").parquet(history_path)
-    return df.where(F.col("section") == section) if section else df   # partition pruning
+    """Rows of committed runs, of one section or of all, by the sections' own schemas (no file
+    is opened to find one). A history without a commit has no rows."""
+    schema = _stored_schema(section)
+    if not exists(spark, _commits(history_path)):
+        return spark.createDataFrame([], schema).drop("attempt")
+    df = spark.read.schema(schema).parquet(history_path)
+    df = df.where(F.col("section") == section) if section else df   # partition pruning
+    done = spark.read.schema(COMMIT_SCHEMA).parquet(_commits(history_path))
+    return df.join(done, ["run_id", "attempt"], "left_semi").select(*[f.name for f in schema.fields if f.name != "attempt"])
 
 
 def consolidated_report(spark: SparkSession, history_path: str, dataset: str, table: str) -> DataFrame:
@@ -224,16 +259,15 @@ def section_rows(dataset: str, table: str, report: dict[str, DataFrame]) -> Data
 def record_profile(history_path: str, dataset: str, table: str, df: DataFrame, report: dict[str, DataFrame],
                    ts: _dt.datetime | None = None) -> str:
     """R7 (EDA): one header row (analysis_id = dataset_table_utc, columns, counts) and one
-    row for each record of each section, under the same run id."""
+    row for each record of each section, under the same run id and in one commit."""
     ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     analysis_id = f"{dataset}_{table}_{ts.strftime('%Y%m%d%H%M%S')}"
     head = report["overview"].select(
         F.lit(analysis_id).alias("analysis_id"), F.lit(dataset).alias("dataset"), F.lit(table).alias("table_name"),
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"), F.col("rows").alias("rows_count"),
         F.col("columns").alias("columns_count"))
-    append_run(history_path, "eda", head, analysis_id, ts)
     rows = section_rows(dataset, table, {k: v for k, v in report.items() if k not in ("overview", "preview")})
-    return append_run(history_path, "eda_rows", rows, analysis_id, ts) if rows is not None else analysis_id
+    return append_sections(history_path, {"eda": head, **({"eda_rows": rows} if rows is not None else {})}, analysis_id, ts)
 
 
 def record_recommendations(history_path: str, dataset: str, table: str, rec: DataFrame,
@@ -283,18 +317,64 @@ def append_phase_event(spark: SparkSession, events_path: str, table: str, phase:
     ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     row = spark.createDataFrame([(table, phase, status, ts.isoformat(sep=" "))],
                                 "table_name string, phase string, status string, ts string")
-    append_batch(row.withColumn("ts", F.col("ts").cast("timestamp_ntz")), events_path, PHASE_EVENT_SCHEMA)
+    row = row.select("table_name", "phase", "status", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                     F.lit(_snapshot(spark, events_path) + 2).alias("gen"))
+    append_batch(row, events_path, T.StructType([*PHASE_EVENT_SCHEMA.fields, GENERATION]), partition_by=["gen"])
+
+
+GENERATION = T.StructField("gen", T.LongType())
+
+
+def _state_path(events_path: str, gen: int) -> str:
+    return f"{events_path.rstrip('/')}/_state/{gen}"
+
+
+def _snapshot(spark: SparkSession, events_path: str) -> int:
+    """The newest finished snapshot, which covers the generations up to its number; -1: none.
+    Events are appended two generations later, so the one that the next snapshot folds has
+    been closed since the last one, and a slow writer has that long to finish."""
+    names = [name for name in listed(spark, f"{events_path.rstrip('/')}/_state") if name.isdigit()]
+    return max((int(n) for n in names if exists(spark, f"{_state_path(events_path, int(n))}/_SUCCESS")), default=-1)
+
+
+def _newer(spark: SparkSession, events_path: str, gen: int) -> DataFrame:
+    """Newest status per table and phase, from the snapshot ``gen`` and the events after it."""
+    schema = T.StructType([*PHASE_EVENT_SCHEMA.fields, GENERATION])
+    events = spark.read.schema(schema).parquet(events_path).where(F.col("gen") > gen).drop("gen")     # partition pruning
+    return events if gen < 0 else events.unionByName(spark.read.schema(PHASE_EVENT_SCHEMA).parquet(_state_path(events_path, gen)))
+
+
+def snapshot_phase_events(spark: SparkSession, events_path: str) -> int:
+    """Fold the next closed generation of events into a new snapshot (one row for each table
+    and phase); reads afterwards cost the snapshot and the events after it. Returns its number."""
+    gen = _snapshot(spark, events_path)
+    schema = T.StructType([*PHASE_EVENT_SCHEMA.fields, GENERATION])
+    known = spark.read.schema(schema).parquet(events_path).where(F.col("gen") == gen + 1).drop("gen")
+    if gen >= 0:
+        known = known.unionByName(spark.read.schema(PHASE_EVENT_SCHEMA).parquet(_state_path(events_path, gen)))
+    newest = known.groupBy("table_name", "phase").agg(F.max(F.struct("ts", "status")).alias("last"))
+    newest.select("table_name", "phase", "last.status", "last.ts").write.parquet(_state_path(events_path, gen + 1))
+    return gen + 1
 
 
 def compact_phase_events(spark: SparkSession, events_path: str, target_path: str, files: int = 1) -> None:
     """Rewrite the event log, one small file per event, into ``files`` files at
     ``target_path``; point readers there and append new events to it."""
-    spark.read.schema(PHASE_EVENT_SCHEMA).parquet(events_path).coalesce(files).write.parquet(target_path)
+    rows = spark.read.schema(PHASE_EVENT_SCHEMA).parquet(events_path).withColumn("gen", F.lit(0).cast("long"))
+    rows.coalesce(files).write.partitionBy("gen").parquet(target_path)
 
 
 def workspace_state(spark: SparkSession, events_path: str, table: str | None = None) -> DataFrame:
-    """Current phase columns (+ last update) of every table, or of one table."""
-    ev = spark.read.schema(PHASE_EVENT_SCHEMA).parquet(events_path)
+    """Current phase columns (+ last update) of every table, or of one table; equal times go
+    by the status. Reads the newest snapshot and the events after it."""
+    ev = _newer(spark, events_path, _snapshot(spark, events_path))
     if table is not None:
         ev = ev.where(F.col("table_name") == table)          # pushed into the scan
-    return phase_state(ev, "table_name", "phase", "status", "ts", PHASES)
+    return phase_state(ev, "table_name", "phase", "status", "ts", PHASES, "status")
+
+
+def latest_analysis(spark: SparkSession, history_path: str, events_path: str, phase: str = "EDA_status") -> DataFrame:
+    """R5 over stored tables: the newest EDA header of each table whose ``phase`` is completed.
+    Reads one header row a run, not the records, and the folded state."""
+    heads = read_history(spark, history_path, "eda")
+    return latest_completed(heads, workspace_state(spark, events_path), "table_name", "created_at", phase, "run_id")

@@ -63,6 +63,23 @@ def write_table(df: DataFrame, target: str, mode: str = "overwrite", fmt: str =
         w.save(target)
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    files, where = _folder(spark, path)
+    return files.exists(where)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    files, where = _folder(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select exactly ``schema``'s columns, cast to its types (missing → NULL)."""
     cols = []

@@ -107,3 +107,65 @@ def test_phase_events_roundtrip(spark):
     import pytest
     with pytest.raises(ValueError):
         H.append_phase_event(spark, path, "t1", "nope", "x")
+
+
+def test_a_cut_run_stays_invisible(spark, customers):
+    """Only the first of a run's two writes happened: no reader sees it, and a second attempt counts once."""
+    import pytest
+    from featurespark.operators import profile as P
+    path = tempfile.mkdtemp(prefix="fs-cut-") + "/history"
+    assert H.read_history(spark, path, "eda").collect() == []
+    rep = {"overview": P.overview(customers), "missing_values": P.missing_report(customers)}
+    H.record_profile(path, "ds", "customers", customers, rep, dt.datetime(2024, 5, 1))
+    before = sorted(map(repr, H.consolidated_report(spark, path, "ds", "customers").collect()))
+    broken = dict(rep, missing_values=rep["missing_values"].select("column_name", F.raise_error(F.lit("lost")).alias("missing_count")))
+    with pytest.raises(Exception):
+        H.record_profile(path, "ds", "customers", customers.drop("age"), broken, dt.datetime(2024, 5, 2))
+    assert spark.read.parquet(path).where("section = 'eda'").count() == 2          # the header was written
+    assert H.read_history(spark, path, "eda").count() == 1
+    assert sorted(map(repr, H.consolidated_report(spark, path, "ds", "customers").collect())) == before
+    assert H.latest_columns(spark, path, "ds", "customers").count() == len(customers.columns)
+    H.record_profile(path, "ds", "customers", customers.drop("age"), rep, dt.datetime(2024, 5, 2))
+    assert H.read_history(spark, path, "eda").count() == 2
+    assert H.latest_columns(spark, path, "ds", "customers").count() == len(customers.columns) - 1
+
+
+def test_snapshots_of_phase_events(spark):
+    """State by snapshots equals the fold of all events, whenever events came; only new generations are read."""
+    path = tempfile.mkdtemp(prefix="fs-snap-") + "/events"
+    log = []
+
+    def event(table, phase, status, minute):
+        ts = dt.datetime(2024, 1, 1, 0, minute)
+        log.append((table, phase, status, ts))
+        H.append_phase_event(spark, path, table, phase, status, ts)
+
+    def same():
+        whole = spark.createDataFrame(log, H.PHASE_EVENT_SCHEMA)
+        want = H.phase_state(whole, "table_name", "phase", "status", "ts", H.PHASES, "status").collect()
+        got = H.workspace_state(spark, path)
+        assert sorted(map(repr, got.select(*whole_columns(want)).collect())) == sorted(map(repr, want))
+
+    def whole_columns(rows):
+        return rows[0].__fields__
+
+    event("t1", "EDA_status", "running", 1)
+    event("t2", "FE_status", "running", 2)
+    same()
+    assert [H.snapshot_phase_events(spark, path) for _ in range(2)] == [0, 1]
+    event("t1", "EDA_status", "completed", 5)
+    event("t1", "FE_status", "running", 3)
+    same()
+    assert H.snapshot_phase_events(spark, path) == 2
+    event("t2", "FE_status", "late", 1)                       # older than what the snapshot holds
+    event("t2", "FE_status", "running", 2)                    # a tie
+    same()
+    assert H.snapshot_phase_events(spark, path) == 3
+    same()
+    read = H._newer(spark, path, H._snapshot(spark, path))
+    assert read.count() < len(log) and "(gen#" in (plan := read._jdf.queryExecution().executedPlan().toString()) and " > 3)" in plan
+    history = path + "-history"
+    eda = spark.createDataFrame([("a", "ds", t) for t in ("t1", "t2")], "analysis_id string, dataset string, table_name string")
+    H.append_run(history, "eda", eda, "r1", dt.datetime(2024, 1, 1))
+    H.append_run(history, "eda", eda, "r2", dt.datetime(2024, 1, 2))
+    assert [(r["table_name"], r["run_id"]) for r in H.latest_analysis(spark, history, path).collect()] == [("t1", "r2")]
