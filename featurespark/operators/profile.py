@@ -447,12 +447,14 @@ def density(df: DataFrame, columns: list[str] | None = None, bins: int = 30, gri
 # P16 mean of numeric target per category, P17 box statistics per class
 # ---------------------------------------------------------------------------
 def category_target_mean(df: DataFrame, target: str, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, value, mean_target, count, std_target) per category value."""
+    """(column_name, value, mean_target, count, std_target) per category value; rows without a
+    target (NULL or NaN) left out.  The result names every value of the columns, so give
+    it categories, not free text (:func:`profile` does)."""
     cols = [c for c in (columns or categorical_columns(df)) if c != target]
-    long = unpivot_values(df, cols, _text(df), [col_of(target).cast("double").alias("__y")])
-    return (long.where(F.col("__y").isNotNull()).groupBy("column_name", "value")
-            .agg(F.avg("__y").alias("mean_target"), F.count(F.lit(1)).cast("bigint").alias("count"),
-                 F.stddev_samp("__y").alias("std_target")))
+    long = unpivot_values(df, cols, _text(df), [present(df, target).cast("double").alias("y")])
+    return (long.where(F.col("y").isNotNull()).groupBy("column_name", "value")
+            .agg(F.avg("y").alias("mean_target"), F.count(F.lit(1)).cast("bigint").alias("count"),
+                 F.stddev_samp("y").alias("std_target")))
 
 
 def box_stats(df: DataFrame, class_col: str, columns: list[str] | None = None, quantiles: str | None = None,
@@ -538,7 +540,8 @@ def profile(df: DataFrame, target: str | None = None, quantiles: str | None = No
         if target in nums:
             out["correlations"] = target_correlation(df, target, nums)
             out["sorted_correlations"] = sorted_correlations(df, target, nums)
-            out["category_target_mean"] = category_target_mean(df, target, cats) if cats else None
+            named = [c for c in cats if rows[c]["feature_type"] == "categorical"]     # not free text
+            out["category_target_mean"] = category_target_mean(df, target, named) if named else None
         else:
             out["chi2"] = chi2_ranking(df, target, cats) if cats else None
             out["box_stats"] = box_stats(df, target, nums, quantiles) if nums else None

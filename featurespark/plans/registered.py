@@ -881,6 +881,48 @@ def q_prepare_rows(spark, sf):
     return p.select("o_orderkey", R("o_totalprice").alias("o_totalprice"), "o_orderpriority", "o_orderstatus")
 
 
+@register("nan_prepare_rows", f"""
+WITH {_NAN_SQL.replace("AS v FROM", "AS v, event_id, event_type FROM")}, s AS (SELECT quantile_cont(v, 0.5) AS m FROM n)
+SELECT event_id, round(coalesce(v, m), 6) AS v FROM n, s""")
+def q_nan_prepare_rows(spark, sf):
+    out = B.prepare_rows(_events_nan(spark, sf).select("event_id", "event_type", "v"), "event_type")
+    return out.select("event_id", R("v").alias("v"))
+
+
+@register("nan_target_rows", f"""
+WITH {_NAN_SQL.replace("AS v FROM", "AS v, event_id FROM")}
+SELECT event_id, round(v, 6) AS v FROM n WHERE v IS NOT NULL""")
+def q_nan_target_rows(spark, sf):
+    out = B.prepare_rows(_events_nan(spark, sf).select("event_id", "v"), "v")
+    return out.select("event_id", R("v").alias("v"))
+
+
+@register("nan_impute_mode", """
+WITH n AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 20 THEN NULL ELSE l_quantity END AS q FROM lineitem),
+m AS (SELECT q AS mode FROM n WHERE q IS NOT NULL GROUP BY q ORDER BY count(*) DESC, q LIMIT 1)
+SELECT l_orderkey, l_linenumber, coalesce(q, mode) AS q_imputed FROM n, m""")
+def q_nan_impute_mode(spark, sf):
+    """NaN is the most frequent value, and missing."""
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 20, F.col("l_quantity")).otherwise(float("nan")).alias("q"))
+    out = apply_transforms(li, [{"column_name": "q", "fe_method": "impute_mode"}]).df
+    return out.select("l_orderkey", "l_linenumber", "q_imputed")
+
+
+@register("nan_smoter_gate", f"""
+WITH {_NAN_SQL}
+SELECT count(DISTINCT v) >= 10 AND abs(skewness(v)) >= 0.5 AS apply, count(DISTINCT v) AS distinct, round(skewness(v), 6) AS skewness FROM n""")
+def q_nan_smoter_gate(spark, sf):
+    return _round_cols(B.smoter_gate_frame(_events_nan(spark, sf), "v"), ["skewness"])
+
+
+@register("long_value_counts", """
+WITH v AS (SELECT text AS value, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1)
+SELECT rank, value, "count" FROM (SELECT row_number() OVER (ORDER BY n DESC, value) AS rank, value, n AS "count" FROM v) WHERE rank <= 10""")
+def q_long_value_counts(spark, sf):
+    """P14 over whole documents, most of which occur once: ties by text."""
+    return P.top_values(read_table(spark, sf, "documents"), ["text"], 10).select("rank", "value", "count")
+
+
 @register("oversample_counts", """
 WITH c AS (SELECT CAST(quality AS VARCHAR) AS class, count(*) AS n FROM labels GROUP BY 1)
 SELECT class, (SELECT max(n) FROM c) AS "count" FROM c""")
