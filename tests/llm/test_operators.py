@@ -60,6 +60,35 @@ def test_digest_index_persists(spark):
     assert "SortMergeJoin" in text and "Exchange hashpartitioning" not in text
 
 
+def test_digest_index_is_read_in_order_after_compaction(spark):
+    """Three batches: the last meets all digests of the others; a bucket of one file needs no sort."""
+    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", 2)
+    make = lambda ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    exact_dedup.dedup_against_index(make(range(200)), index)
+    exact_dedup.dedup_against_index(make(range(100, 400)), index)
+    assert index.rows().count() == 400
+
+    def index_sorts():
+        with index.in_order():
+            found = spark.createDataFrame([(bytearray(b"x"),)], "digest binary")
+            text = index.new(found)._jdf.queryExecution().executedPlan().toString()
+        return text.count("Sort [") - 1                   # but the new digests' own
+    assert index_sorts() == 1
+    index.compact()
+    assert index.rows().count() == 400 and index_sorts() == 0 and exact_dedup.DigestIndex(spark, index.table).buckets == 2
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+    got = exact_dedup.dedup_against_index(spark.createDataFrame([(1000 + i, f"text  {i}") for i in range(500)], "doc_id long, text string"), index)
+    assert got.where("kept").count() == 100 and index.rows().count() == 500
+    index.drop()
+
+
+def test_the_query_leaves_no_table(spark):
+    from featurespark.llm import queries
+    before = {t.name for t in spark.catalog.listTables()}
+    out = queries.op2_exact_dedup(spark, "/root/testdata/sf0.001")
+    assert {t.name for t in spark.catalog.listTables()} == before and out.count() == 200
+
+
 def test_line_dedup(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
     out = line_dedup.dedup_lines(odd)
