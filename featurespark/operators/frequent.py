@@ -54,10 +54,10 @@ def _order(by_count: bool) -> list[Column]:
     return ([F.col("count").desc()] if by_count else []) + [F.col("head").asc(), F.col("digest").isNotNull().asc()]
 
 
-def _candidates(counts: DataFrame, k: int, by_count: bool) -> tuple[DataFrame, DataFrame]:
-    """(certain, tied): values before the k-th place of their column, and those that share it
-    up to their heads, with ``need``, how many of them are wanted."""
-    top = stage(top_k(counts, "column_name", _order(by_count), k, ["head", "digest"]), "top-values")
+def _candidates(counts: DataFrame, k: int, by_count: bool) -> DataFrame:
+    """Values before the k-th place of their column, and (``tied``) those that share it up to
+    their heads."""
+    top = top_k(counts, "column_name", _order(by_count), k, ["head", "digest"])
     edge = [F.col("count")] * by_count + [F.col("head"), F.col("digest").isNotNull().alias("long")]
     last = top.groupBy("column_name").agg(F.max_by(F.struct(*edge), "rank").alias("edge"))
     near = counts.join(F.broadcast(last), "column_name").withColumn("here", F.struct(*edge))         # a row per column
@@ -66,22 +66,16 @@ def _candidates(counts: DataFrame, k: int, by_count: bool) -> tuple[DataFrame, D
             (F.col("head") < F.col("edge.head")) | ((F.col("head") == F.col("edge.head")) & F.col("digest").isNull() & F.col("edge.long"))))
     else:
         before = F.col("here") < F.col("edge")
-    certain = stage(near.where(before).select(*KEYS, "count"), "top-values")
-    held = certain.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    need = last.join(held, "column_name", "left").select("column_name", (F.lit(k) - F.coalesce("n", F.lit(0))).alias("need"))
-    tied = near.where(F.col("here") == F.col("edge")).select(*KEYS, "count").join(F.broadcast(need), "column_name")
-    return certain, stage(tied, "tied-values")
+    tied = F.col("here") == F.col("edge")
+    return stage(near.where(before | tied).select(*KEYS, "count", tied.alias("tied")), "top-values")
 
 
-def _narrowed(values: DataFrame, tied: DataFrame) -> DataFrame:
-    """``tied`` cut to the wanted ones and what shares their place, by longer and longer
-    heads, until every column has at most TIED."""
+def _narrowed(values: DataFrame, tied: DataFrame, names: list[str]) -> DataFrame:
+    """``tied`` (with ``need``, how many of them are wanted) cut to the wanted ones and what
+    shares their place, by longer and longer heads, until each of the columns ``names`` has at
+    most TIED."""
     size = HEAD * 8
-    while True:
-        crowded = tied.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TIED)
-        names = [r["column_name"] for r in crowded.collect()]            # one row per column
-        if not names:
-            return tied
+    while names:
         mine = F.col("column_name").isin(names)
         shared = tied.where(mine).select("column_name", "head").distinct()       # one row per column
         heads = keyed(values.where(mine)).where(F.col("digest").isNotNull()).join(F.broadcast(shared), ["column_name", "head"]).select("column_name", "digest", F.substring("value", 1, size).alias("longer"),
@@ -97,15 +91,25 @@ def _narrowed(values: DataFrame, tied: DataFrame) -> DataFrame:
         cut = placed.join(F.broadcast(kept), ["column_name", "longer", "rest"]).select(*tied.columns)       # at most TIED rows per column
         tied = stage(tied.where(~mine).unionByName(cut), "tied-values")
         size *= 8
+        crowded = tied.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TIED)
+        names = [r["column_name"] for r in crowded.collect()]            # one row per column
+    return tied
 
 
 def chosen(values: DataFrame, counts: DataFrame, k: int, by_count: bool = True) -> DataFrame:
     """(column_name, rank, value, count): the ``k`` most frequent values of each column (ties by
     value), or the ``k`` smallest. ``counts`` is :func:`counted` of ``values``."""
-    certain, tied = _candidates(counts, k, by_count)
-    picked = stage(certain.unionByName(_narrowed(values, tied).drop("need")), "chosen-values")
+    picked = _candidates(counts, k, by_count)
+    told = picked.groupBy("column_name").agg(F.count_if("tied").alias("tied"), F.count_if(~F.col("tied")).alias("certain"),
+                                             F.count("digest").alias("long")).collect()            # one row per column
+    crowded = {r["column_name"]: k - r["certain"] for r in told if r["tied"] > TIED}
+    if crowded:
+        need = values.sparkSession.createDataFrame(list(crowded.items()), "column_name string, need long")
+        much = F.col("tied") & F.col("column_name").isin(list(crowded))
+        tied = stage(picked.where(much).select(*KEYS, "count").join(F.broadcast(need), "column_name"), "tied-values")
+        picked = stage(picked.where(~much).select(*KEYS, "count").unionByName(_narrowed(values, tied, list(crowded)).drop("need")), "chosen-values")
     texts = F.lit(None).cast("string")
-    if not picked.where(F.col("digest").isNotNull()).isEmpty():
+    if any(r["long"] for r in told):
         wanted = picked.where(F.col("digest").isNotNull()).select("column_name", "digest")          # at most k + TIED rows per column
         read = keyed(values).where(F.col("digest").isNotNull()).join(F.broadcast(wanted), ["column_name", "digest"])
         whole = read.groupBy("column_name", "digest").agg(F.first("value").alias("text"))
