@@ -1,14 +1,14 @@
 """Similarity join of documents on the Jaccard similarity of their word shingles.
 
 Shingles are ordered rare first (by octave of their document frequency, then hash),
-so two sets that reach the threshold share a gram in their short prefixes. Pairs are
-made on prefix grams, cut by length, position and suffix, and verified once.
-
-A large group of near copies would make pairs with the square of its size, so pairs
-come in two rounds. Round one pairs every set with the first set of each of its
-prefix grams, a number that grows with the prefixes only. Round two pairs, gram by
-gram, the sets that are not yet in one component; it finds every link that round one
-cannot see. Skipping pairs inside a component loses no component.
+so two sets that reach the threshold share a gram in their short prefixes. Equal sets
+become one class with a weight, so copies make no pairs. Classes pair on the grams of
+their prefixes, cut by length and position; each distinct pair then passes the suffix
+filter and is verified once, for the number of links and for the components.
+
+Pairs are verified in tiles. A class lies in a cell with others that share a frequent
+gram of its prefix, a pair in the tile of its two cells; a tile holds the sets of two
+cells, whose size is bounded, however large a group of near copies is.
 """
 
 from __future__ import annotations
@@ -24,11 +24,16 @@ from featurespark.llm.words import U64, Words, mix
 
 SHINGLE, PERCENT = 4, 85
 BATCH_BYTES = 2_000_000
-#: sets of one gram that meet in one task in round two
+#: classes of one gram that meet in one task
 BLOCK = 1000
 #: preceding prefix grams that tell whether a pair was made at an earlier gram
 BEFORE = 8
-HUB = np.dtype([("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
+#: bytes of a cell's sets and its least bytes for a set; tiles of a task
+CELL_BYTES, SET_BYTES, TILES = 1_000_000, 4096, 16
+#: pivots of the suffix filter
+PIVOTS = 16
+#: parts of a hot key in joins of narrow rows
+SALTS = 16
 
 
 class Sets:
@@ -64,8 +69,8 @@ class Sets:
     def _rows(self) -> np.ndarray:
         """First row of the batch with the same set; empty sets stay alone."""
         sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.grams ^ U64(s)), dtype=U64)]) for s in (0, 0x5BD1E995)]
-        print_ = [s[self.edges[1:]] - s[self.edges[:-1]] for s in sums]
-        _, first, group = np.unique(np.stack([*print_, self.sizes.astype(U64)], 1), axis=0, return_index=True, return_inverse=True)
+        self.prints = [s[self.edges[1:]] - s[self.edges[:-1]] for s in sums]
+        _, first, group = np.unique(np.stack([*self.prints, self.sizes.astype(U64)], 1), axis=0, return_index=True, return_inverse=True)
         return np.where(self.sizes > 0, first[group.reshape(-1)], np.arange(self.n))
 
     def twins(self) -> np.ndarray:
@@ -97,74 +102,88 @@ def _least_overlap(a, b, percent):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def _hub(group, groups, source, values):
-    """Reply: the node of the smallest id that has the gram in its prefix, with its size and place."""
-    hub = np.empty(len(group), HUB)
-    least, hub["node"], hub["size"], hub["pos"] = values
-    order = np.lexsort((hub["node"], least, group))
-    return hub[order][np.unique(group[order], return_index=True)[1]][group]
-
-
-def _spread(group, groups, source, values):
-    """Reply: in how many nodes' prefixes the gram is if they lie in several components, else 0."""
-    low, high, count = values
-    least, most = np.full(groups, NULL_ID, np.int64), np.full(groups, -1, np.int64)
-    np.minimum.at(least, group, low)
-    np.maximum.at(most, group, high)
-    return np.where(least < most, np.bincount(group, count, groups).astype(np.int32), 0).astype(np.int32)[group]
-
-
-def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
-    """Upper bound of the overlap of two sorted sets: split both at the middle of one,
-    and no side overlaps by more than the smaller of its parts."""
-    if not depth or not len(a) or not len(b):
-        return min(len(a), len(b))
-    middle = a[len(a) // 2]
-    i, j = len(a) // 2, int(np.searchsorted(b, middle))
-    same = int(j < len(b) and b[j] == middle)
-    return suffix_bound(a[:i], b[:j], depth - 1) + same + suffix_bound(a[i + 1:], b[j + same:], depth - 1)
-
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, after the length and suffix filters."""
-    if percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
-        return False
-    need = _least_overlap(len(a), len(b), percent)
-    if suffix_bound(a, b) < need:
-        return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) >= need
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, batches: int, percent: int) -> DataFrame:
-    """Links (a, b) among ``pairs`` (a, b): a forest for each batch of pairs. A batch gets
-    each set that its pairs name once, however often they name it."""
-    spread = pairs.withColumn("batch", F.pmod(F.xxhash64("a"), F.lit(batches)).cast("int"))
+def _sharers(group, groups, source, values):
+    """Reply: in how many classes' prefixes the gram is."""
+    return np.bincount(group, values[0], groups).astype(np.int32)[group]
+
+
+def _profiles(grams: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many grams of each set lie between fixed pivots (by the grams' hash)."""
+    of = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    part = ((grams & U64(0x3FFFFFFFFFFFFFF)) >> U64(54)).astype(np.int64)
+    return np.bincount(of * PIVOTS + part, minlength=(len(start) - 1) * PIVOTS).reshape(-1, PIVOTS)
+
+
+def links_among(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (a, b) of ``sets`` (sorted) link: 100 * intersection >= percent *
+    union, after the length and suffix filters. The suffix filter cuts all sets at the same
+    pivots: no part overlaps by more than the smaller side. Pairs are in order of a."""
+    sizes = np.array([len(g) for g in sets], np.int64)
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    grams = np.concatenate(sets) if sets else np.zeros(0, U64)
+    parts = _profiles(grams, start)
+    words, number = np.unique(grams, return_inverse=True)
+    out = np.zeros(len(a), bool)
+    seen = np.zeros(len(words), bool)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        one, others = a[i], b[i:j]
+        need = _least_overlap(sizes[one], sizes[others], percent)
+        good = percent * np.maximum(sizes[others], sizes[one]) <= 100 * np.minimum(sizes[others], sizes[one])
+        good &= np.minimum(parts[others], parts[one]).sum(1) >= need
+        own = number[start[one]:start[one + 1]]
+        seen[own] = True
+        for k in np.flatnonzero(good):
+            o = others[k]
+            out[i + k] = np.count_nonzero(seen[number[start[o]:start[o + 1]]]) >= need[k]
+        seen[own] = False
+    return out
+
+
+def _trees(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same of ``n`` nodes as (a, b), at most 17 at a node: the
+    members of a component, in order, are a tree of 16 children each."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    order = np.argsort(label, kind="stable")
+    _, first = np.unique(label[order], return_index=True)
+    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    below = np.flatnonzero(place)
+    return order[below], order[below - place[below] + (place[below] - 1) // 16]
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, other, links): for each batch of tiles of ``pairs`` (tile, a, b) the number of
+    links of its nodes (other is null), by the weight of their partners, and edges
+    (node, other) of the same components. A batch gets each set that its pairs name once,
+    and verifies each distinct pair once."""
+    tiles = pairs.agg(F.approx_count_distinct("tile")).first()[0]
+    spread = pairs.withColumn("batch", F.pmod(F.xxhash64("tile"), F.lit(-(-tiles // TILES) or 1)).cast("int")).select("batch", "a", "b")
     named = spread.select("batch", F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = named.join(sets, "node").select("batch", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    rows = rows.union(spread.select("batch", "a", "b", F.lit(None).cast("binary").alias("grams")))
+    held = named.join(sets, "node").select(F.col("batch").alias("of"), "node", "weight", "grams")
 
-    def check(table: pa.Table) -> pa.Table:
-        held = table.filter(table["b"].is_null())
-        held = {n: np.frombuffer(g.as_py(), U64) for n, g in zip(held["a"].to_pylist(), held["grams"])}
-        root: dict[int, int] = {}
+    def check(asked: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.sort_by("node")
+        nodes, weight = held["node"].to_numpy(), held["weight"].to_numpy()
+        both = np.unique(np.stack([np.searchsorted(nodes, asked["a"].to_numpy()), np.searchsorted(nodes, asked["b"].to_numpy())], 1), axis=0)
+        good = links_among([np.frombuffer(g.as_py(), U64) for g in held["grams"]], both[:, 0], both[:, 1], percent)
+        a, b = both[good].T
+        links = np.bincount(a, weight[b], len(nodes)).astype(np.int64) + np.bincount(b, weight[a], len(nodes)).astype(np.int64)
+        some = np.flatnonzero(links)
+        x_, y = _trees(len(nodes), a, b)
+        return pa.table({"node": pa.array(np.concatenate([nodes[some], nodes[x_]])),
+                         "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(nodes[y], pa.int64())]),
+                         "links": pa.concat_arrays([pa.array(links[some], pa.int64()), pa.nulls(len(x_), pa.int64())])})
 
-        def find(n):
-            while (up := root.get(n, n)) != n:
-                root[n] = root.get(up, up)
-                n = up
-            return n
-
-        asked = table.filter(table["b"].is_valid())
-        found = []
-        for a, b in sorted(zip(asked["a"].to_pylist(), asked["b"].to_pylist())):
-            if (p := find(a)) != (q := find(b)) and linked(held[a], held[b], percent):
-                root[max(p, q)] = min(p, q)
-                found.append((a, b))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    return rows.groupBy("batch").applyInArrow(check, "a long, b long")
+    return spread.groupBy("batch").cogroup(held.groupBy("of")).applyInArrow(check, "node long, other long, links long")
 
 
 def _prefix_rows(table: pa.Table, percent: int):
@@ -181,15 +200,16 @@ def _prefix_rows(table: pa.Table, percent: int):
 
 def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, n_links), one row for each row of ``docs``.
 
     The set of a document is its distinct ``size``-word shingles (A-Z lowered); with
     fewer words the whole sequence is one; null, empty and blank texts have none and
     link with nothing. Documents link at a Jaccard similarity of ``percent`` % or more;
-    component_id is the smallest id reachable by links. Rows that repeat an id are in one
-    component, which has the links of all of them. Rows without an id are linked by
-    their texts only; a null id is larger than any other, and is null in the result. An
-    empty table gives no rows; other columns are not read.
+    component_id is the smallest id reachable by links, n_links the number of other rows
+    whose set links with the row's. Rows that repeat an id are in one component, which has
+    the links of all of them. Rows without an id are linked by their texts only; a null id
+    is larger than any other, and is null in the result. An empty table gives no rows;
+    other columns are not read.
     """
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
@@ -219,96 +239,120 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         base = np.int64(key[0].as_py()) << 32
         return pa.table({"batch": pa.array([key[0].as_py()] * sets.n, pa.int32()), "doc_id": table["id"], "node": base + sets.row,
                          "twin": base + sets.twins(), "least": sets.least_ids(), "stands": sets.row == np.arange(sets.n),
-                         "n_shingles": sets.sizes, "grams": pa.array(blobs, pa.binary())})
+                         "n_shingles": sets.sizes, "copies": np.bincount(sets.row, minlength=sets.n),
+                         "print1": sets.prints[0].view(np.int64), "print2": sets.prints[1].view(np.int64), "grams": pa.array(blobs, pa.binary())})
 
     ordered = stage(texts.groupBy("batch").cogroup(octaves.groupBy("batch")).applyInArrow(
-        order, "batch int, doc_id long, node long, twin long, least long, stands boolean, n_shingles long, grams binary"), "sets")
-    sets = ordered.where("grams is not null").select("batch", "node", "least", "grams")
-
-    def heads(batch, table):
-        keys, row, place, sizes = _prefix_rows(table, percent)
-        nodes, least = table["node"].to_numpy()[row], table["least"].fill_null(NULL_ID).to_numpy()[row]
-        order = np.lexsort((nodes, least, keys))
-        distinct, first = np.unique(keys[order], return_index=True)
-        pick = order[first]
-        return full.send(batch, distinct, [least[pick], nodes[pick], sizes[row[pick]].astype(np.int32), place[pick].astype(np.int32)])
-
-    hubs = x.ask(sets, heads, _hub, [np.int64, np.int64, np.int32, np.int32])
-
-    def to_hubs(_key, table, answer):
+        order, "batch int, doc_id long, node long, twin long, least long, stands boolean, n_shingles long, copies long, "
+               "print1 long, print2 long, grams binary"), "sets")
+    classes, moved = _classes(ordered)
+    weight = classes.select(F.col("class").alias("c"), F.col("weight").alias("w"))
+    sets = ordered.where("grams is not null").select("batch", "node", "copies", "grams")
+
+    def own(table, others):
+        """The rows of a batch that stand for their class."""
+        return table.filter(pa.array(~np.isin(table["node"].to_numpy(), others["node"].to_numpy())))
+
+    def share(batch, table, others):
+        distinct, count = np.unique(_prefix_rows(own(table, others), percent)[0], return_counts=True)
+        return full.send(batch, distinct, [count.astype(np.int32)])
+
+    sharers = x.ask(sets.select("batch", "node", "grams"), share, _sharers, [np.int32], moved)
+    told = sharers.select("batch", "bucket", "reply", F.lit(None).cast("long").alias("node")).unionByName(
+        moved.select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("reply"), "node"))
+
+    def open_grams(_key, table, answer):
+        is_moved = answer["node"].is_valid()
+        table = own(table, answer.filter(is_moved))
         keys, row, place, sizes = _prefix_rows(table, percent)
         distinct, group = np.unique(keys, return_inverse=True)
-        hub, node, size_ = x.replies(answer, distinct, full, HUB)[group], table["node"].to_numpy()[row], sizes[row]
-        most = np.minimum(size_ - place, hub["size"] - hub["pos"])
-        good = (hub["node"] != node) & (most >= _least_overlap(size_, hub["size"], percent)) & (
-            percent * np.maximum(size_, hub["size"]) <= 100 * np.minimum(size_, hub["size"]))
-        pairs = np.unique(np.stack([hub["node"][good], node[good]], 1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    # many sets share a hub, so pairs are dealt by the other one
-    first = stage(sets.groupBy("batch").cogroup(hubs.groupBy("batch")).applyInArrow(to_hubs, "a long, b long").select(
-        F.col("b").alias("a"), F.col("a").alias("b")), "hub-pairs")
-    known = sets.select("node", "grams")
-    same_id = ordered.where("node <> twin").select(F.col("node").alias("a"), F.col("twin").alias("b")).distinct()
-    links = stage(_verify(first, known, batches, percent).union(same_id), "links")
-    labels = components(links)
-    labelled = labels.select(F.shiftright("node", 32).cast("int").alias("batch"), "node", "label")
-
-    def labels_of(table, label):
-        at = dict(zip(label["node"].to_pylist(), label["label"].to_pylist()))
-        nodes = table["node"].to_pylist()
-        return np.array([at.get(n, n) for n in nodes], np.int64)
-
-    def spread(batch, table, label):
-        keys, row, place, sizes = _prefix_rows(table, percent)
-        comp = labels_of(table, label)[row]
-        distinct, group, count = np.unique(keys, return_inverse=True, return_counts=True)
-        low, high = np.full(len(distinct), NULL_ID, np.int64), np.full(len(distinct), -1, np.int64)
-        np.minimum.at(low, group, comp)
-        np.maximum.at(high, group, comp)
-        return full.send(batch, distinct, [low, high, count.astype(np.int32)])
-
-    open_ = x.ask(sets, spread, _spread, [np.int64, np.int64, np.int32], labelled)
-    told = open_.select("batch", "bucket", "reply", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("label")).unionByName(
-        labelled.select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("reply"), "node", "label"))
-
-    def left(_key, table, answer):
-        keys, row, place, sizes = _prefix_rows(table, percent)
-        distinct, group = np.unique(keys, return_inverse=True)
-        is_label = answer["node"].is_valid()
         count = x.replies(answer.filter(answer["bucket"].is_valid()), distinct, full, np.int32)[group]
-        comp, on = labels_of(table, answer.filter(is_label))[row], count > 0
-        keys, row, place, comp = keys[on], row[on], place[on], comp[on]
+        on = count > 1
+        keys, row, place, count, nodes = keys[on], row[on], place[on], count[on], table["node"].to_numpy()
         start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])[row]
         before = [keys[max(start[i], i - BEFORE):i].view(np.int64).tolist() for i in range(len(row))]
-        return pa.table({"gram": keys.view(np.int64), "node": table["node"].to_numpy()[row], "comp": comp, "size": sizes[row], "pos": place,
-                         "before": pa.array(before, pa.list_(pa.int64())), "blocks": (count[on] + BLOCK - 1) // BLOCK})
+        cell = _cells(keys, row, count, nodes, sizes)
+        return pa.table({"gram": keys.view(np.int64), "node": nodes[row], "size": sizes[row], "pos": place, "cell": cell[row],
+                         "before": pa.array(before, pa.list_(pa.int64())), "blocks": (count + BLOCK - 1) // BLOCK})
 
-    rows = stage(sets.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
-        left, "gram long, node long, comp long, size long, pos long, before array<long>, blocks int"), "open-grams")
-    pairs = stage(_open_pairs(rows, percent), "open-pairs")
-    if not pairs.isEmpty():
-        more = _verify(pairs, known, batches, percent)
-        labels = components(stage(links.union(more), "links"))
-    ids = ordered.where("stands").select("node", "least").join(labels, "node").groupBy("label").agg(F.min("least").alias("smallest"))
-    found = labels.join(ids, "label").select(F.col("node").alias("n"), "smallest")
-    out = ordered.select("doc_id", "n_shingles", "node", "least").join(found, F.col("node") == F.col("n"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"))
+    rows = stage(sets.select("batch", "node", "grams").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
+        open_grams, "gram long, node long, size long, pos long, cell long, before array<long>, blocks int"), "open-grams")
+    pairs = stage(_open_pairs(rows, percent), "pairs")
+    known = sets.join(weight, F.col("node") == F.col("c"), "left").select("node", F.coalesce("w", "copies").alias("weight"), "grams")
+    found = stage(_verify(pairs, known, percent), "links")
+
+    def moved_class(df, name):
+        to = moved.select(F.col("node").alias("n"), F.col("class").alias("to"))
+        return df.join(to, F.col(name) == F.col("n"), "left").withColumn(name, F.coalesce("to", name)).drop("n", "to")
+
+    same_id = ordered.where("node <> twin").select(F.col("node").alias("a"), F.col("twin").alias("b")).distinct()
+    same_id = moved_class(moved_class(same_id, "a"), "b").where("a <> b")
+    labels = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).union(same_id))
+    links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
+
+    nodes = ordered.where("stands").select("node", "least", "copies", "n_shingles", F.col("node").alias("class"))
+    nodes = moved_class(nodes, "class")
+    at_class = labels.withColumnRenamed("node", "l").join(links.withColumnRenamed("node", "k"), F.col("l") == F.col("k"), "left")
+    at_class = at_class.join(weight, F.col("l") == F.col("c"), "full").select(
+        F.coalesce("l", "c").alias("c"), F.coalesce("label", "c").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), "w")
+    nodes = stage(_salted_join(nodes, at_class, "class", "c"), "classes")
+    least = nodes.where("label is not null").groupBy("label").agg(F.min("least").alias("smallest")).withColumnRenamed("label", "of")
+    nodes = _salted_join(nodes, least, "label", "of").select(
+        F.col("node").alias("n"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.coalesce("links", F.lit(0)) + F.coalesce("w", "copies") - 1).otherwise(0).cast("long").alias("n_links"))
+    return ordered.join(nodes, F.col("node") == F.col("n")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Left join with a hot key of ``left`` in ``SALTS`` parts; ``right`` has a row per key."""
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = (F.col(left_key) == F.col(right_key)) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("part"))
+    return left.join(right, met, "left").drop("part", right_key)
+
+
+def _classes(ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal sets of several batches: (class, weight), the least node and the number of
+    rows, and (batch, node, class) of the nodes that another one stands for. A batch sends
+    one row of each set, whatever its number of copies."""
+    narrow = ordered.where("stands and grams is not null").select("batch", "node", "print1", "print2", "n_shingles", "copies")
+    group = narrow.groupBy("print1", "print2", "n_shingles").agg(
+        F.min("node").alias("class"), F.sum("copies").alias("weight"), F.count("*").alias("nodes")).where("nodes > 1").drop("nodes")
+    group = stage(group, "set-classes")
+    parts = group.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("weight")
+    narrow = narrow.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    moved = narrow.join(parts, ["print1", "print2", "n_shingles", "part"]).where("node <> class").select("batch", "node", "class")
+    return group.select("class", "weight"), stage(moved, "moved-sets")
+
+
+def _cells(keys: np.ndarray, row: np.ndarray, count: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Cell of each row: classes that share the gram of the largest octave of classes, then
+    of the least hash, in parts of about ``CELL_BYTES`` of sets."""
+    cell = np.zeros(len(nodes), np.int64)
+    order = np.lexsort((mix(keys), -np.floor(np.log2(count)), row))
+    of, first = np.unique(row[order], return_index=True)
+    pick = order[first]
+    parts = -(-count[pick] * np.maximum(sizes[of] * 8, SET_BYTES) // CELL_BYTES)
+    # parts of neighbouring sizes coincide: the next power of two
+    parts = U64(1) << np.ceil(np.log2(parts)).astype(U64)
+    cell[of] = mix(mix(keys[pick] ^ mix(parts)) + mix(nodes[of].view(U64)) % parts).view(np.int64)
+    return cell
 
 
 def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of one gram from different components that pass the length and
-    positional filters. The position bounds the overlap at a pair's first common gram, so a
-    linked pair passes there; where an earlier common gram is at hand the pair has been
-    made before. A gram of many sets is split into blocks that meet two by two."""
+    """Pairs (tile, a, b), a > b, of one gram that pass the length and positional filters. The
+    position bounds the overlap at a pair's first common gram, so a linked pair passes
+    there; where an earlier common gram is at hand the pair has been made before, the few
+    that are made again meet in their tile. A gram of many classes is split into blocks
+    that meet two by two."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     left = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = rows.select(*[F.col(c).alias("r_" + c) for c in ("gram", "node", "comp", "size", "pos", "before")], own.alias("r_block"),
+    right = rows.select(*[F.col(c).alias("r_" + c) for c in ("gram", "node", "size", "pos", "cell", "before")], own.alias("r_block"),
                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r_other"))
     a, b = F.col("size"), F.col("r_size")
     need = F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
     met = ((F.col("gram") == F.col("r_gram")) & (F.col("block") == F.col("r_other")) & (F.col("other") == F.col("r_block"))
-           & (F.col("node") > F.col("r_node")) & (F.col("comp") != F.col("r_comp"))
+           & (F.col("node") > F.col("r_node"))
            & (percent * F.greatest(a, b) <= 100 * F.least(a, b))
            & (F.least(a - F.col("pos"), b - F.col("r_pos")) >= need) & ~F.arrays_overlap("before", "r_before"))
-    return left.join(right, met).select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
+    tile = F.xxhash64(F.least("cell", "r_cell"), F.greatest("cell", "r_cell"))
+    return left.join(right, met).select(tile.alias("tile"), F.col("node").alias("a"), F.col("r_node").alias("b"))

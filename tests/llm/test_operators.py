@@ -3,6 +3,7 @@ import hashlib
 import re
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,15 +154,16 @@ def test_substring_dedup(odd, none, size):
 def brute_components(data, size, percent):
     ids = [LAST if d[0] is None else d[0] for d in data]
     sets = [shingles(d[1], size, True) for d in data]
+    links = [[b for b, t in enumerate(sets) if b != a and s and t and 100 * len(s & t) >= percent * len(s | t)] for a, s in enumerate(sets)]
     label = {i: i for i in ids}
     changed = True
     while changed:
         changed = False
         for a in range(len(data)):
-            for b in range(len(data)):
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and label[ids[a]] < label[ids[b]]:
+            for b in links[a]:
+                if label[ids[a]] < label[ids[b]]:
                     label[ids[b]], changed = label[ids[a]], True
-    return sorted(((d[0], len(s), None if label[i] == LAST else label[i]) for d, s, i in zip(data, sets, ids)), key=repr)
+    return sorted(((d[0], len(s), None if label[i] == LAST else label[i], len(n)) for d, s, i, n in zip(data, sets, ids, links)), key=repr)
 
 
 @pytest.mark.parametrize("size,percent", [(4, 85), (2, 50), (5, 80)])
@@ -534,4 +536,48 @@ def test_jaccard_rows_that_share_an_id_keep_their_links(spark):
     got = [tuple(r) for r in jaccard_join.link_components(spark.createDataFrame(data, "doc_id long, text string"), 2, 80).collect()]
     apart = [(LAST + n if i is None else i, t) for n, (i, t) in enumerate(data)]
     known = lambda i: i if i is not None and i < LAST else None
-    assert sorted(got, key=repr) == sorted(((known(i), n, known(c)) for i, n, c in brute_components(apart, 2, 80)), key=repr)
+    assert sorted(got, key=repr) == sorted(((known(i), n, known(c), k) for i, n, c, k in brute_components(apart, 2, 80)), key=repr)
+
+
+def test_jaccard_counts_all_links_of_a_large_group(spark, monkeypatch):
+    """Near copies of one text, many of them equal: no link is lost to tiles, blocks or batches,
+    and every distinct pair is verified once."""
+    import random
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", 40_000)
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(80)]
+    variants = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(80)] = f"r{rng.randrange(30)}"
+        variants.append(" ".join(w))
+    data = [(i, variants[rng.randrange(150)]) for i in range(300)] + [(1000 + i, f"alone {i} " + " ".join(base[:20])) for i in range(30)]
+    got = [tuple(r) for r in jaccard_join.link_components(spark.createDataFrame(data, "doc_id long, text string"), 2, 85).collect()]
+    assert sorted(got, key=repr) == brute_components(data, 2, 85)
+
+
+def test_links_among_and_trees():
+    """The suffix filter loses no link; trees connect the same nodes with few edges each."""
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool[:120], rng.integers(1, 110), replace=False)) for _ in range(60)]
+    a, b = np.array([(i, j) for i in range(60) for j in range(i)]).T
+    for percent in (30, 60, 90):
+        good = [100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b)]
+        assert jaccard_join.links_among(sets, a, b, percent).tolist() == good
+    n = 500
+    a, b = rng.integers(0, n, (2, 350))
+    x, y = jaccard_join._trees(n, a, b)
+
+    def parts(a, b):
+        label = list(range(n))
+        for _ in range(n):
+            before = list(label)
+            for i, j in zip(a, b):
+                label[i] = label[j] = min(label[i], label[j])
+            if label == before:
+                return label
+
+    assert parts(x, y) == parts(a, b) and np.bincount(np.concatenate([x, y])).max() <= 17

@@ -99,7 +99,7 @@ def test_pipeline_stage_by_stage(spark):
             assert sorted(kept) == sorted(plain_lines(before))
             assert all(r["n_chars"] == len(r["text"]) for r in frame.collect() if dict(before)[r["doc_id"]] != r["text"])
         elif name == "near_duplicates":
-            assert sorted(i for i, _ in kept) == sorted(i for i, _, c in brute_components(before, 5, 80) if i == c)
+            assert sorted(i for i, _ in kept) == sorted(i for i, _, c, _ in brute_components(before, 5, 80) if i == c)
         elif name == "decontamination":
             items = [shingles(r["text"], 5, False) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             clean = [i for i, t in before if not any(s and 100 * len(s & shingles(t, 5, False)) >= 80 * len(s) for s in items)]
