@@ -2,13 +2,13 @@
 
 Shingles are ordered rare first (by octave of their document frequency, then hash),
 so two sets that reach the threshold share a gram in their short prefixes. Equal sets
-become one class with a weight, so copies make no pairs. Classes pair on the grams of
-their prefixes, cut by length and position; each distinct pair then passes the suffix
-filter and is verified once, for the number of links and for the components.
-
-Pairs are verified in tiles. A class lies in a cell with others that share a frequent
-gram of its prefix, a pair in the tile of its two cells; a tile holds the sets of two
-cells, whose size is bounded, however large a group of near copies is.
+become one class with a weight, so copies make no pairs. A class lies in a cell of
+bounded size with others that share a frequent gram of its prefix. Spark joins the
+classes of a prefix gram, grouped by cell and size, cut by length and position; what
+meets goes to the tile of its two cells. A tile makes the pairs of its classes from the
+grams' entries, and each distinct pair passes the suffix filter and is verified once, for
+the number of links and for the components. A large group of near copies is many tiles;
+its pairs are never rows.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ from featurespark.llm.words import U64, Words, mix
 
 SHINGLE, PERCENT = 4, 85
 BATCH_BYTES = 2_000_000
-#: classes of one gram that meet in one task
+#: entries of one gram that meet in one task
 BLOCK = 1000
 #: preceding prefix grams that tell whether a pair was made at an earlier gram
 BEFORE = 8
 #: bytes of a cell's sets and its least bytes for a set; tiles of a task
-CELL_BYTES, SET_BYTES, TILES = 1_000_000, 4096, 16
+CELL_BYTES, SET_BYTES, TILES = 2_000_000, 4096, 16
 #: pivots of the suffix filter
 PIVOTS = 16
 #: parts of a hot key in joins of narrow rows
@@ -160,22 +160,61 @@ def _trees(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[below], order[below - place[below] + (place[below] - 1) // 16]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, other, links): for each batch of tiles of ``pairs`` (tile, a, b) the number of
-    links of its nodes (other is null), by the weight of their partners, and edges
-    (node, other) of the same components. A batch gets each set that its pairs name once,
+def _entries(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, nodes, sizes and places of a column of lists of entries."""
+    column = column.combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    start = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).astype(np.int64)
+    return start, *(flat.field(f).to_numpy() for f in ("node", "size", "pos"))
+
+
+def _tile_pairs(met: pa.Table, nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (a, b), as places in ``nodes``, that meet in a gram and pass the length and
+    positional filters there, in order of a."""
+    tiles = met["tile"].to_numpy()
+    start, node, size, pos = _entries(met["entries"])
+    r_start, r_node, r_size, r_pos = _entries(met["r_entries"])
+    node, r_node = np.searchsorted(nodes, node), np.searchsorted(nodes, r_node)
+    order = np.argsort(tiles, kind="stable")
+    found = [np.zeros((2, 0), np.int64)]
+    for rows in np.split(order, np.flatnonzero(np.diff(tiles[order])) + 1):
+        members = np.unique(np.concatenate([n[s[i]:s[i + 1]] for i in rows for n, s in ((node, start), (r_node, r_start))] or [node]))
+        together = np.zeros((len(members), len(members)), bool)
+        for i in rows:
+            one, two = slice(start[i], start[i + 1]), slice(r_start[i], r_start[i + 1])
+            n, m = size[one][:, None], r_size[two][None]
+            good = (percent * np.maximum(n, m) <= 100 * np.minimum(n, m)) & (
+                np.minimum(n - pos[one][:, None], m - r_pos[two][None]) >= _least_overlap(n, m, percent))
+            together[np.ix_(np.searchsorted(members, node[one]), np.searchsorted(members, r_node[two]))] |= good
+        a, b = np.nonzero(np.tril(together | together.T, -1))
+        found.append(np.stack([members[a], members[b]]))
+    a, b = np.concatenate(found, 1)
+    order = np.lexsort((b, a))
+    return a[order], b[order]
+
+
+def _verify(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, other, links): for each batch of tiles of ``met`` (tile, entries, r_entries) the
+    number of links of its nodes (other is null), by the weight of their partners, and edges
+    (node, other) of the same components. A batch gets each set that its entries name once,
     and verifies each distinct pair once."""
-    tiles = pairs.agg(F.approx_count_distinct("tile")).first()[0]
-    spread = pairs.withColumn("batch", F.pmod(F.xxhash64("tile"), F.lit(-(-tiles // TILES) or 1)).cast("int")).select("batch", "a", "b")
-    named = spread.select("batch", F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = named.join(sets, "node").select(F.col("batch").alias("of"), "node", "weight", "grams")
+    tiles = met.agg(F.approx_count_distinct("tile")).first()[0]
+    met = met.withColumn("batch", F.pmod(F.xxhash64("tile"), F.lit(-(-tiles // TILES) or 1)).cast("int"))
+
+    def names(key, table):
+        nodes = np.unique(np.concatenate([_entries(table[c])[1] for c in ("entries", "r_entries")]))
+        return pa.table({"of": pa.array([key[0].as_py()] * len(nodes), pa.int32()), "named": nodes})
+
+    named = met.groupBy("batch").applyInArrow(names, "of int, named long")
+    held = named.join(sets, F.col("named") == F.col("node")).select("of", "node", "weight", "grams")
 
     def check(asked: pa.Table, held: pa.Table) -> pa.Table:
         held = held.sort_by("node")
         nodes, weight = held["node"].to_numpy(), held["weight"].to_numpy()
-        both = np.unique(np.stack([np.searchsorted(nodes, asked["a"].to_numpy()), np.searchsorted(nodes, asked["b"].to_numpy())], 1), axis=0)
-        good = links_among([np.frombuffer(g.as_py(), U64) for g in held["grams"]], both[:, 0], both[:, 1], percent)
-        a, b = both[good].T
+        a, b = _tile_pairs(asked, nodes, percent)
+        good = links_among([np.frombuffer(g.as_py(), U64) for g in held["grams"]], a, b, percent)
+        a, b = a[good], b[good]
         links = np.bincount(a, weight[b], len(nodes)).astype(np.int64) + np.bincount(b, weight[a], len(nodes)).astype(np.int64)
         some = np.flatnonzero(links)
         x_, y = _trees(len(nodes), a, b)
@@ -183,7 +222,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                          "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(nodes[y], pa.int64())]),
                          "links": pa.concat_arrays([pa.array(links[some], pa.int64()), pa.nulls(len(x_), pa.int64())])})
 
-    return spread.groupBy("batch").cogroup(held.groupBy("of")).applyInArrow(check, "node long, other long, links long")
+    return met.groupBy("batch").cogroup(held.groupBy("of")).applyInArrow(check, "node long, other long, links long")
 
 
 def _prefix_rows(table: pa.Table, percent: int):
@@ -277,9 +316,9 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     rows = stage(sets.select("batch", "node", "grams").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
         open_grams, "gram long, node long, size long, pos long, cell long, before array<long>, blocks int"), "open-grams")
-    pairs = stage(_open_pairs(rows, percent), "pairs")
+    met = stage(_meetings(rows, percent), "tiles")
     known = sets.join(weight, F.col("node") == F.col("c"), "left").select("node", F.coalesce("w", "copies").alias("weight"), "grams")
-    found = stage(_verify(pairs, known, percent), "links")
+    found = stage(_verify(met, known, percent), "links")
 
     def moved_class(df, name):
         to = moved.select(F.col("node").alias("n"), F.col("class").alias("to"))
@@ -338,21 +377,29 @@ def _cells(keys: np.ndarray, row: np.ndarray, count: np.ndarray, nodes: np.ndarr
     return cell
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (tile, a, b), a > b, of one gram that pass the length and positional filters. The
-    position bounds the overlap at a pair's first common gram, so a linked pair passes
-    there; where an earlier common gram is at hand the pair has been made before, the few
-    that are made again meet in their tile. A gram of many classes is split into blocks
-    that meet two by two."""
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    left = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = rows.select(*[F.col(c).alias("r_" + c) for c in ("gram", "node", "size", "pos", "cell", "before")], own.alias("r_block"),
-                        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r_other"))
-    a, b = F.col("size"), F.col("r_size")
-    need = F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
+def _meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """(tile, entries, r_entries): of each gram the entries (node, size, pos) of two cells, or
+    twice of one, that may hold a pair within the length and positional filters.
+
+    The position bounds the overlap at a pair's first common gram, so a linked pair
+    passes there. Where both sides are one entry and an earlier common gram is at hand,
+    the pair has met before. A gram of many entries is split into blocks of cells that meet
+    two by two."""
+    octave = F.floor(4 * F.log2("size")).cast("int")
+    groups = rows.groupBy("gram", "cell", octave.alias("octave")).agg(
+        F.collect_list(F.struct("node", "size", "pos")).alias("entries"), F.min("size").alias("least"), F.max("size").alias("most"),
+        F.max(F.col("size") - F.col("pos")).alias("tail"), F.max("blocks").alias("blocks"),
+        F.when(F.count("*") == 1, F.first("before")).otherwise(F.array().cast("array<long>")).alias("before"))
+    own = F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int")
+    left = groups.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = groups.select(*[F.col(c).alias("r_" + c) for c in ("gram", "cell", "octave", "entries", "least", "most", "tail", "before")],
+                          own.alias("r_block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r_other"))
+    need = F.floor((percent * (F.col("least") + F.col("r_least")) + 99 + percent) / (100 + percent))
+    same = (F.col("cell") == F.col("r_cell")) & (F.col("octave") == F.col("r_octave"))
+    later = (F.col("cell") > F.col("r_cell")) | ((F.col("cell") == F.col("r_cell")) & (F.col("octave") > F.col("r_octave")))
     met = ((F.col("gram") == F.col("r_gram")) & (F.col("block") == F.col("r_other")) & (F.col("other") == F.col("r_block"))
-           & (F.col("node") > F.col("r_node"))
-           & (percent * F.greatest(a, b) <= 100 * F.least(a, b))
-           & (F.least(a - F.col("pos"), b - F.col("r_pos")) >= need) & ~F.arrays_overlap("before", "r_before"))
+           & (later | (same & (F.size("entries") > 1)))
+           & (percent * F.greatest("least", "r_least") <= 100 * F.least("most", "r_most"))
+           & (F.least("tail", "r_tail") >= need) & (same | ~F.arrays_overlap("before", "r_before")))
     tile = F.xxhash64(F.least("cell", "r_cell"), F.greatest("cell", "r_cell"))
-    return left.join(right, met).select(tile.alias("tile"), F.col("node").alias("a"), F.col("r_node").alias("b"))
+    return left.join(right, met).select(tile.alias("tile"), "entries", "r_entries")
