@@ -1,11 +1,12 @@
-"""k nearest neighbours inside groups, by cells around pivots.
-
-Distinct vectors are dealt to the cell of their nearest pivot (a bounded sample of the group's
-own vectors); a large cell is split into pieces, so no task holds more than a piece. A vector
-meets the pieces of the cells nearest to it. How many cells that takes is measured: the number
-doubles until a sample held against brute force has the wanted recall. The exact search follows
-the first cells with every cell that the triangle inequality cannot rule out, so nothing can be
-missed. Copies of a vector are one vector with a bounded list of ids.
+"""k nearest neighbours inside groups, by cells of bounded size.
+
+The approximate search deals distinct vectors to the cell of their nearest pivot (a bounded
+sample of the group's own vectors). A vector meets the cells nearest to it. How many cells that
+takes is measured: the number doubles until a sample held against brute force has the wanted
+recall. The exact search deals them to the cells of a k-d tree, whose number grows with the
+group. A vector meets its own cell, and then every cell whose box is as near as the k-th
+neighbour found there, so nothing can be missed. A large cell is split into pieces, so no task
+holds more than a piece. Copies of a vector are one vector with a bounded list of ids.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from ..session import reach, stage
 
 #: pivots of a group: the square root of its size, at most so many (they go to every task)
 MAX_PIVOTS = 8192
+#: distinct vectors of a cell of the k-d tree, those of them in the tree's sample, and all in the
+#: sample of a group (it goes to the driver, the tree to every task); cells grow only beyond it
+CELL_ROWS, CELL_SAMPLE, MAX_SAMPLE = 1000, 8, 400_000
 #: distinct vectors that one task holds of a cell
 PIECE_ROWS = 20_000
 #: cells that the first round meets
@@ -72,7 +76,7 @@ def distinct_vectors(points: DataFrame, most: int) -> DataFrame:
 
 
 class _Cells:
-    """Pivots, radius and pieces of each group's cells: a few thousand rows, known to all tasks."""
+    """Pivots and pieces of each group's cells: a few thousand rows, known to all tasks."""
 
     def __init__(self, vectors: DataFrame):
         sizes = {r["grp"]: r["n"] for r in vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -81,48 +85,100 @@ class _Cells:
             most = min(MAX_PIVOTS, math.ceil(n ** 0.5))
             rows = vectors.where(F.col("grp") == F.lit(grp)).orderBy(F.xxhash64("rep"), "rep").limit(most).select("z").collect()
             self.pivots[grp] = np.array([r["z"] for r in rows])
-        self.radius = {grp: np.zeros(len(p)) for grp, p in self.pivots.items()}
+        self.count = {grp: len(p) for grp, p in self.pivots.items()}
         self.held = {grp: np.zeros(len(p), np.int64) for grp, p in self.pivots.items()}
         self.most = max((len(p) for p in self.pivots.values()), default=0)
 
     def gaps(self, grp: str, z: np.ndarray) -> np.ndarray:
         return np.sqrt(squares(z, self.pivots[grp]))
 
-    def reach(self, grp: str, gap: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Mask of the cells that may hold a vector within ``limit`` of each row."""
-        p, own = self.pivots[grp], gap.argmin(1)
-        between = np.sqrt(squares(p[own], p))
-        # a cell's vectors are nearer to its pivot than to the own one: they lie beyond the
-        # plane halfway between the two, and within the radius of their pivot
-        plane = (gap ** 2 - gap[np.arange(len(gap)), own][:, None] ** 2) / np.where(between > 0, 2 * between, np.inf)
-        least = np.maximum(plane, gap - self.radius[grp][None])
-        return least <= limit[:, None] * (1 + 1e-9) + 1e-9
 
-
-def _chunks(batches, cells: _Cells):
-    """(group, rows of it) of Arrow batches, as many rows at a time as their gaps allow."""
+class _Tree:
+    """The k-d tree of a group: cut from a sample of its vectors, every node with the box of all
+    vectors below it, and every cell with the number of its pieces."""
+
+    def __init__(self, sample: np.ndarray):
+        self.feature, self.cut, self.child, self.cell = [], [], [], []
+        self.cells = 0
+        self._grow(sample[np.isfinite(sample).all(1)])
+        self.feature, self.cut, self.child, self.cell = map(np.array, (self.feature, self.cut, self.child, self.cell))
+
+    def _grow(self, z: np.ndarray) -> int:
+        """Halves ``z`` at the median of its widest feature; the node's number, below its children's."""
+        node = len(self.feature)
+        self.feature.append(-1), self.cut.append(0.0), self.child.append((node, node)), self.cell.append(-1)
+        wide = np.ptp(z, 0) if len(z) > CELL_SAMPLE else np.zeros(1)
+        if wide.max() > 0:
+            at = int(wide.argmax())
+            values = np.sort(z[:, at])
+            cut = values[(len(values) - 1) // 2]
+            cut = cut if cut < values[-1] else values[values < cut][-1]
+            self.feature[node], self.cut[node] = at, cut
+            self.child[node] = self._grow(z[z[:, at] <= cut]), self._grow(z[z[:, at] > cut])
+        else:
+            self.cell[node] = self.cells
+            self.cells += 1
+        return node
+
+    def fill(self, low: np.ndarray, high: np.ndarray, held: np.ndarray) -> None:
+        """Takes the boxes and row counts of the cells; a cell without rows has ``low`` = inf."""
+        self.pieces = np.ceil(held / PIECE_ROWS).astype(np.int64)
+        self.low, self.high = low[self.cell], high[self.cell]
+        for node in np.flatnonzero(self.feature >= 0)[::-1]:
+            one, two = self.child[node]
+            self.low[node], self.high[node] = np.minimum(self.low[one], self.low[two]), np.maximum(self.high[one], self.high[two])
+
+    def cell_of(self, z: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(z), np.int64)
+        while (inner := np.flatnonzero(self.feature[node] >= 0)).size:
+            at = node[inner]
+            node[inner] = self.child[at, (z[inner, self.feature[at]] > self.cut[at]).astype(np.int64)]
+        return self.cell[node]
+
+    def near(self, z: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells whose box is within the squared distance ``limit`` of each row."""
+        row, node, out = np.arange(len(z)), np.zeros(len(z), np.int64), []
+        while len(row):
+            apart = np.zeros(len(row))
+            for f in range(z.shape[1]):         # rounded like the distances of vectors, so never above them
+                d = np.maximum(np.maximum(self.low[node, f] - z[row, f], z[row, f] - self.high[node, f]), 0)
+                apart += d * d
+            close = apart <= limit[row]
+            row, node = row[close], node[close]
+            ends = self.feature[node] < 0
+            out.append((row[ends], self.cell[node[ends]]))
+            row, node = np.repeat(row[~ends], 2), self.child[node[~ends]].ravel()
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _chunks(batches, cells: dict):
+    """(group, rows of it) of Arrow batches, as many rows at a time as the group's number of
+    ``cells`` allows."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
         grp = np.array(table.column("grp").to_pylist(), object)
         for g in set(grp):
-            mine, most = np.flatnonzero(grp == g), max(1, AT_ONCE // len(cells.pivots[g]))
+            mine, most = np.flatnonzero(grp == g), max(1, AT_ONCE // cells[g])
             for i in range(0, len(mine), most):
                 yield g, table.take(pa.array(mine[i:i + most]))
 
 
 def _dealt(vectors: DataFrame, cells: _Cells) -> DataFrame:
-    """(grp, cell, piece, rep, z); fills in the radius and pieces of the cells."""
+    """(grp, cell, piece, rep, z); fills in the rows of the cells."""
 
     def assign(batches):
-        for g, rows in _chunks(batches, cells):
+        for g, rows in _chunks(batches, cells.count):
             gap = cells.gaps(g, matrix(rows.column("z")))
-            yield from rows.append_column("cell", pa.array(gap.argmin(1).astype(np.int32))).append_column("gap", pa.array(gap.min(1))).to_batches()
+            yield from rows.append_column("cell", pa.array(gap.argmin(1).astype(np.int32))).to_batches()
+
+    at = stage(vectors.select("grp", "rep", "z").mapInArrow(assign, "grp string, rep long, z array<double>, cell int"), "neighbour-cells")
+    for r in at.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        cells.held[r["grp"]][r["cell"]] = r["n"]
+    return _cut(at, _pieces(vectors.sparkSession, cells))
 
-    at = stage(vectors.select("grp", "rep", "z").mapInArrow(assign, "grp string, rep long, z array<double>, cell int, gap double"), "neighbour-cells")
-    for r in at.groupBy("grp", "cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
-        cells.radius[r["grp"]][r["cell"]], cells.held[r["grp"]][r["cell"]] = r["radius"], r["n"]
-    pieces = F.broadcast(_pieces(vectors.sparkSession, cells))
-    return at.join(pieces, ["grp", "cell"]).select("grp", "cell", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int").alias("piece"), "rep", "z")
+
+def _cut(at: DataFrame, pieces: DataFrame) -> DataFrame:
+    return at.join(F.broadcast(pieces), ["grp", "cell"]).select("grp", "cell", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int").alias("piece"), "rep", "z")
 
 
 def _pieces(spark, cells: _Cells) -> DataFrame:
@@ -130,18 +186,16 @@ def _pieces(spark, cells: _Cells) -> DataFrame:
     return spark.createDataFrame(rows, "grp string, cell int, pieces int")
 
 
-def _asking(vectors: DataFrame, cells: _Cells, first: int, last: int, bounded: bool) -> DataFrame:
+def _asking(vectors: DataFrame, cells: _Cells, first: int, last: int) -> DataFrame:
     """(grp, cell, piece, rep, z): each vector at the pieces it meets, the cells of rank ``first``
-    to ``last`` by distance, or (``bounded``) those beyond ``first`` that ``limit`` reaches."""
+    to ``last`` by distance."""
 
     def probe(batches):
-        for g, rows in _chunks(batches, cells):
+        for g, rows in _chunks(batches, cells.count):
             gap = cells.gaps(g, matrix(rows.column("z")))
             rank = np.empty(gap.shape, np.int64)
             np.put_along_axis(rank, np.argsort(gap, 1, kind="stable"), np.arange(gap.shape[1])[None], 1)
-            wanted = rank >= first
-            wanted &= cells.reach(g, gap, rows.column("limit").to_numpy()) if bounded else rank < last
-            row, cell = np.nonzero(wanted)
+            row, cell = np.nonzero((rank >= first) & (rank < last))
             yield from rows.select(["grp", "rep", "z"]).take(pa.array(row)).append_column("cell", pa.array(cell.astype(np.int32))).to_batches(max_chunksize=50_000)
 
     met = vectors.mapInArrow(probe, "grp string, rep long, z array<double>, cell int")
@@ -150,7 +204,8 @@ def _asking(vectors: DataFrame, cells: _Cells, first: int, last: int, bounded: b
 
 
 def _met(dealt: DataFrame, asking: DataFrame, k: int) -> DataFrame:
-    """(grp, rep, other, apart): the ``k`` nearest of every piece that a vector meets."""
+    """(grp, rep, other, apart): the ``k`` nearest of every piece that a vector meets, those
+    within its ``limit`` if it has one."""
     schema = pa.schema([("grp", pa.string()), ("rep", pa.int64()), ("other", pa.int64()), ("apart", pa.float64())])
 
     def meet(here: pa.Table, there: pa.Table) -> pa.Table:
@@ -162,6 +217,8 @@ def _met(dealt: DataFrame, asking: DataFrame, k: int) -> DataFrame:
         for i in range(0, len(a), step):
             apart = squares(a[i:i + step], b)
             apart[asked[i:i + step, None] == names[None]] = np.inf
+            if "limit" in there.column_names:
+                apart[apart > there.column("limit").to_numpy()[i:i + step, None]] = np.inf
             row, col = nearest_rows(apart, names, k)
             out.append((asked[i + row], names[col], apart[row, col]))
         rep, other, apart = (np.concatenate(x) for x in zip(*out))
@@ -176,6 +233,72 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("m", rank).where(F.col("m") <= k)
 
 
+def _trees(vectors: DataFrame) -> tuple[dict[str, _Tree], DataFrame]:
+    """The tree of each group, and (grp, cell, piece, rep, z) of its vectors."""
+    trees, features = {}, 1
+    for r in vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("z")).alias("features")).collect():
+        most, features = min(MAX_SAMPLE, math.ceil(r["n"] / CELL_ROWS) * CELL_SAMPLE), r["features"]
+        share = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 30)) < math.ceil(most / r["n"] * (1 << 30))
+        trees[r["grp"]] = _Tree(matrix(vectors.where((F.col("grp") == F.lit(r["grp"])) & share).select("z").toArrow().column("z")).reshape(-1, features))
+    count = {g: t.cells for g, t in trees.items()}
+
+    def assign(batches):
+        for g, rows in _chunks(batches, count):
+            yield from rows.append_column("cell", pa.array(trees[g].cell_of(matrix(rows.column("z"))).astype(np.int32))).to_batches()
+
+    at = stage(vectors.select("grp", "rep", "z").mapInArrow(assign, "grp string, rep long, z array<double>, cell int"), "neighbour-cells")
+    real = [F.when(~F.isnan(F.col("z")[f]), F.col("z")[f]) for f in range(features)]
+    boxes = at.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), *[F.min(x) for x in real], *[F.max(x) for x in real]).toArrow().to_pandas()
+    for g, tree in trees.items():
+        mine = boxes[boxes["grp"] == g]
+        low, high, held = np.full((tree.cells, features), np.inf), np.full((tree.cells, features), -np.inf), np.zeros(tree.cells)
+        here, ends = mine["cell"].to_numpy(), mine.iloc[:, 3:].to_numpy(np.float64)
+        low[here], high[here], held[here] = np.nan_to_num(ends[:, :features], nan=np.inf), np.nan_to_num(ends[:, features:], nan=-np.inf), mine["n"]
+        tree.fill(low, high, held)
+    pieces = [(g, i, int(n)) for g, t in trees.items() for i, n in enumerate(t.pieces) if n]
+    return trees, stage(_cut(at, vectors.sparkSession.createDataFrame(pieces, "grp string, cell int, pieces int")), "neighbour-pieces")
+
+
+def _exact(vectors: DataFrame, k: int) -> DataFrame:
+    """(grp, rep, other, apart): the ``k`` nearest of each vector."""
+    trees, dealt = _trees(vectors)
+    count = {g: t.cells for g, t in trees.items()}
+    pairs = "array<struct<apart:double,other:long>>"
+
+    def own(here: pa.Table) -> pa.Table:
+        names, z, out = here.column("rep").to_numpy(), matrix(here.column("z")), []
+        step = max(1, AT_ONCE // len(z))
+        for i in range(0, len(z), step):
+            apart = squares(z[i:i + step], z)
+            apart[np.arange(len(apart)), i + np.arange(len(apart))] = np.inf
+            row, col = nearest_rows(apart, names, k)
+            out.append((i + row, names[col], apart[row, col]))
+        row, other, apart = (np.concatenate(x) for x in zip(*out))
+        ends = np.searchsorted(row, np.arange(len(z) + 1))
+        near = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(apart), pa.array(other)], ["apart", "other"]))
+        limit, full = np.full(len(z), np.inf), np.diff(ends) == k
+        limit[full] = apart[ends[1:][full] - 1]
+        return here.append_column("near", near).append_column("limit", pa.array(limit))
+
+    def beyond(batches):
+        for g, rows in _chunks(batches, count):
+            row, cell = trees[g].near(matrix(rows.column("z")), rows.column("limit").to_numpy())
+            pieces = trees[g].pieces[cell]
+            piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            row, cell = np.repeat(row, pieces), np.repeat(cell, pieces)
+            other = (cell != rows.column("cell").to_numpy()[row]) | (piece != rows.column("piece").to_numpy()[row])
+            yield from rows.select(["grp", "rep", "z", "limit"]).take(pa.array(row[other])).append_column("cell", pa.array(cell[other].astype(np.int32))).append_column(
+                "piece", pa.array(piece[other].astype(np.int32))).to_batches(max_chunksize=50_000)
+
+    by = ("grp", "cell", "piece")
+    near = stage(dealt.groupBy(*by).applyInArrow(own, f"grp string, cell int, piece int, rep long, z array<double>, near {pairs}, limit double"), "neighbour-near")
+    asking = near.select(*by, "rep", "z", "limit").mapInArrow(beyond, "grp string, rep long, z array<double>, limit double, cell int, piece int")
+    more = _best(_met(dealt, asking, k), k).groupBy("grp", "rep").agg(F.collect_list(F.struct("apart", "other")).alias("more"))
+    all_ = F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(pairs))))
+    return near.select("grp", "rep", "near").join(more, ["grp", "rep"], "left").select("grp", "rep", F.explode(F.slice(all_, 1, k)).alias("one")).select(
+        "grp", "rep", "one.other", "one.apart")
+
+
 def _sampled(vectors: DataFrame, k: int, sample: int) -> dict:
     """{(grp, rep): exact neighbours} of a sample, by one pass over all vectors."""
     some = vectors.orderBy(F.xxhash64("rep", F.lit(1)), "grp", "rep").limit(sample).select("grp", "rep", "z").collect()
@@ -214,16 +337,13 @@ def nearest(points: DataFrame, k: int, exact: bool = False, recall: float = RECA
     spark = points.sparkSession
     reach(spark)
     vectors = distinct_vectors(points.select("grp", "id", "z"), k + 1)
+    if exact:
+        return _expanded(points, vectors, _exact(vectors, k), k)
     cells = _Cells(vectors)
     dealt = stage(_dealt(vectors, cells), "neighbour-pieces")
     ask = vectors.select("grp", "rep", "z")
-    best = stage(_best(_met(dealt, _asking(ask, cells, 0, PROBES, False), k), k), "neighbour-best")
-    if exact and cells.most > PROBES:
-        limit = best.groupBy("grp", "rep").agg(F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("apart"))).alias("limit"))
-        limited = ask.join(limit, ["grp", "rep"], "left").select("grp", "rep", "z", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-        more = _met(dealt, _asking(limited, cells, PROBES, cells.most, True), k)
-        best = stage(_best(best.drop("m").unionByName(more), k), "neighbour-best")
-    elif cells.most > PROBES:
+    best = stage(_best(_met(dealt, _asking(ask, cells, 0, PROBES), k), k), "neighbour-best")
+    if cells.most > PROBES:
         true, probes = _sampled(vectors, k, sample), PROBES
         wanted = sum(map(len, true.values()))
         keys = spark.createDataFrame(list(true) or [("", 0)], "grp string, rep long")
@@ -231,7 +351,7 @@ def nearest(points: DataFrame, k: int, exact: bool = False, recall: float = RECA
             got = best.join(F.broadcast(keys), ["grp", "rep"]).select("grp", "rep", "other").collect()     # at most k rows for each of the sample
             if sum(r["other"] in true.get((r["grp"], r["rep"]), ()) for r in got) >= recall * wanted:
                 break
-            more = _met(dealt, _asking(ask, cells, probes, 2 * probes, False), k)
+            more = _met(dealt, _asking(ask, cells, probes, 2 * probes), k)
             best, probes = stage(_best(best.drop("m").unionByName(more), k), "neighbour-best"), 2 * probes
     return _expanded(points, vectors, best, k)
 

@@ -72,3 +72,27 @@ def test_synthetic_rows_have_no_key_and_names_do_not_matter(spark):
     assert made.count() == sum(info["synthetic"].values()) > 0
     assert out.columns == events.columns and out.where("event_id is not null").count() == events.count()
     assert made.where("pos <> user_id or grp <> 'x' or z <> 1 or row <> 2").count() == 0
+
+
+@pytest.mark.parametrize("features", [1, 3])
+def test_exact_search_over_many_cells(spark, features, monkeypatch):
+    """Small cells, cut from a small sample and into pieces: ties, copies and a group of one row."""
+    for name, value in {"CELL_ROWS": 40, "CELL_SAMPLE": 4, "PIECE_ROWS": 25}.items():
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    rng = np.random.default_rng(features)
+    groups = {"low": np.round(rng.random((500, features)) * 6) / 6, "high": rng.normal(size=(400, features)) ** 3, "one": rng.random((1, features))}
+    got = found(neighbours.nearest(frame(spark, groups), 4, exact=True))
+    for g, z in groups.items():
+        assert [got.get((g, i), []) for i in range(len(z))] == (brute(z, 4) if len(z) > 1 else [[]])
+
+
+def test_an_exact_search_meets_few_cells(spark, monkeypatch):
+    """A vector is compared with its own cell, and only those near a border with others."""
+    asked, met = [], neighbours._met
+    monkeypatch.setattr(neighbours, "_met", lambda dealt, asking, k: asked.append(asking.count()) or met(dealt, asking, k))
+    z = np.random.default_rng(0).random((10_000, 2))
+    got = found(neighbours.nearest(frame(spark, {"a": z}), 5, exact=True))
+    assert 0 < sum(asked) < len(z)
+    for i in range(0, len(z), 100):
+        apart = ((z - z[i]) ** 2).sum(1)
+        assert got[("a", i)] == np.argsort(apart)[1:6].tolist()
