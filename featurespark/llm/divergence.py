@@ -28,8 +28,8 @@ TOP_TERMS = 50
 SHARD_TERMS, BLOCK_BYTES = 20_000, 64_000_000
 #: sources and terms that one comparison task holds
 TILE_SOURCES, TILE_TERMS = 32, 4096
-#: bytes of text that are counted at a time in a task
-SLICE = 4_000_000
+#: bytes of text that are counted at a time in a task, and rows of counts that it adds up before they leave
+SLICE, HELD_ROWS = 4_000_000, 1_000_000
 
 _in_term = np.zeros(256, bool)
 _in_term[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -65,23 +65,56 @@ def _numbers(batch: pa.RecordBatch, *names: str) -> tuple[pa.RecordBatch, np.nda
     return [tuple(d) if len(names) > 1 else d for d in distinct], codes.astype(np.int64)
 
 
+def _words(column) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """The distinct terms of all texts, which one each term is, and the number of its text."""
+    data, starts, ends, doc = terms_of(column)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[_in_term[data]])).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), doc
+
+
+def _added(parts, value: str):
+    """The rows of a task's tables of counts, those equal in all but ``value`` added up: a term
+    leaves once for the slices whose counts fit HELD_ROWS, not once for each slice."""
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += part.num_rows
+        if rows > HELD_ROWS:
+            held = [_merged(held, value)]
+            rows = held[0].num_rows
+            if rows > HELD_ROWS // 2:
+                yield held[0]
+                held, rows = [], 0
+    if rows:
+        yield _merged(held, value)
+
+
+def _merged(held: list[pa.Table], value: str) -> pa.Table:
+    names = held[0].column_names
+    sums = pa.concat_tables(held).group_by([n for n in names if n != value], use_threads=False).aggregate([(value, "sum")])
+    return sums.rename_columns([value if n == value + "_sum" else n for n in sums.column_names]).select(names)
+
+
 def document_counts(texts: DataFrame) -> DataFrame:
     """(lang, term, docs): the number of texts of the language that have the term."""
 
     def count(batches):
-        for batch in (part for whole in batches for part in slices(whole, 2, SLICE)):
-            langs, lang = _numbers(batch, "lang")
-            data, starts, ends, doc = terms_of(batch.column(2))
-            if not len(starts):
-                continue
-            offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-            words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[_in_term[data]])).dictionary_encode()
-            codes, n = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
-            once = np.unique(doc * n + codes)
-            pairs, docs = np.unique(lang[once // n] * n + once % n, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(pairs // n)),
-                                              words.dictionary.take(pa.array(pairs % n)).cast(pa.string()), pa.array(docs, pa.int64())],
-                                             ["lang", "term", "docs"])
+        known: dict[str, int] = {}
+
+        def parts():
+            for batch in (part for whole in batches for part in slices(whole, 2, SLICE)):
+                langs, lang = _numbers(batch, "lang")
+                words, codes, doc = _words(batch.column(2))
+                n = max(1, len(words))
+                once = np.unique(doc * n + codes)
+                pairs, docs = np.unique(lang[once // n] * n + once % n, return_counts=True)
+                place = np.array([known.setdefault(x, len(known)) for x in langs], np.int64)
+                yield pa.table({"lang": place[pairs // n], "term": words.take(pa.array(pairs % n)), "docs": docs})
+
+        for sums in _added(parts(), "docs"):
+            yield from pa.table([pa.array(list(known), pa.string()).take(sums["lang"]), sums["term"].cast(pa.string()), sums["docs"]],
+                                ["lang", "term", "docs"]).to_batches()
 
     return texts.mapInArrow(count, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
@@ -117,22 +150,29 @@ def _recount(texts: DataFrame, block: list[tuple]) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(tuple(block))
 
     def count(batches):
-        machines = _machines(held.value)
-        for batch in (part for whole in batches for part in slices(whole, 2, SLICE)):
-            groups, group = _numbers(batch, "lang", "source")
-            data, starts, ends, doc = terms_of(batch.column(2))
-            of = group[doc]
-            for lang in {g[0] for g in groups}:
-                mine = np.isin(of, [i for i, g in enumerate(groups) if g[0] == lang])
-                for first, machine in machines.get(lang, ()):
-                    found = machine.ordinals(data, starts[mine], ends[mine])
-                    hit = found >= 0
-                    if hit.any():
-                        n = int(found.max()) + 1
-                        pairs, times = np.unique(of[mine][hit] * n + found[hit], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([lang] * len(pairs), pa.string()), pa.array([groups[i][1] for i in pairs // n], pa.string()),
-                            pa.array(pairs % n + first), pa.array(times, pa.int64())], ["lang", "source", "idx", "count"])
+        machines, known = _machines(held.value), {}
+
+        def parts():
+            for batch in (part for whole in batches for part in slices(whole, 2, SLICE)):
+                groups, group = _numbers(batch, "lang", "source")
+                words, codes, doc = _words(batch.column(2))
+                n = max(1, len(words))
+                pairs, times = np.unique(group[doc] * n + codes, return_counts=True)
+                of, word = pairs // n, pairs % n
+                # each distinct term of a language goes through its transducers once
+                data, offsets = utf8(words)
+                place = np.array([known.setdefault(g, len(known)) for g in groups], np.int64)
+                for lang in {g[0] for g in groups}:
+                    mine = np.flatnonzero(np.array([g[0] == lang for g in groups])[of])
+                    asked, which = np.unique(word[mine], return_inverse=True)
+                    for first, machine in machines.get(lang, ()):
+                        found = machine.ordinals(data, offsets[asked], offsets[asked + 1])[which]
+                        hit = found >= 0
+                        yield pa.table({"group": place[of[mine][hit]], "idx": found[hit] + first, "count": times[mine][hit]})
+
+        for sums in _added(parts(), "count"):
+            langs, sources = (pa.array([g[i] for g in known], pa.string()).take(sums["group"]) for i in (0, 1))
+            yield from pa.table([langs, sources, sums["idx"], sums["count"]], ["lang", "source", "idx", "count"]).to_batches()
 
     langs = sorted({lang for lang, _, _ in block})
     return texts.where(F.col("lang").isin(langs)).mapInArrow(count, "lang string, source string, idx long, count long")

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -95,3 +96,34 @@ def test_equal_endings_share_states():
     endings = transducer.Transducer.build(sorted(a + b for a in (b"walk", b"talk", b"jump") for b in (b"", b"ed", b"ing", b"s")))
     # root, alk, ump and its first letter, the stem's end, e, in, the end
     assert len(endings.final) - 1 == 12
+
+
+class Task:
+    """A table of one partition whose Arrow function runs here; ``out`` is what leaves it."""
+
+    def __init__(self, spark, rows):
+        self.sparkSession, self.rows = spark, pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), r)) for r in rows])
+
+    def where(self, condition):
+        return self
+
+    def mapInArrow(self, function, schema):
+        self.out = [r for b in function(iter([self.rows, self.rows])) for r in b.to_pylist()]
+        return self.sparkSession.createDataFrame([tuple(r.values()) for r in self.out], schema)
+
+
+@pytest.mark.parametrize("held", [1_000_000, 5])
+def test_a_task_adds_up_its_slices(spark, monkeypatch, held):
+    """A term leaves a task once for many slices, and passes a transducer once for a slice."""
+    monkeypatch.setattr(divergence, "SLICE", 60)
+    monkeypatch.setattr(divergence, "HELD_ROWS", held, raising=False)
+    walked, ordinals = [], transducer.Transducer.ordinals
+    monkeypatch.setattr(transducer.Transducer, "ordinals", lambda self, data, starts, ends: walked.append(len(starts)) or ordinals(self, data, starts, ends))
+    task = Task(spark, [(f"l{i % 2}", f"s{i % 3}", "beta Alpha beta, gamma beta") for i in range(30)])
+    docs = divergence.document_counts(task)
+    assert {tuple(r) for r in docs.collect()} == {(f"l{i}", t, 30) for i in range(2) for t in ("alpha", "beta", "gamma")}
+    assert len(task.out) == 6 or held == 5
+    block = [(f"l{i}", 0, transducer.Transducer.build([b"alpha", b"beta"]).to_bytes()) for i in range(2)]
+    counts = divergence._recount(task, block).groupBy("lang", "source", "idx").agg(F.sum("count"))
+    assert {tuple(r) for r in counts.collect()} == {(f"l{i}", f"s{j}", t, n) for i in range(2) for j in range(3) for t, n in ((0, 10), (1, 30))}
+    assert (len(task.out) == 12 or held == 5) and max(walked) <= 3
